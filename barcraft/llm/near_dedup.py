@@ -16,6 +16,9 @@ distinct word shingles.  The plan:
    with the whole group, block by block, so no link between different texts is lost;
 6. union-find over the confirmed links gives the components.
 
+Joins whose larger side grows with the corpus are sort-merge joins at every size: the plan
+that is measured on little data is the one that runs on much, and skewed keys are split.
+
 With b bands of r slots, a pair at the threshold shares no bucket with probability
 ``(1 - 0.85**r) ** b``: 4.3e-7 for the defaults.
 """
@@ -148,12 +151,12 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, width: int = SH
     classes = scratch.write("classes", described.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min(F.struct("doc_id", "bands")).alias("m")).select(*key, "m.doc_id", "m.bands"))
     keyed = classes.select("doc_id", F.explode("bands").alias("key"))
     hubs = scratch.write("hubs", keyed.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub"))
-    stars = keyed.join(hubs, "key").where("hub <> doc_id").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
+    stars = keyed.join(hubs.hint("merge"), "key").where("hub <> doc_id").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
     groups = connected_components(stars, scratch, "groups")
     sizes = groups.groupBy("label").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     sizes = scratch.write("sizes", sizes)
     members = scratch.write("members", groups.join(sizes, "label").select(F.col("node").alias("doc_id"), F.col("label").alias("grp"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("blk")))
-    fetched = members.join(texts, "doc_id").select("grp", "blk", "blocks", "doc_id", "text")
+    fetched = texts.join(members.hint("merge"), "doc_id").select("grp", "blk", "blocks", "doc_id", "text")
     fetched = scratch.write("fetched", fetched)
     link = _link(width, threshold, bands * rows)
     links = scratch.write("links", fetched.groupBy("grp", "blk").applyInArrow(lambda t: link(t.select(["doc_id", "text"])), "a long, b long"))
@@ -174,9 +177,9 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, width: int = SH
             links = links.unionByName(scratch.write("more", more))
 
     joined = connected_components(links, scratch, "joined").withColumnRenamed("node", "doc_id")
-    named = scratch.write("named", classes.join(joined, "doc_id", "left").select(*key, F.coalesce("label", "doc_id").alias("component_id")))
+    named = scratch.write("named", classes.join(joined.hint("merge"), "doc_id", "left").select(*key, F.coalesce("label", "doc_id").alias("component_id")))
     # a class's least document may be linked while the row at hand is another of the class
-    result = described.select("doc_id", *key).join(named, key, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    result = described.select("doc_id", *key).join(named.hint("merge"), key, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
     return scratch.hold(result.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
