@@ -180,7 +180,8 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, width: int = SH
     named = scratch.write("named", classes.join(joined.hint("merge"), "doc_id", "left").select(*key, F.coalesce("label", "doc_id").alias("component_id")))
     # a class's least document may be linked while the row at hand is another of the class
     result = described.select("doc_id", *key).join(named.hint("merge"), key, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
-    return scratch.hold(result.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    scratch.keep_only("described", "named")
+    return result.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one_of_each(docs: DataFrame, **parameters) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from barcraft.llm.near_dedup import near_duplicates
+from barcraft.llm.quality import BASE_PERCENT, BASE_WINDOW, GRAM_PERCENT, LINE_PERCENT, MIN_WORDS, repetition_quality
+from barcraft.llm.substring_dedup import WINDOW, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,14 +21,72 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_repetition_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition_quality(_table(spark, sf_dir, "documents"))
+
+
+def op4_superkmer_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(_table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op3_repetition_quality": op3_repetition_quality,
+    "op4_superkmer_substring_dedup": op4_superkmer_substring_dedup,
 }
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD = r"[^\x20\x09-\x0D]+"
 
+
+
+def _covered(n: int) -> str:
+    """Words under n-grams that a text holds twice or more, as (doc_id, i)."""
+    return f"""
+  SELECT DISTINCT doc_id, p + unnest(range(0, {n})) AS i FROM (
+    SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, g) AS c FROM (
+      SELECT doc_id, p, array_to_string(ws[p:p + {n - 1}], ' ') AS g
+      FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {n} + 2)) AS p FROM w WHERE len(ws) >= {n}))) WHERE c > 1"""
+
+
+_GRAM_TABLES = ",\n".join(
+    f"g{n} AS MATERIALIZED (SELECT c.doc_id, sum(length(w.ws[c.i])) AS chars, count(*) AS words FROM ({_covered(n)}) c JOIN w USING (doc_id) GROUP BY 1)" for n in GRAM_PERCENT
+)
+_GRAM_COLUMNS = ", ".join(f"coalesce(g{n}.chars, 0)::BIGINT AS dup{n}_chars" for n in GRAM_PERCENT)
+_GRAM_JOINS = " ".join(f"LEFT JOIN g{n} USING (doc_id)" for n in GRAM_PERCENT)
+_GRAM_RULES = " AND ".join(f"100 * dup{n}_chars <= {most} * word_chars" for n, most in GRAM_PERCENT.items())
+
 ORACLES: dict[str, str] = {
+    "op3_repetition_quality": rf"""
+WITH w AS MATERIALIZED (SELECT doc_id, text, coalesce(regexp_extract_all(text, '{_WORD}'), []) AS ws FROM documents),
+l AS MATERIALIZED (
+  SELECT doc_id, count(*) AS n, sum(length(regexp_replace(line, '[ 	-
+]+', '', 'g'))) AS chars FROM (
+    SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) AS nth FROM (
+      SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM w))
+  WHERE nth > 1 AND regexp_matches(line, '{_WORD}') GROUP BY 1),
+{_GRAM_TABLES},
+m AS (
+  SELECT w.doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    coalesce(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')), 0) AS n_symbols, coalesce(l.n, 0) AS n_dup_lines,
+    coalesce(g{BASE_WINDOW}.words, 0) AS n_repeat_words, coalesce(l.chars, 0)::BIGINT AS dup_line_chars, {_GRAM_COLUMNS}
+  FROM w LEFT JOIN l USING (doc_id) {_GRAM_JOINS})
+SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {BASE_PERCENT} * n_words AS base_failed,
+  NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {BASE_PERCENT} * n_words)
+  AND 100 * dup_line_chars <= {LINE_PERCENT} * word_chars AND {_GRAM_RULES} AS kept FROM m
+""",
+    "op4_superkmer_substring_dedup": rf"""
+WITH w AS MATERIALIZED (SELECT doc_id, coalesce(regexp_extract_all(text, '{_WORD}'), []) AS ws FROM documents),
+g AS MATERIALIZED (
+  SELECT doc_id, p, array_to_string(ws[p:p + {WINDOW - 1}], ' ') AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {WINDOW} + 2)) AS p FROM w WHERE len(ws) >= {WINDOW})),
+r AS (SELECT doc_id, p, row_number() OVER (PARTITION BY g ORDER BY doc_id, p) AS nth FROM g),
+c AS MATERIALIZED (SELECT DISTINCT doc_id, p + unnest(range(0, {WINDOW})) AS i FROM r WHERE nth > 1),
+gone AS (SELECT doc_id, list(i) AS gone FROM c GROUP BY 1)
+SELECT doc_id, len(ws) AS n_words, coalesce(len(gone), 0) AS n_removed,
+  sha256(array_to_string(list_filter(ws, lambda x, i: gone IS NULL OR NOT list_contains(gone, i)), ' ')) AS kept_sha256
+FROM w LEFT JOIN gone USING (doc_id)
+""",
     "op1_minhash_near_dedup": rf"""
 WITH RECURSIVE w AS MATERIALIZED (
   SELECT doc_id, regexp_extract_all({_LOWER}, '{_WORD}') AS ws FROM documents),

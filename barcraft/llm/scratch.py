@@ -8,9 +8,9 @@ scratch has a fresh name.
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
-import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,25 +39,24 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 class Scratch:
-    """Written tables of one operator run, deleted once neither the scratch nor a frame
-    read from it is referenced (or by ``drop``)."""
+    """Written tables of one operator run.  A result may read from them lazily, so what it
+    reads stays until the program ends; ``keep_only`` removes the rest at once."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-        self._end = weakref.finalize(self, _remove, spark, self.path)
+        self.names: list[str] = []
+        atexit.register(_remove, spark, self.path)
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
         """Writes df and returns it as read back: no lineage beyond the files."""
         path = f"{self.path}/{name}"
         df.write.mode("overwrite").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        return self.hold(out)
-
-    def hold(self, df: DataFrame) -> DataFrame:
-        """Keeps the files for as long as df is referenced."""
-        df._scratch = self
-        return df
-
-    def drop(self, name: str) -> None:
-        _remove(self.spark, f"{self.path}/{name}")
+        self.names.append(name)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def keep_only(self, *names: str) -> None:
+        """Removes the tables that nothing will read again."""
+        for name in set(self.names) - set(names):
+            _remove(self.spark, f"{self.path}/{name}")
+        self.names = [n for n in self.names if n in names]
