@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from barcraft.llm.decontaminate import WINDOW as ITEM_WINDOW
+from barcraft.llm.decontaminate import contamination
 from barcraft.llm.near_dedup import near_duplicates
 from barcraft.llm.quality import BASE_PERCENT, BASE_WINDOW, GRAM_PERCENT, LINE_PERCENT, MIN_WORDS, repetition_quality
 from barcraft.llm.substring_dedup import WINDOW, substring_dedup
@@ -29,10 +31,15 @@ def op4_superkmer_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame
     return substring_dedup(_table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op7_positional_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("matches")
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op3_repetition_quality": op3_repetition_quality,
     "op4_superkmer_substring_dedup": op4_superkmer_substring_dedup,
+    "op7_positional_index_decontamination": op7_positional_index_decontamination,
 }
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -56,7 +63,27 @@ _GRAM_COLUMNS = ", ".join(f"coalesce(g{n}.chars, 0)::BIGINT AS dup{n}_chars" for
 _GRAM_JOINS = " ".join(f"LEFT JOIN g{n} USING (doc_id)" for n in GRAM_PERCENT)
 _GRAM_RULES = " AND ".join(f"100 * dup{n}_chars <= {most} * word_chars" for n, most in GRAM_PERCENT.items())
 
+_TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
 ORACLES: dict[str, str] = {
+    "op7_positional_index_decontamination": rf"""
+WITH d AS MATERIALIZED (SELECT doc_id, coalesce(regexp_extract_all({_LOWER}, '{_TOKEN}'), []) AS ws FROM documents),
+b AS (SELECT item_id, coalesce(regexp_extract_all({_LOWER}, '{_TOKEN}'), []) AS ws FROM benchmark),
+bw AS MATERIALIZED (
+  SELECT DISTINCT item_id, least(len(ws), {ITEM_WINDOW}) AS n, array_to_string(ws[p:p + {ITEM_WINDOW - 1}], ' ') AS g
+  FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - {ITEM_WINDOW} + 1, 1) + 1)) AS p FROM b WHERE len(ws) > 0)),
+n AS (SELECT DISTINCT n FROM bw),
+dw AS (
+  SELECT doc_id, p, n, array_to_string(ws[p:p + n - 1], ' ') AS g
+  FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS p FROM d, n WHERE len(ws) >= n)),
+hits AS MATERIALIZED (SELECT doc_id, p, dw.n, item_id FROM dw JOIN bw ON dw.n = bw.n AND dw.g = bw.g),
+c AS (SELECT doc_id, count(DISTINCT i) AS n_hit FROM (SELECT doc_id, p + unnest(range(0, n)) AS i FROM hits) GROUP BY 1),
+i AS (SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS name FROM hits) GROUP BY 1)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN i USING (doc_id)
+""",
     "op3_repetition_quality": rf"""
 WITH w AS MATERIALIZED (SELECT doc_id, text, coalesce(regexp_extract_all(text, '{_WORD}'), []) AS ws FROM documents),
 l AS MATERIALIZED (
