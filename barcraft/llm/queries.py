@@ -11,6 +11,8 @@ from barcraft.llm.decontaminate import contamination
 from barcraft.llm.near_dedup import near_duplicates
 from barcraft.llm.quality import BASE_PERCENT, BASE_WINDOW, GRAM_PERCENT, LINE_PERCENT, MIN_WORDS, repetition_quality
 from barcraft.llm.substring_dedup import WINDOW, substring_dedup
+from barcraft.llm.token_output import token_files
+from barcraft.llm.warc import warc_round_trip
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,15 +33,27 @@ def op4_superkmer_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame
     return substring_dedup(_table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op6_arrow_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    return token_files(_table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op7_positional_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("matches")
 
 
+def op10_warc_dictionary_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op3_repetition_quality": op3_repetition_quality,
     "op4_superkmer_substring_dedup": op4_superkmer_substring_dedup,
+    "op6_arrow_token_files": op6_arrow_token_files,
     "op7_positional_index_decontamination": op7_positional_index_decontamination,
+    "op10_warc_dictionary_archive": op10_warc_dictionary_archive,
 }
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -65,7 +79,19 @@ _GRAM_RULES = " AND ".join(f"100 * dup{n}_chars <= {most} * word_chars" for n, m
 
 _TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, {5 * i + 1}, 5))::INTEGER >> {shift}) & 31) + 1, 1)" for i in range(8) for shift in (15, 10, 5, 0)
+)
+
 ORACLES: dict[str, str] = {
+    "op10_warc_dictionary_archive": f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS x, sha1(coalesce(html, '')) AS h FROM pages),
+m AS (SELECT h, max(page_id) AS top FROM p GROUP BY h)
+SELECT page_id, strlen(x) AS payload_bytes, {_BASE32} AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> top THEN top END AS refers_to
+FROM p JOIN m USING (h)
+""",
     "op7_positional_index_decontamination": rf"""
 WITH d AS MATERIALIZED (SELECT doc_id, coalesce(regexp_extract_all({_LOWER}, '{_TOKEN}'), []) AS ws FROM documents),
 b AS (SELECT item_id, coalesce(regexp_extract_all({_LOWER}, '{_TOKEN}'), []) AS ws FROM benchmark),

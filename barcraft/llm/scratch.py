@@ -60,3 +60,24 @@ class Scratch:
         for name in set(self.names) - set(names):
             _remove(self.spark, f"{self.path}/{name}")
         self.names = [n for n in self.names if n in names]
+
+
+def open_folder(uri: str):
+    """(filesystem, path) for files that Python workers write or read in the shared folder:
+    any scheme that Arrow knows; a bare path is local."""
+    from pyarrow import fs
+
+    if "://" in uri or uri.startswith("file:"):
+        return fs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:", "file://", 1))
+    return fs.LocalFileSystem(), uri
+
+
+def put_file(uri: str, write) -> None:
+    """write(stream) to a name of its own, then moved to ``uri``: a reader never sees a part
+    of a file, and a second attempt of the task replaces the first one's whole file."""
+    store, path = open_folder(uri)
+    store.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    own = f"{path}.{uuid.uuid4().hex[:8]}.tmp"
+    with store.open_output_stream(own, compression=None) as stream:
+        write(stream)
+    store.move(own, path)
