@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from barcraft.llm.decontaminate import WINDOW as ITEM_WINDOW
 from barcraft.llm.decontaminate import contamination
+from barcraft.llm.mixing import mix
 from barcraft.llm.near_dedup import near_duplicates
 from barcraft.llm.quality import BASE_PERCENT, BASE_WINDOW, GRAM_PERCENT, LINE_PERCENT, MIN_WORDS, repetition_quality
+from barcraft.llm.sharding import SHARD_BYTES, shards
 from barcraft.llm.substring_dedup import WINDOW, substring_dedup
 from barcraft.llm.token_output import token_files
 from barcraft.llm.warc import warc_round_trip
@@ -25,6 +27,10 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_extendible_hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards(_table(spark, sf_dir, "documents"))
+
+
 def op3_repetition_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_quality(_table(spark, sf_dir, "documents"))
 
@@ -43,16 +49,22 @@ def op7_positional_index_decontamination(spark: SparkSession, sf_dir: str) -> Da
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("matches")
 
 
+def op8_min_cost_flow_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_table(spark, sf_dir, "documents"))
+
+
 def op10_warc_dictionary_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(_table(spark, sf_dir, "pages"))
 
 
 QUERIES: dict[str, Query] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_extendible_hash_shards": op2_extendible_hash_shards,
     "op3_repetition_quality": op3_repetition_quality,
     "op4_superkmer_substring_dedup": op4_superkmer_substring_dedup,
     "op6_arrow_token_files": op6_arrow_token_files,
     "op7_positional_index_decontamination": op7_positional_index_decontamination,
+    "op8_min_cost_flow_mixing": op8_min_cost_flow_mixing,
     "op10_warc_dictionary_archive": op10_warc_dictionary_archive,
 }
 
@@ -84,6 +96,18 @@ _BASE32 = " || ".join(
 )
 
 ORACLES: dict[str, str] = {
+    "op2_extendible_hash_shards": f"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, coalesce(strlen(text), 0) AS n_bytes, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),
+s AS (
+  SELECT depth, h >> (60 - depth) AS prefix, sum(n_bytes)::BIGINT AS shard_bytes, count(DISTINCT h) AS keys
+  FROM d, (SELECT unnest(range(0, 40)) AS depth) GROUP BY 1, 2),
+f AS (
+  SELECT d.doc_id, d.n_bytes, s.*, row_number() OVER (PARTITION BY d.h, d.doc_id ORDER BY s.depth) AS nth
+  FROM d JOIN s ON s.prefix = d.h >> (60 - s.depth) WHERE s.shard_bytes <= {SHARD_BYTES} OR s.keys = 1)
+SELECT doc_id, n_bytes, 'b' || CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), depth::INT, '0') END AS shard, depth::INT AS depth, shard_bytes
+FROM f WHERE nth = 1
+""",
     "op10_warc_dictionary_archive": f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS x, sha1(coalesce(html, '')) AS h FROM pages),
 m AS (SELECT h, max(page_id) AS top FROM p GROUP BY h)

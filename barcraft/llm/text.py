@@ -67,11 +67,15 @@ class Words:
         begins = np.concatenate(([0], np.cumsum(sizes + 1)))
         self.first = np.searchsorted(self.start, begins)
         self.doc = np.repeat(np.arange(len(texts)), np.diff(self.first))
-        n = len(raw)
-        prefix = np.zeros(n + 1, np.uint64)
-        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _power(_BASE, n), out=prefix[1:])
-        length = (self.end - self.start).astype(np.uint64)
-        self.hash = mix((prefix[self.end] - prefix[self.start]) * _power(_BASE_INV, n + 1)[self.start] + length)
+        self.hash = np.empty(len(self.start), np.uint64)
+        # prefix sums over a stretch of bytes at a time, so that they stay small
+        cuts = np.unique(np.concatenate((np.searchsorted(self.start, np.arange(0, len(raw), CHUNK_BYTES)), [len(self.start)])))
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            at, until = int(self.start[lo]), int(self.end[hi - 1])
+            prefix = np.zeros(until - at + 1, np.uint64)
+            np.cumsum((raw[at:until].astype(np.uint64) + np.uint64(1)) * _power(_BASE, until - at), out=prefix[1:])
+            begin, end = self.start[lo:hi] - at, self.end[lo:hi] - at
+            self.hash[lo:hi] = mix((prefix[end] - prefix[begin]) * _power(_BASE_INV, until - at + 1)[begin] + (end - begin).astype(np.uint64))
 
     @property
     def counts(self) -> np.ndarray:
