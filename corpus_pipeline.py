@@ -1,15 +1,60 @@
-"""Corpus pipeline: documents through quality rules, near-dedup, decontamination, mixing, sharding."""
+"""Corpus pipeline: quality rules, near-dedup, decontamination, mixing, sharding.
+
+Each stage takes (spark, docs, sf_dir) and returns the rows that go on; ``run`` writes each
+result as Parquet into the shared folder and reads it again as the next stage's documents.
+All stages but the last return the columns of documents; the last adds the shard.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from barcraft.llm import decontaminate, mixing, near_dedup, quality, sharding
+from barcraft.llm.scratch import Scratch
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the repetition rules reject go."""
+    return quality.keep_good(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays, the least doc_id."""
+    return near_dedup.keep_one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of sources takes it."""
+    return mixing.mixed_copies(docs)
+
+
+def hash_sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row with the shard that it belongs to."""
+    return sharding.sharded(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_duplicates),
+    ("decontamination", decontamination),
+    ("source_mixing", source_mixing),
+    ("sharding", hash_sharding),
+]
+
+#: SQL has no counterpart of the flow that mixes sources; tests hold every stage against brute force.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on documents."""
+    scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for k, (name, stage) in enumerate(STAGES):
+        docs = scratch.write(name, stage(spark, docs, sf_dir))
+        scratch.keep_only(name)
     return docs
