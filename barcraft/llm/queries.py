@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from barcraft.llm.decontaminate import WINDOW as ITEM_WINDOW
 from barcraft.llm.decontaminate import contamination
+from barcraft.llm.language import identify
 from barcraft.llm.mixing import mix
 from barcraft.llm.near_dedup import near_duplicates
 from barcraft.llm.quality import BASE_PERCENT, BASE_WINDOW, GRAM_PERCENT, LINE_PERCENT, MIN_WORDS, repetition_quality
 from barcraft.llm.sharding import SHARD_BYTES, shards
 from barcraft.llm.substring_dedup import WINDOW, substring_dedup
 from barcraft.llm.token_output import token_files
+from barcraft.llm.toxicity import toxicity
 from barcraft.llm.warc import warc_round_trip
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +41,10 @@ def op4_superkmer_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame
     return substring_dedup(_table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op5_word_backoff_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_table(spark, sf_dir, "documents"))
+
+
 def op6_arrow_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     import public_tokenizers
 
@@ -53,6 +59,10 @@ def op8_min_cost_flow_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 
 
+def op9_cnn_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_warc_dictionary_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(_table(spark, sf_dir, "pages"))
 
@@ -62,9 +72,11 @@ QUERIES: dict[str, Query] = {
     "op2_extendible_hash_shards": op2_extendible_hash_shards,
     "op3_repetition_quality": op3_repetition_quality,
     "op4_superkmer_substring_dedup": op4_superkmer_substring_dedup,
+    "op5_word_backoff_language": op5_word_backoff_language,
     "op6_arrow_token_files": op6_arrow_token_files,
     "op7_positional_index_decontamination": op7_positional_index_decontamination,
     "op8_min_cost_flow_mixing": op8_min_cost_flow_mixing,
+    "op9_cnn_toxicity": op9_cnn_toxicity,
     "op10_warc_dictionary_archive": op10_warc_dictionary_archive,
 }
 
