@@ -55,9 +55,10 @@ def chunks(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, i
 
 class Words:
     """Words of some texts: byte ranges in ``data``, their 64-bit hashes, and ``first``:
-    words of text i are ``first[i]:first[i + 1]``."""
+    words of text i are ``first[i]:first[i + 1]``.  ``affixes`` asks for hashes of each
+    word's first k bytes (k > 0) or last -k bytes (k < 0), in ``affix``."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], affixes: tuple[int, ...] = ()):
         self.data = b" ".join(texts)
         raw = np.frombuffer(self.data, np.uint8)
         space = _SPACE[raw]
@@ -68,6 +69,7 @@ class Words:
         self.first = np.searchsorted(self.start, begins)
         self.doc = np.repeat(np.arange(len(texts)), np.diff(self.first))
         self.hash = np.empty(len(self.start), np.uint64)
+        self.affix = [np.empty(len(self.start), np.uint64) for _ in affixes]
         # prefix sums over a stretch of bytes at a time, so that they stay small
         cuts = np.unique(np.concatenate((np.searchsorted(self.start, np.arange(0, len(raw), CHUNK_BYTES)), [len(self.start)])))
         for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
@@ -75,7 +77,11 @@ class Words:
             prefix = np.zeros(until - at + 1, np.uint64)
             np.cumsum((raw[at:until].astype(np.uint64) + np.uint64(1)) * _power(_BASE, until - at), out=prefix[1:])
             begin, end = self.start[lo:hi] - at, self.end[lo:hi] - at
-            self.hash[lo:hi] = mix((prefix[end] - prefix[begin]) * _power(_BASE_INV, until - at + 1)[begin] + (end - begin).astype(np.uint64))
+            inverse = _power(_BASE_INV, until - at + 1)
+            self.hash[lo:hi] = mix((prefix[end] - prefix[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
+            for k, out in zip(affixes, self.affix, strict=True):
+                a, b = (begin, np.minimum(begin + k, end)) if k > 0 else (np.maximum(end + k, begin), end)
+                out[lo:hi] = mix((prefix[b] - prefix[a]) * inverse[a] + (b - a + 1000 * (k + 64)).astype(np.uint64))
 
     @property
     def counts(self) -> np.ndarray:
