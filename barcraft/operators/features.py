@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barcraft.functions.numeric import round_to
 from barcraft.operators.asof import asof_join
 from barcraft.operators.indicators import indicator_frame, linreg_slope
 
@@ -39,9 +40,9 @@ def timeframe_features(bars: DataFrame, min_bars: int = MIN_BARS, periods: dict[
     f = indicator_frame(bars, periods, wilder)
     f = f.withColumn("slope", F.when(F.col("close") != 0, linreg_slope("ema_slow") / F.col("close")).otherwise(F.lit(0.0))).withColumn("ema_align", ema_alignment()).withColumn("regime", regime())
     return f.where(F.col("rn") >= min_bars).select(
-        "symbol", "tf", "open_time", "close_time", "rn", "regime", "ema_align", F.round("adx", 1).alias("adx"), F.round("rsi", 1).alias("rsi"),
-        F.when(F.col("close") != 0, F.round(F.col("atr") / F.col("close") * 100, 3)).alias("atr_pct"), F.when(F.col("close") != 0, F.round(F.col("slope") * 100, 4)).alias("slope_pct"),
-        F.round("close", 4).alias("close"), F.round("resistance_pct", 3).alias("resistance_pct"), F.round("support_pct", 3).alias("support_pct"),
+        "symbol", "tf", "open_time", "close_time", "rn", "regime", "ema_align", round_to("adx", 1).alias("adx"), round_to("rsi", 1).alias("rsi"),
+        F.when(F.col("close") != 0, round_to(F.col("atr") / F.col("close") * 100, 3)).alias("atr_pct"), F.when(F.col("close") != 0, round_to(F.col("slope") * 100, 4)).alias("slope_pct"),
+        round_to("close", 4).alias("close"), round_to("resistance_pct", 3).alias("resistance_pct"), round_to("support_pct", 3).alias("support_pct"),
     )
 
 

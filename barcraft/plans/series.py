@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barcraft.functions.numeric import round_to
 from barcraft.operators import asof, features, indicators
 from barcraft.plans.registry import query
 from barcraft.sources import adapters as a
@@ -56,32 +57,32 @@ def _daily(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT symbol, open_time, round(CASE WHEN count(*) OVER w >= 20 THEN sum(close::DECIMAL(18,2)) OVER w::DOUBLE / 20 END, 6) AS sma20 FROM ({a.DAILY_SQL}) WINDOW w AS (PARTITION BY symbol ORDER BY open_time ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)")
 def sma(spark: SparkSession, sf: str) -> DataFrame:
-    return a.daily_bars(spark, sf).select(*_KEYS, F.round(indicators.sma("close", 20), 6).alias("sma20"))
+    return a.daily_bars(spark, sf).select(*_KEYS, round_to(indicators.sma("close", 20), 6).alias("sma20"))
 
 
 @query(f"SELECT symbol, open_time, round(tr, 6) AS tr FROM ({_moves(_DAILY)})")
 def true_range(spark: SparkSession, sf: str) -> DataFrame:
-    return a.daily_bars(spark, sf).select(*_KEYS, F.round(indicators.true_range(), 6).alias("tr"))
+    return a.daily_bars(spark, sf).select(*_KEYS, round_to(indicators.true_range(), 6).alias("tr"))
 
 
 @query(f"{_REC} SELECT symbol, open_time, round(ema_fast, 6) AS ema21, round(ema_slow, 6) AS ema50, round(ema_trend, 6) AS ema200 FROM v")
 def ema(spark: SparkSession, sf: str) -> DataFrame:
-    return _daily(spark, sf).select(*_KEYS, F.round("ema_fast", 6).alias("ema21"), F.round("ema_slow", 6).alias("ema50"), F.round("ema_trend", 6).alias("ema200"))
+    return _daily(spark, sf).select(*_KEYS, round_to("ema_fast", 6).alias("ema21"), round_to("ema_slow", 6).alias("ema50"), round_to("ema_trend", 6).alias("ema200"))
 
 
 @query(f"{_REC} SELECT symbol, open_time, round(atr, 6) AS atr, round(atr / close * 100, 3) AS atr_pct FROM v")
 def rma_atr(spark: SparkSession, sf: str) -> DataFrame:
-    return _daily(spark, sf).select(*_KEYS, F.round("atr", 6).alias("atr"), F.round(F.col("atr") / F.col("close") * 100, 3).alias("atr_pct"))
+    return _daily(spark, sf).select(*_KEYS, round_to("atr", 6).alias("atr"), round_to(F.col("atr") / F.col("close") * 100, 3).alias("atr_pct"))
 
 
 @query(f"{_REC} SELECT symbol, open_time, round(rsi, 6) AS rsi FROM v")
 def rsi(spark: SparkSession, sf: str) -> DataFrame:
-    return _daily(spark, sf).select(*_KEYS, F.round("rsi", 6).alias("rsi"))
+    return _daily(spark, sf).select(*_KEYS, round_to("rsi", 6).alias("rsi"))
 
 
 @query(f"{_REC} SELECT symbol, open_time, round(adx, 6) AS adx, round(plus_di, 6) AS plus_di, round(minus_di, 6) AS minus_di FROM v")
 def adx(spark: SparkSession, sf: str) -> DataFrame:
-    return _daily(spark, sf).select(*_KEYS, *[F.round(c, 6).alias(c) for c in ("adx", "plus_di", "minus_di")])
+    return _daily(spark, sf).select(*_KEYS, *[round_to(c, 6).alias(c) for c in ("adx", "plus_di", "minus_di")])
 
 
 _SLOPE = "CASE WHEN count({c}) OVER w20 >= 2 THEN regr_slope({c}, rn) OVER w20 ELSE 0.0 END"
@@ -91,7 +92,7 @@ _W20 = "WINDOW w20 AS (PARTITION BY symbol ORDER BY rn ROWS BETWEEN 19 PRECEDING
 @query(f"SELECT symbol, open_time, round({_SLOPE.format(c='close')}, 4) AS slope FROM ({_DAILY}) {_W20}")
 def linreg_slope(spark: SparkSession, sf: str) -> DataFrame:
     b = a.daily_bars(spark, sf).withColumn("rn", F.row_number().over(indicators.ordered()))
-    return b.select(*_KEYS, F.round(indicators.linreg_slope("close"), 4).alias("slope"))
+    return b.select(*_KEYS, round_to(indicators.linreg_slope("close"), 4).alias("slope"))
 
 
 def _swings_sql(bars: str) -> str:
@@ -112,7 +113,7 @@ def _levels_sql(swings: str) -> str:
 @query(f"""WITH s AS MATERIALIZED ({_swings_sql(_DAILY)}), l AS ({_levels_sql('s')})
 SELECT symbol, open_time, round((above - close) / close * 100, 3) AS resistance_pct, round((close - below) / close * 100, 3) AS support_pct FROM s JOIN l USING (symbol, rn)""")
 def nearest_levels(spark: SparkSession, sf: str) -> DataFrame:
-    return _daily(spark, sf).select(*_KEYS, F.round("resistance_pct", 3).alias("resistance_pct"), F.round("support_pct", 3).alias("support_pct"))
+    return _daily(spark, sf).select(*_KEYS, round_to("resistance_pct", 3).alias("resistance_pct"), round_to("support_pct", 3).alias("support_pct"))
 
 
 _ALIGN = "CASE WHEN ema_fast > ema_slow AND ema_slow > ema_trend THEN 'up' WHEN ema_fast < ema_slow AND ema_slow < ema_trend THEN 'down' ELSE 'mixed' END"
