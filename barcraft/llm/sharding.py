@@ -3,8 +3,9 @@
 A row's key hash is read bit by bit from the top.  A bucket is a prefix of it; a bucket whose
 rows exceed the byte limit is split on one more bit, and only such buckets are, so local
 depths differ while every shard fits.  The directory (prefix -> shard) follows from the
-leaves.  Byte counts are pre-aggregated per distinct hash before anything else; each round
-sums only what is left in oversized buckets.
+leaves: rows look up the prefix of their hash in it.  Byte counts are pre-aggregated into
+cells a few bits finer than the average shard, and all depths are summed from the cells;
+only cells that are still too large are split further, in a next round over their rows.
 
 Rows of one key can't be told apart by bits: a bucket of one key that is still too large
 becomes a chain of overflow pages, filled by a two-level running size (within partitions,
@@ -30,30 +31,30 @@ def key_hash(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, BITS // 4), 16, 10).cast("long")
 
 
-def _prefix(depth: int) -> Column:
-    return F.shiftright("h", BITS - depth)
+#: Bits by which cells are finer than the average shard, and bits of a further round.
+FINER = 5
 
 
-def leaves(fine: DataFrame, limit: int, scratch: Scratch) -> DataFrame:
-    """fine(h, bytes, n, largest) -> (h, depth, prefix, shard_bytes, chained)."""
-    total = fine.agg(F.sum("bytes")).first()[0] or 0
-    depth = max(0, int(math.log2(max(1, total / limit))) - 2)
-    while depth and (fine.groupBy(_prefix(depth - 1)).agg(F.sum("bytes").alias("b")).agg(F.min("b")).first()[0] or 0) <= limit:
-        depth -= 1  # some shallower bucket fits: it must not be split
-    done, left = None, fine
+def directory(rows: DataFrame, limit: int, scratch: Scratch) -> list[tuple[int, DataFrame]]:
+    """rows(h, bytes) -> [(bits, (cell, depth, prefix, shard_bytes, largest, chained))]: a
+    row belongs to the leaf of its hash's first ``bits`` bits in the one part that has it."""
+    total = rows.agg(F.sum("bytes")).first()[0] or 0
+    base, top = 0, min(BITS, FINER + max(0, math.ceil(math.log2(max(1, total / limit)))))
+    parts, left = [], rows
     while True:
-        at = left.withColumn("prefix", _prefix(depth))
-        cells = at.groupBy("prefix").agg(F.sum("bytes").alias("shard_bytes"), F.count("*").alias("keys"))
-        cells = scratch.write(f"cells{depth}", cells)
-        ends = cells.where((F.col("shard_bytes") <= limit) | (F.col("keys") == 1) | F.lit(depth >= BITS))
-        leaf = at.join(ends.hint("merge"), "prefix").select("h", F.lit(depth).alias("depth"), "prefix", "shard_bytes", (F.col("shard_bytes") > limit).alias("chained"), "largest")
-        leaf = scratch.write(f"leaf{depth}", leaf)
-        done = leaf if done is None else done.unionByName(leaf)
-        over = cells.where((F.col("shard_bytes") > limit) & (F.col("keys") > 1) & F.lit(depth < BITS)).select("prefix")
-        if over.isEmpty():
-            return done
-        left = scratch.write(f"left{depth}", at.join(over.hint("merge"), "prefix", "left_semi").drop("prefix"))
-        depth += 1
+        cells = left.groupBy(F.shiftright("h", BITS - top).alias("cell")).agg(F.sum("bytes").alias("bytes"), F.max("bytes").alias("largest"), F.min("h").alias("low"), F.max("h").alias("high"))
+        cells = scratch.write(f"cells{top}", cells)
+        levels = cells.withColumn("depth", F.explode(F.sequence(F.lit(base), F.lit(top)))).withColumn("prefix", F.expr(f"shiftright(cell, {top} - depth)"))
+        sums = levels.groupBy("depth", "prefix").agg(F.sum("bytes").alias("shard_bytes"), F.max("largest").alias("most"), (F.min("low") == F.max("high")).alias("one"))
+        fit = sums.where((F.col("shard_bytes") <= limit) | F.col("one") | (F.col("depth") == BITS))
+        chosen = levels.join(fit, ["depth", "prefix"]).groupBy("cell").agg(F.min(F.struct("depth", "prefix", "shard_bytes", "most")).alias("leaf"))
+        part = scratch.write(f"directory{top}", chosen.select("cell", "leaf.depth", "leaf.prefix", "leaf.shard_bytes", F.col("leaf.most").alias("largest"), (F.col("leaf.shard_bytes") > limit).alias("chained")))
+        parts.append((top, part))
+        over = cells.join(part, "cell", "left_anti").select("cell")
+        if top >= BITS or over.isEmpty():
+            return parts
+        left = scratch.write(f"left{top}", left.withColumn("cell", F.shiftright("h", BITS - top)).join(over, "cell", "left_semi").drop("cell"))
+        base, top = top + 1, min(BITS, top + FINER)
 
 
 def _name(depth: Column, prefix: Column, page: Column) -> Column:
@@ -63,12 +64,13 @@ def _name(depth: Column, prefix: Column, page: Column) -> Column:
 
 def _placed(rows: DataFrame, limit: int, scratch: Scratch) -> DataFrame:
     """rows(h, bytes, ...) with shard, depth and shard_bytes added."""
-    fine = scratch.write("fine", rows.groupBy("h").agg(F.sum("bytes").alias("bytes"), F.max("bytes").alias("largest")))
-    found = leaves(fine, limit, scratch)
-    joined = rows.join(found.hint("merge"), "h")
+    joined, long_ones = None, False
+    for bits, part in directory(rows.select("h", "bytes"), limit, scratch):
+        found = rows.withColumn("cell", F.shiftright("h", BITS - bits)).join(part.hint("merge"), "cell").drop("cell")
+        joined = found if joined is None else joined.unionByName(found)
+        long_ones = long_ones or not part.where("chained").isEmpty()
     plain = joined.where(~F.col("chained")).withColumn("page", F.lit(0).cast("long"))
-    chained = found.where("chained")
-    if chained.isEmpty():
+    if not long_ones:
         out = plain
     else:
         long = scratch.write("long", joined.where("chained").withColumn("__part", F.spark_partition_id()))
