@@ -6,7 +6,7 @@ offset with the dictionary alone.  Of records with equal payloads one is the res
 others are revisits (identical-payload-digest profile), which store headers only.
 
 The dictionary is trained on a bounded sample of the records that will be archived
-(SAMPLE_RECORDS records, SAMPLE_BYTES bytes of each); it decides sizes, never contents.
+(about SAMPLE_RECORDS records by a hash of their ids, SAMPLE_BYTES characters of each); it decides sizes, never contents.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import io
+import math
 import struct
 import uuid
 from collections.abc import Iterator
@@ -178,7 +179,9 @@ def write_warc(pages: DataFrame, folder: str, scratch: Scratch, min_bytes: int =
     large = rows.where(F.octet_length("html") >= min_bytes)
     winners = large.groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("w"), F.count("*").alias("n")).where("n > 1 and w.page_id is not null")
     winners = scratch.write("winners", winners.select("digest", F.col("w.page_id").alias("winner"), F.col("w.url").alias("refers_url")))
-    sample = rows.orderBy(F.xxhash64("page_id", "url")).select(F.substring("html", 1, SAMPLE_BYTES).alias("html")).limit(SAMPLE_RECORDS).collect()
+    share = min(1.0, SAMPLE_RECORDS / max(1, rows.count()))
+    chosen = rows.where(F.pmod(F.xxhash64("page_id", "url"), F.lit(1_000_003)) < F.lit(math.ceil(share * 1_000_003)))
+    sample = chosen.select(F.substring("html", 1, SAMPLE_BYTES).alias("html")).collect()
     dictionary = train([record(i, "http://host/", x, payload_digest(x)) for i, r in enumerate(sample) if (x := r["html"].encode())])
     joined = rows.join(winners.hint("merge"), "digest", "left")
     revisit = F.col("winner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("winner")) & (F.octet_length("html") >= min_bytes)
