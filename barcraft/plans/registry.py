@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("simulation",)
+MODULES = ("reports", "ledgers")
 _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}
 
