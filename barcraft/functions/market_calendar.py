@@ -76,9 +76,11 @@ def calendar_for(provider: str) -> SessionCalendar:
     return CALENDARS[provider]
 
 
-def any_open(calendar: SessionCalendar, after: str, before: str, step_minutes: int) -> Column:
-    """Whether a slot that opens in [after, before) is in session."""
-    slots = f"sequence({after}, {before} - interval {step_minutes} minutes, interval {step_minutes} minutes)"
+def any_open(calendar: SessionCalendar, after: str, before: str, step_minutes: int | str) -> Column:
+    """Whether a slot that opens in [after, before) is in session; the step is a number of
+    minutes or the SQL of one."""
+    step = f"make_dt_interval(0, 0, {step_minutes})"
+    slots = f"sequence({after}, {before} - {step}, {step})"
     return F.expr(f"CASE WHEN {after} < {before} THEN exists({slots}, t -> {calendar.is_open_sql('t')}) ELSE false END")
 
 

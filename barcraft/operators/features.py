@@ -7,11 +7,10 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barcraft.functions.numeric import round_to
-from barcraft.operators.asof import asof_join
 from barcraft.operators.indicators import indicator_frame, linreg_slope
 
 ADX_TREND, ADX_RANGE, MIN_BARS = 25.0, 20.0, 200
@@ -35,14 +34,15 @@ def regime() -> Column:
     )
 
 
-def timeframe_features(bars: DataFrame, min_bars: int = MIN_BARS, periods: dict[str, int] | None = None, wilder: int = 14) -> DataFrame:
-    """One row per bar from the ``min_bars``-th of its series on."""
+def timeframe_features(bars: DataFrame, min_bars: int = MIN_BARS, periods: dict[str, int] | None = None, wilder: int = 14, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per bar from the ``min_bars``-th of its series on; ``keep`` names columns of
+    bars that go along."""
     f = indicator_frame(bars, periods, wilder)
     f = f.withColumn("slope", F.when(F.col("close") != 0, linreg_slope("ema_slow") / F.col("close")).otherwise(F.lit(0.0))).withColumn("ema_align", ema_alignment()).withColumn("regime", regime())
     return f.where(F.col("rn") >= min_bars).select(
         "symbol", "tf", "open_time", "close_time", "rn", "regime", "ema_align", round_to("adx", 1).alias("adx"), round_to("rsi", 1).alias("rsi"),
         F.when(F.col("close") != 0, round_to(F.col("atr") / F.col("close") * 100, 3)).alias("atr_pct"), F.when(F.col("close") != 0, round_to(F.col("slope") * 100, 4)).alias("slope_pct"),
-        round_to("close", 4).alias("close"), round_to("resistance_pct", 3).alias("resistance_pct"), round_to("support_pct", 3).alias("support_pct"),
+        round_to("close", 4).alias("close"), round_to("resistance_pct", 3).alias("resistance_pct"), round_to("support_pct", 3).alias("support_pct"), *keep,
     )
 
 
@@ -58,16 +58,20 @@ def confluence() -> Column:
     )
 
 
-def feature_packets(features: dict[str, DataFrame]) -> DataFrame:
+def feature_packets(features: DataFrame) -> DataFrame:
     """One row per trigger bar: for each role the latest features closed by then, no later
-    one.  ``features`` maps timeframes to timeframe_features frames; rows that lack a role
-    are left out."""
-    out = features[ROLES["trigger"]].select("symbol", F.col("close_time").alias("as_of"), F.col("close").alias("price"), F.col("regime").alias("trigger_regime"), F.col("atr_pct").alias("atr_pct_trigger"), F.col("rsi").alias("rsi_trigger"))
-    for role in ("structure", "trend", "macro"):
-        right = features[ROLES[role]].select("symbol", F.col("close_time").alias(f"{role}_close"), F.col("regime").alias(f"{role}_regime"), F.col("ema_align").alias(f"{role}_align"), F.col("adx").alias(f"{role}_adx"))
-        out = asof_join(out, right, "as_of", f"{role}_close", ["symbol"])
-    complete = out.where("structure_close is not null and trend_close is not null and macro_close is not null")
-    return complete.withColumn("confluence", confluence())
+    one.  ``features`` holds all timeframes; one shuffle by symbol and one sort carry every
+    role forward at once.  Rows that lack a role are left out."""
+    taken = [("close", "close_time"), ("regime", "regime"), ("align", "ema_align"), ("adx", "adx"), *([("gap", "recent_gap")] if "recent_gap" in features.columns else [])]
+    trigger = F.col("tf") == ROLES["trigger"]
+    w = Window.partitionBy("symbol").orderBy("close_time", trigger).rowsBetween(Window.unboundedPreceding, 0)
+    out = features.where(F.col("tf").isin(*ROLES.values()))
+    held = [r for r in ROLES if r != "trigger"]
+    carried = {f"__{r}": F.last(F.when(F.col("tf") == ROLES[r], F.struct(*[F.col(c).alias(n) for n, c in taken])), ignorenulls=True).over(w) for r in held}
+    out = out.withColumns(carried).where(trigger & F.col("__macro").isNotNull() & F.col("__trend").isNotNull() & F.col("__structure").isNotNull())
+    own = [F.col("close_time").alias("as_of"), F.col("close").alias("price"), F.col("regime").alias("trigger_regime"), F.col("atr_pct").alias("atr_pct_trigger"), F.col("rsi").alias("rsi_trigger"), *([F.col("recent_gap").alias("trigger_gap")] if len(taken) > 4 else [])]
+    packets = out.select("symbol", *own, *[F.col(f"__{r}.{n}").alias(f"{r}_{n}") for r in held for n, _ in taken])
+    return packets.withColumn("confluence", confluence())
 
 
 def decision_input(packets: DataFrame, mode: str) -> DataFrame:

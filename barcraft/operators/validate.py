@@ -72,27 +72,30 @@ def gaps(bars: DataFrame) -> DataFrame:
     return before.where("before > after").withColumn("missing_bars", missing)
 
 
-def classify_gaps(found: DataFrame, tf: str, calendar: SessionCalendar) -> DataFrame:
+def classify_gaps(found: DataFrame, calendar: SessionCalendar) -> DataFrame:
     """Adds ``kind``: unexpected if any missing slot opens in session."""
-    return found.withColumn("kind", F.when(any_open(calendar, "after", "before", minutes(tf)), UNEXPECTED).otherwise(EXPECTED))
+    return found.withColumn("kind", F.when(any_open(calendar, "after", "before", TF_MINUTES), UNEXPECTED).otherwise(EXPECTED))
 
 
-def quality(bars: DataFrame, tf: str, calendar: SessionCalendar, min_bars: int) -> DataFrame:
+def quality(bars: DataFrame, calendar: SessionCalendar, min_bars: int) -> DataFrame:
     """(symbol, tf, bars, gaps, unexpected, verdict): insufficient before degraded before
     expected_gaps before ok."""
-    kinds = classify_gaps(gaps(bars), tf, calendar).groupBy("symbol", "tf").agg(F.count("*").alias("gaps"), F.count_if(F.col("kind") == UNEXPECTED).alias("unexpected"))
+    kinds = classify_gaps(gaps(bars), calendar).groupBy("symbol", "tf").agg(F.count("*").alias("gaps"), F.count_if(F.col("kind") == UNEXPECTED).alias("unexpected"))
     counts = bars.groupBy("symbol", "tf").agg(F.count("*").alias("bars"))
     joined = counts.join(kinds, ["symbol", "tf"], "left").fillna(0, ["gaps", "unexpected"])
     verdict = F.when(F.col("bars") < min_bars, "insufficient").when(F.col("unexpected") > 0, "degraded").when(F.col("gaps") > 0, "expected_gaps").otherwise("ok")
     return joined.withColumn("verdict", verdict)
 
 
-def recent_unexpected(bars: DataFrame, tf: str, calendar: SessionCalendar, last: int) -> DataFrame:
-    """bars with ``recent_gap``: whether an unexpected gap lies inside the ``last`` bars that
-    end here (the gap before the first of them is not seen)."""
+def recent_unexpected(bars: DataFrame, calendar: SessionCalendar, recent: dict[str, int]) -> DataFrame:
+    """bars with ``recent_gap``: whether an unexpected gap lies inside the last bars that end
+    here, as many as ``recent`` says for the timeframe (the gap before the first of them is
+    not seen).  All timeframes share one shuffle and sort."""
     w = Window.partitionBy("symbol", "tf").orderBy("open_time")
-    inside = w.rowsBetween(-(last - 2), 0) if last > 1 else None
     after = bars.withColumn("__after", F.lag("close_time").over(w))
-    flagged = after.withColumn("__gap", F.coalesce(any_open(calendar, "__after", "open_time", minutes(tf)), F.lit(False)))
-    recent = F.max("__gap").over(inside) if inside is not None else F.lit(False)
-    return flagged.withColumn("recent_gap", recent).drop("__after", "__gap")
+    flagged = after.withColumn("__gap", F.coalesce(any_open(calendar, "__after", "open_time", TF_MINUTES), F.lit(False)))
+    out = F.lit(False)
+    for tf, n in recent.items():
+        if n > 1:
+            out = F.when(F.col("tf") == tf, F.max("__gap").over(w.rowsBetween(-(n - 2), 0))).otherwise(out)
+    return flagged.withColumn("recent_gap", out).drop("__after", "__gap")

@@ -22,11 +22,8 @@ def bars_15min(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(" UNION ALL ".join(f"SELECT tf, symbol, count(*) AS bars, sum(volume) AS volume, min(low) AS low, max(high) AS high FROM ({a.bars_sql(tf)}) GROUP BY 1, 2" for tf in ("15min", "1h", "4h", "1day")))
 def bars_multi_tf(spark: SparkSession, sf: str) -> DataFrame:
-    out = None
-    for tf in ("15min", "1h", "4h", "1day"):
-        one = a.bars(spark, sf, tf).groupBy("tf", "symbol").agg(F.count("*").alias("bars"), F.sum("volume").alias("volume"), F.min("low").alias("low"), F.max("high").alias("high"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    b = a.bars_of(spark, sf, ["15min", "1h", "4h", "1day"])
+    return b.groupBy("tf", "symbol").agg(F.count("*").alias("bars"), F.sum("volume").alias("volume"), F.min("low").alias("low"), F.max("high").alias("high"))
 
 
 @query(a.DAILY_SQL)
@@ -113,7 +110,7 @@ def bar_gaps(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_kinds_sql("15min"))
 def gap_session_class(spark: SparkSession, sf: str) -> DataFrame:
-    return validate.classify_gaps(validate.gaps(a.bars(spark, sf, "15min")), "15min", EVENTS_CALENDAR)
+    return validate.classify_gaps(validate.gaps(a.bars(spark, sf, "15min")), EVENTS_CALENDAR)
 
 
 @query(" UNION ALL ".join(f"""SELECT b.symbol, b.tf, b.bars, coalesce(k.gaps, 0) AS gaps, coalesce(k.unexpected, 0) AS unexpected,
@@ -121,11 +118,7 @@ def gap_session_class(spark: SparkSession, sf: str) -> DataFrame:
   FROM (SELECT symbol, tf, count(*) AS bars FROM ({a.bars_sql(tf)}) GROUP BY 1, 2) b
   LEFT JOIN (SELECT symbol, tf, count(*) AS gaps, count(*) FILTER (WHERE kind = 'unexpected_missing_bar') AS unexpected FROM ({_kinds_sql(tf)}) GROUP BY 1, 2) k USING (symbol, tf)""" for tf in ("15min", "1h", "4h", "1day")))
 def tf_quality(spark: SparkSession, sf: str) -> DataFrame:
-    out = None
-    for tf in ("15min", "1h", "4h", "1day"):
-        one = validate.quality(a.bars(spark, sf, tf), tf, EVENTS_CALENDAR, 200)
-        out = one if out is None else out.unionByName(one)
-    return out
+    return validate.quality(a.bars_of(spark, sf, ["15min", "1h", "4h", "1day"]), EVENTS_CALENDAR, 200)
 
 
 _PROFILE = " UNION ALL ".join(f"SELECT '{p}' AS provider, t AS ts, {CALENDARS[p].duckdb('t')} AS is_open FROM hours" for p in ("polygon", "xtb"))
@@ -151,4 +144,4 @@ def ticks_in_session(spark: SparkSession, sf: str) -> DataFrame:
 SELECT symbol, open_time, close_time, coalesce(max(gap) OVER (PARTITION BY symbol ORDER BY open_time ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), false) AS recent_gap
 FROM (SELECT b.symbol, open_time, close_time, k.before IS NOT NULL AS gap FROM b LEFT JOIN k ON k.symbol = b.symbol AND k.before = b.open_time)""")
 def recent_unexpected_gap(spark: SparkSession, sf: str) -> DataFrame:
-    return validate.recent_unexpected(a.bars(spark, sf, "1h"), "1h", EVENTS_CALENDAR, 6).select("symbol", "open_time", "close_time", "recent_gap")
+    return validate.recent_unexpected(a.bars(spark, sf, "1h"), EVENTS_CALENDAR, {"1h": 6}).select("symbol", "open_time", "close_time", "recent_gap")

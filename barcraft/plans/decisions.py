@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from barcraft.functions.numeric import round_to
 from barcraft.functions.market_calendar import EVENTS_CALENDAR
-from barcraft.operators import asof, decide, validate
+from barcraft.operators import asof, decide
+from barcraft.operators.features import ROLES
 from barcraft.plans.bars import _kinds_sql
 from barcraft.plans.registry import query
 from barcraft.plans.series import PACKETS_CTE, packets
@@ -18,10 +19,8 @@ RECENT = dict(decide.EligibilityPolicy().recent_bars)
 
 def _flags(spark: SparkSession, sf: str) -> DataFrame:
     """Packets with gap flags as of each bar, a clock and a quote that sometimes lags."""
-    out = packets(spark, sf).withColumn("feed_close", F.col("as_of"))
-    for tf, n in RECENT.items():
-        seen = validate.recent_unexpected(a.bars(spark, sf, tf), tf, EVENTS_CALENDAR, n).select("symbol", F.col("close_time").alias(f"__at_{tf}"), F.coalesce("recent_gap", F.lit(False)).alias(f"gap_{tf}"))
-        out = asof.asof_join(out, seen, "as_of", f"__at_{tf}", ["symbol"]).drop(f"__at_{tf}")
+    out = packets(spark, sf, flagged=True).withColumn("feed_close", F.col("as_of"))
+    out = out.withColumns({f"gap_{tf}": F.coalesce(f"{role}_gap", F.lit(False)) for role, tf in ROLES.items()})
     k = (F.unix_seconds(F.col("as_of").cast("timestamp")) / 900).cast("long")
     sec = lambda n: F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), n)
     now = F.col("as_of") + sec((k % 37) * 60)

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barcraft.functions.numeric import round_to
-from barcraft.operators import asof, features, indicators
+from barcraft.functions.market_calendar import EVENTS_CALENDAR
+from barcraft.operators import asof, features, indicators, validate
+from barcraft.operators.decide import EligibilityPolicy
 from barcraft.plans.registry import query
 from barcraft.sources import adapters as a
 
@@ -139,9 +141,12 @@ def regime_profile(spark: SparkSession, sf: str) -> DataFrame:
 SHORT, SHORT_WILDER, SHORT_BARS = {"ema_fast": 3, "ema_slow": 5, "ema_trend": 8}, 4, 12
 
 
-def packets(spark: SparkSession, sf: str) -> DataFrame:
-    made = {tf: features.timeframe_features(a.bars(spark, sf, tf), SHORT_BARS, SHORT, SHORT_WILDER) for tf in features.ROLES.values()}
-    return features.feature_packets(made)
+def packets(spark: SparkSession, sf: str, flagged: bool = False) -> DataFrame:
+    """Packets of the events; with ``flagged`` each role's recent-gap flag goes along."""
+    b = a.bars_of(spark, sf, list(features.ROLES.values()))
+    if flagged:
+        b = validate.recent_unexpected(b, EVENTS_CALENDAR, dict(EligibilityPolicy().recent_bars))
+    return features.feature_packets(features.timeframe_features(b, SHORT_BARS, SHORT, SHORT_WILDER, ("recent_gap",) if flagged else ()))
 
 
 def _short(tf: str) -> str:

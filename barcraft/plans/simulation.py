@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barcraft.functions.market_calendar import EVENTS_CALENDAR
-from barcraft.operators import simulate
+from barcraft.operators import decide, simulate
+from barcraft.plans.decisions import _FILTER, DECIDABLE_CTE, _decidable, _risk_sql
 from barcraft.plans.registry import query
 from barcraft.sources import adapters as a
 
@@ -30,10 +31,14 @@ _CAND = f"""SELECT symbol, close_time AS as_of, close AS price, k AS trade_id, c
   60.0::DOUBLE AS sl_pct, CASE WHEN k % 4 = 0 THEN 250.0::DOUBLE ELSE 70.0::DOUBLE END AS tp_pct, CASE WHEN k % 10 < 6 THEN 'main' ELSE 'probe' END AS run_id
   FROM (SELECT *, (epoch(close_time) // 900)::BIGINT AS k FROM ({a.bars_sql('15min')})) WHERE k % 2 = 0"""
 _S = COSTS.slippage_pct / 100
-_SIM = f"""b AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY open_time) AS bar_no FROM ({a.bars_sql('15min')})),
-e AS MATERIALIZED (SELECT c.*, coalesce(b.open, c.price) AS entry_ref FROM ({_CAND}) c ASOF LEFT JOIN b ON b.symbol = c.symbol AND c.as_of <= b.open_time),
+def sim_cte(cand: str) -> str:
+    return f"""b AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY open_time) AS bar_no FROM ({a.bars_sql('15min')})),
+e AS MATERIALIZED (SELECT c.*, coalesce(b.open, c.price) AS entry_ref FROM ({cand}) c ASOF LEFT JOIN b ON b.symbol = c.symbol AND c.as_of <= b.open_time),
 t AS MATERIALIZED (SELECT *, round(fill, 4) AS entry_mid, round(CASE WHEN direction = 'BUY' THEN fill * (1 - sl_pct / 100) ELSE fill * (1 + sl_pct / 100) END, 4) AS sl_price, round(CASE WHEN direction = 'BUY' THEN fill * (1 + tp_pct / 100) ELSE fill * (1 - tp_pct / 100) END, 4) AS tp_price
   FROM (SELECT *, CASE WHEN direction = 'BUY' THEN entry_ref * (1 + {_S!r}::DOUBLE) ELSE entry_ref * (1 - {_S!r}::DOUBLE) END AS fill FROM e))"""
+
+
+_SIM = sim_cte(_CAND)
 _EVENT = f"""CASE WHEN open_time < opened_at THEN CASE WHEN stop THEN 'sl_partial' WHEN bar_no - first_no + 1 >= {TIMEOUT} THEN 'timeout' END
   WHEN stop AND target THEN 'ambiguous' WHEN target THEN 'tp_hit' WHEN stop THEN 'sl_hit' WHEN bar_no - first_no + 1 >= {TIMEOUT} THEN 'timeout' END"""
 
@@ -46,7 +51,8 @@ def nights_sql(opened: str, closed: str) -> str:
 
 
 _NET = "CASE WHEN {f} IS NOT NULL THEN round((CASE WHEN direction = 'BUY' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END * ({f} - entry_mid) - entry_mid * " + repr(COSTS.spread_pct) + "::DOUBLE / 100 - extra) / abs(entry_mid - sl_price), 3) END"
-OUTCOMES_CTE = f"""{_SIM}, f AS (SELECT t.symbol, t.trade_id, min(bar_no) AS first_no FROM t JOIN b ON b.symbol = t.symbol AND b.close_time > t.opened_at GROUP BY 1, 2),
+def outcomes_cte(cand: str) -> str:
+    return f"""{sim_cte(cand)}, f AS (SELECT t.symbol, t.trade_id, min(bar_no) AS first_no FROM t JOIN b ON b.symbol = t.symbol AND b.close_time > t.opened_at GROUP BY 1, 2),
 h AS (SELECT *, {_EVENT} AS event FROM (SELECT t.*, f.first_no, b.bar_no, b.open_time, b.close_time, b.open AS bo, b.close AS bc, CASE WHEN direction = 'BUY' THEN b.low <= sl_price ELSE b.high >= sl_price END AS stop, CASE WHEN direction = 'BUY' THEN b.high >= tp_price ELSE b.low <= tp_price END AS target
   FROM t JOIN f USING (symbol, trade_id) JOIN b ON b.symbol = t.symbol AND b.bar_no BETWEEN first_no AND first_no + {TIMEOUT - 1})),
 x AS (SELECT symbol, trade_id, arg_min(event, bar_no) AS event, arg_min(bo, bar_no) AS bo, arg_min(bc, bar_no) AS bc, arg_min(close_time, bar_no) AS closed_at FROM h WHERE event IS NOT NULL GROUP BY 1, 2),
@@ -57,6 +63,9 @@ outcomes AS MATERIALIZED (SELECT symbol, as_of, run_id, trade_id, opened_at, dir
   {_NET.format(f='xfill')} AS r_multiple, {_NET.format(f='xfill')} AS r_pessimistic, CASE WHEN event = 'ambiguous' THEN {_NET.format(f='best')} ELSE {_NET.format(f='xfill')} END AS r_optimistic, coalesce(event = 'ambiguous', false) AS ambiguous FROM z)"""
 
 
+OUTCOMES_CTE = outcomes_cte(_CAND)
+
+
 def trades(spark: SparkSession, sf: str) -> DataFrame:
     return simulate.open_trades(simulate.entry_bars(candidates(spark, sf), a.bars(spark, sf, "15min")), COSTS)
 
@@ -83,11 +92,15 @@ def rollover_nights(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _BAR, _COOL = 900, 2
-_GATE = f"""WITH RECURSIVE {OUTCOMES_CTE}, o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY run_id, symbol ORDER BY as_of, trade_id) AS n, coalesce(closed_at + INTERVAL {_BAR * _COOL} SECOND, TIMESTAMP '9999-12-31') AS free_at FROM outcomes),
+def gate_cte(outcomes: str) -> str:
+    return f"""WITH RECURSIVE {outcomes}, o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY run_id, symbol ORDER BY as_of, trade_id) AS n, coalesce(closed_at + INTERVAL {_BAR * _COOL} SECOND, TIMESTAMP '9999-12-31') AS free_at FROM outcomes),
 nxt AS MATERIALIZED (SELECT c.run_id, c.symbol, c.n, min(d.n) AS next_n FROM o c LEFT JOIN o d ON d.run_id = c.run_id AND d.symbol = c.symbol AND d.n > c.n AND d.as_of >= c.free_at GROUP BY 1, 2, 3),
 g AS (SELECT run_id, symbol, n FROM o WHERE n = 1 UNION ALL SELECT g.run_id, g.symbol, x.next_n FROM g JOIN nxt x ON x.run_id = g.run_id AND x.symbol = g.symbol AND x.n = g.n WHERE x.next_n IS NOT NULL)"""
 
 
+_GATE = gate_cte(OUTCOMES_CTE)
+
+
 def gated(spark: SparkSession, sf: str) -> DataFrame:
     return simulate.position_gate(outcomes(spark, sf), _BAR, _COOL)
 
@@ -97,15 +110,36 @@ def position_gate(spark: SparkSession, sf: str) -> DataFrame:
     return gated(spark, sf).select("run_id", "symbol", "trade_id", "as_of", "admitted")
 
 
-@query(f"""{_GATE} SELECT run_id, symbol, count(*) AS candidates, count(g.n) AS trades, count(*) FILTER (WHERE g.n IS NOT NULL AND status = 'closed') AS closed, count(*) FILTER (WHERE g.n IS NOT NULL AND status = 'expired') AS expired,
-  count(*) FILTER (WHERE g.n IS NOT NULL AND ambiguous) AS ambiguous, round(sum(CASE WHEN g.n IS NOT NULL THEN r_multiple::DECIMAL(18,3) END)::DOUBLE, 3) AS total_r FROM o LEFT JOIN g USING (run_id, symbol, n) GROUP BY 1, 2""")
-def backtest_report(spark: SparkSession, sf: str) -> DataFrame:
+_REPORT = """SELECT run_id, symbol, count(*) AS candidates, count(g.n) AS trades, count(*) FILTER (WHERE g.n IS NOT NULL AND status = 'closed') AS closed, count(*) FILTER (WHERE g.n IS NOT NULL AND status = 'expired') AS expired,
+  count(*) FILTER (WHERE g.n IS NOT NULL AND ambiguous) AS ambiguous, sum(CASE WHEN g.n IS NOT NULL THEN r_multiple::DECIMAL(18,3) END)::DOUBLE AS total_r FROM o LEFT JOIN g USING (run_id, symbol, n) GROUP BY 1, 2"""
+
+
+def report(gate: DataFrame) -> DataFrame:
     on = F.col("admitted")
-    r = gated(spark, sf).groupBy("run_id", "symbol").agg(
+    return gate.groupBy("run_id", "symbol").agg(
         F.count("*").alias("candidates"), F.count_if(on).alias("trades"), F.count_if(on & (F.col("status") == "closed")).alias("closed"), F.count_if(on & (F.col("status") == "expired")).alias("expired"),
         F.count_if(on & F.col("ambiguous")).alias("ambiguous"), F.sum(F.when(on, F.col("r_multiple").cast("decimal(18,3)"))).cast("double").alias("total_r"),
     )
-    return r
+
+
+@query(f"{_GATE} {_REPORT}")
+def backtest_report(spark: SparkSession, sf: str) -> DataFrame:
+    return report(gated(spark, sf))
+
+
+_APPROVED = f"""SELECT symbol, as_of, price, k AS trade_id, as_of AS opened_at, 'BUY' AS direction, sl_pct * 20 AS sl_pct, round(sl_pct * 2.0, 3) * 20 AS tp_pct, 'always_buy' AS run_id
+  FROM (SELECT *, round(atr_pct * 1.5::DOUBLE, 3) AS sl_pct, len({_FILTER}) = 0 AS passed FROM decidable) WHERE passed AND {_risk_sql('sl_pct', "'BUY'", '0.6::DOUBLE')} = 'approved'"""
+
+
+@query(f"{gate_cte(DECIDABLE_CTE + ', ' + outcomes_cte(_APPROVED))} {_REPORT}")
+def backtest_end_to_end(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole backtest: bars of four timeframes, indicators, packets, eligibility, filter,
+    maker, risk, entry, first touch, position gate and report."""
+    d = decide.run_decisions(_decidable(spark, sf), "always_buy", EVENTS_CALENDAR).where("verdict = 'approved'")
+    c = d.select("symbol", "as_of", "price", F.col("k").alias("trade_id"), F.col("as_of").alias("opened_at"), "direction", (F.col("sl_pct") * 20).alias("sl_pct"), (F.col("tp_pct") * 20).alias("tp_pct"), F.lit("always_buy").alias("run_id"))
+    b = a.bars(spark, sf, "15min")
+    t = simulate.open_trades(simulate.entry_bars(c, b), COSTS).select("symbol", "as_of", "run_id", "trade_id", "opened_at", "direction", "entry_mid", "sl_price", "tp_price")
+    return report(simulate.position_gate(simulate.reconcile(t, b, TIMEOUT, COSTS), _BAR, _COOL))
 
 
 @query(f"""SELECT symbol, close_time, CASE WHEN pc IS NULL THEN 0 ELSE coalesce(len(list_filter(generate_series(pc + INTERVAL 15 MINUTE, close_time - INTERVAL 15 MINUTE, INTERVAL 15 MINUTE), lambda t: {EVENTS_CALENDAR.duckdb('(t - INTERVAL 15 MINUTE)')})), 0) END AS missed

@@ -46,6 +46,26 @@ def bars(spark: SparkSession, sf_dir: str, tf: str) -> DataFrame:
     return ticks_to_bars(ticks(spark, sf_dir), tf)
 
 
+def rollup(fine: DataFrame, tfs: list[str]) -> DataFrame:
+    """Coarser bars of several timeframes from fine ones in one pass and one shuffle: ticks
+    are read once and the fine bars, already small, are regrouped per timeframe."""
+    listed = ", ".join(f"named_struct('tf', '{tf}', 'us', {minutes(tf) * 60_000_000}L)" for tf in tfs)
+    each = fine.withColumn("__k", F.explode(F.expr(f"array({listed})")))
+    us = F.unix_micros(F.col("open_time").cast("timestamp"))
+    slot = F.timestamp_micros(us - F.pmod(us, F.col("__k.us"))).cast("timestamp_ntz")
+    made = each.groupBy("symbol", F.col("__k.tf").alias("tf"), F.col("__k.us").alias("__us"), slot.alias("open_time")).agg(
+        F.min_by("open", "open_time").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "open_time").alias("close"), F.sum("volume").alias("volume")
+    )
+    end = F.timestamp_micros(F.unix_micros(F.col("open_time").cast("timestamp")) + F.col("__us")).cast("timestamp_ntz")
+    return made.select("symbol", "tf", "open_time", end.alias("close_time"), "open", "high", "low", "close", "volume")
+
+
+def bars_of(spark: SparkSession, sf_dir: str, tfs: list[str]) -> DataFrame:
+    """Bars of several timeframes in one frame, all from the finest."""
+    finest = min(tfs, key=minutes)
+    return rollup(bars(spark, sf_dir, finest), tfs)
+
+
 def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long daily series: orders per status and day, in key order within the day."""
     o = table(spark, sf_dir, "orders")
