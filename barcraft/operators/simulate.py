@@ -38,11 +38,12 @@ class Costs:
 
 def entry_bars(candidates: DataFrame, bars: DataFrame) -> DataFrame:
     """candidates(symbol, as_of, price, ...) with entry_ref: the open of the first bar that
-    opens at or after as_of, else the packet's price.  One sort of both sides stacked."""
-    w = Window.partitionBy("symbol").orderBy("__t", "__side").rowsBetween(0, Window.unboundedFollowing)
+    opens at or after as_of, else the packet's price.  Both sides are stacked and sorted from
+    the end, so that one running value says which bar comes next."""
+    w = Window.partitionBy("symbol").orderBy(F.desc("__t"), F.desc("__side")).rowsBetween(Window.unboundedPreceding, 0)
     a = candidates.select("symbol", F.col("as_of").alias("__t"), F.lit(0).alias("__side"), F.struct(*candidates.columns).alias("__c"), F.lit(None).cast("double").alias("__open"))
     b = bars.select("symbol", F.col("open_time").alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast(a.schema["__c"].dataType).alias("__c"), F.col("open").alias("__open"))
-    found = a.unionByName(b).withColumn("__next", F.first("__open", ignorenulls=True).over(w)).where("__side = 0")
+    found = a.unionByName(b).withColumn("__next", F.last("__open", ignorenulls=True).over(w)).where("__side = 0")
     return found.select("__c.*", F.coalesce("__next", F.col("__c.price")).alias("entry_ref"))
 
 
@@ -92,13 +93,15 @@ def reconcile(trades: DataFrame, bars: DataFrame, timeout_bars: int, costs: Cost
     bars of the trigger timeframe the trade expires at the close; without enough bars it
     stays open."""
     horizon = -(-timeout_bars * minutes(trigger_tf) // minutes(tf))
-    b = numbered(bars).select("symbol", "bar_no", "open_time", "close_time", "open", "high", "low", "close")
-    # the first bar that closes after the entry
-    w = Window.partitionBy("symbol").orderBy("__t", "__side").rowsBetween(0, Window.unboundedFollowing)
-    keyed = trades.select("symbol", F.col("opened_at").alias("__t"), F.lit(1).alias("__side"), "trade_id", F.lit(None).cast("int").alias("__no"))
-    ends = b.select("symbol", F.col("close_time").alias("__t"), F.lit(0).alias("__side"), F.lit(None).cast(trades.schema["trade_id"].dataType).alias("trade_id"), F.col("bar_no").alias("__no"))
-    first = keyed.unionByName(ends).withColumn("first_no", F.first("__no", ignorenulls=True).over(w)).where("__side = 1").select("symbol", "trade_id", "first_no")
-    t = trades.join(first, ["symbol", "trade_id"], "left")
+    # Bars by close and trades by entry in one order: a running count numbers the bars and
+    # says how many had closed by each entry, so the next one is the first that counts.
+    w = Window.partitionBy("symbol").orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    columns = ["open_time", "close_time", "open", "high", "low", "close"]
+    ends = bars.select("symbol", F.col("close_time").alias("__t"), F.lit(0).alias("__side"), F.lit(1).alias("__bar"), F.struct(*columns).alias("__b"), F.lit(None).cast(trades.select(F.struct(*trades.columns)).schema[0].dataType).alias("__trade"))
+    keyed = trades.select("symbol", F.col("opened_at").alias("__t"), F.lit(1).alias("__side"), F.lit(0).alias("__bar"), F.lit(None).cast(ends.schema["__b"].dataType).alias("__b"), F.struct(*trades.columns).alias("__trade"))
+    stacked = ends.unionByName(keyed).withColumn("__n", F.sum("__bar").over(w))
+    b = stacked.where("__side = 0").select("symbol", F.col("__n").alias("bar_no"), "__b.*")
+    t = stacked.where("__side = 1").select("__trade.*", (F.col("__n") + 1).alias("first_no"))
     # two buckets of `horizon` bars hold every bar in reach
     spread = t.withColumn("__bucket", F.explode(F.array(F.floor(F.col("first_no") / horizon), F.floor(F.col("first_no") / horizon) + 1)))
     reach = b.withColumn("__bucket", F.floor(F.col("bar_no") / horizon))
