@@ -8,12 +8,20 @@ from pyspark.sql import functions as F
 from barcraft.sources import schemas
 
 
+_CSV = schemas.BAR.replace("open_time timestamp_ntz, close_time timestamp_ntz", "open_time string, close_time string")
+
+
+def _csv(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of a bar CSV with their line order; times are ISO texts, UTC unless they say."""
+    raw = spark.read.schema(_CSV).csv(path, header=True).withColumn("__line", F.monotonically_increasing_id())
+    return raw.withColumns({c: F.col(c).cast("timestamp").cast("timestamp_ntz") for c in ("open_time", "close_time")})
+
+
 def read_bar_csv(spark: SparkSession, path: str, symbol: str, tf: str, count: int = 0) -> DataFrame:
     """Bars of one ``{symbol}_{tf}.csv`` archive; empty volume is 0; ``count`` newest (0: all).
 
     Raises if the file is not ascending by open_time (equal times are allowed)."""
-    raw = spark.read.schema(schemas.BAR).option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]").csv(path, header=True)
-    bars = raw.withColumns({"volume": F.coalesce("volume", F.lit(0.0)), "__line": F.monotonically_increasing_id()})
+    bars = _csv(spark, path).withColumn("volume", F.coalesce("volume", F.lit(0.0)))
     before = F.lag("open_time").over(Window.orderBy("__line"))  # one file is one ordered series
     if not bars.withColumn("__before", before).where("__before > open_time").isEmpty():
         raise ValueError(f"{path} is not sorted by open_time")
@@ -33,7 +41,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     target = jvm.org.apache.hadoop.fs.Path(path)
     if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
         return spark.createDataFrame([], schemas.BAR)
-    raw = spark.read.schema(schemas.BAR).csv(path, header=True).withColumn("__line", F.monotonically_increasing_id())
+    raw = _csv(spark, path)
     last = F.row_number().over(Window.partitionBy("open_time").orderBy(F.desc("__line")))
     return raw.withColumn("__n", last).where("__n = 1").drop("__n", "__line")
 
