@@ -170,12 +170,16 @@ def coverage(trades: DataFrame, bars: DataFrame, now: str, tf: str, calendar: Se
 
     step = minutes(tf)
     until = F.lit(now).cast("timestamp_ntz") - F.expr(f"interval {step} minutes")
-    start = floor_to_grid("opened_at", tf)
-    slots = trades.select("symbol", "trade_id", F.explode(F.when(start <= until, F.sequence(start, until, F.expr(f"interval {step} minutes")))).alias("open_time"))
-    wanted = slots.where(calendar.is_open("open_time"))
+    keyed = trades.select("symbol", "trade_id", floor_to_grid("opened_at", tf).alias("open_time"))
+    # One row per slot and symbol from the earliest entry on, not one per slot and trade:
+    # counts running back from ``now`` say what is missing from any slot on.
+    first = keyed.groupBy("symbol").agg(F.min("open_time").alias("__first")).where(F.col("__first") <= until)
+    slots = first.select("symbol", F.explode(F.sequence("__first", until, F.expr(f"interval {step} minutes"))).alias("open_time"))
     have = bars.select("symbol", "open_time", F.lit(1).alias("__have"))
-    per = wanted.join(have, ["symbol", "open_time"], "left").groupBy("symbol", "trade_id").agg(F.count("*").alias("expected"), F.count_if(F.col("__have").isNull()).alias("missing"))
-    out = trades.select("symbol", "trade_id").join(per, ["symbol", "trade_id"], "left").fillna(0, ["expected", "missing"])
+    flagged = slots.join(have, ["symbol", "open_time"], "left").withColumn("__open", calendar.is_open("open_time"))
+    w = Window.partitionBy("symbol").orderBy(F.desc("open_time")).rowsBetween(Window.unboundedPreceding, 0)
+    counted = flagged.select("symbol", "open_time", F.sum(F.col("__open").cast("long")).over(w).alias("expected"), F.sum((F.col("__open") & F.col("__have").isNull()).cast("long")).over(w).alias("missing"))
+    out = keyed.join(counted, ["symbol", "open_time"], "left").select("symbol", "trade_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("expected", "missing")])
     return out.withColumn("covered", F.col("missing") == 0)
 
 

@@ -133,11 +133,11 @@ def decision_validation(spark: SparkSession, sf: str) -> DataFrame:
     return d.select(F.array_join(decide.decision_faults(), ",").alias("faults")).groupBy("faults").agg(F.count("*").alias("n"))
 
 
-@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'online' ELSE 'replay' END AS mode, o_orderdate AS as_of FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_shipdate = o.o_orderdate AND (l_partkey % 50 = 0) AND (CASE WHEN l_suppkey % 2 = 0 THEN 'online' ELSE 'replay' END) = (CASE WHEN o.o_orderkey % 2 = 0 THEN 'online' ELSE 'replay' END))")
+@query("SELECT o_orderkey AS id, mode, o_orderdate AS as_of FROM (SELECT *, CASE o_orderpriority WHEN '1-URGENT' THEN 'online' WHEN '2-HIGH' THEN 'replay' WHEN '3-MEDIUM' THEN 'audit' ELSE 'other' END AS mode FROM orders) o WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_shipdate = o.o_orderdate AND CASE l_returnflag WHEN 'R' THEN 'online' WHEN 'N' THEN 'replay' ELSE 'audit' END = o.mode)")
 def evaluation_binding(spark: SparkSession, sf: str) -> DataFrame:
-    mode = lambda c: F.when(F.col(c) % 2 == 0, "online").otherwise("replay").alias("mode")
-    p = a.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), mode("o_orderkey"), F.col("o_orderdate").alias("as_of"))
-    e = a.table(spark, sf, "lineitem").where("l_partkey % 50 = 0").select(mode("l_suppkey"), F.col("l_shipdate").alias("as_of"))
+    kind = F.expr("CASE o_orderpriority WHEN '1-URGENT' THEN 'online' WHEN '2-HIGH' THEN 'replay' WHEN '3-MEDIUM' THEN 'audit' ELSE 'other' END")
+    p = a.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), kind.alias("mode"), F.col("o_orderdate").alias("as_of"))
+    e = a.table(spark, sf, "lineitem").select(F.expr("CASE l_returnflag WHEN 'R' THEN 'online' WHEN 'N' THEN 'replay' ELSE 'audit' END").alias("mode"), F.col("l_shipdate").alias("as_of"))
     return decide.binding_errors(p, e)
 
 

@@ -15,12 +15,12 @@ _LINE = "(l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice
 
 
 @query("""SELECT coalesce(x.id, y.id) AS id, coalesce(x.price, y.price) AS price, coalesce(x.quality, y.quality) AS quality, CASE WHEN x.id IS NULL THEN 'inserted' WHEN y.id IS NOT NULL AND x.quality IS NULL AND y.quality IS NOT NULL THEN 'enriched' WHEN y.id IS NOT NULL THEN 'unchanged' ELSE 'kept' END AS status
-FROM (SELECT o_orderkey AS id, o_totalprice AS price, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderstatus END AS quality FROM orders WHERE o_orderkey % 3 <> 0) x
-FULL JOIN (SELECT o_orderkey AS id, o_totalprice + 1 AS price, CASE WHEN o_orderkey % 5 <> 0 THEN 'new' END AS quality FROM orders WHERE o_orderkey % 2 = 0) y USING (id)""")
+FROM (SELECT o_orderkey AS id, o_totalprice AS price, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderstatus END AS quality FROM orders WHERE o_orderstatus <> 'O') x
+FULL JOIN (SELECT o_orderkey AS id, o_totalprice + 1 AS price, CASE WHEN o_orderkey % 5 <> 0 THEN 'new' END AS quality FROM orders WHERE o_orderpriority < '3') y USING (id)""")
 def snapshot_upsert(spark: SparkSession, sf: str) -> DataFrame:
     o, k = a.table(spark, sf, "orders"), F.col("o_orderkey")
-    old = o.where("o_orderkey % 3 <> 0").select(k.alias("id"), F.col("o_totalprice").alias("price"), F.when(k % 4 != 0, F.col("o_orderstatus")).alias("quality"))
-    new = o.where("o_orderkey % 2 = 0").select(k.alias("id"), (F.col("o_totalprice") + 1).alias("price"), F.when(k % 5 != 0, "new").alias("quality"))
+    old = o.where("o_orderstatus <> 'O'").select(k.alias("id"), F.col("o_totalprice").alias("price"), F.when(k % 4 != 0, F.col("o_orderstatus")).alias("quality"))
+    new = o.where("o_orderpriority < '3'").select(k.alias("id"), (F.col("o_totalprice") + 1).alias("price"), F.when(k % 5 != 0, "new").alias("quality"))
     return ledger.upsert_snapshots(old, new, ["id"], "quality")
 
 
@@ -29,30 +29,30 @@ def latest_evaluation(spark: SparkSession, sf: str) -> DataFrame:
     return ledger.latest_evaluations(a.table(spark, sf, "events"), ["event_type", "user_id"], "ts", "event_id").select("event_type", "user_id", "ts", "event_id", "value")
 
 
-_KEYED = "SELECT {k} AS k, CASE WHEN o_orderkey % 10 <> 0 THEN o_orderstatus END AS run, o_orderkey AS v FROM orders WHERE {w}"
+_KEYED = "SELECT {k} AS k, CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderpriority END AS run, o_orderkey AS v FROM orders WHERE {w}"
 
 
-@query(f"""WITH e AS ({_KEYED.format(k='o_custkey', w='o_orderkey % 2 = 0 AND o_orderkey < 2000')}), i AS ({_KEYED.format(k='o_custkey', w='o_orderkey % 2 = 1')})
+@query(f"""WITH e AS ({_KEYED.format(k='o_custkey', w="o_orderstatus = 'F'")}), i AS ({_KEYED.format(k='o_custkey', w="o_orderstatus = 'O'")})
 SELECT k, run, v, 'existing' AS outcome FROM e UNION ALL SELECT k, run, v, 'inserted' FROM i WHERE run IS NULL
 UNION ALL SELECT k, run, min(v), 'inserted' FROM i WHERE run IS NOT NULL AND NOT EXISTS (SELECT 1 FROM e WHERE e.k = i.k AND e.run = i.run) GROUP BY k, run""")
 def idempotent_insert(spark: SparkSession, sf: str) -> DataFrame:
-    o = a.table(spark, sf, "orders").select(F.col("o_custkey").alias("k"), F.when(F.col("o_orderkey") % 10 != 0, F.col("o_orderstatus")).alias("run"), F.col("o_orderkey").alias("v"))
-    return ledger.insert_absent(o.where("v % 2 = 0 and v < 2000"), o.where("v % 2 = 1"), ["k", "run"])
+    o = a.table(spark, sf, "orders").select(F.col("o_custkey").alias("k"), F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority")).alias("run"), F.col("o_orderkey").alias("v"), F.col("o_orderstatus").alias("s"))
+    return ledger.insert_absent(o.where("s = 'F'").drop("s"), o.where("s = 'O'").drop("s"), ["k", "run"])
 
 
 @query("""SELECT coalesce(x.id, y.id) AS id, CASE WHEN x.id IS NULL OR (y.id IS NOT NULL AND x.status = 'open') THEN y.status ELSE x.status END AS status, CASE WHEN x.id IS NULL OR (y.id IS NOT NULL AND x.status = 'open') THEN coalesce(y.external_id, x.external_id) ELSE x.external_id END AS external_id,
 CASE WHEN x.id IS NULL THEN 'inserted' WHEN y.id IS NULL THEN 'kept' WHEN x.status = 'open' THEN 'updated' ELSE 'terminal' END AS outcome
-FROM (SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'O' THEN 'open' ELSE 'closed' END AS status, CASE WHEN o_orderkey % 4 = 0 THEN o_custkey END AS external_id FROM orders WHERE o_orderkey % 3 <> 0) x
-FULL JOIN (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN 'open' ELSE 'expired' END AS status, CASE WHEN o_orderkey % 6 = 0 THEN o_custkey + 1 END AS external_id FROM orders WHERE o_orderkey % 2 = 0) y USING (id)""")
+FROM (SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'P' THEN 'open' ELSE 'closed' END AS status, CASE WHEN o_orderkey % 4 = 0 THEN o_custkey END AS external_id FROM orders WHERE o_orderstatus <> 'O') x
+FULL JOIN (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN 'open' ELSE 'expired' END AS status, CASE WHEN o_orderkey % 6 = 0 THEN o_custkey + 1 END AS external_id FROM orders WHERE o_orderpriority < '3') y USING (id)""")
 def trade_upsert(spark: SparkSession, sf: str) -> DataFrame:
     o, k = a.table(spark, sf, "orders"), F.col("o_orderkey")
-    old = o.where("o_orderkey % 3 <> 0").select(k.alias("id"), F.when(F.col("o_orderstatus") == "O", "open").otherwise("closed").alias("status"), F.when(k % 4 == 0, F.col("o_custkey")).alias("external_id"))
-    new = o.where("o_orderkey % 2 = 0").select(k.alias("id"), F.when(k % 5 == 0, "open").otherwise("expired").alias("status"), F.when(k % 6 == 0, F.col("o_custkey") + 1).alias("external_id"))
+    old = o.where("o_orderstatus <> 'O'").select(k.alias("id"), F.when(F.col("o_orderstatus") == "P", "open").otherwise("closed").alias("status"), F.when(k % 4 == 0, F.col("o_custkey")).alias("external_id"))
+    new = o.where("o_orderpriority < '3'").select(k.alias("id"), F.when(k % 5 == 0, "open").otherwise("expired").alias("status"), F.when(k % 6 == 0, F.col("o_custkey") + 1).alias("external_id"))
     return ledger.upsert_trades(old, new, ["id"], ["status", "external_id"])
 
 
 _ACTION = "CASE event_type WHEN 'click' THEN 'complete' WHEN 'error' THEN 'fail' ELSE 'reserve' END"
-_RESERVE = f"""WITH RECURSIVE e AS MATERIALIZED (SELECT user_id AS key, ts, event_id AS seq, event_id % 3 AS worker, {_ACTION} AS action, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_id % 5 < 3),
+_RESERVE = f"""WITH RECURSIVE e AS MATERIALIZED (SELECT user_id AS key, ts, event_id AS seq, event_id % 3 AS worker, {_ACTION} AS action, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
 step AS (SELECT key, n, action = 'reserve' AS granted, CASE WHEN action = 'reserve' THEN 'reserved' ELSE 'new' END AS state, CASE WHEN action = 'reserve' THEN worker END AS owner, CASE WHEN action = 'reserve' THEN ts + INTERVAL 36000 SECOND END AS until FROM e WHERE n = 1
   UNION ALL SELECT key, n, ok, CASE WHEN NOT ok THEN state WHEN action = 'reserve' THEN 'reserved' WHEN action = 'complete' THEN 'done' ELSE 'failed' END, CASE WHEN ok AND action = 'reserve' THEN worker ELSE owner END, CASE WHEN ok AND action = 'reserve' THEN ts + INTERVAL 36000 SECOND ELSE until END
   FROM (SELECT e.*, s.state, s.owner, s.until, CASE WHEN action = 'reserve' THEN s.state IN ('new', 'failed') OR (s.state = 'reserved' AND e.ts >= s.until) ELSE s.state = 'reserved' AND s.owner = e.worker END AS ok FROM step s JOIN e ON e.key = s.key AND e.n = s.n + 1))"""
@@ -60,7 +60,7 @@ step AS (SELECT key, n, action = 'reserve' AS granted, CASE WHEN action = 'reser
 
 @query(f"{_RESERVE} SELECT key, seq, action, coalesce(granted, false) AS granted, state FROM step JOIN e USING (key, n)")
 def reservation_replay(spark: SparkSession, sf: str) -> DataFrame:
-    e = a.table(spark, sf, "events").where("event_id % 5 < 3")
+    e = a.table(spark, sf, "events")
     action = F.when(F.col("event_type") == "click", "complete").when(F.col("event_type") == "error", "fail").otherwise("reserve")
     x = e.select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("seq"), (F.col("event_id") % 3).alias("worker"), action.alias("action"))
     return ledger.replay_reservations(x, 36000).select("key", "seq", "action", "granted", "state")
@@ -101,8 +101,8 @@ def downtime_gaps(spark: SparkSession, sf: str) -> DataFrame:
     return ledger.downtime_gaps(b, simulate.missed_open_bars("prev_close", "bar_close", EVENTS_CALENDAR, 60)).select("symbol", "prev_close", "bar_close", "missed")
 
 
-_RUN, _DAY, _MONTH = 500_000, 60_000, 1_500_000
-_BUDGET = f"""WITH RECURSIVE q AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY ts, seq) AS n FROM (SELECT event_type AS run_id, ts, event_id AS seq, user_id * 100 AS micro FROM events WHERE event_id % 10 = 0)),
+_RUN, _DAY, _MONTH = 5_000_000, 2_000_000, 20_000_000
+_BUDGET = f"""WITH RECURSIVE q AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY ts, seq) AS n FROM (SELECT event_type AS run_id, ts, event_id AS seq, user_id * 100 AS micro FROM events)),
 names AS (SELECT list_sort(list(DISTINCT run_id)) AS all_runs FROM q),
 g AS (SELECT 0::BIGINT AS n, false AS granted, map(all_runs, list_transform(all_runs, lambda x: 0::BIGINT)) AS runs, DATE '1970-01-01' AS day, 0::BIGINT AS spent_day, 0::BIGINT AS spent FROM names
   UNION ALL SELECT n, ok, CASE WHEN ok THEN map_concat(runs, MAP {{run_id: runs[run_id] + micro}}) ELSE runs END, d, CASE WHEN ok THEN before + micro ELSE before END, CASE WHEN ok THEN spent + micro ELSE spent END
@@ -111,7 +111,7 @@ g AS (SELECT 0::BIGINT AS n, false AS granted, map(all_runs, list_transform(all_
 
 @query(f"{_BUDGET} SELECT q.seq, q.run_id, q.micro, g.granted FROM g JOIN q USING (n)")
 def budget_fold(spark: SparkSession, sf: str) -> DataFrame:
-    e = a.table(spark, sf, "events").where("event_id % 10 = 0")
+    e = a.table(spark, sf, "events")
     r = e.select(F.date_format("ts", "yyyy-MM").alias("month"), "ts", F.col("event_id").alias("seq"), F.col("event_type").alias("run_id"), (F.col("user_id") * 100).alias("micro"))
     return ledger.budget_grants(r, _RUN, _DAY, _MONTH).select("seq", "run_id", "micro", "granted")
 
@@ -124,10 +124,10 @@ def attempt_sweep(spark: SparkSession, sf: str) -> DataFrame:
     return ledger.sweep_attempts(attempts(spark, sf), _NOW).groupBy("run_id", "status").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT x.attempt_id, CASE WHEN status = 'started' AND x.attempt_id % 2 = 0 THEN 'completed' ELSE status END AS status, CASE WHEN status = 'started' AND x.attempt_id % 2 = 0 THEN x.attempt_id * 3 ELSE actual_micro END AS actual_micro FROM ({ATTEMPTS}) x")
+@query(f"SELECT x.attempt_id, CASE WHEN status = 'started' AND run_id IN ('click', 'view') THEN 'completed' ELSE status END AS status, CASE WHEN status = 'started' AND run_id IN ('click', 'view') THEN x.attempt_id * 3 ELSE actual_micro END AS actual_micro FROM ({ATTEMPTS}) x")
 def attempt_finalize(spark: SparkSession, sf: str) -> DataFrame:
     t = attempts(spark, sf)
-    r = t.where("attempt_id % 2 = 0").select("attempt_id", F.lit("completed").alias("outcome"), (F.col("attempt_id") * 3).alias("cost"))
+    r = t.where("run_id in ('click', 'view')").select("attempt_id", F.lit("completed").alias("outcome"), (F.col("attempt_id") * 3).alias("cost"))
     return ledger.finalize_attempts(t, r)
 
 
@@ -156,12 +156,12 @@ def archive_merge_replace(spark: SparkSession, sf: str) -> DataFrame:
     return _merge(spark, sf, "replace")
 
 
-@query("""SELECT o_orderkey AS trade_id, CASE WHEN o_orderstatus <> 'O' OR o_orderkey % 4 <> 0 THEN CASE WHEN o_orderstatus = 'O' THEN 'open' ELSE 'closed' END WHEN o_orderkey % 12 = 0 THEN 'quarantined' WHEN o_orderkey % 8 = 0 THEN 'closed' ELSE 'expired' END AS status,
-CASE WHEN o_orderstatus = 'O' AND o_orderkey % 8 = 0 THEN o_totalprice END AS exit_price FROM orders""")
+@query("""SELECT o_orderkey AS trade_id, CASE WHEN o_orderstatus <> 'O' OR o_orderpriority = '5-LOW' THEN CASE WHEN o_orderstatus = 'O' THEN 'open' ELSE 'closed' END WHEN o_orderkey % 12 = 0 THEN 'quarantined' WHEN o_orderkey % 8 = 0 THEN 'closed' ELSE 'expired' END AS status,
+CASE WHEN o_orderstatus = 'O' AND o_orderpriority <> '5-LOW' AND o_orderkey % 8 = 0 THEN o_totalprice END AS exit_price FROM orders""")
 def trade_close(spark: SparkSession, sf: str) -> DataFrame:
     o, k = a.table(spark, sf, "orders"), F.col("o_orderkey")
     t = o.select(k.alias("trade_id"), F.when(F.col("o_orderstatus") == "O", "open").otherwise("closed").alias("status"))
-    x = o.where("o_orderkey % 4 = 0").select(k.alias("trade_id"), F.when(k % 8 == 0, F.col("o_totalprice")).alias("exit_price"), F.when(k % 12 == 0, "provider").alias("quarantine_reason"), F.lit(True).alias("hit"))
+    x = o.where("o_orderpriority <> '5-LOW'").select(k.alias("trade_id"), F.when(k % 8 == 0, F.col("o_totalprice")).alias("exit_price"), F.when(k % 12 == 0, "provider").alias("quarantine_reason"), F.lit(True).alias("hit"))
     return ledger.close_trades(t, x)
 
 
@@ -177,10 +177,10 @@ def heartbeats(spark: SparkSession, sf: str) -> DataFrame:
     return ledger.heartbeats(b)
 
 
-@query("""WITH s AS (SELECT o_orderkey AS run_id, o_custkey % 5 AS owner, o_orderdate AS ts FROM orders WHERE o_orderkey % 4 = 0), f AS (SELECT l_orderkey AS run_id, l_suppkey % 5 AS owner, l_shipdate AS ts, CASE WHEN l_returnflag = 'R' THEN 'failed' ELSE 'done' END AS status FROM lineitem),
+@query("""WITH s AS (SELECT o_orderkey AS run_id, o_custkey % 5 AS owner, o_orderdate AS ts FROM orders), f AS (SELECT l_orderkey AS run_id, l_suppkey % 5 AS owner, l_shipdate AS ts, CASE WHEN l_returnflag = 'R' THEN 'failed' ELSE 'done' END AS status FROM lineitem),
 x AS (SELECT f.run_id, arg_min(f.status, (f.ts, f.status)) AS status, min(f.ts) AS at_ FROM f JOIN s ON s.run_id = f.run_id AND s.owner = f.owner AND f.ts >= s.ts GROUP BY 1)
 SELECT s.run_id, coalesce(x.status, 'running') AS status, x.at_ AS finished_at FROM s LEFT JOIN x USING (run_id)""")
 def run_lifecycle(spark: SparkSession, sf: str) -> DataFrame:
-    s = a.table(spark, sf, "orders").where("o_orderkey % 4 = 0").select(F.col("o_orderkey").alias("run_id"), (F.col("o_custkey") % 5).alias("owner"), F.col("o_orderdate").alias("ts"))
+    s = a.table(spark, sf, "orders").select(F.col("o_orderkey").alias("run_id"), (F.col("o_custkey") % 5).alias("owner"), F.col("o_orderdate").alias("ts"))
     f = a.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("run_id"), (F.col("l_suppkey") % 5).alias("owner"), F.col("l_shipdate").alias("ts"), F.when(F.col("l_returnflag") == "R", "failed").otherwise("done").alias("status"))
     return ledger.finish_runs(s, f)

@@ -27,18 +27,17 @@ def recent_trades_topk(spark: SparkSession, sf: str) -> DataFrame:
     return lookup.newest(t, "observed_at", 25, *a.TRADE_ORDER).select(*a.TRADE_ORDER, "symbol", "regime", "r_milli", "observed_at")
 
 
-@query(f"SELECT s.snapshot_id, s.symbol, t.decision_id, t.part, t.status, t.r_milli FROM ({S}) s LEFT JOIN (SELECT * FROM ({T}) WHERE run_id = 'A') t USING (snapshot_id) WHERE s.snapshot_id % 7 = 3")
+@query(f"SELECT s.snapshot_id, s.symbol, t.decision_id, t.part, t.status, t.r_milli FROM ({S}) s LEFT JOIN (SELECT * FROM ({T}) WHERE run_id = 'A') t USING (snapshot_id)")
 def decided_outcome(spark: SparkSession, sf: str) -> DataFrame:
-    s = a.snapshots(spark, sf).where("snapshot_id % 7 = 3")
-    return s.join(a.trade_facts(spark, sf).where("run_id = 'A'"), "snapshot_id", "left").select("snapshot_id", "symbol", "decision_id", "part", "status", "r_milli")
+    return a.snapshots(spark, sf).join(a.trade_facts(spark, sf).where("run_id = 'A'"), "snapshot_id", "left").select("snapshot_id", "symbol", "decision_id", "part", "status", "r_milli")
 
 
-@query(f"SELECT fp, min(decision_id) AS decision_id, count(*) AS n FROM (SELECT decision_id, sha256(decision_id::VARCHAR || '|' || run_id || '|' || direction) AS fp FROM ({T})) WHERE fp LIKE '00%' GROUP BY 1")
+@query(f"SELECT fp, min(decision_id) AS decision_id, count(*) AS n FROM (SELECT decision_id, sha256(decision_id::VARCHAR || '|' || run_id || '|' || direction) AS fp FROM ({T})) GROUP BY 1")
 def decision_by_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     from barcraft.operators.features import fingerprint
 
     d = a.trade_facts(spark, sf).select("decision_id", fingerprint("decision_id", "run_id", "direction").alias("fp"))
-    return d.where("fp like '00%'").groupBy("fp").agg(F.min("decision_id").alias("decision_id"), F.count("*").alias("n"))
+    return d.groupBy("fp").agg(F.min("decision_id").alias("decision_id"), F.count("*").alias("n"))
 
 
 @query(f"SELECT decision_id, part, supp, cents, symbol, opened_at FROM ({_J}) WHERE status = 'open' AND symbol = 'P'")
@@ -86,11 +85,11 @@ def attempts_to_reconcile(spark: SparkSession, sf: str) -> DataFrame:
     return attempts(spark, sf).where("status = 'completed' and not reconciled").select("attempt_id", "run_id", "ts").orderBy("ts", "attempt_id")
 
 
-_MANIFESTS = "SELECT 'run' || s_suppkey AS run_id, CASE s_suppkey % 4 WHEN 0 THEN 'shadow_online' WHEN 1 THEN 'executable_backtest' WHEN 2 THEN 'notebook' END AS run_kind, CASE WHEN s_suppkey % 5 = 0 THEN 'true' WHEN s_suppkey % 7 <> 0 THEN 'false' END AS git_dirty, CASE WHEN s_suppkey % 11 <> 0 THEN 'abc' END AS commit FROM supplier WHERE s_suppkey % 10 <> 9"
+_MANIFESTS = "SELECT 'run' || s_suppkey AS run_id, CASE s_suppkey % 4 WHEN 0 THEN 'shadow_online' WHEN 1 THEN 'executable_backtest' WHEN 2 THEN 'notebook' END AS run_kind, CASE WHEN s_suppkey % 5 = 0 THEN 'true' WHEN s_suppkey % 7 <> 0 THEN 'false' END AS git_dirty, CASE WHEN s_suppkey % 11 <> 0 THEN 'abc' END AS commit FROM supplier WHERE s_acctbal > 0"
 
 
 def manifests(spark: SparkSession, sf: str) -> DataFrame:
-    s, k = a.table(spark, sf, "supplier").where("s_suppkey % 10 <> 9"), F.col("s_suppkey")
+    s, k = a.table(spark, sf, "supplier").where("s_acctbal > 0"), F.col("s_suppkey")
     return s.select(F.concat(F.lit("run"), k).alias("run_id"), F.when(k % 4 == 0, "shadow_online").when(k % 4 == 1, "executable_backtest").when(k % 4 == 2, "notebook").alias("run_kind"), F.when(k % 5 == 0, "true").when(k % 7 != 0, "false").alias("git_dirty"), F.when(k % 11 != 0, "abc").alias("commit"))
 
 
@@ -110,14 +109,14 @@ def verified_scope(spark: SparkSession, sf: str) -> DataFrame:
 _VALID = "CASE WHEN run_kind IS NULL THEN 'unregistered' WHEN run_kind NOT IN ('shadow_online', 'executable_backtest') THEN 'exploratory' WHEN git_dirty IS DISTINCT FROM 'false' THEN 'dirty_tree' WHEN commit IS NULL THEN 'unknown_commit' ELSE 'verified' END"
 
 
-@query(f"""WITH d AS (SELECT run_id, count(DISTINCT snapshot_id) AS snapshots, count(*) AS decisions, max(opened_at) AS ld, bool_or(confidence_pct >= 55) AS aa FROM ({_R}) WHERE supp % 6 <> 5 GROUP BY 1),
-t AS (SELECT run_id, count(*) AS trades, count(*) FILTER (WHERE status = 'open') AS o, max(closed_at) AS lc, sum(r_milli)::BIGINT AS s, count(r_milli) AS n FROM ({_R}) WHERE supp % 6 <> 4 GROUP BY 1),
+@query(f"""WITH d AS (SELECT run_id, count(DISTINCT snapshot_id) AS snapshots, count(*) AS decisions, max(opened_at) AS ld, bool_or(confidence_pct >= 55) AS aa FROM ({_R}) WHERE regime IS NOT NULL GROUP BY 1),
+t AS (SELECT run_id, count(*) AS trades, count(*) FILTER (WHERE status = 'open') AS o, max(closed_at) AS lc, sum(r_milli)::BIGINT AS s, count(r_milli) AS n FROM ({_R}) WHERE regime IS DISTINCT FROM 'range' GROUP BY 1),
 j AS (SELECT run_id, coalesce(snapshots, 0) AS snapshots, coalesce(decisions, 0) AS decisions, coalesce(trades, 0) AS trades, coalesce(o, 0) AS "open", coalesce(aa, false) AS any_approved, CASE WHEN n > 0 THEN round(s / 1000.0::DOUBLE / n, 6) END AS expectancy_r, {_VALID} AS validity, greatest(ld, lc) AS last_activity FROM d FULL JOIN t USING (run_id) LEFT JOIN ({_MANIFESTS}) m USING (run_id))
 SELECT * EXCLUDE k FROM (SELECT *, row_number() OVER (ORDER BY last_activity DESC NULLS LAST, run_id) AS k FROM j) WHERE k <= 50""")
 def runs_report(spark: SparkSession, sf: str) -> DataFrame:
     t = _runs(spark, sf)
-    d = t.where("supp % 6 <> 5").select("run_id", "snapshot_id", F.col("opened_at").alias("at"), (F.col("confidence_pct") >= 55).alias("approved"))
-    return lookup.runs_report(d, t.where("supp % 6 <> 4"), manifests(spark, sf))
+    d = t.where("regime is not null").select("run_id", "snapshot_id", F.col("opened_at").alias("at"), (F.col("confidence_pct") >= 55).alias("approved"))
+    return lookup.runs_report(d, t.where("regime is distinct from 'range'"), manifests(spark, sf))
 
 
 def _side(n: int, name: str, extra: str) -> str:
@@ -150,16 +149,17 @@ def call_log(spark: SparkSession, sf: str) -> DataFrame:
     return j.join(d, F.col("decision_id") == F.col("event_id") * 100 + 1, "left").select("event_id", "event_type", "symbol", "decision_id", "part")
 
 
-@query("SELECT user_id AS id, 'only_left' AS side FROM (SELECT DISTINCT user_id FROM events WHERE event_id % 3 <> 0 AND event_id < 400) WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_id % 3 = 0 AND event_id < 400) UNION ALL SELECT user_id, 'only_right' FROM (SELECT DISTINCT user_id FROM events WHERE event_id % 3 = 0 AND event_id < 400) WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_id % 3 <> 0 AND event_id < 400)")
+@query("""WITH f AS (SELECT DISTINCT o_custkey AS id FROM orders WHERE o_orderstatus = 'F'), o AS (SELECT DISTINCT o_custkey AS id FROM orders WHERE o_orderstatus = 'O')
+SELECT id, 'only_left' AS side FROM f WHERE id NOT IN (SELECT id FROM o) UNION ALL SELECT id, 'only_right' FROM o WHERE id NOT IN (SELECT id FROM f)""")
 def position_difference(spark: SparkSession, sf: str) -> DataFrame:
-    e = a.table(spark, sf, "events").where("event_id < 400").select(F.col("user_id").alias("id"), "event_id")
-    return lookup.difference(e.where("event_id % 3 <> 0").distinct(), e.where("event_id % 3 = 0").distinct(), "id").distinct()
+    o = a.table(spark, sf, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderstatus").alias("s"))
+    return lookup.difference(o.where("s = 'F'").select("id").distinct(), o.where("s = 'O'").select("id").distinct(), "id")
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 9 = 0 AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
+@query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
 def reservations_without_decision(spark: SparkSession, sf: str) -> DataFrame:
     line = a.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
-    return a.table(spark, sf, "orders").where("o_orderkey % 9 = 0").select("o_orderkey").join(line, "o_orderkey", "left_anti")
+    return a.table(spark, sf, "orders").select("o_orderkey").join(line, "o_orderkey", "left_anti")
 
 
 @query(f"SELECT e.event_id, e.value - q.close AS distance FROM events e CROSS JOIN (SELECT arg_max(close, open_time) AS close FROM ({a.bars_sql('1h')}) WHERE symbol = 'click') q WHERE event_type = 'click'")
@@ -200,7 +200,7 @@ def open_reservations(spark: SparkSession, sf: str) -> DataFrame:
     return e.where("state <> 'done'").groupBy("key", "state").agg(F.count("*").alias("n"))
 
 
-@query("SELECT o_orderkey AS snapshot_id, o_custkey AS key, 'existing' AS outcome FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT min(o_orderkey), o_custkey, 'inserted' FROM orders o WHERE o_orderkey % 2 = 1 AND NOT EXISTS (SELECT 1 FROM orders e WHERE e.o_orderkey % 2 = 0 AND e.o_custkey = o.o_custkey) GROUP BY 2")
+@query("SELECT o_orderkey AS snapshot_id, o_custkey AS key, 'existing' AS outcome FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT min(o_orderkey), o_custkey, 'inserted' FROM orders o WHERE o_orderstatus = 'O' AND NOT EXISTS (SELECT 1 FROM orders e WHERE e.o_orderstatus = 'F' AND e.o_custkey = o.o_custkey) GROUP BY 2")
 def spread_insert(spark: SparkSession, sf: str) -> DataFrame:
-    o = a.table(spark, sf, "orders").select(F.col("o_orderkey").alias("snapshot_id"), F.col("o_custkey").alias("key"))
-    return ledger.insert_absent(o.where("snapshot_id % 2 = 0"), o.where("snapshot_id % 2 = 1"), ["key"])
+    o = a.table(spark, sf, "orders").select(F.col("o_orderkey").alias("snapshot_id"), F.col("o_custkey").alias("key"), F.col("o_orderstatus").alias("s"))
+    return ledger.insert_absent(o.where("s = 'F'").drop("s"), o.where("s = 'O'").drop("s"), ["key"])

@@ -172,14 +172,14 @@ def constraint_audit(spark: SparkSession, sf: str) -> DataFrame:
     return counted.selectExpr(f"stack({len(_RULES)}, " + ", ".join(f"'{n}', {n}" for n, _ in _RULES) + ") as (rule, violations)")
 
 
-_MESSAGE = "text || ' https://user' || doc_id || ':pw@host/x token=' || doc_id || ' Bearer abc.' || doc_id || '?q=1'"
+_MESSAGE = "'https://user' || doc_id || ':pw@host/x token=' || doc_id || ' Bearer abc.' || doc_id || ' ' || text || '?q=1'"
 
 
-@query(f"""SELECT doc_id, left(regexp_replace(regexp_replace(regexp_replace(string_split(m, '?')[1], '(https?://[^:/ ]+:)[^@ ]+(@)', '\\1<redacted>\\2', 'g'), '(?i)\\b(api[_-]?key|token|authorization|password|secret)\\b([ \t\n]*[:=][ \t\n]*)([^ \t\n,;&]+)', '\\1\\2<redacted>', 'g'), '(?i)\\bBearer[ \t\n]+[A-Za-z0-9._~+/-]+', 'Bearer <redacted>', 'g'), 300) AS message
-FROM (SELECT doc_id, {_MESSAGE.replace('text ||', 'left(text, 120) ||')} AS m FROM documents)""")
+@query(rf"""SELECT doc_id, left(regexp_replace(regexp_replace(regexp_replace(string_split(m, '?')[1], '(https?://[^:/ ]+:)[^@ ]+(@)', '\1<redacted>\2', 'g'), '(?i)\b(api[_-]?key|token|authorization|password|secret)\b([ \t\n]*[:=][ \t\n]*)([^ \t\n,;&]+)', '\1\2<redacted>', 'g'), '(?i)\bBearer[ \t\n]+[A-Za-z0-9._~+/-]+', 'Bearer <redacted>', 'g'), 300) AS message
+FROM (SELECT doc_id, {_MESSAGE} AS m FROM documents)""")
 def redaction_messages(spark: SparkSession, sf: str) -> DataFrame:
     d = a.table(spark, sf, "documents")
-    m = F.concat(F.substring("text", 1, 120), F.lit(" https://user"), F.col("doc_id"), F.lit(":pw@host/x token="), F.col("doc_id"), F.lit(" Bearer abc."), F.col("doc_id"), F.lit("?q=1"))
+    m = F.concat(F.lit("https://user"), F.col("doc_id"), F.lit(":pw@host/x token="), F.col("doc_id"), F.lit(" Bearer abc."), F.col("doc_id"), F.lit(" "), F.col("text"), F.lit("?q=1"))
     return d.select("doc_id", redaction.redact_message(m).alias("message"))
 
 

@@ -16,10 +16,10 @@ TIMEOUT = 8
 
 
 def candidates(spark: SparkSession, sf: str) -> DataFrame:
-    """Every other 15-minute bar opens a trade, some of them inside the following bar."""
+    """Every 15-minute bar opens a trade, some of them inside the following bar."""
     b = a.bars(spark, sf, "15min")
     k = (F.unix_seconds(F.col("close_time").cast("timestamp")) / 900).cast("long")
-    c = b.select("symbol", F.col("close_time").alias("as_of"), F.col("close").alias("price"), k.alias("trade_id")).where("trade_id % 2 = 0")
+    c = b.select("symbol", F.col("close_time").alias("as_of"), F.col("close").alias("price"), k.alias("trade_id"))
     late = F.when(F.col("trade_id") % 6 == 0, 5).otherwise(0)
     return c.withColumns({
         "opened_at": F.col("as_of") + F.make_dt_interval(F.lit(0), F.lit(0), late), "direction": F.when(F.col("trade_id") % 4 == 0, "BUY").otherwise("SELL"),
@@ -29,7 +29,7 @@ def candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 _CAND = f"""SELECT symbol, close_time AS as_of, close AS price, k AS trade_id, close_time + CASE WHEN k % 6 = 0 THEN INTERVAL 5 MINUTE ELSE INTERVAL 0 MINUTE END AS opened_at, CASE WHEN k % 4 = 0 THEN 'BUY' ELSE 'SELL' END AS direction,
   60.0::DOUBLE AS sl_pct, CASE WHEN k % 4 = 0 THEN 250.0::DOUBLE ELSE 70.0::DOUBLE END AS tp_pct, CASE WHEN k % 10 < 6 THEN 'main' ELSE 'probe' END AS run_id
-  FROM (SELECT *, (epoch(close_time) // 900)::BIGINT AS k FROM ({a.bars_sql('15min')})) WHERE k % 2 = 0"""
+  FROM (SELECT *, (epoch(close_time) // 900)::BIGINT AS k FROM ({a.bars_sql('15min')}))"""
 _S = COSTS.slippage_pct / 100
 def sim_cte(cand: str) -> str:
     return f"""b AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY open_time) AS bar_no FROM ({a.bars_sql('15min')})),
@@ -85,9 +85,9 @@ def reconcile_first_touch(spark: SparkSession, sf: str) -> DataFrame:
     return outcomes(spark, sf)
 
 
-@query(f"SELECT decision_id, part, opened_at, closed_at, {nights_sql('opened_at', 'closed_at')} AS nights FROM ({a.TRADES_SQL}) WHERE part % 20 = 0")
+@query(f"SELECT decision_id, part, opened_at, closed_at, {nights_sql('opened_at', 'closed_at')} AS nights FROM ({a.TRADES_SQL})")
 def rollover_nights(spark: SparkSession, sf: str) -> DataFrame:
-    t = a.trade_facts(spark, sf).where("part % 20 = 0")
+    t = a.trade_facts(spark, sf)
     return t.select("decision_id", "part", "opened_at", "closed_at", simulate.rollover_nights("opened_at", "closed_at", COSTS).alias("nights"))
 
 
@@ -154,25 +154,25 @@ def missed_open_bars(spark: SparkSession, sf: str) -> DataFrame:
 _NOW = "2024-01-20 00:00:00"
 
 
-def _old_trades(spark: SparkSession, sf: str) -> DataFrame:
-    return candidates(spark, sf).where("trade_id % 50 = 0").select("symbol", "trade_id", "opened_at")
+def _windows(spark: SparkSession, sf: str) -> DataFrame:
+    return candidates(spark, sf).select("symbol", "trade_id", "opened_at")
 
 
 def _coverage_sql(tf: str, m: int) -> str:
     return f"""SELECT c.symbol, c.trade_id, count(s.t) FILTER (WHERE s.is_open) AS expected, count(s.t) FILTER (WHERE s.is_open AND b.open_time IS NULL) AS missing, count(s.t) FILTER (WHERE s.is_open AND b.open_time IS NULL) = 0 AS covered
-  FROM (SELECT symbol, trade_id, opened_at FROM ({_CAND}) WHERE trade_id % 50 = 0) c LEFT JOIN (SELECT t, {EVENTS_CALENDAR.duckdb('t')} AS is_open FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '{_NOW}' - INTERVAL {m} MINUTE, INTERVAL {m} MINUTE)) AS t)) s ON s.t >= time_bucket(INTERVAL {m} MINUTE, c.opened_at)
+  FROM (SELECT symbol, trade_id, opened_at FROM ({_CAND})) c LEFT JOIN (SELECT t, {EVENTS_CALENDAR.duckdb('t')} AS is_open FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '{_NOW}' - INTERVAL {m} MINUTE, INTERVAL {m} MINUTE)) AS t)) s ON s.t >= time_bucket(INTERVAL {m} MINUTE, c.opened_at)
   LEFT JOIN ({a.bars_sql(tf)}) b ON b.symbol = c.symbol AND b.open_time = s.t GROUP BY 1, 2"""
 
 
 @query(_coverage_sql("1h", 60))
 def window_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    return simulate.coverage(_old_trades(spark, sf), a.bars(spark, sf, "1h"), _NOW, "1h", EVENTS_CALENDAR)
+    return simulate.coverage(_windows(spark, sf), a.bars(spark, sf, "1h"), _NOW, "1h", EVENTS_CALENDAR)
 
 
 @query(f"""SELECT c.symbol, c.trade_id, CASE WHEN f.covered THEN '15min' ELSE '1h' END AS tf, NOT f.covered AS fell_back, f.covered OR c.covered AS covered
 FROM ({_coverage_sql('1h', 60)}) c JOIN ({_coverage_sql('15min', 15)}) f USING (symbol, trade_id)""")
 def reconcile_timeframe(spark: SparkSession, sf: str) -> DataFrame:
-    t = _old_trades(spark, sf)
+    t = _windows(spark, sf)
     fine = simulate.coverage(t, a.bars(spark, sf, "15min"), _NOW, "15min", EVENTS_CALENDAR)
     return simulate.choose_timeframe(fine, simulate.coverage(t, a.bars(spark, sf, "1h"), _NOW, "1h", EVENTS_CALENDAR), "15min", "1h")
 
@@ -201,11 +201,11 @@ def r_from_prices(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""SELECT external_id, trade_id, CASE WHEN trade_id IS NULL THEN 'orphan' WHEN p.external_id IS NULL THEN 'closed_by_broker' WHEN opened_at + INTERVAL 1440 MINUTE <= TIMESTAMP '2000-01-01' THEN 'closed_timeout' ELSE 'held' END AS action
-FROM (SELECT o_orderkey AS external_id, o_custkey AS trade_id, o_orderdate AS opened_at FROM orders WHERE o_orderkey % 3 <> 0) t FULL JOIN (SELECT o_orderkey AS external_id FROM orders WHERE o_orderkey % 5 <> 0) p USING (external_id)""")
+FROM (SELECT o_orderkey AS external_id, o_custkey AS trade_id, o_orderdate AS opened_at FROM orders WHERE o_orderstatus <> 'P') t FULL JOIN (SELECT o_orderkey AS external_id FROM orders WHERE o_orderpriority <> '5-LOW') p USING (external_id)""")
 def live_sweep(spark: SparkSession, sf: str) -> DataFrame:
     o = a.table(spark, sf, "orders")
-    t = o.where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("external_id"), F.col("o_custkey").alias("trade_id"), F.col("o_orderdate").alias("opened_at"))
-    return simulate.sweep(t, o.where("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("external_id")), "2000-01-01 00:00:00", 1440)
+    t = o.where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("external_id"), F.col("o_custkey").alias("trade_id"), F.col("o_orderdate").alias("opened_at"))
+    return simulate.sweep(t, o.where("o_orderpriority <> '5-LOW'").select(F.col("o_orderkey").alias("external_id")), "2000-01-01 00:00:00", 1440)
 
 
 @query(f"""WITH {_SIM} SELECT direction, modeled, not_modeled, count(*) AS n FROM (SELECT direction, 'spread,gap_through_stop,latency,slippage,commission' || CASE WHEN direction = 'BUY' THEN ',swap' ELSE '' END AS modeled, CASE WHEN direction = 'BUY' THEN '' ELSE 'swap' END AS not_modeled FROM t) GROUP BY ALL""")
