@@ -95,3 +95,11 @@ def repair_costs(trades: DataFrame) -> DataFrame:
     unknown, as a repair of manifests that claimed it."""
     wrong = F.array_contains("modeled", "slippage") & (F.coalesce("slippage_pct", F.lit(0.0)) == 0)
     return trades.withColumns({"modeled": F.when(wrong, F.array_remove("modeled", "slippage")).otherwise(F.col("modeled")), "not_modeled": F.when(wrong, F.array_append("not_modeled", F.lit("slippage"))).otherwise(F.col("not_modeled"))})
+
+
+def backfill_targets(closes: DataFrame, last_done: DataFrame, most: int = 8) -> DataFrame:
+    """Per symbol the newest ``most`` bar closes after the last one that was done (all are
+    new where none was); older ones are given up."""
+    fresh = closes.join(last_done.select("symbol", F.col("bar_close").alias("__done")), "symbol", "left").where("__done is null or bar_close > __done").drop("__done")
+    n = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("bar_close")))
+    return fresh.withColumn("__n", n).where(F.col("__n") <= most).drop("__n")

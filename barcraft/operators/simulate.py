@@ -241,3 +241,59 @@ def cost_manifest(costs: Costs) -> list[Column]:
     yes = F.array_compact(F.array(*fixed, *[F.when(c, F.lit(n)) for n, c in parts]))
     no = F.array_compact(F.array(*[F.when(~c, F.lit(n)) for n, c in parts]))
     return [yes.alias("modeled"), no.alias("not_modeled")]
+
+
+def execution_manifest(costs: Costs, **rules) -> dict:
+    """Everything that affects outcomes, for a run to be pinned to: the costs and whatever
+    rules (timeout, cooldown, policies' versions, calendar version) the caller names."""
+    from dataclasses import asdict
+
+    return {"costs": asdict(costs), **rules}
+
+
+def execution_hash(manifest: dict) -> str:
+    """First sixteen hex digits of the SHA-256 of the manifest as sorted compact JSON."""
+    import hashlib
+    import json
+
+    return hashlib.sha256(json.dumps(manifest, sort_keys=True, separators=(",", ":"), default=str).encode()).hexdigest()[:16]
+
+
+def with_frozen_costs(trades: DataFrame, stored: dict[str, str], fallback: Costs) -> DataFrame:
+    """Adds each rate as stored with the trade (a column or SQL per rate), else the fallback's:
+    an open trade keeps the terms it was opened under."""
+    return trades.withColumns({name: F.coalesce(F.expr(sql), F.lit(getattr(fallback, name))) for name, sql in stored.items()})
+
+
+def resume(candidates: DataFrame, prior: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(results that a former run left for these candidates, candidates still to simulate)."""
+    done = prior.join(candidates.select(*key), key, "left_semi")
+    return done, candidates.join(prior.select(*key), key, "left_anti")
+
+
+def seeded_maker(sides: DataFrame, seed: int, bar_seconds: int, cooldown_bars: int, keys: tuple[str, ...] = ("run_id", "symbol")) -> DataFrame:
+    """A coin per decided bar from one seeded sequence: sides holds both outcomes of each
+    candidate (closed_buy, closed_sell).  Bars that the gate holds back draw no coin, so what
+    was drawn depends on the positions taken: draw and gate are one fold per group.  Adds
+    direction, null where held back."""
+    from random import Random
+
+    names = sides.columns
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("as_of", "ascending"), ("trade_id", "ascending")])
+        at = table.column("as_of").cast(pa.int64()).to_pylist()
+        ends = [table.column(c).cast(pa.int64()).to_pylist() for c in ("closed_buy", "closed_sell")]
+        rng, busy, drawn = Random(seed), None, []
+        for i, a in enumerate(at):
+            if busy is not None and a < busy:
+                drawn.append(None)
+                continue
+            side = 0 if rng.random() < 0.5 else 1
+            drawn.append(("BUY", "SELL")[side])
+            end = ends[side][i]
+            busy = float("inf") if end is None else end + bar_seconds * cooldown_bars * 1_000_000
+        return table.select(names).append_column("direction", pa.array(drawn, pa.string()))
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sides.schema) + ", direction string"
+    return sides.groupBy(*keys).applyInArrow(run, schema)

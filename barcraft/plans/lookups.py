@@ -204,3 +204,11 @@ def open_reservations(spark: SparkSession, sf: str) -> DataFrame:
 def spread_insert(spark: SparkSession, sf: str) -> DataFrame:
     o = a.table(spark, sf, "orders").select(F.col("o_orderkey").alias("snapshot_id"), F.col("o_custkey").alias("key"), F.col("o_orderstatus").alias("s"))
     return ledger.insert_absent(o.where("s = 'F'").drop("s"), o.where("s = 'O'").drop("s"), ["key"])
+
+
+@query("""WITH d AS (SELECT o_orderstatus AS symbol, max(o_orderdate) AS done FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderdate < '2000-01-01' GROUP BY 1)
+SELECT symbol, bar_close FROM (SELECT c.*, row_number() OVER (PARTITION BY symbol ORDER BY bar_close DESC) AS n FROM (SELECT DISTINCT o_orderstatus AS symbol, o_orderdate AS bar_close FROM orders) c LEFT JOIN d USING (symbol) WHERE done IS NULL OR bar_close > done) WHERE n <= 8""")
+def backfill_targets(spark: SparkSession, sf: str) -> DataFrame:
+    o = a.table(spark, sf, "orders").select(F.col("o_orderstatus").alias("symbol"), F.col("o_orderdate").alias("bar_close"), "o_orderpriority")
+    done = o.where("o_orderpriority = '1-URGENT' and bar_close < timestamp_ntz'2000-01-01'").groupBy("symbol").agg(F.max("bar_close").alias("bar_close"))
+    return lookup.backfill_targets(o.select("symbol", "bar_close").distinct(), done)

@@ -212,3 +212,31 @@ def live_sweep(spark: SparkSession, sf: str) -> DataFrame:
 def cost_manifest(spark: SparkSession, sf: str) -> DataFrame:
     t = trades(spark, sf).select("direction", *simulate.cost_manifest(simulate.Costs(swap_short_pct=0.0)))
     return t.select("direction", F.array_join("modeled", ",").alias("modeled"), F.array_join("not_modeled", ",").alias("not_modeled")).groupBy("direction", "modeled", "not_modeled").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT o_orderkey AS trade_id, coalesce(CASE WHEN o_orderkey % 3 <> 0 THEN (o_custkey % 10) / 100.0::DOUBLE END, 0.05::DOUBLE) AS spread_pct, coalesce(CASE WHEN o_orderkey % 5 <> 0 THEN (o_custkey % 7) / 100.0::DOUBLE END, 0.02::DOUBLE) AS commission_pct,
+coalesce(CASE WHEN o_orderkey % 4 = 0 THEN 'terms-' || o_orderpriority END, 'unset') AS terms_version FROM orders""")
+def frozen_costs(spark: SparkSession, sf: str) -> DataFrame:
+    o = a.table(spark, sf, "orders")
+    stored = {"spread_pct": "case when o_orderkey % 3 <> 0 then (o_custkey % 10) / 100D end", "commission_pct": "case when o_orderkey % 5 <> 0 then (o_custkey % 7) / 100D end", "terms_version": "case when o_orderkey % 4 = 0 then concat('terms-', o_orderpriority) end"}
+    return simulate.with_frozen_costs(o, stored, COSTS).select(F.col("o_orderkey").alias("trade_id"), *stored)
+
+
+@query(f"SELECT symbol, run_id, count(*) FILTER (WHERE run_id = 'main') AS resumed, count(*) FILTER (WHERE run_id <> 'main') AS to_do FROM ({_CAND}) GROUP BY 1, 2")
+def resume_backtest(spark: SparkSession, sf: str) -> DataFrame:
+    c = candidates(spark, sf).select("symbol", "trade_id", "run_id")
+    done, left = simulate.resume(c, c.where("run_id = 'main'"), ["symbol", "trade_id"])
+    both = done.withColumn("s", F.lit("resumed")).unionByName(left.withColumn("s", F.lit("to_do")))
+    return both.groupBy("symbol", "run_id").agg(F.count_if(F.col("s") == "resumed").alias("resumed"), F.count_if(F.col("s") == "to_do").alias("to_do"))
+
+
+@query()
+def seeded_random_maker(spark: SparkSession, sf: str) -> DataFrame:
+    b = a.bars(spark, sf, "15min")
+    c = simulate.entry_bars(candidates(spark, sf), b)
+    ends = {}
+    for side in ("BUY", "SELL"):
+        t = simulate.open_trades(c.withColumn("direction", F.lit(side)), COSTS).select("symbol", "as_of", "run_id", "trade_id", "opened_at", "direction", "entry_mid", "sl_price", "tp_price")
+        ends[side] = simulate.reconcile(t, b, TIMEOUT, COSTS).select("symbol", "as_of", "run_id", "trade_id", F.col("closed_at").alias(f"closed_{side.lower()}"))
+    sides = ends["BUY"].join(ends["SELL"], ["symbol", "as_of", "run_id", "trade_id"])
+    return simulate.seeded_maker(sides, 7, _BAR, _COOL)

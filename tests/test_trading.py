@@ -206,3 +206,27 @@ def test_archive_policy_fail_raises(spark):
 def test_release_in_summer_and_winter(spark):
     d = spark.createDataFrame([("Consumer Price Index", "2026-07-14"), ("Consumer Price Index", "2026-01-13"), ("Research Consumer Price Index", "2026-01-13")], "release_name string, day string").withColumn("day", F.to_date("day"))
     assert [r["scheduled_at"].hour for r in lookup.classify_releases(d, "2026-01-01", "2026-12-31").orderBy("scheduled_at").collect()] == [13, 12]
+
+
+def test_execution_hash_follows_the_rules():
+    one = simulate.execution_hash(simulate.execution_manifest(FREE, timeout_bars=96))
+    assert len(one) == 16 and one == simulate.execution_hash(simulate.execution_manifest(FREE, timeout_bars=96))
+    assert one != simulate.execution_hash(simulate.execution_manifest(FREE, timeout_bars=97)) != simulate.execution_hash(simulate.execution_manifest(simulate.Costs(), timeout_bars=97))
+
+
+def test_random_maker_draws_only_for_free_bars(spark):
+    from random import Random
+
+    m = lambda k: T0 + timedelta(minutes=k)
+    rows = [("r", "X", i, m(15 * i), m(15 * i + 40), m(15 * i + 5)) for i in range(12)]
+    sides = spark.createDataFrame(rows, "run_id string, symbol string, trade_id long, as_of timestamp_ntz, closed_buy timestamp_ntz, closed_sell timestamp_ntz").repartition(3)
+    got = [r["direction"] for r in simulate.seeded_maker(sides, 3, 900, 0).orderBy("trade_id").collect()]
+    rng, busy, want = Random(3), -1, []
+    for i in range(12):
+        if 15 * i < busy:
+            want.append(None)
+            continue
+        buy = rng.random() < 0.5
+        want.append("BUY" if buy else "SELL")
+        busy = 15 * i + (40 if buy else 5)
+    assert got == want
