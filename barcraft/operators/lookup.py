@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barcraft.operators.metrics import mean_r
@@ -69,7 +69,8 @@ def timeline(snapshots: DataFrame, evaluations: DataFrame, spreads: DataFrame, d
     return s.join(e, "snapshot_id", "left").join(p, "snapshot_id", "left").join(d, "snapshot_id", "left").join(t, "decision_id", "left")
 
 
-#: Releases that count, by exact name: (label, local publication hour, minute, impact), New York.
+#: Releases that count, by exact name: (label, local publication hour, minute, impact), New York
+#: (fixed values).
 RELEASES = {
     "Consumer Price Index": ("CPI", 8, 30, "high"),
     "Employment Situation": ("NFP", 8, 30, "high"),
@@ -81,6 +82,17 @@ RELEASES = {
 }
 
 
+#: Rate decisions, 14:00 New York; the list ends with its last date (fixed values).
+FOMC = ("2026-01-28", "2026-03-18", "2026-04-29", "2026-06-17", "2026-07-29", "2026-09-16", "2026-11-04", "2026-12-16")
+
+
+def fomc_events(spark: SparkSession, start: str, end: str) -> DataFrame:
+    """Rate decisions in [start, end] as high-impact events."""
+    days = spark.createDataFrame([(d,) for d in FOMC], "day string").where(F.col("day").between(start, end))
+    local = F.col("day").cast("timestamp_ntz") + F.expr("interval 14 hours")
+    return days.select(F.lit("FOMC").alias("label"), F.lit("FOMC decision").alias("release_name"), F.convert_timezone(F.lit("America/New_York"), F.lit("UTC"), local).alias("scheduled_at"), F.lit("high").alias("impact"))
+
+
 def classify_releases(dates: DataFrame, start: str, end: str) -> DataFrame:
     """dates(release_name, day) of known releases in [start, end] as events at their UTC
     instant; other names are dropped."""

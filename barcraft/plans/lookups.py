@@ -212,3 +212,8 @@ def backfill_targets(spark: SparkSession, sf: str) -> DataFrame:
     o = a.table(spark, sf, "orders").select(F.col("o_orderstatus").alias("symbol"), F.col("o_orderdate").alias("bar_close"), "o_orderpriority")
     done = o.where("o_orderpriority = '1-URGENT' and bar_close < timestamp_ntz'2000-01-01'").groupBy("symbol").agg(F.max("bar_close").alias("bar_close"))
     return lookup.backfill_targets(o.select("symbol", "bar_close").distinct(), done)
+
+
+@query("SELECT 'FOMC' AS label, 'FOMC decision' AS release_name, ((d::TIMESTAMP + INTERVAL 14 HOUR) AT TIME ZONE 'America/New_York') AT TIME ZONE 'UTC' AS scheduled_at, 'high' AS impact FROM (SELECT unnest(['" + "', '".join(lookup.FOMC) + "']) AS d) WHERE d BETWEEN '2026-03-01' AND '2026-12-31'")
+def fomc_events(spark: SparkSession, sf: str) -> DataFrame:
+    return lookup.fomc_events(spark, "2026-03-01", "2026-12-31")

@@ -175,7 +175,7 @@ def constraint_audit(spark: SparkSession, sf: str) -> DataFrame:
 _MESSAGE = "'https://user' || doc_id || ':pw@host/x token=' || doc_id || ' Bearer abc.' || doc_id || ' ' || text || '?q=1'"
 
 
-@query(rf"""SELECT doc_id, left(regexp_replace(regexp_replace(regexp_replace(string_split(m, '?')[1], '(https?://[^:/ ]+:)[^@ ]+(@)', '\1<redacted>\2', 'g'), '(?i)\b(api[_-]?key|token|authorization|password|secret)\b([ \t\n]*[:=][ \t\n]*)([^ \t\n,;&]+)', '\1\2<redacted>', 'g'), '(?i)\bBearer[ \t\n]+[A-Za-z0-9._~+/-]+', 'Bearer <redacted>', 'g'), 300) AS message
+@query(rf"""SELECT doc_id, left(regexp_replace(regexp_replace(regexp_replace(string_split(m, '?')[1], '(://[^ \t\n\v\f\r:/@]+:)[^ \t\n\v\f\r@]+(@)', '\1<redacted>\2', 'g'), '(?i)\b(api[_-]?key|token|authorization|password|secret)\b([ \t\n\v\f\r]*[:=][ \t\n\v\f\r]*)([^ \t\n\v\f\r,;&]+)', '\1\2<redacted>', 'g'), '(?i)\bBearer[ \t\n\v\f\r]+[A-Za-z0-9._~+/-]+', 'Bearer <redacted>', 'g'), 300) AS message
 FROM (SELECT doc_id, {_MESSAGE} AS m FROM documents)""")
 def redaction_messages(spark: SparkSession, sf: str) -> DataFrame:
     d = a.table(spark, sf, "documents")
@@ -203,3 +203,36 @@ def json_extract(spark: SparkSession, sf: str) -> DataFrame:
 def exact_means(spark: SparkSession, sf: str) -> DataFrame:
     p = a.table(spark, sf, "part")
     return p.groupBy("p_brand").agg(round_to(F.sum(F.col("p_retailprice").cast("decimal(12,2)")).cast("double") / F.count("*"), 4).alias("mean_price"), F.count("*").alias("n"))
+
+
+@query("""SELECT event_id, '{"k":' || CAST(json_extract_string(props, '$.k') AS BIGINT) || ',"auth":"<redacted>","in":[{"name":"' || event_type || '","api_key":"<redacted>","note":null}]}' AS details FROM events""")
+def redaction_json(spark: SparkSession, sf: str) -> DataFrame:
+    e = a.table(spark, sf, "events")
+    k = F.get_json_object("props", "$.k").cast("long").cast("string")
+    text = F.concat(F.lit('{"k": '), k, F.lit(', "auth": {"user": 1}, "in": [{"name": "'), F.col("event_type"), F.lit('", "api_key": "x", "note": null}]}'))
+    return redaction.redact_json(e.select("event_id", text.alias("details")), "details")
+
+
+_STATUS = "CASE WHEN value > 400 THEN 'error' WHEN value > 300 THEN 'degraded' WHEN value > 250 THEN 'stopped' ELSE 'ok' END"
+
+
+@query(f"""WITH s AS (SELECT event_type || CASE WHEN user_id % 50 = 0 THEN '_once' ELSE '' END || user_id AS service_name, arg_max({_STATUS}, (ts, event_id)) AS status, max(ts) AS last_seen_at FROM events GROUP BY 1)
+SELECT * FROM (SELECT 'warning' AS severity, 'STALE_OPEN_SHADOW' AS code, count(*) AS n FROM ({T}) WHERE status = 'open' AND opened_at < TIMESTAMP '2000-01-01' - INTERVAL 48 HOUR
+UNION ALL SELECT 'warning', 'SHADOW_TIMEOUT_OVERDUE', count(*) FROM ({T}) WHERE status = 'open' AND opened_at + INTERVAL 24 HOUR < TIMESTAMP '2000-01-01'
+UNION ALL SELECT 'warning', 'EXPIRED_RESERVATION', count(*) FROM orders WHERE o_orderstatus = 'P' AND o_orderdate < TIMESTAMP '2000-01-01'
+UNION ALL SELECT 'critical', 'SERVICE_ERROR', count(*) FROM s WHERE status = 'error' UNION ALL SELECT 'warning', 'SERVICE_DEGRADED', count(*) FROM s WHERE status = 'degraded'
+UNION ALL SELECT 'warning', 'SERVICE_STOPPED', count(*) FROM s WHERE status = 'stopped' AND NOT ends_with(service_name, '_once') UNION ALL SELECT 'critical', 'SERVICE_HEARTBEAT_STALE', count(*) FROM s WHERE status <> 'stopped' AND last_seen_at < TIMESTAMP '2000-01-01' - INTERVAL 20 MINUTE
+UNION ALL SELECT 'warning', 'PIPELINE_RUN_STUCK', count(*) FROM orders WHERE o_orderstatus = 'O' AND o_orderdate < TIMESTAMP '2000-01-01' - INTERVAL 20 MINUTE
+UNION ALL SELECT 'warning', 'QUARANTINED_TRADES', count(*) FROM ({T}) WHERE status = 'quarantined'
+UNION ALL SELECT 'warning', 'PAID_ORPHANS', count(*) FROM ({ATTEMPTS}) WHERE status = 'started' AND ts < TIMESTAMP '2000-01-01' - INTERVAL 300 SECOND UNION ALL SELECT 'info', 'PAID_UNRECONCILED', count(*) FROM ({ATTEMPTS}) WHERE status = 'completed' AND NOT reconciled
+UNION ALL SELECT 'info', 'DOWNTIME_GAPS', count(*) FROM nation UNION ALL SELECT 'warning', 'COLLECTOR_NOT_RUNNING', 1 UNION ALL SELECT 'info', 'SHADOW_NOT_RUNNING', 1) WHERE n > 0""")
+def state_alerts(spark: SparkSession, sf: str) -> DataFrame:
+    from barcraft.operators import alerts as rules
+
+    o, e, t = a.table(spark, sf, "orders"), a.table(spark, sf, "events"), a.trade_facts(spark, sf)
+    name = F.concat("event_type", F.when(F.col("user_id") % 50 == 0, "_once").otherwise(""), "user_id")
+    services = e.withColumn("status", F.expr(_STATUS)).groupBy(name.alias("service_name")).agg(F.max_by("status", F.struct("ts", "event_id")).alias("status"), F.max("ts").alias("last_seen_at"))
+    reservations = o.select(F.when(F.col("o_orderstatus") == "P", "in_progress").otherwise("done").alias("status"), F.col("o_orderdate").alias("lease_expires_at"))
+    runs = o.select(F.when(F.col("o_orderstatus") == "O", "running").otherwise("done").alias("status"), F.col("o_orderdate").alias("started_at"))
+    open_trades = t.where("status = 'open'").withColumn("timeout_at", F.col("opened_at") + F.expr("interval 24 hours"))
+    return rules.state_alerts("2000-01-01 00:00:00", open_trades, reservations, services, runs, a.snapshots(spark, sf), t, attempts(spark, sf), a.table(spark, sf, "nation"))
