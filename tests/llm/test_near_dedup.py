@@ -19,13 +19,13 @@ def shingles(text, width=5):
     return frozenset(b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))) if words else frozenset()
 
 
-def brute(rows):
+def brute(rows, percent=85):
     sets = [(i, shingles(t)) for i, t in rows if i is not None]
     known = UnionFind()
     for a, (i, x) in enumerate(sets):
         for j, y in sets[a + 1 :]:
             both = len(x & y)
-            if both and 100 * both >= 85 * (len(x) + len(y) - both):
+            if both and 100 * both >= percent * (len(x) + len(y) - both):
                 known.union(i, j)
     return {i: (len(x), known.find(i)) for i, x in sets}
 

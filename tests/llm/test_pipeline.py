@@ -23,7 +23,7 @@ def test_pipeline_against_brute_force(spark, sf_dir):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     kept = {i: t for i, t in docs.items() if good(t)}
-    groups = brute(list(kept.items()))
+    groups = brute(list(kept.items()), 80)
     kept = {i: t for i, t in kept.items() if groups[i][1] == i}
     kept = {i: t for i, t in kept.items() if not brute_hits(t, items)[1]}
     out = corpus_pipeline.run(spark, sf_dir)
