@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barcraft.llm.scratch import Scratch
-from barcraft.llm.text import Words, mix, window_hash
+from barcraft.llm.text import Words, mix, texts_of, window_hash
 
 WINDOW, GRAM = 20, 4
 #: Text bytes that a mapper takes at once, packed bytes that a bin should get, and the
@@ -121,14 +121,16 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, lis
         return np.array([r[0] for r in rows], np.int64), [r[1] for r in rows]
 
     for batch in batches:
-        for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
-            if i is None or not t:
-                continue
-            rows.append((i, b" ".join(t.split())))
-            size += len(t)
-            if size >= CHUNK:
-                yield out()
-                rows, size = [], 0
+        ids = batch.column("doc_id")
+        for lo, texts in texts_of(batch):
+            for i, t in zip(ids.slice(lo, len(texts)).to_pylist(), texts, strict=True):
+                if i is None or not t:
+                    continue
+                rows.append((i, b" ".join(t.split())))
+                size += len(t)
+                if size >= CHUNK:
+                    yield out()
+                    rows, size = [], 0
     if rows:
         yield out()
 
@@ -266,7 +268,7 @@ def _sort(window: int):
 
 def _kept(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(lo, 512) for b in batches for lo in range(0, b.num_rows, 512)):
             counts, removed, digests, texts = [], [], [], []
             for text, runs in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("runs").to_pylist(), strict=True):
                 words = (text or b"").split()

@@ -40,17 +40,25 @@ def _power(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def texts_of(batch: pa.RecordBatch, column: str = "text", rows: int = 512) -> Iterator[tuple[int, list[bytes | None]]]:
+    """(first row, texts as bytes) of a batch, some rows at a time: a batch of long texts is
+    never copied as a whole."""
+    values = batch.column(column).cast(pa.binary())
+    for lo in range(0, len(values), rows):
+        yield lo, values.slice(lo, rows).to_pylist()
+
+
 def chunks(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, int, list[bytes]]]:
-    """(first row, last row + 1, texts as bytes) with about CHUNK_BYTES each; null is empty."""
-    texts = batch.column(column).cast(pa.binary()).to_pylist()
-    start = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t or b"") > CHUNK_BYTES:
-            yield start, i, [x or b"" for x in texts[start:i]]
-            start, size = i, 0
-        size += len(t or b"")
-    if start < len(texts):
-        yield start, len(texts), [x or b"" for x in texts[start:]]
+    """(first row, last row + 1, texts as bytes) with about CHUNK_BYTES at most; null is empty."""
+    for base, texts in texts_of(batch, column):
+        start = size = 0
+        for i, t in enumerate(texts):
+            if size and size + len(t or b"") > CHUNK_BYTES:
+                yield base + start, base + i, [x or b"" for x in texts[start:i]]
+                start, size = i, 0
+            size += len(t or b"")
+        if start < len(texts):
+            yield base + start, base + len(texts), [x or b"" for x in texts[start:]]
 
 
 class Words:
