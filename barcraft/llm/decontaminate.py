@@ -125,7 +125,8 @@ def proximity(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of docs without a hit, all columns kept."""
+    """The rows of docs without a hit, all columns kept.  Rows without words (null text too)
+    stay, repeated rows and null ids stand each for themselves, an empty table stays empty."""
     scratch = Scratch(docs.sparkSession, "decontaminate")
     text = F.col("text").cast("string")
     keyed = docs.withColumn("__key", F.xxhash64("doc_id", text))

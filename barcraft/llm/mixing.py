@@ -215,7 +215,10 @@ def mix(docs: DataFrame, members: Column | None = None, weights=source_weights,
 
 def mixed_copies(docs: DataFrame, members: Column | None = None, weights=source_weights, most: int = MAX_PASSES, seed: int = SEED) -> DataFrame:
     """docs with each row as often as the mix takes it (whole documents: the last one that a
-    pattern needs is in if at least half of it is taken), columns as they are."""
+    pattern needs is in if at least half of it is taken), columns as they are.
+
+    Rows without words go along with each whole pass over their pattern; rows without a
+    source go; an empty table stays empty.  Copies of a row are equal rows."""
     scratch = Scratch(docs.sparkSession, "mixed")
     rows = scratch.write("rows", _rows(docs, members, seed))
     plan = _plan(rows, scratch, weights, most)

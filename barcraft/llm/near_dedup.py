@@ -186,7 +186,8 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, width: int = SH
 
 def keep_one_of_each(docs: DataFrame, **parameters) -> DataFrame:
     """The rows of docs whose document is its component's least, all columns kept; of rows
-    that repeat a doc_id one stays, and rows without doc_id stay."""
+    that repeat a doc_id one stays, and rows without doc_id stay.  Texts without words are
+    in no group and stay; an empty table stays empty."""
     kept = near_duplicates(docs, **parameters).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
     rows = docs.join(kept, F.col("doc_id").cast("long") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
     return rows.unionByName(docs.where("doc_id is null"))

@@ -104,7 +104,8 @@ def shards(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
 
 
 def sharded(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
-    """docs with a shard column added (``shard``, or ``shard_`` where docs has one)."""
+    """docs with a shard column added (``shard``, or ``shard_`` where docs has one), every row
+    once, as ``shards`` places it."""
     scratch = Scratch(docs.sparkSession, "sharded")
     names = docs.columns
     name = "shard"
