@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -20,3 +22,12 @@ def build_session(name: str = "barcraft", master: str | None = None, **settings:
     for key, value in (SETTINGS | {k.replace("__", "."): v for k, v in settings.items()}).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def share_package(spark: SparkSession) -> None:
+    """Lets Python workers import this package wherever the driver was started: they get its
+    folder in PYTHONPATH.  On a cluster the package is on the workers or goes with --py-files."""
+    root, environment = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "")
+    if root not in known.split(":"):
+        environment["PYTHONPATH"] = f"{root}:{known}" if known else root

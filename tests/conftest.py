@@ -16,10 +16,11 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 @pytest.fixture(scope="session")
 def spark():
-    from barcraft.session import build_session
+    from barcraft.session import build_session, share_package
 
     session = build_session("tests", "local[4]", spark__sql__shuffle__partitions="4", spark__ui__enabled="false", spark__driver__memory="4g", spark__ui__showConsoleProgress="false")
     session.sparkContext.setLogLevel("ERROR")
+    share_package(session)
     yield session
     session.stop()
 
