@@ -122,7 +122,7 @@ def bootstrap_means(values: list[float], iters: int = 2000, seed: int = 12345, b
     return sorted(out)
 
 
-def bootstrap_ci(trades: DataFrame, by: list[str], order: list[str], iters: int = 200, alpha: float = 0.05, seed: int = 12345) -> DataFrame:
+def bootstrap_ci(trades: DataFrame, by: list[str], order: list[str], iters: int = 2000, alpha: float = 0.05, seed: int = 12345) -> DataFrame:
     """Confidence interval of the expectancy per group.  A group's R values must be resampled
     together, in order; each group is one task and only its R column travels."""
 

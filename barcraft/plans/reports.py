@@ -83,7 +83,7 @@ def maker_comparison(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.bootstrap_ci(a.trade_facts(spark, sf), ["run_id", "regime"], ORDER, iters=20)
+    return metrics.bootstrap_ci(a.trade_facts(spark, sf), ["run_id", "regime"], ORDER, iters=2000)
 
 
 @query(f"SELECT symbol, tf, coalesce(list_sort(list(d) FILTER (WHERE d IS NOT NULL))[(count(d) // 2 + 1)::INT], 900) AS bar_seconds FROM (SELECT symbol, tf, (epoch(open_time) - epoch(lag(open_time) OVER (PARTITION BY symbol ORDER BY open_time)))::BIGINT AS d FROM ({a.bars_sql('15min')})) GROUP BY 1, 2")

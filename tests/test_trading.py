@@ -151,6 +151,34 @@ def test_bootstrap_repeats_and_blocks_widen():
     assert metrics.bootstrap_means([]) == []
 
 
+def test_bootstrap_query_gives_the_reference_interval(spark, sf_dir):
+    from itertools import groupby
+    from random import Random
+
+    from barcraft.plans import reports
+    from barcraft.sources import adapters
+
+    def interval(rs, iters=2000, alpha=0.05):
+        n = len(rs)
+        b = max(1, min(n, round(n ** (1 / 3))))
+        rng, means = Random(12345), []
+        for _ in range(iters):
+            sample = []
+            for _ in range(-(-n // b)):
+                s = rng.randint(0, n - b)
+                sample.extend(rs[s : s + b])
+            means.append(sum(sample[:n]) / n)
+        means.sort()
+        return means[int((alpha / 2) * iters)], means[min(iters - 1, int((1 - alpha / 2) * iters))]
+
+    rows = adapters.trade_facts(spark, sf_dir).where("r_milli is not null").orderBy("run_id", "regime", *reports.ORDER).collect()
+    want = {k: interval([r["r_milli"] / 1000 for r in g]) for k, g in groupby(rows, lambda r: (r["run_id"], r["regime"]))}
+    found = {(r["run_id"], r["regime"]): (r["low"], r["high"]) for r in reports.bootstrap_ci(spark, sf_dir).collect()}
+    assert found.keys() == want.keys()
+    for k, ends in want.items():
+        assert found[k] == pytest.approx(ends, abs=1e-9)
+
+
 def test_quarantined_trades_are_not_closed(spark):
     df = spark.createDataFrame([("x", "closed", 1500), ("x", "closed", -1000), ("x", "quarantined", None), ("x", "open", None)], "run_id string, status string, r_milli long").withColumn("ambiguous", F.lit(False))
     row = metrics.trade_metrics(df, ["run_id"]).first()
