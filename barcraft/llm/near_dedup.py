@@ -41,8 +41,9 @@ SHINGLE_WORDS, THRESHOLD = 5, 85
 BANDS, ROWS = 25, 5
 #: Documents whose texts one linking task holds together.
 BLOCK, PROBES = 128, 64
-#: A pair is confirmed on full sets only if its signatures agree this well; at the
-#: threshold the estimate's standard deviation is at most 0.032, so this is 5 of them.
+#: A pair without a common band is confirmed on full sets only if its signatures agree this
+#: well; at the threshold the estimate's standard deviation is at most 0.032, so this is 5 of
+#: them.  A pair with a common band always is.
 ESTIMATE_SLACK = 0.16
 
 
@@ -103,12 +104,12 @@ def _linked(a: np.ndarray, b: np.ndarray, threshold: int) -> bool:
     return 100 * both >= threshold * (len(a) + len(b) - both)
 
 
-def _link(width: int, threshold: int, slots: int):
+def _link(width: int, threshold: int, bands: int, rows: int):
     """Links inside one block; with a ``probe`` column, probes against the others."""
 
     def run(table: pa.Table) -> pa.Table:
         ids = table.column("doc_id").to_pylist()
-        hashes, owner, first, sig = _signed([t or b"" for t in table.column("text").cast(pa.binary()).to_pylist()], width, slots)
+        hashes, owner, first, sig = _signed([t or b"" for t in table.column("text").cast(pa.binary()).to_pylist()], width, bands * rows)
         sets = [hashes[first[i] : first[i + 1]] for i in range(len(ids))]
         sizes = np.diff(first)
         probe = np.array(table.column("probe").to_pylist(), bool) if "probe" in table.column_names else np.ones(len(ids), bool)
@@ -117,12 +118,13 @@ def _link(width: int, threshold: int, slots: int):
             for i, c in zip(ids, table.column("comp").to_pylist(), strict=True):
                 known.union(i, c)
         least = threshold / 100 - ESTIMATE_SLACK
+        keys = band_keys(sig, bands, rows)
         found = []
         pairs: list[tuple[float, int, int]] = []
         for i in np.flatnonzero(probe):
             close = (sig == sig[i]).mean(axis=1)
             small, large = np.minimum(sizes, sizes[i]), np.maximum(sizes, sizes[i])
-            good = (close >= least) & (100 * small >= threshold * large) & (sizes > 0)
+            good = ((close >= least) | (keys == keys[i]).any(axis=1)) & (100 * small >= threshold * large) & (sizes > 0)
             good[: i + 1] &= ~probe[: i + 1]  # pairs of probes once
             good[i] = False
             pairs += [(float(close[j]), int(i), int(j)) for j in np.flatnonzero(good)]
@@ -158,7 +160,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, width: int = SH
     members = scratch.write("members", groups.join(sizes, "label").select(F.col("node").alias("doc_id"), F.col("label").alias("grp"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("blk")))
     fetched = texts.join(members.hint("merge"), "doc_id").select("grp", "blk", "blocks", "doc_id", "text")
     fetched = scratch.write("fetched", fetched)
-    link = _link(width, threshold, bands * rows)
+    link = _link(width, threshold, bands, rows)
     links = scratch.write("links", fetched.groupBy("grp", "blk").applyInArrow(lambda t: link(t.select(["doc_id", "text"])), "a long, b long"))
 
     wide = members.where("blocks > 1")

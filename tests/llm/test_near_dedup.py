@@ -117,3 +117,20 @@ def test_components_of_chains_stars_and_loops(spark):
 def test_shingle_sets_lower_ascii_only():
     h, o = shingle_sets(["A B C D É".encode(), "a b c d É".encode(), "a b c d é".encode()])
     assert len(h) == 3 and h[0] == h[1] != h[2] and o.tolist() == [0, 1, 2]
+
+
+def test_pairs_with_a_common_band_are_confirmed_whatever_the_estimate(monkeypatch):
+    import pyarrow as pa
+
+    from barcraft.llm import near_dedup
+
+    def one_band_agrees(hashes, owner, docs, slots):
+        sig = np.arange(docs * slots, dtype=np.uint64).reshape(docs, slots)
+        sig[:, 5:10] = 7
+        return sig
+
+    monkeypatch.setattr(near_dedup, "signatures", one_band_agrees)
+    same, other = text_of(1, 200), text_of(2, 200)
+    table = pa.table({"doc_id": [1, 2, 3], "text": [same, same + " end", other]})
+    links = near_dedup._link(5, 85, 25, 5)(table)
+    assert {frozenset(x) for x in zip(links["a"].to_pylist(), links["b"].to_pylist(), strict=True)} == {frozenset((1, 2))}
