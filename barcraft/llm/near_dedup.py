@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from barcraft.llm.components import UnionFind, connected_components
 from barcraft.llm.scratch import Scratch
 from barcraft.llm.superminhash import signatures
-from barcraft.llm.text import Words, chunks, mix, window_hash
+from barcraft.llm.text import Words, chunks, mix, prefix_of, rolling
 
 SHINGLE_WORDS, THRESHOLD = 5, 85
 BANDS, ROWS = 25, 5
@@ -56,7 +56,7 @@ def shingle_sets(texts: list[bytes], width: int = SHINGLE_WORDS) -> tuple[np.nda
     owner = words.doc[at]
     short = np.flatnonzero((words.counts > 0) & (words.counts < width))
     if len(short):
-        extra = [window_hash(words.hash[words.first[i] : words.first[i + 1]], int(words.counts[i]), seed=int(words.counts[i]))[0] for i in short]
+        extra = [rolling(prefix_of(words.hash[words.first[i] : words.first[i + 1]]), int(words.counts[i]), seed=int(words.counts[i]))[0] for i in short]
         hashes, owner = np.concatenate((hashes, np.array(extra, np.uint64))), np.concatenate((owner, short))
     order = np.lexsort((hashes, owner))
     hashes, owner = hashes[order], owner[order]

@@ -1,10 +1,15 @@
 """Operator 3: quality rules by repetition coverage.
 
-Word n-grams of several lengths are hashed by a rolling polynomial in numpy; an n-gram
-found twice or more in a text covers all its occurrences, and the characters (code points
-of words) under that cover are measured per length.  A duplicated n-gram holds only
-duplicated shorter ones, so each length looks only where the shortest found something.
-Lines that repeat an earlier line of the text are measured likewise.
+Word n-grams of several lengths are hashed by a rolling hash in numpy (prefix sums: the cost
+of a length does not depend on it); an n-gram found twice or more in a text covers all its
+occurrences, and the characters (code points of words) under that cover are measured per
+length.  A duplicated n-gram holds only duplicated shorter ones, so each length looks only
+where the shortest found something.  Lines that repeat an earlier line of the text are
+measured likewise.
+
+Limits fall with the length, so that every rule can reject what the others let pass: whatever
+longer n-grams cover, shorter ones cover too.  The limits are those published for large web
+corpora (15 to 10 percent of characters for 5- to 10-grams).
 """
 
 from __future__ import annotations
@@ -22,15 +27,16 @@ MIN_WORDS = 20
 #: Base rule: percent of words in repeated windows of BASE_WINDOW words.
 BASE_WINDOW, BASE_PERCENT = 8, 30
 #: Method: greatest percent of word characters under duplicated n-grams, by length.
-GRAM_PERCENT = {5: 40, 6: 40, 7: 40, 8: 40, 9: 40, 10: 40}
+GRAM_PERCENT = {5: 15, 6: 14, 7: 13, 8: 12, 9: 11, 10: 10}
 #: Method: greatest percent of the word characters on lines that repeat an earlier one.
 LINE_PERCENT = 30
 SYMBOLS = b"#*$%&|<>"
 
-_SYMBOL = np.zeros(256, bool)
-_SYMBOL[list(SYMBOLS)] = True
-_LEAD = np.ones(256, np.int64)  # bytes that begin a code point
+_SYMBOL = np.zeros(256, np.uint8)
+_SYMBOL[list(SYMBOLS)] = 1
+_LEAD = np.ones(256, np.uint8)  # bytes that begin a code point of a word
 _LEAD[0x80:0xC0] = 0
+_LEAD[[9, 10, 11, 12, 13, 32]] = 0
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "dup_line_chars", *(f"dup{n}_chars" for n in GRAM_PERCENT)]
 
@@ -49,17 +55,19 @@ def measure(texts: list[bytes], lengths: tuple[int, ...] = tuple(GRAM_PERCENT))
     """The measures of each text, as int64 arrays."""
     words, docs = Words(texts), len(texts)
     raw = np.frombuffer(words.data, np.uint8)
-    prefix = np.concatenate(([0], np.cumsum(_LEAD[raw])))
-    chars = prefix[words.end] - prefix[words.start]
+    # sums between the words' beginnings: what stands between words counts nothing
+    chars = np.add.reduceat(_LEAD[raw], words.start, dtype=np.int64) if len(words.start) else np.zeros(0, np.int64)
 
     def per_text(values: np.ndarray, of: np.ndarray) -> np.ndarray:
         return np.bincount(of, weights=values, minlength=docs).astype(np.int64)
 
     out = {"n_words": words.counts.astype(np.int64), "word_chars": per_text(chars, words.doc)}
-    begins = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts]))).astype(np.int64)
-    symbols = np.concatenate(([0], np.cumsum(_SYMBOL[raw])))
-    # the texts are joined by a space, which is no symbol
-    out["n_symbols"] = (symbols[np.minimum(begins[1:], len(raw))] - symbols[np.minimum(begins[:-1], len(raw))]).astype(np.int64)
+    out["n_symbols"] = np.zeros(docs, np.int64)
+    some = np.array([i for i, t in enumerate(texts) if t], np.int64)
+    if len(some):
+        begins = np.cumsum([0, *(len(t) + 1 for t in texts)])[some]
+        # the texts are joined by a space, which is no symbol
+        out["n_symbols"][some] = np.add.reduceat(_SYMBOL[raw], begins, dtype=np.int64)
 
     n_words = len(words.hash)
     shortest = min(*lengths, BASE_WINDOW)
@@ -119,7 +127,9 @@ def repetition_quality(docs: DataFrame) -> DataFrame:
 
     A null, empty or blank text has no words: every measure is 0, base_failed is true and
     kept false.  Repeated rows and null doc_ids are judged each on their own; an empty
-    table gives no rows; other columns are not read.  One pass, no shuffle.
+    table gives no rows; other columns, whatever their names, are not read.  One pass, no
+    shuffle.  A text is measured whole, about 1 MB of texts at a time; a longer one takes
+    some 20 bytes of memory for each of its own.  A measure that equals its limit passes.
     """
     source = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("__text"))
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{k} long" for k in MEASURES)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barcraft.llm.scratch import Scratch
-from barcraft.llm.text import Words, mix, texts_of, window_hash
+from barcraft.llm.text import Words, mix, rolling, texts_of
 
 WINDOW, GRAM = 20, 4
 #: Text bytes that a mapper takes at once, packed bytes that a bin should get, and the
@@ -40,21 +40,6 @@ CHUNK, BIN, PARTS = 4 << 20, 32 << 20, 16
 SAMPLE, HOT, MOST_HOT = 16, 512, 100_000
 
 _MAX = np.uint64(np.iinfo(np.uint64).max)
-_ROLL, _ROLL_INV = 0xD1342543DE82EF95, pow(0xD1342543DE82EF95, -1, 1 << 64)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    steps = np.full(max(n, 1), base, np.uint64)
-    steps[0] = 1
-    return np.multiply.accumulate(steps)
-
-
-def rolling(hashes: np.ndarray, n: int) -> np.ndarray:
-    """Order-dependent hash of each run of n, from prefix sums: three operations a word."""
-    total = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(hashes * _powers(_ROLL, len(hashes)), out=total[1:])
-    return mix((total[n:] - total[:-n]) * _powers(_ROLL_INV, len(hashes) - n + 1))
-
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
     """Minimum over each run of ``width`` values."""
@@ -145,10 +130,10 @@ def _super(words: Words, ids: np.ndarray, window: int, gram: int, hot: np.ndarra
     at = np.flatnonzero(inside)
     if not len(at):
         return None
-    whole = rolling(words.hash, window)
+    whole = rolling(words.prefix, window)
     doc_id, start = ids[words.doc[at]], at - words.first[words.doc[at]]
     repeat = _repeats(words, at, whole[at], doc_id, start, window)
-    grams = mix(window_hash(words.hash, gram))
+    grams = mix(rolling(words.prefix, gram))
     if len(hot):
         place = np.minimum(np.searchsorted(hot, grams), len(hot) - 1)
         grams[hot[place] == grams] = _MAX
@@ -240,7 +225,7 @@ def _sort_bin(blocks: list[bytes], window: int) -> Iterator[tuple[np.ndarray, np
         where = np.flatnonzero(words.doc[:n] == words.doc[window - 1 :])
         piece = words.doc[where]
         doc_id, start = owner[piece], at[piece] + where - words.first[piece]
-        yield _runs(doc_id, start, _repeats(words, where, rolling(words.hash, window)[where], doc_id, start, window))
+        yield _runs(doc_id, start, _repeats(words, where, rolling(words.prefix, window)[where], doc_id, start, window))
 
 
 def _sort(window: int):

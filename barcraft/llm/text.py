@@ -8,6 +8,7 @@ between workers, retries and runs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 1 << 64)
+_ROLL = 0xD1342543DE82EF95
+_ROLL_INV = pow(_ROLL, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -36,10 +39,28 @@ def _power(base: int, n: int) -> np.ndarray:
     if have is None or len(have) < n:
         steps = np.full(max(n, CHUNK_BYTES + 1), base, np.uint64)
         steps[0] = 1
-        have = _powers[base] = np.multiply.accumulate(steps)
+        have = np.multiply.accumulate(steps)
+        if len(have) == CHUNK_BYTES + 1:  # powers for one very long text are not kept
+            _powers[base] = have
     return have[:n]
 
 
+def prefix_of(hashes: np.ndarray) -> np.ndarray:
+    """Prefix sums from which ``rolling`` gives the hash of any run."""
+    total = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * _power(_ROLL, len(hashes)), out=total[1:])
+    return total
+
+
+def rolling(prefix: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
+    """Order-dependent 64-bit rolling hash of each run of n hashes: a subtraction, a product
+    and a finaliser per run, whatever n is."""
+    m = len(prefix) - n
+    if m <= 0:
+        return np.zeros(0, np.uint64)
+    return mix((prefix[n:] - prefix[:-n]) * _power(_ROLL_INV, m) + np.uint64(n + 1000003 * seed))
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text", rows: int = 512) -> Iterator[tuple[int, list[bytes | None]]]:
     """(first row, texts as bytes) of a batch, some rows at a time: a batch of long texts is
     never copied as a whole."""
@@ -95,21 +116,14 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
-    def grams(self, n: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    @cached_property
+    def prefix(self) -> np.ndarray:
+        return prefix_of(self.hash)
+
+    def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Start words of the n-word windows that lie in one text, and their hashes."""
         m = len(self.hash) - n + 1
         if m <= 0:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         at = np.flatnonzero(self.doc[: m] == self.doc[n - 1 :]) if n > 1 else np.arange(m)
-        return at, window_hash(self.hash, n, seed)[at]
-
-
-def window_hash(hashes: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
-    """Order-dependent 64-bit hash of each run of n hashes."""
-    m = len(hashes) - n + 1
-    mult = pow(0xD6E8FEB86659FD93, 1 + seed, 1 << 64) | 1
-    out, power = np.zeros(m, np.uint64), 1
-    for k in range(n):
-        out += hashes[k : k + m] * np.uint64(power)
-        power = power * mult % (1 << 64)
-    return mix(out + np.uint64(n + 1000003 * seed))
+        return at, rolling(self.prefix, n)[at]

@@ -48,7 +48,7 @@ REPEATS = [(20, " ".join(["a b c d e f"] * 9)), (21, "\n".join(["one line of fiv
 
 
 def test_quality_measures(spark):
-    rows = [r for r in AWKWARD + REPEATS if r[1] is None or len(r[1]) < 80_000]
+    rows = AWKWARD + REPEATS
     got = quality.repetition_quality(make_docs(spark, rows)).collect()
     assert len(got) == len(rows)
     want = {}
@@ -61,6 +61,40 @@ def test_quality_measures(spark):
     assert {r["doc_id"] for r in got if r["kept"]} >= {7, 8, -3} and not {r["doc_id"] for r in got if r["kept"]} & {20, 21, 22}
 
 
+def unique(n, seed=0):
+    return [f"u{seed}w{i}" for i in range(n)]
+
+
+def repeated(n, percent, total=400):
+    """A text of one-letter-like words of which about ``percent`` percent stand in n-grams that occur twice."""
+    gram = [f"r{i:04}x" for i in range(n)]
+    times = round(total * percent / 100 / n)
+    filler = [f"f{i:04}y" for i in range(total - n * times)]
+    step, out = len(filler) // times, []
+    for k in range(times):
+        out += gram + filler[k * step : (k + 1) * step]
+    return " ".join(out + filler[times * step :])
+
+
+@pytest.mark.parametrize("n", list(quality.GRAM_PERCENT))
+def test_each_length_rejects_what_no_other_rule_does(n):
+    limit = quality.GRAM_PERCENT[n]
+    text = repeated(n, limit + 0.6, 2400).encode()
+    m = {k: int(v[0]) for k, v in quality.measure([text]).items()}
+    over = [k for k, p in quality.GRAM_PERCENT.items() if 100 * m[f"dup{k}_chars"] > p * m["word_chars"]]
+    assert over == [n] and 100 * m["n_repeat_words"] <= 30 * m["n_words"] and not m["dup_line_chars"]
+    calm = {k: int(v[0]) for k, v in quality.measure([repeated(n, limit - 1.5, 2400).encode()]).items()}
+    assert not [k for k, p in quality.GRAM_PERCENT.items() if 100 * calm[f"dup{k}_chars"] > p * calm["word_chars"]]
+
+
+def test_lines_reject_what_no_length_does():
+    lines = [" ".join(unique(5, i)) + ("\nsame short line" * 2 if i == 3 else "\nsame short line") for i in range(12)]
+    text = "\n".join(lines).encode()
+    m = {k: int(v[0]) for k, v in quality.measure([text]).items()}
+    assert 100 * m["dup_line_chars"] > quality.LINE_PERCENT * m["word_chars"]
+    assert not [n for n, p in quality.GRAM_PERCENT.items() if 100 * m[f"dup{n}_chars"] > p * m["word_chars"]]
+
+
 def test_quality_of_nothing_and_kept_rows(spark, awkward, nothing):
     assert quality.repetition_quality(nothing).count() == 0
     kept = quality.keep_good(awkward)
