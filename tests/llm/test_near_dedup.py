@@ -5,7 +5,9 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 
+from barcraft.llm import near_dedup
 from barcraft.llm.components import UnionFind, connected_components
 from barcraft.llm.near_dedup import keep_one_of_each, near_duplicates, shingle_sets
 from barcraft.llm.scratch import Scratch
@@ -119,18 +121,78 @@ def test_shingle_sets_lower_ascii_only():
     assert len(h) == 3 and h[0] == h[1] != h[2] and o.tolist() == [0, 1, 2]
 
 
-def test_pairs_with_a_common_band_are_confirmed_whatever_the_estimate(monkeypatch):
-    import pyarrow as pa
+def table_of(rows, **extra):
+    """rows of (node, text) as a table that links are looked for in."""
+    h, owner = shingle_sets([t.encode() for _, t in rows])
+    first = np.searchsorted(owner, np.arange(len(rows) + 1))
+    keys = near_dedup.band_keys(signatures(h, owner, len(rows), 125), 25, 5)
+    return pa.table({"node": [i for i, _ in rows], "bands": keys.tolist(), "set": [h[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], **extra})
 
-    from barcraft.llm import near_dedup
 
-    def one_band_agrees(hashes, owner, docs, slots):
-        sig = np.arange(docs * slots, dtype=np.uint64).reshape(docs, slots)
-        sig[:, 5:10] = 7
-        return sig
+def pairs_of(table, threshold=85):
+    links = near_dedup._link(threshold)(table)
+    return {frozenset(x) for x in zip(links["a"].to_pylist(), links["b"].to_pylist(), strict=True)}
 
-    monkeypatch.setattr(near_dedup, "signatures", one_band_agrees)
-    same, other = text_of(1, 200), text_of(2, 200)
-    table = pa.table({"doc_id": [1, 2, 3], "text": [same, same + " end", other]})
-    links = near_dedup._link(5, 85, 25, 5)(table)
-    assert {frozenset(x) for x in zip(links["a"].to_pylist(), links["b"].to_pylist(), strict=True)} == {frozenset((1, 2))}
+
+def test_pairs_with_a_common_band_are_compared_on_full_sets():
+    base = text_of(1, 200)
+    rows = [(1, base), (2, base + " end"), (3, text_of(2, 200)), (4, base[: len(base) // 2])]
+    assert pairs_of(table_of(rows)) == {frozenset((1, 2))}
+    t = table_of(rows)
+    one = [r[:] for r in t["bands"].to_pylist()]
+    one[2][7] = one[0][7]  # a common band alone makes no link
+    odd = t.set_column(1, "bands", pa.array(one))
+    assert pairs_of(odd) == {frozenset((1, 2))}
+
+
+def test_probes_components_and_first_common_bands():
+    base = text_of(1, 300)
+    rows = [(i, base + f" end{i}") for i in range(1, 5)]
+    assert pairs_of(table_of(rows, probe=[True, False, False, False])) == {frozenset((1, i)) for i in (2, 3, 4)}
+    assert pairs_of(table_of(rows, comp=[1, 1, 3, 3])) and not pairs_of(table_of(rows, comp=[1, 1, 1, 1]))
+    keys = table_of(rows)["bands"].to_pylist()
+    common = [k for k in range(25) if keys[0][k] == keys[1][k]]
+    two = rows[:2]
+    assert pairs_of(table_of(two, key=[keys[0][common[0]]] * 2)) == {frozenset((1, 2))}
+    assert not pairs_of(table_of(two, key=[keys[0][common[1]]] * 2))
+
+
+def chain(n, words=60, step=6, seed=11):
+    """Texts each like the next (about 0.6) and unlike those further on: one candidate group, few links."""
+    pool = text_of(seed, words + n * step).split()
+    pool = [f"{w}x{i}" for i, w in enumerate(pool)]
+    return [(i, " ".join(pool[i * step : i * step + words])) for i in range(n)]
+
+
+def test_a_chained_candidate_group_of_thousands(spark):
+    """Every text is a candidate of its neighbours; some neighbours are near copies."""
+    rows = chain(2500)
+    rows += [(100_000 + i, t + " tail") for i, t in rows[::50]]
+    got = {r["doc_id"]: r for r in near_duplicates(make_docs(spark, rows, extra=False), block=64).collect()}
+    sets = {i: shingles(t) for i, t in rows}
+    known = UnionFind()
+    for i, t in rows:  # neighbours further away share nothing
+        for j in (*range(i + 1, i + 12), i + 100_000, *range(100_000 + i, 100_000 + i + 12)):
+            if j in sets:
+                both = len(sets[i] & sets[j])
+                if 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+                    known.union(i, j)
+    assert {i: r["component_id"] for i, r in got.items()} == {i: known.find(i) for i in sets}
+    assert len({r["component_id"] for r in got.values()}) == 2500
+
+
+def test_a_large_cluster_falls_together_by_hubs(spark, monkeypatch):
+    """Near copies of one text: hubs alone join all but a few."""
+    rows = near_copies(600, 1, 0.04, 8)
+    check(spark, rows, block=32)
+
+
+def test_sets_larger_than_a_cell(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", 2000)
+    check(spark, near_copies(40, 1, 0.03, 9) + [(5000, text_of(2, 20_000)), (5001, text_of(2, 20_000) + " end")])
+
+
+def test_ids_used_for_several_texts_cost_each_other_nothing(spark):
+    rows = [(1, text_of(1, 60)), (1, text_of(2, 60)), (1, text_of(2, 60)), (2, text_of(2, 60) + " end"), (3, None), (3, None), (4, "  ")]
+    kept = sorted((r["doc_id"], r["text"] or "") for r in keep_one_of_each(make_docs(spark, rows)).collect())
+    assert kept == sorted([(1, text_of(1, 60)), (1, text_of(2, 60)), (3, ""), (3, ""), (4, "  ")])
