@@ -8,11 +8,17 @@ minimisers, so they meet in one bin, where sorting finds each window's first occ
 * Pre-aggregation: each chunk of texts first drops the windows that already start earlier
   in the chunk; only first occurrences are packed.
 * Transport: a chunk sends one Zstandard block of packed strings per bin, so the shuffle
-  moves few rows; bins grow in number with the text, not in size.
-* Skew: minimisers that very many super-k-mers share (the edges of a passage that stands in
-  a third of all documents) are found on a sample of the documents and rank last, so such
-  windows take a rarer gram; a window of nothing but such grams goes by its own hash.  The
-  sample only routes: equal windows are routed alike whatever it holds.
+  moves few rows; bins grow in number with the text, not in size, and every bin count has as many
+  partitions.
+* Skew: minimisers that very many super-k-mers share are found on a sample of the documents
+  and rank last, so that the many different windows around a common phrase take rarer grams.
+  Equal windows (a passage in a third of all documents) can't be told apart by any gram, so a
+  window that has such a minimiser goes in two steps: first salted, so that some FAN chunks
+  meet in a bin, where only the first occurrence survives; then the survivors meet without
+  salt.  A passage in every document thus costs a bin one occurrence of a window per
+  salt.  The sample only routes: equal windows are routed alike whatever it holds.
+* Memory: a bin is sorted in PARTS parts; if its strings pass OPEN bytes, only one part's
+  are held unpacked at a time.
 * Exactness: windows are sorted by a 64-bit hash and repeats are then compared byte for byte.
 """
 
@@ -32,15 +38,19 @@ from barcraft.llm.scratch import Scratch
 from barcraft.llm.text import Words, mix, rolling, texts_of
 
 WINDOW, GRAM = 20, 4
-#: Text bytes that a mapper takes at once, packed bytes that a bin should get, and the
-#: parts in which a bin is sorted.
-CHUNK, BIN, PARTS = 4 << 20, 32 << 20, 16
-#: A minimiser ranks last if the sample (one document in SAMPLE) has it this often; at most
-#: MOST_HOT of them, the most frequent, are kept.
-SAMPLE, HOT, MOST_HOT = 16, 512, 100_000
+#: Text bytes that a mapper takes at once, packed bytes that a bin should get, the parts in
+#: which a bin is sorted, and the packed bytes that a bin may hold unpacked.
+CHUNK, BIN, PARTS, OPEN = 4 << 20, 32 << 20, 16, 128 << 20
+#: A minimiser ranks last if the sample (one document in SAMPLE) has it this often.  Where more than
+#: MOST_HOT would be, the bound rises until they are not: by arithmetic, no more than
+#: (all of them / bound) minimisers can reach it.
+SAMPLE, HOT, MOST_HOT = 16, 512, 1_000_000
+#: Chunks whose occurrences of one frequent window meet in a bin of the first step.
+FAN = 64
 
 _MAX = np.uint64(np.iinfo(np.uint64).max)
 
+
 def _least(values: np.ndarray, width: int) -> np.ndarray:
     """Minimum over each run of ``width`` values."""
     span = 1
@@ -62,13 +72,21 @@ def _firsts(keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def _repeats(words: Words, at: np.ndarray, hashes: np.ndarray, doc_id: np.ndarray, start: np.ndarray, window: int) -> np.ndarray:
-    """Which windows start earlier too; ``at`` is ascending in (doc_id, start)."""
+#: The place of a window: document, hash of its text (one id may be used for several texts), word.
+Places = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _differ(places: Places, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (places[0][a] != places[0][b]) | (places[1][a] != places[1][b]) | (places[2][a] != places[2][b])
+
+
+def _repeats(words: Words, at: np.ndarray, hashes: np.ndarray, places: Places, window: int) -> np.ndarray:
+    """Which windows start earlier too; ``at`` is ascending in places."""
     if not len(at):
         return np.zeros(0, bool)
     first = _firsts(hashes)
     later = np.flatnonzero(first != np.arange(len(at)))
-    later = later[(doc_id[later] != doc_id[first[later]]) | (start[later] != start[first[later]])]
+    later = later[_differ(places, later, first[later])]
     out = np.zeros(len(at), bool)
     data, begin, end = words.data, words.start[at], words.end[at + window - 1]
     odd = []
@@ -79,39 +97,39 @@ def _repeats(words: Words, at: np.ndarray, hashes: np.ndarray, doc_id: np.ndarra
             odd.append((i, f))
     if odd:  # two texts with one hash: settle those hashes by the texts
         for h in {int(hashes[i]) for i, _ in odd}:
-            seen: dict[bytes, tuple[int, int]] = {}
+            seen: dict[bytes, tuple] = {}
             for i in np.flatnonzero(hashes == np.uint64(h)):
-                place = (int(doc_id[i]), int(start[i]))
+                place = tuple(int(p[i]) for p in places)
                 out[i] = seen.setdefault(data[begin[i] : end[i]], place) != place
     return out
 
 
-def _runs(doc_id: np.ndarray, start: np.ndarray, marked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc_id, start, number) of the runs of marked windows."""
+def _runs(places: Places, marked: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(doc_id, text_hash, start, number) of the runs of marked windows."""
     at = np.flatnonzero(marked)
     if not len(at):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    d, s = doc_id[at], start[at]
-    begins = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (s[1:] != s[:-1] + 1))))
-    return d[begins], s[begins], np.diff(np.concatenate((begins, [len(at)])))
+        return (np.zeros(0, np.int64),) * 4
+    d, t, s = (p[at] for p in places)
+    begins = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (s[1:] != s[:-1] + 1))))
+    return d[begins], t[begins], s[begins], np.diff(np.concatenate((begins, [len(at)])))
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
-    """Chunks of (doc_ids, texts with single spaces), ascending by doc_id."""
-    rows: list[tuple[int, bytes]] = []
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+    """Chunks of (doc_ids, text hashes, texts with single spaces), ascending."""
+    rows: list[tuple[int, int, bytes]] = []
     size = 0
 
     def out():
-        rows.sort(key=lambda r: r[0])
-        return np.array([r[0] for r in rows], np.int64), [r[1] for r in rows]
+        rows.sort(key=lambda r: r[:2])
+        return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), [r[2] for r in rows]
 
     for batch in batches:
-        ids = batch.column("doc_id")
+        ids, hashes = batch.column("doc_id"), batch.column("text_hash")
         for lo, texts in texts_of(batch):
-            for i, t in zip(ids.slice(lo, len(texts)).to_pylist(), texts, strict=True):
+            for i, h, t in zip(ids.slice(lo, len(texts)).to_pylist(), hashes.slice(lo, len(texts)).to_pylist(), texts, strict=True):
                 if i is None or not t:
                     continue
-                rows.append((i, b" ".join(t.split())))
+                rows.append((i, h, b" ".join(t.split())))
                 size += len(t)
                 if size >= CHUNK:
                     yield out()
@@ -120,76 +138,107 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, lis
         yield out()
 
 
-def _super(words: Words, ids: np.ndarray, window: int, gram: int, hot: np.ndarray):
-    """Windows of a chunk, which of them repeat an earlier one, and the super-k-mers of the
-    rest as (minimiser, first window's word, last window's word)."""
-    n = len(words.hash) - window + 1
-    if n <= 0:
-        return None
-    inside = words.doc[:n] == words.doc[window - 1 :]
-    at = np.flatnonzero(inside)
-    if not len(at):
-        return None
-    whole = rolling(words.prefix, window)
-    doc_id, start = ids[words.doc[at]], at - words.first[words.doc[at]]
-    repeat = _repeats(words, at, whole[at], doc_id, start, window)
+def _minimisers(words: Words, window: int, gram: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per window its least gram that is not ``hot`` (its own hash, if all are), and whether
+    its least gram of all is."""
     grams = mix(rolling(words.prefix, gram))
-    if len(hot):
-        place = np.minimum(np.searchsorted(hot, grams), len(hot) - 1)
-        grams[hot[place] == grams] = _MAX
     least = _least(grams, window - gram + 1)
-    least = np.where(least == _MAX, whole, least)
-    fresh = at[~repeat]
-    if len(fresh):
-        cut = np.flatnonzero(np.concatenate(([True], (fresh[1:] != fresh[:-1] + 1) | (words.doc[fresh[1:]] != words.doc[fresh[:-1]]) | (least[fresh[1:]] != least[fresh[:-1]]))))
-        first, last = fresh[cut], fresh[np.concatenate((cut[1:], [len(fresh)])) - 1]
-    else:
-        first = last = fresh
-    return doc_id, start, repeat, least[first], first, last
+    if not len(hot):
+        return least, np.zeros(len(least), bool)
+    place = np.minimum(np.searchsorted(hot, grams), len(hot) - 1)
+    grams[hot[place] == grams] = _MAX
+    rarer = _least(grams, window - gram + 1)
+    return np.where(rarer == _MAX, rolling(words.prefix, window), rarer), rarer != least
+
+
+def _super_kmers(words: Words, fresh: np.ndarray, least: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, last window, minimiser, common) of each super-k-mer of the windows
+    ``fresh``; the other two hold a value per window of the chunk."""
+    if not len(fresh):
+        return fresh, fresh, least[:0], common[:0]
+    doc, least, common = words.doc[fresh], least[fresh], common[fresh]
+    cut = np.flatnonzero(np.concatenate(([True], (fresh[1:] != fresh[:-1] + 1) | (doc[1:] != doc[:-1]) | (least[1:] != least[:-1]) | (common[1:] != common[:-1]))))
+    return fresh[cut], fresh[np.concatenate((cut[1:], [len(fresh)])) - 1], least[cut], common[cut]
+
+
+def _windows(words: Words, window: int) -> np.ndarray:
+    """First words of the windows that lie in one text."""
+    n = max(0, len(words.hash) - window + 1)
+    return np.flatnonzero(words.doc[:n] == words.doc[len(words.doc) - n :])
+
+
+def _judged(words: Words, ids: np.ndarray, hashes: np.ndarray, window: int) -> tuple[np.ndarray, Places, np.ndarray]:
+    """(windows, their places, which of them start earlier in the chunk)."""
+    at = _windows(words, window)
+    places = ids[words.doc[at]], hashes[words.doc[at]], at - words.first[words.doc[at]]
+    return at, places, _repeats(words, at, rolling(words.prefix, window)[at], places, window)
 
 
 def _count_minimisers(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in _groups(batches):
-            found = _super(Words(texts), ids, window, gram, np.zeros(0, np.uint64))
-            if found:
-                keys, n = np.unique(found[3], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[n > 1].view(np.int64)), pa.array(n[n > 1])], ["key", "n"])
+        for ids, hashes, texts in _groups(batches):
+            words = Words(texts)
+            at, _, repeat = _judged(words, ids, hashes, window)
+            if len(at):
+                keys, n = np.unique(_super_kmers(words, at[~repeat], *_minimisers(words, window, gram, np.zeros(0, np.uint64)))[2], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["key", "n"])
 
     return run
 
 
-_PIECES = pa.schema([("bin", pa.int64()), ("block", pa.binary()), ("doc_id", pa.int64()), ("start", pa.int64()), ("n", pa.int64())])
+_PIECES = pa.schema([("bin", pa.int64()), ("salted", pa.bool_()), ("block", pa.binary()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int64()), ("n", pa.int64())])
+_PIECES_SQL = "bin long, salted boolean, block binary, doc_id long, text_hash long, start long, n long"
 
 
-def _pack(window: int, gram: int, bins: int, hot: np.ndarray):
+def _bin(least: np.ndarray, bins: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(bin, part) of minimisers; with ``salt`` a bin of the first step."""
+    spread = mix(least + np.uint64(99 + 2 * salt))
+    return (spread % np.uint64(bins)).astype(np.int64), ((spread >> np.uint64(40)) % np.uint64(PARTS)).astype(np.uint8)
+
+
+def _packed(words: Words, kmers: tuple, origin: Places, bins: int, salt: int, window: int, squeeze) -> Iterator[pa.RecordBatch]:
+    """One block per bin of the strings of super-k-mers; ``origin`` is the place of each one's
+    first word.  With ``salt`` they go to bins of the first step."""
+    first, last, least, _ = kmers
+    if not len(first):
+        return
+    bin_of, part = _bin(least, bins, salt)
+    order = np.lexsort((part, bin_of))
+    bin_of, part, first, last = bin_of[order], part[order], first[order], last[order]
+    owner, text_hash, at = (p[order] for p in origin)
+    begin, end = words.start[first], words.end[last + window - 1]
+    cuts = np.flatnonzero(np.concatenate(([True], bin_of[1:] != bin_of[:-1], [True])))
+    data, blocks = words.data, []
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        strings = [data[b:e] for b, e in zip(begin[lo:hi].tolist(), end[lo:hi].tolist(), strict=True)]
+        head = np.array([hi - lo], np.int64).tobytes() + owner[lo:hi].tobytes() + text_hash[lo:hi].tobytes() + at[lo:hi].astype(np.int32).tobytes() + np.fromiter(map(len, strings), np.int32, hi - lo).tobytes() + part[lo:hi].tobytes()
+        blocks.append(squeeze.compress(head + b"".join(strings)))
+    none = pa.nulls(len(blocks), pa.int64())
+    yield pa.RecordBatch.from_arrays([pa.array(bin_of[cuts[:-1]]), pa.array([salt > 0] * len(blocks)), pa.array(blocks, pa.binary()), none, none, none, none], schema=_PIECES)
+
+
+def _marks(runs: tuple[np.ndarray, ...], bins: int) -> Iterator[pa.RecordBatch]:
+    """Runs of repeats as rows; the bin only spreads them."""
+    d, t, s, n = runs
+    if len(d):
+        yield pa.RecordBatch.from_arrays([pa.array((mix(d.view(np.uint64)) % np.uint64(bins)).astype(np.int64)), pa.array([False] * len(d)), pa.nulls(len(d), pa.binary()), pa.array(d), pa.array(t), pa.array(s), pa.array(n)], schema=_PIECES)
+
+
+def _pack(window: int, gram: int, bins: int, salts: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1)
-        for ids, texts in _groups(batches):
+        squeeze, hot = zstandard.ZstdCompressor(level=1), shared.value
+        for ids, hashes, texts in _groups(batches):
             words = Words(texts)
-            found = _super(words, ids, window, gram, hot)
-            if not found:
+            at, places, repeat = _judged(words, ids, hashes, window)
+            if not len(at):
                 continue
-            doc_id, start, repeat, least, first, last = found
-            spread = mix(least + np.uint64(99))
-            bin_of = (spread % np.uint64(bins)).astype(np.int64)
-            part = ((spread >> np.uint64(40)) % np.uint64(PARTS)).astype(np.uint8)
-            order = np.lexsort((part, bin_of))
-            bin_of, part, first, last = bin_of[order], part[order], first[order], last[order]
-            begin, end = words.start[first], words.end[last + window - 1]
-            owner, at = ids[words.doc[first]], (first - words.first[words.doc[first]]).astype(np.int32)
-            cuts = np.flatnonzero(np.concatenate(([True], bin_of[1:] != bin_of[:-1], [True]))) if len(bin_of) else [0]
-            data, blocks = words.data, []
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                packed = [data[b:e] for b, e in zip(begin[lo:hi].tolist(), end[lo:hi].tolist(), strict=True)]
-                head = np.array([hi - lo], np.int64).tobytes() + owner[lo:hi].tobytes() + at[lo:hi].tobytes() + np.fromiter(map(len, packed), np.int32, hi - lo).tobytes() + part[lo:hi].tobytes()
-                blocks.append(squeeze.compress(head + b"".join(packed)))
-            if blocks:
-                none = pa.nulls(len(blocks), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(bin_of[cuts[:-1]]), pa.array(blocks, pa.binary()), none, none, none], schema=_PIECES)
-            d, s, n = _runs(doc_id, start, repeat)
-            if len(d):
-                yield pa.RecordBatch.from_arrays([pa.array((mix(d.view(np.uint64)) % np.uint64(bins)).astype(np.int64)), pa.nulls(len(d), pa.binary()), pa.array(d), pa.array(s), pa.array(n)], schema=_PIECES)
+            salt = 1 + int(mix((ids[:1] ^ hashes[:1]).view(np.uint64))[0] % np.uint64(salts))
+            kmers = _super_kmers(words, at[~repeat], *_minimisers(words, window, gram, hot))
+            for common in (False, True):
+                some = tuple(x[kmers[3] == common] for x in kmers)
+                doc = words.doc[some[0]]
+                yield from _packed(words, some, (ids[doc], hashes[doc], some[0] - words.first[doc]), bins, salt * common, window, squeeze)
+            yield from _marks(_runs(places, repeat), bins)
 
     return run
 
@@ -198,55 +247,62 @@ def _unpack(block: bytes):
     raw = zstandard.ZstdDecompressor().decompress(block)
     n = int(np.frombuffer(raw, np.int64, 1)[0])
     owner = np.frombuffer(raw, np.int64, n, 8)
-    at = np.frombuffer(raw, np.int32, n, 8 + 8 * n)
-    size = np.frombuffer(raw, np.int32, n, 8 + 12 * n)
-    part = np.frombuffer(raw, np.uint8, n, 8 + 16 * n)
-    ends = 8 + 17 * n + np.cumsum(size.astype(np.int64))
-    return raw, owner, at, ends - size, ends, part
-
-
-def _sort_bin(blocks: list[bytes], window: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    opened = [_unpack(b) for b in blocks]
+    text_hash = np.frombuffer(raw, np.int64, n, 8 + 8 * n)
+    at = np.frombuffer(raw, np.int32, n, 8 + 16 * n)
+    size = np.frombuffer(raw, np.int32, n, 8 + 20 * n)
+    part = np.frombuffer(raw, np.uint8, n, 8 + 24 * n)
+    ends = 8 + 25 * n + np.cumsum(size.astype(np.int64))
+    return raw, owner, text_hash, at, ends - size, ends, part
+
+
+def _sort_bin(blocks: list[bytes], salted: bool, window: int, gram: int, bins: int, hot: np.ndarray, squeeze) -> Iterator[pa.RecordBatch]:
+    """Marks of the windows that start earlier in the bin; of a salted bin also the others,
+    packed for the bins that they have without salt."""
+    small = sum(map(zstandard.frame_content_size, blocks)) <= OPEN
+    opened = [_unpack(b) for b in blocks] if small else None
     for p in range(PARTS):
         packed: list[bytes] = []
-        owners, ats = [], []
-        for raw, owner, at, begin, end, part in opened:
+        owners, hashes, ats = [], [], []
+        for raw, owner, text_hash, at, begin, end, part in opened if opened is not None else map(_unpack, blocks):
             lo, hi = np.searchsorted(part, [p, p + 1])
             packed += [raw[b:e] for b, e in zip(begin[lo:hi].tolist(), end[lo:hi].tolist(), strict=True)]
             owners.append(owner[lo:hi])
+            hashes.append(text_hash[lo:hi])
             ats.append(at[lo:hi])
-        if len(packed) < 2:
+        if not packed or len(packed) < 2 and not salted:
             continue
-        owner, at = np.concatenate(owners), np.concatenate(ats).astype(np.int64)
-        order = np.lexsort((at, owner))
-        owner, at = owner[order], at[order]
+        owner, text_hash, at = np.concatenate(owners), np.concatenate(hashes), np.concatenate(ats).astype(np.int64)
+        order = np.lexsort((at, text_hash, owner))
+        owner, text_hash, at = owner[order], text_hash[order], at[order]
         words = Words([packed[i] for i in order.tolist()])
-        n = len(words.hash) - window + 1
-        where = np.flatnonzero(words.doc[:n] == words.doc[window - 1 :])
+        where = _windows(words, window)
         piece = words.doc[where]
-        doc_id, start = owner[piece], at[piece] + where - words.first[piece]
-        yield _runs(doc_id, start, _repeats(words, where, rolling(words.prefix, window)[where], doc_id, start, window))
-
+        places = owner[piece], text_hash[piece], at[piece] + where - words.first[piece]
+        repeat = _repeats(words, where, rolling(words.prefix, window)[where], places, window)
+        yield from _marks(_runs(places, repeat), bins)
+        if salted:
+            kmers = _super_kmers(words, where[~repeat], *_minimisers(words, window, gram, hot))
+            piece = words.doc[kmers[0]]
+            yield from _packed(words, kmers, (owner[piece], text_hash[piece], at[piece] + kmers[0] - words.first[piece]), bins, 0, window, squeeze)
 
-def _sort(window: int):
-    names = ["doc_id", "start", "n"]
-
-    def out(parts) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in parts], names)
 
+def _sort(window: int, gram: int, bins: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze, hot = zstandard.ZstdCompressor(level=1), shared.value
         current, blocks = None, []
         for batch in batches:
             ready = batch.filter(batch.column("block").is_null())
             if ready.num_rows:
-                yield pa.RecordBatch.from_arrays([ready.column(c) for c in names], names)
+                yield ready
             rest = batch.filter(batch.column("block").is_valid())
-            for b, block in zip(rest.column("bin").to_pylist(), rest.column("block").to_pylist(), strict=True):
-                if b != current:
-                    yield from map(out, _sort_bin(blocks, window))
-                    current, blocks = b, []
+            for b, s, block in zip(rest.column("bin").to_pylist(), rest.column("salted").to_pylist(), rest.column("block").to_pylist(), strict=True):
+                if (b, s) != current:
+                    if blocks:
+                        yield from _sort_bin(blocks, current[1], window, gram, bins, hot, squeeze)
+                    current, blocks = (b, s), []
                 blocks.append(block)
-        yield from map(out, _sort_bin(blocks, window))
+        if blocks:
+            yield from _sort_bin(blocks, current[1], window, gram, bins, hot, squeeze)
 
     return run
 
@@ -278,6 +334,15 @@ def _kept(window: int):
     return run
 
 
+def _hot_minimisers(texts: DataFrame, window: int, gram: int, scratch: Scratch) -> np.ndarray:
+    """Frequent minimisers on the sample, ascending; at most MOST_HOT of them."""
+    sample = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)
+    counts = scratch.write("frequent", sample.mapInArrow(_count_minimisers(window, gram), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    found = counts.where(F.col("n") >= max(HOT, -(-total // MOST_HOT))).select("key").toArrow()
+    return np.sort(found.column("key").to_numpy().astype(np.int64).view(np.uint64))
+
+
 def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept_text) per row of docs(doc_id, text, ...).
 
@@ -285,20 +350,27 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     and earlier) is removed; kept_sha256 is of the kept words joined by one space and
     kept_text is those words (the text itself where nothing goes).  A null or blank text
     has no words and the digest of the empty string.  Rows with a null doc_id have no place
-    in the order: they lose nothing and cost others nothing.  Rows that repeat a doc_id
-    count as one document at the same places.  An empty table gives no rows; other columns
+    in the order: they lose nothing and cost others nothing.  Equal rows count as one document
+    at the same places; different texts under one doc_id are documents of their own, ordered
+    by a hash of the text.  A text of any length is taken whole, as a chunk of its own if it
+    is longer than CHUNK.  An empty table gives no rows; other columns, whatever their names,
     are not read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "substring")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bins = max(1, -(-3 * size // BIN))
-    sampled = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)
-    hot = sampled.mapInArrow(_count_minimisers(window, gram), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT).orderBy(F.desc("n"), "key").limit(MOST_HOT).collect()
-    hot_keys = np.sort(np.array([r["key"] for r in hot], np.int64).view(np.uint64))
-    packed = texts.mapInArrow(_pack(window, gram, bins, hot_keys), "bin long, block binary, doc_id long, start long, n long")
-    runs = packed.repartition("bin").sortWithinPartitions("bin").mapInArrow(_sort(window), "doc_id long, start long, n long")
-    marks = scratch.write("runs", runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("runs")))
-    joined = texts.join(marks.hint("merge"), "doc_id", "left").select("doc_id", "text", "runs")
+    bins, salts = max(1, -(-3 * size // BIN)), max(1, -(-size // (CHUNK * FAN)))
+    hot = spark.sparkContext.broadcast(_hot_minimisers(texts, window, gram, scratch))  # at most MOST_HOT numbers
+    packed = texts.mapInArrow(_pack(window, gram, bins, salts, hot), _PIECES_SQL)
+
+    def sort(pieces: DataFrame) -> DataFrame:
+        return pieces.repartition(bins, "bin").sortWithinPartitions("bin", "salted").mapInArrow(_sort(window, gram, bins, hot), _PIECES_SQL)
+
+    first = scratch.write("first", sort(packed))
+    second = sort(first.where("block is not null"))
+    runs = first.where("block is null").unionByName(second)
+    marks = scratch.write("runs", runs.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "n")).alias("runs")))
+    scratch.keep_only("runs")
+    joined = texts.join(marks.hint("merge"), ["doc_id", "text_hash"], "left").select("doc_id", "text", "runs")
     return joined.mapInArrow(_kept(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")

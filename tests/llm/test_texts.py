@@ -6,6 +6,7 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from barcraft.llm import decontaminate, quality, substring_dedup
 from barcraft.llm.text import Words
@@ -124,7 +125,7 @@ def test_substrings(spark, hot, monkeypatch):
     """Also with minimisers ranked last that are found in a single sampled window."""
     monkeypatch.setattr(substring_dedup, "HOT", hot)
     monkeypatch.setattr(substring_dedup, "SAMPLE", 1)
-    rows = [r for r in AWKWARD if r[0] != 9] + PASSAGES
+    rows = AWKWARD + PASSAGES + [(70, text_of(2, 20_000)), (71, text_of(2, 300))]
     got = substring_dedup.substring_dedup(make_docs(spark, rows)).collect()
     want = brute_substrings(rows)
     assert len(got) == len(rows)
@@ -142,12 +143,44 @@ def test_substrings_in_small_chunks_and_bins(spark, monkeypatch):
     assert got == {i: v[1] for i, v in brute_substrings(PASSAGES).items()}
 
 
+def test_a_passage_in_every_document(spark, monkeypatch):
+    """Frequent windows go through both steps, with several salts, and bins are opened part by part."""
+    for name, value in {"HOT": 3, "SAMPLE": 1, "CHUNK": 1500, "BIN": 4000, "FAN": 2, "OPEN": 300}.items():
+        monkeypatch.setattr(substring_dedup, name, value)
+    rows = [(i, text_of(1000 + i, 10 + i % 7) + " " + text_of(77, 55) + " " + text_of(3000 + i, 12)) for i in range(150)]
+    salted = []
+    real = substring_dedup._sort
+    monkeypatch.setattr(substring_dedup, "_sort", lambda *a: salted.append(a) or real(*a))
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.substring_dedup(make_docs(spark, rows)).collect()}
+    assert got == brute_substrings(rows) and len(salted) == 2
+    assert sum(v[1] for v in got.values()) >= 149 * 55
+    hot = salted[0][3].value
+    assert len(hot) and substring_dedup._minimisers(Words([text_of(77, 55).encode()]), 20, 4, hot)[1].all()
+
+
+def test_frequent_minimisers_stay_within_their_bound(spark, monkeypatch):
+    for name, value in {"HOT": 2, "SAMPLE": 1, "MOST_HOT": 5, "CHUNK": 2000}.items():
+        monkeypatch.setattr(substring_dedup, name, value)
+    from barcraft.llm.scratch import Scratch
+
+    rows = make_docs(spark, [(i, text_of(77, 55 + i)) for i in range(60)] + [(100 + i, text_of(i % 5, 40)) for i in range(60)], extra=False)
+    found = substring_dedup._hot_minimisers(rows.withColumn("text_hash", F.xxhash64("text")), 20, 4, Scratch(spark, "test"))
+    assert len(found) <= 5
+
+
+def test_ids_used_for_several_texts_lose_only_their_own_words(spark):
+    same = text_of(5, 50)
+    rows = [(1, same), (2, "lead " + same), (2, text_of(6, 40)), (2, text_of(6, 40)), (3, text_of(6, 40))]
+    got = sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in substring_dedup.substring_dedup(make_docs(spark, rows)).collect())
+    assert got == [(1, 50, 0), (2, 40, 0), (2, 40, 0), (2, 51, 50), (3, 40, 40)]
+
+
 def test_equal_hashes_are_settled_by_the_texts(monkeypatch):
     import numpy as np
 
     words = Words([text_of(1, 30).encode(), text_of(2, 30).encode(), text_of(1, 30).encode()])
     at = np.concatenate([np.arange(11) + 30 * i for i in range(3)])
-    got = substring_dedup._repeats(words, at, np.zeros(33, np.uint64), np.repeat([1, 2, 3], 11), np.tile(np.arange(11), 3), 20)
+    got = substring_dedup._repeats(words, at, np.zeros(33, np.uint64), (np.repeat([1, 2, 3], 11), np.zeros(33, np.int64), np.tile(np.arange(11), 3)), 20)
     assert got.tolist() == [False] * 22 + [True] * 11
 
 
