@@ -3,7 +3,7 @@
 No task holds more than a partition of edges and nothing is collected.  Each round, every
 partition replaces its edges by the spanning forest that union-find gives (at most one row
 per node), every node then points to its least neighbour, pointers are shortened, and the
-edges are contracted.  Stars around a least id, as banding makes them, end in one round.
+edges are contracted.  Once a forest has at most LOCAL_EDGES edges, one task ends it.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from barcraft.llm.scratch import Scratch
 
-#: Edges that one union-find holds; more in a partition are taken in runs of this size.
+#: Edges that one union-find holds: more in a partition are taken in runs of this size, and a
+#: graph that has no more is settled by one.
 LOCAL_EDGES = 1 << 18
 
 
@@ -64,6 +65,16 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out(sets)
 
 
+def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, up) of every node of a graph that one union-find holds."""
+    sets = UnionFind()
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            sets.union(a, b)
+    nodes = list(sets.parent)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([sets.find(x) for x in nodes], pa.int64())], ["node", "up"])
+
+
 def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:
     """(node, label) of every node of ``edges(a, b)``, label the least node reachable.
 
@@ -71,25 +82,30 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc") -
     no rows."""
     clean = edges.where("a is not null and b is not null").select(F.least("a", "b").cast("long").alias("a"), F.greatest("a", "b").cast("long").alias("b"))
     current = scratch.write(f"{name}_e0", clean.mapInArrow(_forest, "a long, b long").distinct())
-    nodes = clean.where("a = b").select(F.col("a").alias("node"))
     labels, k = None, 0
-    while not current.isEmpty():
-        both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("up"))
-        least = scratch.write(f"{name}_p{k}", least)
-        # two jumps: node -> up -> up's up
-        upper = least.select(F.col("node").alias("up"), F.col("up").alias("upper"))
-        point = scratch.write(f"{name}_q{k}", least.join(upper, "up").select("node", F.col("upper").alias("up")))
-        pa_, pb = point.select(F.col("node").alias("a"), F.col("up").alias("ra")), point.select(F.col("node").alias("b"), F.col("up").alias("rb"))
-        lifted = current.join(pa_, "a").join(pb, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
-        following = scratch.write(f"{name}_e{k + 1}", lifted.mapInArrow(_forest, "a long, b long").distinct())
+    while left := current.count():
+        last = left <= LOCAL_EDGES
+        if last:
+            point = scratch.write(f"{name}_q{k}", current.repartition(1).mapInArrow(_roots, "node long, up long"))
+        else:
+            both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            least = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("up"))
+            least = scratch.write(f"{name}_p{k}", least)
+            # two jumps: node -> up -> up's up
+            upper = least.select(F.col("node").alias("up"), F.col("up").alias("upper"))
+            point = scratch.write(f"{name}_q{k}", least.join(upper, "up").select("node", F.col("upper").alias("up")))
         if labels is None:
             labels = point.withColumnRenamed("up", "label")
         else:
             step = point.select(F.col("node").alias("label"), "up")
             labels = scratch.write(f"{name}_l{k}", labels.join(step, "label", "left").select("node", F.coalesce("up", "label").alias("label")))
-        current, k = following, k + 1
+        if last:
+            break
+        pa_, pb = point.select(F.col("node").alias("a"), F.col("up").alias("ra")), point.select(F.col("node").alias("b"), F.col("up").alias("rb"))
+        lifted = current.join(pa_, "a").join(pb, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
+        k += 1
+        current = scratch.write(f"{name}_e{k}", lifted.mapInArrow(_forest, "a long, b long").distinct())
     if labels is None:
-        labels = scratch.write(f"{name}_l", current.select(F.col("a").alias("node"), F.col("b").alias("label")))
-    loops = nodes.distinct().join(labels, "node", "left_anti").select("node", F.col("node").alias("label"))
-    return labels.unionByName(loops)
+        labels = current.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    loops = clean.where("a = b").select(F.col("a").alias("node")).distinct()
+    return labels.unionByName(loops.join(labels, "node", "left_anti").select("node", F.col("node").alias("label")))

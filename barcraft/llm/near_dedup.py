@@ -52,7 +52,7 @@ BANDS, ROWS = 25, 5
 #: Members, and bytes of their sets, that one linking task holds; one set may be larger.
 BLOCK, BLOCK_BYTES = 128, 16 << 20
 #: Rounds of hubs in wide groups.
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
 
 
 def shingle_sets(texts: list[bytes], width: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -180,13 +180,11 @@ def _wide_links(sets: DataFrame, threshold: int, block: int, scratch: Scratch) -
     where = bare.withColumn("comp", F.col("node"))
     for k in range(HUB_ROUNDS):
         # the hub of a bucket: its member first in a hash order that differs between rounds
-        hubs = where.groupBy("key").agg(F.min_by("node", F.xxhash64("node", F.lit(k))).alias("hub"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key", "hub")
-        hubs = scratch.write(f"hubs{k}", hubs)
-        stars = where.join(hubs.hint("merge"), "key").select("hub", "node", "comp", "size")
-        own = stars.where("hub = node").select("hub", F.col("comp").alias("hub_comp")).distinct()
-        stars = scratch.write(f"stars{k}", stars.join(own.hint("merge"), "hub").where("comp <> hub_comp").select("hub", "node", "size").distinct())
-        cuts = scratch.write(f"cuts{k}", stars.groupBy("hub").agg(_cells(F.count("*"), F.sum("size"), block).alias("cells")))
-        spokes = stars.join(cuts, "hub").select("hub", "node", _cell("node", k, F.col("cells")).alias("cell"), F.lit(False).alias("probe"))
+        hubs = where.groupBy("key").agg(F.min_by(F.struct("node", "comp"), F.xxhash64("node", F.lit(k))).alias("hub"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+        hubs = hubs.select("key", F.col("hub.node").alias("hub"), F.col("hub.comp").alias("hub_comp"))
+        stars = scratch.write(f"stars{k}", where.join(hubs.hint("merge"), "key").where("comp <> hub_comp").select("hub", "node", "size").distinct())
+        cuts = stars.groupBy("hub").agg(_cells(F.count("*"), F.sum("size"), block).alias("cells"))
+        spokes = stars.join(cuts.hint("merge"), "hub").select("hub", "node", _cell("node", k, F.col("cells")).alias("cell"), F.lit(False).alias("probe"))
         centres = cuts.select("hub", F.col("hub").alias("node"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.lit(True).alias("probe"))
         cast = spokes.unionByName(centres).join(sets.hint("merge"), "node")
         more = cast.groupBy("hub", "cell").applyInArrow(lambda t: link(t.select(["node", "bands", "set", "probe"])), "a long, b long")
@@ -202,7 +200,7 @@ def _wide_links(sets: DataFrame, threshold: int, block: int, scratch: Scratch) -
     if open_keys.isEmpty():
         return links
     open_keys = open_keys.withColumn("cuts", F.least(F.col("blocks"), F.greatest(F.ceil(F.col("outside") / block).cast("int"), F.lit(1))))
-    rows = scratch.write("open_rows", where.join(open_keys.hint("merge"), "key").select("key", "node", "comp", "main", "blocks", "cuts"))
+    rows = where.join(open_keys.hint("merge"), "key").select("key", "node", "comp", "main", "blocks", "cuts")
     # one cell: a row is its own probe; several: a probe meets every block, all others every cut
     single = rows.where("blocks = 1").select("key", "node", "comp", F.lit(0).alias("blk"), F.lit(0).alias("cut"), (F.col("comp") != F.col("main")).alias("probe"))
     many = rows.where("blocks > 1")

@@ -6,8 +6,9 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
-from barcraft.llm import near_dedup
+from barcraft.llm import components, near_dedup
 from barcraft.llm.components import UnionFind, connected_components
 from barcraft.llm.near_dedup import keep_one_of_each, near_duplicates, shingle_sets
 from barcraft.llm.scratch import Scratch
@@ -104,7 +105,9 @@ def test_signatures_estimate_similarity():
     assert abs((s[0] == s[1]).mean() - 400 / 600) < 0.1
 
 
-def test_components_of_chains_stars_and_loops(spark):
+@pytest.mark.parametrize("local", [1 << 18, 20, 1])
+def test_components_of_chains_stars_and_loops(spark, local, monkeypatch):
+    monkeypatch.setattr(components, "LOCAL_EDGES", local)
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 300)] + [(500, 500), (7, 7), (None, 3)] + [(rng.randrange(1000, 1200), rng.randrange(1000, 1200)) for _ in range(90)]
     known = UnionFind()
