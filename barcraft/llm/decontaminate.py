@@ -3,8 +3,10 @@
 DataFrame operations only.  Over all documents the occurrences of the benchmark's terms are
 counted; each benchmark window is represented by its two rarest positions; the postings
 (document, position) of those terms are stored; each list is shifted by the term's offset in
-the window, so that equal shifted places are places where both terms stand right; what the
-intersection leaves is confirmed word by word on the document.
+the window, so that equal shifted places are places where both terms stand right, and places
+at most ``slop`` apart are candidates of a proximity match; what the intersection leaves is
+confirmed word by word on the document.  Only documents with candidates are read as words
+again; of the others the number of words is all that is asked.
 
 Documents are keyed by a hash of id and text, so null and repeated ids are no special case:
 a collision could only add a candidate, which the confirmation refuses.
@@ -19,8 +21,16 @@ from pyspark.sql import functions as F
 
 from barcraft.llm.scratch import Scratch
 
-WINDOW = 10
+WINDOW, SLOP = 10, 2
+#: Terms that are sent to every task; a larger set is joined by a shuffle of counts, or of
+#: the tokens that a run-time filter leaves.
+BROADCAST_TERMS = 1_000_000
 _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_NOT_WORD_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def _shared(terms: DataFrame) -> DataFrame:
+    return F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
 
 
 def words_of(text: Column) -> Column:
@@ -30,6 +40,11 @@ def words_of(text: Column) -> Column:
     return F.coalesce(F.array_remove(F.split(lowered, _NOT_WORD), ""), F.array().cast("array<string>"))
 
 
+def word_number(text: Column) -> Column:
+    """Number of words; as long as text is not lower-cased, A-Z are word characters too."""
+    return F.coalesce(F.size(F.array_remove(F.split(text, _NOT_WORD_ANY_CASE), "")), F.lit(0)).cast("long")
+
+
 def _windows(items: DataFrame, window: int) -> DataFrame:
     """(item_id, at, len, words) of every window; an item with fewer words is one window."""
     w = items.select(F.col("item_id"), words_of(F.col("text").cast("string")).alias("ws")).where(F.size("ws") > 0)
@@ -43,7 +58,10 @@ def _candidates(docs: DataFrame, items: DataFrame, window: int, slop: int, scrat
     windows = scratch.write("windows", _windows(items, window).distinct().withColumn("phrase", F.array_join("words", " ")))
     terms = scratch.write("terms", windows.select(F.explode("words").alias("term")).distinct())
     tokens = docs.select("key", "ws")
-    counts = tokens.select(F.explode("ws").alias("term")).join(terms, "term").groupBy("term").agg(F.count("*").alias("n"))
+    every = tokens.select(F.explode("ws").alias("term"))
+    if terms.count() <= BROADCAST_TERMS:
+        every = every.join(F.broadcast(terms), "term")
+    counts = every.groupBy("term").agg(F.count("*").alias("n"))
     counts = scratch.write("counts", terms.join(counts, "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n")))
     # phrases repeat between items: rank the positions of each distinct phrase once
     phrases = windows.select("phrase", "len", "words").distinct()
@@ -53,12 +71,14 @@ def _candidates(docs: DataFrame, items: DataFrame, window: int, slop: int, scrat
     rare = scratch.write("rare", rare)
     wanted = rare.select("first.term").union(rare.select("second.term")).distinct()
     wanted = scratch.write("wanted", wanted)
-    postings = scratch.write("postings", tokens.select("key", F.posexplode("ws").alias("pos", "term")).join(wanted, "term"))
+    postings = scratch.write("postings", tokens.select("key", F.posexplode("ws").alias("pos", "term")).join(_shared(wanted), "term"))
+    # places are compared in buckets of 2 * slop + 1, of which a place and its slop meet two at most
+    width = 2 * slop + 1
+    bucket = lambda start: F.floor(start / width).cast("int")
     first = postings.join(rare.select("phrase", "len", F.col("first.term").alias("term"), F.col("first.pos").alias("offset")), "term").select("key", "phrase", "len", (F.col("pos") - F.col("offset")).alias("start"))
-    second = postings.join(rare.select("phrase", F.col("second.term").alias("term"), F.col("second.pos").alias("offset")), "term").select("key", "phrase", (F.col("pos") - F.col("offset")).alias("start"))
-    if slop:
-        second = second.withColumn("start", F.explode(F.sequence(F.col("start") - slop, F.col("start") + slop)))
-    both = first.where(F.col("start") >= -slop).distinct().join(second.distinct(), ["key", "phrase", "start"])
+    second = postings.join(rare.select("phrase", F.col("second.term").alias("term"), F.col("second.pos").alias("offset")), "term").select("key", "phrase", (F.col("pos") - F.col("offset")).alias("other"))
+    second = second.distinct().withColumn("bucket", F.explode(F.array_distinct(F.array(bucket(F.col("other") - slop), bucket(F.col("other") + slop)))) if slop else F.col("other"))
+    both = first.where(F.col("start") >= -slop).distinct().withColumn("bucket", bucket(F.col("start")) if slop else F.col("start")).join(second, ["key", "phrase", "bucket"]).where(F.abs(F.col("start") - F.col("other")) <= slop).select("key", "phrase", "len", "start").distinct()
     named = both.join(windows.select("phrase", "item_id", "at").distinct(), "phrase")
     grouped = named.groupBy("key").agg(F.collect_set(F.struct("item_id", "len", "phrase", "start")).alias("hits"))
     return scratch.write("candidates", grouped)
@@ -81,47 +101,53 @@ def _covered(hits: Column) -> Column:
     return F.aggregate(ordered, zero, step, lambda acc: acc["n"].cast("long"))
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+def _exact(ws: Column, h: Column) -> Column:
+    return F.when(h["start"] >= 0, F.array_join(F.slice(ws, F.greatest(h["start"], F.lit(0)) + 1, h["len"]), " ") == h["phrase"]).otherwise(F.lit(False))
+
+
+def _near(ws: Column, h: Column, slop: int) -> Column:
+    """Whether all words of the window stand, in any order, within ``slop`` of its place."""
+    lo = F.greatest(h["start"] - slop, F.lit(0))
+    around = F.slice(ws, lo + 1, h["start"] + h["len"] + slop - lo)
+    return F.size(F.array_except(F.split(h["phrase"], " "), around)) == 0
+
+
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = SLOP) -> DataFrame:
     """Per row of docs(doc_id, text, ...): doc_id, n_words, n_hit, n_items, items_sha256,
-    contaminated and matches (array of item_id, start, len).
+    contaminated, matches and near_matches (arrays of item_id, start, len).
 
     A window is ``window`` consecutive words of an item of items(item_id, text, ...), or a
     shorter item's whole sequence; a document word under any occurrence of a window is hit.
+    matches are these occurrences.  near_matches are the places that are none, but where all
+    words of a window stand within ``slop`` words in any order: the place is that which the
+    window's rarest word gives, and its second rarest lies within ``slop`` of its own place.
+    Ties of rarity go to the first word by code point, then to the first position.
     Null or wordless texts have no words and no hits; wordless items have no windows; rows
-    that repeat stand each for itself; items that repeat an item_id count once.  Empty
-    tables give no rows (documents) or no hits (items).  Other columns are not read.
+    that repeat stand each for itself; items that repeat an item_id count once.  A text of
+    any length is read whole.  Empty tables give no rows (documents) or no hits (items).
+    Other columns, whatever their names, are not read.
     """
     scratch = Scratch(docs.sparkSession, "contamination")
     keyed = _keyed(docs)
-    tokens = keyed.select("key", words_of(F.col("text")).alias("ws"))
-    found = _candidates(tokens, items, window, 0, scratch)
+    found = _candidates(keyed.select("key", words_of(F.col("text")).alias("ws")), items, window, slop, scratch)
     scratch.keep_only("candidates")
-    joined = keyed.join(found.hint("merge"), "key", "left").select("doc_id", words_of(F.col("text")).alias("ws"), "hits")
-    true = F.filter("hits", lambda h: F.array_join(F.slice(F.col("ws"), h["start"] + 1, h["len"]), " ") == h["phrase"])
-    matched = joined.select("doc_id", F.size("ws").cast("long").alias("n_words"), F.transform(F.coalesce(true, F.expr("array()").cast(found.schema["hits"].dataType)), lambda h: F.struct(h["item_id"].alias("item_id"), h["start"].alias("start"), h["len"].alias("len"))).alias("matches"))
+    read = keyed.join(found, "key").select("key", words_of(F.col("text")).alias("ws"), "hits")
+    bare = lambda hits: F.transform(hits, lambda h: F.struct(h["item_id"].alias("item_id"), h["start"].alias("start"), h["len"].alias("len")))
+    ws = F.col("ws")
+    judged = read.select("key", bare(F.filter("hits", lambda h: _exact(ws, h))).alias("matches"), bare(F.filter("hits", lambda h: ~_exact(ws, h) & _near(ws, h, slop))).alias("near_matches"))
+    # equal rows have equal hits: one of them is enough
+    hits = scratch.write("hits", judged.groupBy("key").agg(F.first("matches").alias("matches"), F.first("near_matches").alias("near_matches")))
+    scratch.keep_only("hits")
+    none = F.expr("array()").cast(hits.schema["matches"].dataType)
+    rows = keyed.select("doc_id", "key", word_number(F.col("text")).alias("n_words")).join(hits.hint("merge"), "key", "left").withColumn("matches", F.coalesce("matches", none)).withColumn("near_matches", F.coalesce("near_matches", none))
     names = F.sort_array(F.array_distinct(F.transform("matches", lambda m: m["item_id"].cast("string"))))
-    out = matched.select("doc_id", "n_words", _covered(F.col("matches")).alias("n_hit"), names.alias("names"), "matches")
-    return out.select("doc_id", "n_words", "n_hit", F.size("names").cast("long").alias("n_items"), F.sha2(F.array_join("names", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "matches")
-
-
-def proximity(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = 2) -> DataFrame:
-    """(doc_id, item_id, start): windows all of whose words stand, in any order, within
-    ``slop`` words of the place that the window's rarest word gives (``start``), the second
-    rarest lying within ``slop`` of its own place.  Exact phrases are among them."""
-    scratch = Scratch(docs.sparkSession, "proximity")
-    keyed = _keyed(docs)
-    tokens = keyed.select("key", words_of(F.col("text")).alias("ws"))
-    found = _candidates(tokens, items, window, slop, scratch)
-    scratch.keep_only("candidates")
-    joined = keyed.join(found.hint("merge"), "key").select("doc_id", words_of(F.col("text")).alias("ws"), "hits")
+    out = rows.select("doc_id", "n_words", _covered(F.col("matches")).alias("n_hit"), names.alias("names"), "matches", "near_matches")
+    return out.select("doc_id", "n_words", "n_hit", F.size("names").cast("long").alias("n_items"), F.sha2(F.array_join("names", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "matches", "near_matches")
 
-    def near(h: Column) -> Column:
-        lo = F.greatest(h["start"] - slop, F.lit(0))
-        around = F.slice(F.col("ws"), lo + 1, h["start"] + h["len"] + slop - lo)
-        return F.size(F.array_except(F.split(h["phrase"], " "), around)) == 0
 
-    hits = joined.select("doc_id", F.explode(F.filter("hits", near)).alias("h"))
-    return hits.select("doc_id", "h.item_id", F.col("h.start").cast("long").alias("start")).distinct()
+def listed(matches: Column) -> Column:
+    """Matches as one text: item:start:len, sorted as texts, comma-joined."""
+    return F.array_join(F.sort_array(F.transform(matches, lambda m: F.concat_ws(":", F.coalesce(m["item_id"].cast("string"), F.lit("")), m["start"].cast("string"), m["len"].cast("string")))), ",")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -134,5 +160,5 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -
     found = _candidates(tokens, items, window, 0, scratch)
     scratch.keep_only("candidates")
     joined = keyed.join(found.select(F.col("key").alias("__key"), F.col("hits").alias("__hits")).hint("merge"), "__key", "left").withColumn("__ws", F.when(F.col("__hits").isNotNull(), words_of(text)))
-    hit = F.exists("__hits", lambda h: F.array_join(F.slice(F.col("__ws"), h["start"] + 1, h["len"]), " ") == h["phrase"])
+    hit = F.exists("__hits", lambda h: _exact(F.col("__ws"), h))
     return joined.where(~F.coalesce(hit, F.lit(False))).select(*[docs[f"`{c}`"] for c in docs.columns])

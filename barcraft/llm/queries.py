@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from barcraft.llm.decontaminate import SLOP, contamination, listed
 from barcraft.llm.decontaminate import WINDOW as ITEM_WINDOW
-from barcraft.llm.decontaminate import contamination
 from barcraft.llm.language import identify
 from barcraft.llm.mixing import mix
 from barcraft.llm.near_dedup import near_duplicates
@@ -52,7 +53,8 @@ def op6_arrow_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | Non
 
 
 def op7_positional_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("matches")
+    found = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.withColumns({c: listed(F.col(c)) for c in ("matches", "near_matches")})
 
 
 def op8_min_cost_flow_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,12 +141,27 @@ dw AS (
   SELECT doc_id, p, n, array_to_string(ws[p:p + n - 1], ' ') AS g
   FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS p FROM d, n WHERE len(ws) >= n)),
 hits AS MATERIALIZED (SELECT doc_id, p, dw.n, item_id FROM dw JOIN bw ON dw.n = bw.n AND dw.g = bw.g),
+m AS (SELECT doc_id, string_agg(x, ',' ORDER BY x) AS matches FROM (SELECT DISTINCT doc_id, item_id::VARCHAR || ':' || (p - 1) || ':' || n AS x FROM hits) GROUP BY 1),
+t AS MATERIALIZED (SELECT doc_id, ws[i] AS term, i - 1 AS pos FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM d)),
+tf AS (SELECT term, count(*) AS c FROM t GROUP BY 1),
+ph AS MATERIALIZED (SELECT DISTINCT g, n, string_split(g, ' ') AS ws FROM bw),
+pt AS (SELECT g, n, term, pos, row_number() OVER (PARTITION BY g ORDER BY coalesce(c, 0), term, pos) AS nth
+  FROM (SELECT g, n, ws[i] AS term, i - 1 AS pos FROM (SELECT g, n, ws, unnest(range(1, n + 1)) AS i FROM ph)) LEFT JOIN tf USING (term)),
+rare AS MATERIALIZED (SELECT a.g, a.n, a.term AS t1, a.pos AS p1, coalesce(b.term, a.term) AS t2, coalesce(b.pos, a.pos) AS p2
+  FROM (SELECT * FROM pt WHERE nth = 1) a LEFT JOIN (SELECT * FROM pt WHERE nth = 2) b ON a.g = b.g),
+cand AS (SELECT DISTINCT x.doc_id, r.g, r.n, x.pos - p1 AS start FROM rare r JOIN t x ON x.term = t1 JOIN t y ON y.term = t2 AND y.doc_id = x.doc_id
+  WHERE x.pos - p1 >= -{SLOP} AND abs((x.pos - p1) - (y.pos - p2)) <= {SLOP}),
+near AS (SELECT DISTINCT c.doc_id, bw.item_id::VARCHAR || ':' || c.start || ':' || c.n AS x FROM cand c JOIN d USING (doc_id) JOIN bw ON bw.g = c.g
+  WHERE list_has_all(d.ws[greatest(c.start - {SLOP}, 0) + 1:c.start + c.n + {SLOP}], string_split(c.g, ' '))
+  AND array_to_string(CASE WHEN c.start >= 0 THEN d.ws[c.start + 1:c.start + c.n] ELSE [] END, ' ') <> c.g),
+nm AS (SELECT doc_id, string_agg(x, ',' ORDER BY x) AS near_matches FROM near GROUP BY 1),
 c AS (SELECT doc_id, count(DISTINCT i) AS n_hit FROM (SELECT doc_id, p + unnest(range(0, n)) AS i FROM hits) GROUP BY 1),
 i AS (SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names
   FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS name FROM hits) GROUP BY 1)
 SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN c USING (doc_id) LEFT JOIN i USING (doc_id)
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+  coalesce(matches, '') AS matches, coalesce(near_matches, '') AS near_matches
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN i USING (doc_id) LEFT JOIN m USING (doc_id) LEFT JOIN nm USING (doc_id)
 """,
     "op3_repetition_quality": rf"""
 WITH w AS MATERIALIZED (SELECT doc_id, text, coalesce(regexp_extract_all(text, '{_WORD}'), []) AS ws FROM documents),

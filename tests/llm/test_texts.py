@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -213,7 +214,7 @@ def items_table(spark):
 
 
 def test_contamination(spark):
-    rows = [r for r in AWKWARD if r[0] != 9] + TAINTED
+    rows = AWKWARD + TAINTED
     got = decontaminate.contamination(make_docs(spark, rows), items_table(spark)).collect()
     want = sorted((str(i), *brute_hits(t, ITEMS)) for i, t in rows)
     assert sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"]) for r in got) == want
@@ -234,9 +235,62 @@ def test_contaminated_rows_go(spark):
     assert sorted((r["doc_id"], r["text"][:5]) for r in kept.collect()) == [(41, "clean"), (42, text_of(77, 9)[:5])]
 
 
+def brute_matches(rows, items, window=10, slop=2):
+    """(document row, item, start, len) of the exact and of the near matches."""
+    split = [TOKEN.findall(lower(t)) for _, t in rows]
+    counts = Counter(w for words in split for w in words)
+    exact, near = set(), set()
+    for item, t in items:
+        w = TOKEN.findall(lower(t))
+        for k in range(max(1, len(w) - window + 1)) if w else ():
+            g = w[k : k + window]
+            order = sorted(range(len(g)), key=lambda i: (counts[g[i]], g[i], i))
+            a, b = order[0], order[min(1, len(order) - 1)]
+            for n, words in enumerate(split):
+                places = [p - b for p, x in enumerate(words) if x == g[b]] if g[a] in words else []
+                for start in {p - a for p, x in enumerate(words) if x == g[a]}:
+                    if start < -slop or not any(abs(start - p) <= slop for p in places):
+                        continue
+                    if start >= 0 and words[start : start + len(g)] == g:
+                        exact.add((n, item, start, len(g)))
+                    elif set(g) <= set(words[max(0, start - slop) : start + len(g) + slop]):
+                        near.add((n, item, start, len(g)))
+    return exact, near
+
+
+def shuffled(seed, words):
+    import random
+
+    rng, out = random.Random(seed), list(words)
+    for _ in range(2):
+        k = rng.randrange(len(out) - 1)
+        out[k], out[k + 1] = out[k + 1], out[k]
+    return out
+
+
+def test_phrase_and_proximity_matches(spark):
+    base = text_of(500, 30).split()
+    rows = [(i, t) for i, (_, t) in enumerate(AWKWARD + TAINTED)]
+    rows += [(100 + i, " ".join([*base[3:6], *shuffled(i, base[: 12 + i % 9]), "tail"])) for i in range(12)] + [(200, " ".join(base[1:25])), (201, "item short here"), (202, "here far from short and item")] + [(300 + k, " ".join(base[k + 2 : k + 10] + base[k : k + 2])) for k in range(8)]
+    got = {r["doc_id"]: r for r in decontaminate.contamination(make_docs(spark, rows), items_table(spark)).collect()}
+    exact, near = brute_matches(rows, ITEMS)
+    at = {i: n for n, (i, _) in enumerate(rows)}
+    assert {(at[i], m["item_id"], m["start"], m["len"]) for i, r in got.items() for m in r["matches"]} == exact
+    assert {(at[i], m["item_id"], m["start"], m["len"]) for i, r in got.items() for m in r["near_matches"]} == near
+    assert len(exact) > 50 and len(near) > 20 and any(s < 0 for _, _, s, _ in near)
+
+
+def test_a_vocabulary_beyond_the_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_TERMS", 3)
+    rows = TAINTED + [(50, text_of(9, 40))]
+    got = decontaminate.contamination(make_docs(spark, rows), items_table(spark)).collect()
+    assert sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"]) for r in got) == sorted((str(i), *brute_hits(t, ITEMS)) for i, t in rows)
+
+
 def test_proximity_finds_shuffled_words(spark):
     w = text_of(500, 30).split()[:10]
     moved = [w[1], w[0], *w[2:8], w[9], w[8]]
     docs = make_docs(spark, [(1, "lead in " + " ".join(moved) + " tail"), (2, " ".join(w)), (3, " ".join(w[:5]) + " far " * 9 + " ".join(w[5:]))])
     one = spark.createDataFrame([(6, " ".join(w))], "item_id long, text string")
-    assert {r["doc_id"] for r in decontaminate.proximity(docs, one, slop=2).collect()} == {1, 2}
+    got = {r["doc_id"]: r for r in decontaminate.contamination(docs, one).collect()}
+    assert len(got[1]["near_matches"]) == 1 and not got[1]["contaminated"] and not got[2]["near_matches"] and got[2]["contaminated"] and not got[3]["near_matches"]
