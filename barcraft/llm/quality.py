@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barcraft.llm.scratch import small_batches
 from barcraft.llm.text import Words, chunks, mix
 
 MIN_WORDS = 20
@@ -131,6 +132,7 @@ def repetition_quality(docs: DataFrame) -> DataFrame:
     shuffle.  A text is measured whole, about 1 MB of texts at a time; a longer one takes
     some 20 bytes of memory for each of its own.  A measure that equals its limit passes.
     """
+    small_batches(docs.sparkSession)
     source = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("__text"))
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{k} long" for k in MEASURES)
     return verdicts(source.mapInArrow(_measured, schema))
@@ -140,6 +142,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs with a kept verdict, all columns as they are, in one pass.
 
     Columns of docs may have any names: the measures travel beside a packed copy."""
+    small_batches(docs.sparkSession)
     packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("__row"), F.col("text").cast("string").alias("__text"))
     schema = f"__row {packed.schema['__row'].dataType.simpleString()}, " + ", ".join(f"{k} long" for k in MEASURES)
     return verdicts(packed.mapInArrow(_measured, schema)).where("kept").select("__row.*")

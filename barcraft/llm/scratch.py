@@ -1,9 +1,9 @@
 """Tables that cut lineage, in the folder all executors share.
 
-The folder is the session's ``spark.checkpoint.dir``.  Only where that is unset (tests,
-one machine) a folder of our own is made.  A lost executor costs a re-read, not a
-recomputation, and an aborted run leaves nothing that a later run would read: every
-scratch has a fresh name.
+The folder is the session's ``spark.checkpoint.dir``.  Only where that is unset on one machine
+(tests) a folder of our own is made; on a cluster that is an error, since every executor would
+write to its own disk.  A lost executor costs a re-read, not a recomputation, and an aborted
+run leaves nothing that a later run would read: every scratch has a fresh name.
 """
 
 from __future__ import annotations
@@ -14,21 +14,40 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of an Arrow batch where the session names no number: documents may be long, and a
+#: batch is held by the JVM and by the worker.
+BATCH_ROWS = 1000
+
 _own: dict[str, str] = {}
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Sets BATCH_ROWS unless the session has a number of its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, else the context's checkpoint folder, else one of our own."""
+    """spark.checkpoint.dir, else the context's checkpoint folder, else on a local master one of
+    our own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    app = spark.sparkContext.applicationId
+    master, app = spark.sparkContext.master, spark.sparkContext.applicationId
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="barcraft-shared-")
         spark.conf.set("spark.checkpoint.dir", _own[app])
     return _own[app]
 
 
+def lasting_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder for an operator's product beside the scratch tables; nothing here removes it."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
@@ -44,7 +63,8 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        self.path = lasting_folder(spark, name)
+        small_batches(spark)
         self.names: list[str] = []
         atexit.register(_remove, spark, self.path)
 

@@ -8,8 +8,7 @@ minimisers, so they meet in one bin, where sorting finds each window's first occ
 * Pre-aggregation: each chunk of texts first drops the windows that already start earlier
   in the chunk; only first occurrences are packed.
 * Transport: a chunk sends one Zstandard block of packed strings per bin, so the shuffle
-  moves few rows; bins grow in number with the text, not in size, and every bin count has as many
-  partitions.
+  moves few rows; bins grow in number with the text, not in size, and each is a partition.
 * Skew: minimisers that very many super-k-mers share are found on a sample of the documents
   and rank last, so that the many different windows around a common phrase take rarer grams.
   Equal windows (a passage in a third of all documents) can't be told apart by any gram, so a
@@ -40,7 +39,7 @@ from barcraft.llm.text import Words, mix, rolling, texts_of
 WINDOW, GRAM = 20, 4
 #: Text bytes that a mapper takes at once, packed bytes that a bin should get, the parts in
 #: which a bin is sorted, and the packed bytes that a bin may hold unpacked.
-CHUNK, BIN, PARTS, OPEN = 4 << 20, 32 << 20, 16, 128 << 20
+CHUNK, BIN, PARTS, OPEN = 4 << 20, 24 << 20, 8, 64 << 20
 #: A minimiser ranks last if the sample (one document in SAMPLE) has it this often.  Where more than
 #: MOST_HOT would be, the bound rises until they are not: by arithmetic, no more than
 #: (all of them / bound) minimisers can reach it.
@@ -365,7 +364,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     packed = texts.mapInArrow(_pack(window, gram, bins, salts, hot), _PIECES_SQL)
 
     def sort(pieces: DataFrame) -> DataFrame:
-        return pieces.repartition(bins, "bin").sortWithinPartitions("bin", "salted").mapInArrow(_sort(window, gram, bins, hot), _PIECES_SQL)
+        return pieces.repartitionById(bins, F.col("bin").cast("int")).sortWithinPartitions("bin", "salted").mapInArrow(_sort(window, gram, bins, hot), _PIECES_SQL)
 
     first = scratch.write("first", sort(packed))
     second = sort(first.where("block is not null"))
