@@ -42,7 +42,7 @@ def words_of(text: Column) -> Column:
 
 def word_number(text: Column) -> Column:
     """Number of words; as long as text is not lower-cased, A-Z are word characters too."""
-    return F.coalesce(F.size(F.array_remove(F.split(text, _NOT_WORD_ANY_CASE), "")), F.lit(0)).cast("long")
+    return F.size(F.coalesce(F.array_remove(F.split(text, _NOT_WORD_ANY_CASE), ""), F.array().cast("array<string>"))).cast("long")
 
 
 def _windows(items: DataFrame, window: int) -> DataFrame:

@@ -27,7 +27,7 @@ MAX_PATTERNS = 20_000
 
 def word_count(text: Column) -> Column:
     """Number of ``[^\\x20\\x09-\\x0D]+``; null: 0."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    return F.size(F.coalesce(F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), ""), F.array().cast("array<string>"))).cast("long")
 
 
 def source_weights(names: list[str | None], weights: tuple[int, ...] = WEIGHTS) -> dict[str | None, int]:

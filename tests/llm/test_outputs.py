@@ -48,6 +48,23 @@ def test_one_key_larger_than_a_shard_becomes_pages(spark):
     assert {r["shard"]: r["shard_bytes"] for r in got} == dict(sizes)
 
 
+def test_many_levels_are_summed_in_spans(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "SPAN", 3)
+    rows = [(i, text_of(i, 3 + i % 20)) for i in range(400)]
+    got = sharding.shards(make_docs(spark, rows), 300).collect()
+    want = {r[0]: w for r, w in zip(rows, brute_shards(rows, 300), strict=True)}
+    assert {r["doc_id"]: (r["shard"].removeprefix("b"), r["shard_bytes"]) for r in got} == want
+
+
+def test_pages_do_not_depend_on_the_layout(spark):
+    rows = [(5, "x" * (10 + i % 9) + str(i % 40)) for i in range(400)] + [(6, "same text") for _ in range(200)] + [(7, None)] * 3
+    docs = make_docs(spark, rows)
+    found = [Counter((r["doc_id"], r["n_bytes"], r["shard"], r["shard_bytes"]) for r in sharding.shards(docs.repartition(n), 400).collect()) for n in (1, 4, 11)]
+    assert found[0] == found[1] == found[2] and len(found[0]) > 20
+    texts = [Counter((r["text"], r["shard_"]) for r in sharding.sharded(docs.repartition(n), 400).collect()) for n in (2, 7)]
+    assert texts[0] == texts[1]
+
+
 def test_awkward_shards(spark, awkward, nothing):
     assert sharding.shards(awkward).count() == len(AWKWARD) and sharding.shards(nothing).count() == 0
     out = sharding.sharded(awkward, 1000)
