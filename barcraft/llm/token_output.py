@@ -9,11 +9,18 @@ ids is cut into sequences of one length.  Each partition writes
   read at a known place without copying or decoding;
 * ``part-NNNNN.index.arrow``: doc_id, start (within the file) and n_tokens per document;
 
-and one manifest row, from which a file's place in the whole stream follows.
+and one manifest row, from which a file's place in the whole stream follows.  Partitions are
+ranges of doc_id, as many as FILE_BYTES of text each make necessary, so files have about one
+size whatever the table's.
+
+Words are encoded once and remembered where that gives the ids of the whole text: under a
+normalizer that lower-cases and a pre-tokenizer of WORD_PATTERN, which no blank belongs to.
+Any other tokenizer encodes whole texts.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -25,13 +32,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barcraft.llm.scratch import Scratch, open_folder, put_file
+from barcraft.llm.scratch import Scratch, lasting_folder, open_folder, put_file
+from barcraft.llm.text import chunks
 
 SEQUENCE, BATCH = 1024, 256
+#: Text bytes of a file.
+FILE_BYTES = 32 << 20
 END_ID, PAD_ID = 1, 0
 #: Distinct words whose ids a worker remembers before it starts anew.
 REMEMBERED = 600_000
 
+#: Pre-tokens of the tokenizers whose words can be encoded one by one (fixed value).
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
 #: Stands between words that are encoded in one call; words that hold it are not.
 _BETWEEN = "\u00a6"
 _TAIL = re.compile(rb"(?<=[a-z])[.,;:!?](?=\s|\Z)")
@@ -120,13 +133,38 @@ def load_tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-_encoders: dict[str, WordEncoder] = {}
+class TextEncoder:
+    """Encodes whole texts: right with any tokenizer."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, number of ids of each text)."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.concatenate([np.zeros(0, np.uint32), *(np.asarray(x, np.uint32) for x in found)]), sizes
+
+
+def word_wise(tokenizer) -> bool:
+    """Whether encoding word by word gives the ids of the whole text."""
+    made = json.loads(tokenizer.to_str())
+    steps = lambda x, inner: [] if not x else x.get(inner, [x])
+    normal = [n["type"] for n in steps(made["normalizer"], "normalizers")]
+    cuts = steps(made["pre_tokenizer"], "pretokenizers")
+    first = cuts[0] if cuts else {}
+    splits = first.get("type") == "Split" and first["pattern"] == {"Regex": WORD_PATTERN} and first["behavior"] == "Removed" and first["invert"]
+    return bool(splits) and normal == ["NFC", "Replace", "Lowercase"] and all(c["type"] == "ByteLevel" and not c["add_prefix_space"] and not c["use_regex"] for c in cuts[1:])
+
+
+_encoders: dict[str, WordEncoder | TextEncoder] = {}
 
 
-def encoder_of(path: str) -> WordEncoder:
+def encoder_of(path: str) -> WordEncoder | TextEncoder:
     """This worker's encoder: what it remembers outlives a task."""
     if path not in _encoders:
-        _encoders[path] = WordEncoder(load_tokenizer(path))
+        tokenizer = load_tokenizer(path)
+        _encoders[path] = WordEncoder(tokenizer) if word_wise(tokenizer) else TextEncoder(tokenizer)
     return _encoders[path]
 
 
@@ -153,16 +191,16 @@ def _write(folder: str, tokenizer: str, sequence: int, end_id: int):
                     out.write_batch(pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(ids), sequence), pa.FixedSizeListArray.from_arrays(pa.array(mask), sequence)], schema=schema))
 
                 for batch in batches:
-                    for lo in range(0, batch.num_rows, 512):
-                        some = batch.slice(lo, 512)
-                        ids, n = encoder.encode([t or b"" for t in some.column("text").cast(pa.binary()).to_pylist()])
+                    for lo, hi, texts in chunks(batch):
+                        ids, n = encoder.encode(texts)
                         closed = np.insert(ids.astype(kind), np.cumsum(n), end_id)
-                        doc_ids.append(some.column("doc_id"))
+                        doc_ids.append(batch.column("doc_id").slice(lo, hi - lo))
                         sizes.append(n + 1)
                         rest = np.concatenate((rest, closed))
-                        while len(rest) >= step:
-                            put(rest[:step], step)
-                            rest = rest[step:]
+                        whole = len(rest) // step * step
+                        for at in range(0, whole, step):
+                            put(rest[at : at + step], step)
+                        rest = rest[whole:].copy()
                 if len(rest):
                     padded = np.full(-(-len(rest) // sequence) * sequence, PAD_ID, kind)
                     padded[: len(rest)] = rest
@@ -188,7 +226,9 @@ def _write(folder: str, tokenizer: str, sequence: int, end_id: int):
 def write_tokens(docs: DataFrame, tokenizer: str, folder: str, scratch: Scratch, sequence: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
     """Writes the files under ``folder`` and returns the manifest (part, file, n_docs,
     n_tokens, base): base is the number of ids in the files before."""
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.crc32("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ordered = texts.repartitionByRange(max(1, -(-size // FILE_BYTES)), "doc_id").sortWithinPartitions("doc_id", F.crc32("text"))
     written = scratch.write("manifest", ordered.mapInArrow(_write(folder, tokenizer, sequence, end_id), "part long, file string, n_docs long, n_tokens long"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return written.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
@@ -236,13 +276,16 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
     return rows.repartition(max(1, rows.count())).mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def token_files(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
-    """Writes docs(doc_id, text, ...) as token files in the shared folder and reads them
-    back; ``tokenizer`` is the path of a tokenizers file that every worker has.
+def token_files(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id: int = END_ID, folder: str | None = None) -> DataFrame:
+    """Writes docs(doc_id, text, ...) as token files under ``folder`` (default: a fresh one in
+    the shared folder, which stays) and reads them back; ``tokenizer`` is the path of a
+    tokenizers file that every worker has.
 
     A null or blank text has the end id alone.  Null doc_ids come first; rows that repeat a
-    doc_id are neighbours, each with its own place.  An empty table gives no rows; other
-    columns are not read.  A document longer than a sequence runs over several.
+    doc_id are neighbours in the order of a checksum of their texts, each with its own place.
+    An empty table gives no rows; other columns, whatever their names, are not read.  A
+    document longer than a sequence runs over several; a very long one is encoded whole, by
+    itself.
     """
     scratch = Scratch(docs.sparkSession, "tokens")
-    return read_tokens(write_tokens(docs, tokenizer, f"{scratch.path}/files", scratch, sequence, end_id))
+    return read_tokens(write_tokens(docs, tokenizer, folder or lasting_folder(docs.sparkSession, "token-files"), scratch, sequence, end_id))

@@ -5,8 +5,10 @@ dictionary, then one Zstandard frame per WARC/1.1 record, so any record can be r
 offset with the dictionary alone.  Of records with equal payloads one is the response and the
 others are revisits (identical-payload-digest profile), which store headers only.
 
-The dictionary is trained on a bounded sample of the records that will be archived
-(about SAMPLE_RECORDS records by a hash of their ids, SAMPLE_BYTES characters of each); it decides sizes, never contents.
+The dictionary is trained on whole records as they are written: a bounded sample of about
+SAMPLE_RECORDS records and SAMPLE_BYTES bytes by a hash of their ids, of pages up to
+SAMPLE_LONGEST bytes.  It decides sizes, never contents.  A task that has more than FILE_BYTES
+to write goes on in a further file.
 """
 
 from __future__ import annotations
@@ -25,10 +27,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barcraft.llm.scratch import Scratch, open_folder, put_file
+from barcraft.llm.scratch import Scratch, lasting_folder, open_folder, put_file
 
 SKIPPABLE = 0x184D2A5D
-SAMPLE_RECORDS, SAMPLE_BYTES, DICTIONARY_BYTES = 1000, 16384, 65536
+SAMPLE_RECORDS, SAMPLE_BYTES, SAMPLE_LONGEST, DICTIONARY_BYTES = 1000, 16 << 20, 1 << 20, 65536
+FILE_BYTES = 1 << 30
 LEVEL = 3
 DATE = "1970-01-01T00:00:00Z"  # the tables have no capture time
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -121,28 +124,40 @@ def describe(head: dict[str, str], block: bytes) -> tuple:
     return number("X-Page-ID"), size, digest, head["WARC-Type"], number("X-Refers-To-Page-ID")
 
 
+_COLUMNS = ["page_id", "url", "html", "refers_to", "refers_url"]
+
+
+def _serialised(page_id, url, html: bytes | None, refers_to, refers_url) -> bytes:
+    payload = html or b""
+    return record(page_id, url, payload, payload_digest(payload), refers_to, refers_url)
+
+
 def _write(folder: str, dictionary: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name = f"{folder}/part-{TaskContext.get().partitionId():05d}.warc.zst"
         held = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         if held:
             held.precompute_compress(level=LEVEL)
         squeeze = zstandard.ZstdCompressor(level=LEVEL, dict_data=held)
-        n = 0
-
-        def fill(stream) -> None:
-            nonlocal n
-            stream.write(dictionary_frame(dictionary))
-            for batch in batches:
-                columns = [batch.column(c) for c in ("page_id", "url", "refers_to", "refers_url")]
-                for i, payload in enumerate(batch.column("html").cast(pa.binary())):
-                    page_id, url, refers_to, refers_url = (c[i].as_py() for c in columns)
-                    body = payload.as_py() or b""
-                    stream.write(squeeze.compress(record(page_id, url, body, payload_digest(body), refers_to, refers_url)))
+        rows = (row for batch in batches for lo in range(0, batch.num_rows, 256) for row in zip(*(c.cast(pa.binary()).to_pylist() if name == "html" else c.to_pylist() for name, c in zip(_COLUMNS, batch.slice(lo, 256).select(_COLUMNS).columns, strict=True)), strict=True))
+        following, k = next(rows, None), 0
+        while following is not None:
+            name, n = f"{folder}/part-{TaskContext.get().partitionId():05d}-{k:04d}.warc.zst", 0
+
+            def fill(stream) -> None:
+                nonlocal following, n
+                frame = dictionary_frame(dictionary)
+                size = len(frame)
+                while following is not None and (size < FILE_BYTES or not n):
+                    stream.write(frame)
+                    frame = squeeze.compress(_serialised(*following))
+                    size += len(frame)
                     n += 1
+                    following = next(rows, None)
+                stream.write(frame)
 
-        put_file(name, fill)
-        yield pa.RecordBatch.from_pydict({"file": [name], "n_records": [n]})
+            put_file(name, fill)
+            yield pa.RecordBatch.from_pydict({"file": [name], "n_records": [n]})
+            k += 1
 
     return run
 
@@ -179,14 +194,19 @@ def write_warc(pages: DataFrame, folder: str, scratch: Scratch, min_bytes: int =
     large = rows.where(F.octet_length("html") >= min_bytes)
     winners = large.groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("w"), F.count("*").alias("n")).where("n > 1 and w.page_id is not null")
     winners = scratch.write("winners", winners.select("digest", F.col("w.page_id").alias("winner"), F.col("w.url").alias("refers_url")))
-    share = min(1.0, SAMPLE_RECORDS / max(1, rows.count()))
-    chosen = rows.where(F.pmod(F.xxhash64("page_id", "url"), F.lit(1_000_003)) < F.lit(math.ceil(share * 1_000_003)))
-    sample = chosen.select(F.substring("html", 1, SAMPLE_BYTES).alias("html")).collect()
-    dictionary = train([record(i, "http://host/", x, payload_digest(x)) for i, r in enumerate(sample) if (x := r["html"].encode())])
-    joined = rows.join(winners.hint("merge"), "digest", "left")
-    revisit = F.col("winner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("winner")) & (F.octet_length("html") >= min_bytes)
-    marked = joined.select("page_id", "url", "html", F.when(revisit, F.col("winner")).alias("refers_to"), F.when(revisit, F.col("refers_url")).alias("refers_url"))
-    return scratch.write("manifest", marked.mapInArrow(_write(folder, dictionary), "file string, n_records long"))
+
+    def as_written(some: DataFrame) -> DataFrame:
+        joined = some.join(winners.hint("merge"), "digest", "left")
+        revisit = F.col("winner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("winner")) & (F.octet_length("html") >= min_bytes)
+        return joined.select("page_id", "url", "html", F.when(revisit, F.col("winner")).alias("refers_to"), F.when(revisit, F.col("refers_url")).alias("refers_url"))
+
+    short = rows.where(F.octet_length("html") <= SAMPLE_LONGEST)
+    found = short.agg(F.count("*").alias("n"), F.sum(F.octet_length("html")).alias("bytes")).first()
+    share = min(1.0, SAMPLE_RECORDS / max(1, found["n"]), SAMPLE_BYTES / max(1, found["bytes"] or 0))
+    chosen = short.where(F.pmod(F.xxhash64("page_id", "url"), F.lit(1_000_003)) < F.lit(math.ceil(share * 1_000_003)))
+    sample = as_written(chosen).collect()  # bounded: see SAMPLE_RECORDS, SAMPLE_BYTES
+    dictionary = train([_serialised(r["page_id"], r["url"], r["html"].encode(), r["refers_to"], r["refers_url"]) for r in sample])
+    return scratch.write("manifest", as_written(rows).mapInArrow(_write(folder, dictionary), "file string, n_records long"))
 
 
 def read_warc(manifest: DataFrame) -> DataFrame:
@@ -195,13 +215,16 @@ def read_warc(manifest: DataFrame) -> DataFrame:
     return files.repartition(max(1, files.count())).mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
-def warc_round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Archives pages(page_id, url, html, ...) in the shared folder and reads them back.
+def warc_round_trip(pages: DataFrame, min_bytes: int = 0, folder: str | None = None) -> DataFrame:
+    """Archives pages(page_id, url, html, ...) under ``folder`` (default: a fresh one in the
+    shared folder, which stays) and reads them back.
 
     A null html is an empty payload; of equal payloads of at least ``min_bytes`` bytes the
     one with the largest page_id is the response and the others revisit it.  Rows that share
     that page_id are all responses; a null page_id never is the one referred to (where all
-    are null, all are responses).  An empty table gives no rows; other columns are not read.
+    are null, all are responses).  A payload of any length is one record, held whole while it
+    is written.  An empty table gives no rows; other columns, whatever their names, are not
+    read.
     """
     scratch = Scratch(pages.sparkSession, "warc")
-    return read_warc(write_warc(pages, f"{scratch.path}/files", scratch, min_bytes))
+    return read_warc(write_warc(pages, folder or lasting_folder(pages.sparkSession, "archives"), scratch, min_bytes))

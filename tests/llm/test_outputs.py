@@ -78,7 +78,7 @@ def tokenizer():
 
 def test_word_encoder_equals_the_tokenizer(tokenizer):
     plain = token_output.load_tokenizer(tokenizer)
-    texts = [t or "" for _, t in AWKWARD if t is None or len(t) < 60_000] + ["<|endoftext|> It's<|startoftext|>a b é ́x DON'T", "H̱ello J̌ K. 'S. end!! a,b c., d.¦ ¦ x¦y 12. a1. <|ENDOFTEXT|>", "don't. we're! A. B, É."]
+    texts = [t or "" for _, t in AWKWARD] + ["<|endoftext|> It's<|startoftext|>a b é ́x DON'T", "H̱ello J̌ K. 'S. end!! a,b c., d.¦ ¦ x¦y 12. a1. <|ENDOFTEXT|>", "don't. we're! A. B, É."]
     ids, n = token_output.WordEncoder(plain).encode([t.encode() for t in texts])
     want = [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
     assert ids.tolist() == [i for x in want for i in x] and n.tolist() == [len(x) for x in want]
@@ -86,7 +86,7 @@ def test_word_encoder_equals_the_tokenizer(tokenizer):
 
 def test_token_files_round_trip(spark, tokenizer):
     plain = token_output.load_tokenizer(tokenizer)
-    rows = [r for r in AWKWARD if r[0] != 11]
+    rows = AWKWARD
     got = token_output.token_files(make_docs(spark, rows), tokenizer, sequence=64).collect()
     want, at = Counter(), 0
     ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
@@ -103,6 +103,36 @@ def test_token_files_round_trip(spark, tokenizer):
     assert first == start
 
 
+def test_other_tokenizers_encode_whole_texts(spark, tokenizer, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    assert token_output.word_wise(token_output.load_tokenizer(tokenizer))
+    words = ["One", "two", "three,", "Two", "[UNK]"]
+    cased = Tokenizer(models.WordLevel({w: i for i, w in enumerate(words)}, unk_token="[UNK]"))
+    cased.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    cased.save(str(tmp_path / "cased.json"))
+    texts = ["One two three, Two", "  leading  blanks\n\nand Case", "don't STOP", "漢字 🙂", "", "x" * 3000]
+    for path in (str(tmp_path / "cased.json"), public_tokenizers.path("byte_bpe_50k.json")):
+        plain = token_output.load_tokenizer(path)
+        assert not token_output.word_wise(plain)
+        got = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in token_output.token_files(make_docs(spark, list(enumerate(texts))), path, sequence=16, end_id=0).collect()}
+        for i, t in enumerate(texts):
+            ids = plain.encode(t, add_special_tokens=False).ids + [0]
+            assert got[i] == (len(ids), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids)))
+
+
+def test_files_follow_the_bytes_and_stay(spark, tokenizer, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_output, "FILE_BYTES", 3000)
+    rows = [(i, text_of(i, 40)) for i in range(100)]
+    folder = str(tmp_path / "tokens")
+    assert token_output.token_files(make_docs(spark, rows), tokenizer, folder=folder).count() == 100
+    files = sorted(p.name for p in (tmp_path / "tokens").glob("*.index.arrow"))
+    assert len(files) == -(-sum(len(t) for _, t in rows) // 3000)
+    sizes = [token_output.open_sequences(f"{folder}/{f.removesuffix('.index.arrow')}")[1].num_rows for f in files]
+    assert sum(sizes) == 100 and max(sizes) < 30
+
+
 def test_sequences_have_one_length_and_masks_hide_padding(spark, tokenizer):
     scratch = Scratch(spark, "test")
     m = token_output.write_tokens(make_docs(spark, [(1, text_of(1, 50)), (2, text_of(2, 80))]), tokenizer, f"{scratch.path}/files", scratch, sequence=32)
@@ -121,6 +151,18 @@ def test_empty_token_files(nothing, tokenizer):
     assert token_output.token_files(nothing, tokenizer).count() == 0
 
 
+def test_the_scratch_folder_must_be_shared_on_a_cluster():
+    from types import SimpleNamespace
+
+    from barcraft.llm import scratch
+
+    session = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: d, set=lambda k, v: None), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master=master, applicationId=f"app-{master}"))
+    for master in ("spark://h:7077", "yarn", "local-cluster[2,1,1024]", "k8s://x"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            scratch.shared_folder(session(master))
+    assert scratch.shared_folder(session("local[2]")).startswith("file:///")
+
+
 def brute_targets(sizes, weights, most=3):
     out, total = {}, Fraction(sum(sizes.values()))
     while True:
@@ -232,6 +274,19 @@ def test_records_are_single_frames_after_the_dictionary(spark):
     assert sum(len(x[2]) for x in rows) / 60 * n > len(data) - len(dictionary)
 
 
+def test_archives_roll_over_and_their_dictionary_knows_the_records(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 1500)
+    rows = [(i, f"http://h/{i}", f"<html>{text_of(i, 60)}</html>") for i in range(40)] + [(100, "http://long", "<html>" + text_of(7, 300_000) + "</html>")]
+    seen = []
+    monkeypatch.setattr(warc, "train", lambda samples, size=0: seen.extend(samples) or b"")
+    folder = str(tmp_path / "archives")
+    got = warc.warc_round_trip(pages_table(spark, rows), folder=folder).collect()
+    assert sorted(r["page_id"] for r in got) == sorted(i for i, _, _ in rows)
+    assert len(list((tmp_path / "archives").glob("*.warc.zst"))) > 10
+    assert sorted(seen) == sorted(warc.record(i, u, t.encode(), sha(t)) for i, u, t in rows if len(t) <= warc.SAMPLE_LONGEST)
+    assert len(seen) == 40
+
+
 def test_damage_is_noticed():
     record = warc.record(1, "http://a", b"payload", warc.payload_digest(b"other"))
     import io
