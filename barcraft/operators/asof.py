@@ -51,11 +51,35 @@ def blackout(instants: DataFrame, events: DataFrame, before: int, after: int, im
 
 def upcoming(instants: DataFrame, events: DataFrame, horizon: int, most: int = 3) -> DataFrame:
     """(as_of, label, scheduled_at, nth, minutes_until): the next ``most`` events in
-    (as_of, as_of + horizon]."""
+    (as_of, as_of + horizon]; halves of a minute go to the even one."""
     day = lambda c: F.date_trunc("day", c.cast("timestamp")).cast("timestamp_ntz")
     reach = instants.select("as_of").distinct().withColumn("__day", F.explode(F.sequence(day(F.col("as_of")), day(_shift(F.col("as_of"), horizon)), F.expr("interval 1 day"))))
     e = events.select("label", "impact", "scheduled_at", day(F.col("scheduled_at")).alias("__day"))
     near = reach.join(e, "__day").where((F.col("scheduled_at") > F.col("as_of")) & (F.col("scheduled_at") <= _shift(F.col("as_of"), horizon)))
     nth = F.row_number().over(Window.partitionBy("as_of").orderBy("scheduled_at", "label"))
-    until = F.round((F.unix_micros(F.col("scheduled_at").cast("timestamp")) - F.unix_micros(F.col("as_of").cast("timestamp"))) / 60_000_000).cast("long")
+    until = F.bround((F.unix_micros(F.col("scheduled_at").cast("timestamp")) - F.unix_micros(F.col("as_of").cast("timestamp"))) / 60_000_000).cast("long")
     return near.withColumn("nth", nth.cast("long")).where(F.col("nth") <= most).select("as_of", "label", "impact", "scheduled_at", "nth", until.alias("minutes_until"))
+
+
+def event_digest(events: DataFrame) -> DataFrame:
+    """``upcoming`` rows as a decision maker sees them: minutes, no absolute times."""
+    return events.select("as_of", F.col("label").alias("event"), "impact", F.col("minutes_until").alias("in_minutes"))
+
+
+def news_digest(news: DataFrame) -> DataFrame:
+    """(id, revision, time, headline, impact, sentiment_for_gold) of news items; the time is an
+    ISO text in UTC, with microseconds only where there are any."""
+    t = F.col("publication_time")
+    micros = F.unix_micros(t.cast("timestamp")) % 1_000_000
+    iso = F.concat(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss"), F.when(micros != 0, F.date_format(t, ".SSSSSS")).otherwise(""), F.lit("+00:00"))
+    return news.select(F.concat_ws(":", "source", "external_id").alias("id"), "revision", iso.alias("time"), "headline", "impact", "sentiment_for_gold")
+
+
+def static_news(items: DataFrame, count: int, key: list[str], as_of: str | None = None) -> DataFrame:
+    """The last ``count`` items of a held list (0: all).  With ``as_of`` the list is the
+    decision view, newest first, so the last ones are the oldest; without it the items stand
+    in the order of ``key``.  Ties of publication_time are in the order of ``key`` in the list."""
+    if as_of is None:
+        return items.orderBy(*[F.desc(k) for k in key]).limit(count) if count else items
+    view = latest_revisions(items, as_of)
+    return view.orderBy(F.asc("publication_time"), *[F.desc(k) for k in key]).limit(count) if count else view

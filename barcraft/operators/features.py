@@ -104,10 +104,22 @@ def fingerprint(*parts: str | Column) -> Column:
     return F.sha2(joined, 256)
 
 
-def dataset_id(bars: DataFrame) -> DataFrame:
-    """(symbol, dataset_id): a content hash over bars in (tf, open_time) order.  Rows are
-    hashed on their own first; the ordered digests of a symbol are then hashed together."""
-    fields = F.concat_ws(",", "tf", F.date_format("open_time", "yyyy-MM-dd'T'HH:mm:ss"), *[F.round(F.col(c) * 100).cast("long").cast("string") for c in ("open", "high", "low", "close")], F.col("volume").cast("long").cast("string"))
-    rows = bars.select("symbol", "tf", "open_time", F.sha2(fields, 256).alias("h"))
-    per_tf = rows.groupBy("symbol", "tf").agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("open_time", "h"))), lambda x: x["h"]), ""), 256).alias("h"))
-    return per_tf.groupBy("symbol").agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("tf", "h"))), lambda x: F.concat(x["tf"], x["h"])), ""), 256).alias("dataset_id"))
+def dataset_id(bars: DataFrame, provider: str, provider_symbol: str | None = None) -> DataFrame:
+    """Per symbol (symbol, dataset_id, sha256, timeframes, bar_counts, first_bar, last_bar): a
+    content hash over provider, names and every bar in (tf, open_time) order, its first sixteen
+    digits as the id, and what the set holds.  Numbers enter as the shortest text that gives
+    the same double.  A month of bars is hashed first, then the months of a timeframe, then
+    the timeframes, so no task holds a whole series."""
+    number = [F.col(c).cast("double").cast("string") for c in ("open", "high", "low", "close", "volume")]
+    text = F.concat_ws(",", F.date_format("open_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), *[F.coalesce(n, F.lit("")) for n in number])
+    joined = lambda rows, value: F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(rows)), value), ""), 256)
+    rows = bars.select("symbol", "tf", "open_time", F.date_format("open_time", "yyyy-MM").alias("month"), text.alias("text"))
+    months = rows.groupBy("symbol", "tf", "month").agg(joined(F.struct("open_time", "text"), lambda x: F.concat(x["text"], F.lit(";"))).alias("h"), F.count("*").alias("n"), F.min("open_time").alias("first"), F.max("open_time").alias("last"))
+    frames = months.groupBy("symbol", "tf").agg(joined(F.struct("month", "h"), lambda x: x["h"]).alias("h"), F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
+    head = F.concat_ws("|", F.lit(provider), F.coalesce(F.lit(provider_symbol), F.col("symbol")), F.col("symbol"))
+    listed = F.sort_array(F.collect_list(F.struct("tf", "h", "n")))
+    whole = frames.groupBy("symbol").agg(listed.alias("all"), F.min("first").alias("first_bar"), F.max("last").alias("last_bar"))
+    sha = F.sha2(F.concat(head, F.array_join(F.transform("all", lambda x: F.concat(F.lit("|"), x["tf"], F.lit("|"), x["h"])), "")), 256)
+    whole = whole.withColumn("sha256", sha)
+    counts = F.transform("all", lambda x: F.concat(x["tf"], F.lit(":"), x["n"].cast("string")))
+    return whole.select("symbol", F.substring("sha256", 1, 16).alias("dataset_id"), "sha256", F.transform("all", lambda x: x["tf"]).alias("timeframes"), counts.alias("bar_counts"), "first_bar", "last_bar")

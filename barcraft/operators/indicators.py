@@ -22,10 +22,10 @@ def ordered() -> "Window":
 
 
 def sma(column: str, period: int) -> Column:
-    """Mean of the last ``period`` values; the sum is exact (decimal), so any plan agrees."""
+    """Mean of the last ``period`` values as they are; a frame is summed in series order, so
+    any plan agrees."""
     w = ordered().rowsBetween(-(period - 1), 0)
-    exact = F.sum(F.col(column).cast("decimal(18,2)")).over(w).cast("double")
-    return F.when(F.row_number().over(ordered()) >= period, exact / period)
+    return F.when(F.row_number().over(ordered()) >= period, F.sum(F.col(column).cast("double")).over(w) / period)
 
 
 def true_range() -> Column:
@@ -35,9 +35,8 @@ def true_range() -> Column:
 
 def linreg_slope(column: str, last: int = 20) -> Column:
     """Least-squares slope over the last values that are not null; 0 with fewer than two."""
-    at = F.row_number().over(ordered())
     w = ordered().rowsBetween(-(last - 1), 0)
-    return F.when(F.count(column).over(w) >= 2, F.regr_slope(F.col(column), F.col("rn")).over(w)).otherwise(F.lit(0.0)) if column != "rn" else at
+    return F.when(F.count(column).over(w) >= 2, F.regr_slope(F.col(column), F.col("rn")).over(w)).otherwise(F.lit(0.0))
 
 
 def swing(column: str, high: bool, left: int = 2, right: int = 2) -> Column:

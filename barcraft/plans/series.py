@@ -57,9 +57,12 @@ def _daily(spark: SparkSession, sf: str) -> DataFrame:
     return indicators.indicator_frame(a.daily_bars(spark, sf))
 
 
-@query(f"SELECT symbol, open_time, round(CASE WHEN count(*) OVER w >= 20 THEN sum(close::DECIMAL(18,2)) OVER w::DOUBLE / 20 END, 6) AS sma20 FROM ({a.DAILY_SQL}) WINDOW w AS (PARTITION BY symbol ORDER BY open_time ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)")
+@query(f"""SELECT symbol, open_time, round(CASE WHEN count(*) OVER w >= 20 THEN sum(close) OVER w / 20 END, 6) AS sma20, round(CASE WHEN count(*) OVER w >= 20 THEN sum(close / 1000) OVER w / 20 END, 8) AS sma20_fine
+FROM ({a.DAILY_SQL}) WINDOW w AS (PARTITION BY symbol ORDER BY open_time ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""")
 def sma(spark: SparkSession, sf: str) -> DataFrame:
-    return a.daily_bars(spark, sf).select(*_KEYS, round_to(indicators.sma("close", 20), 6).alias("sma20"))
+    """Of the closes and of the closes as quotes with five decimals."""
+    fine = a.daily_bars(spark, sf).withColumn("fine", F.col("close") / 1000)
+    return fine.select(*_KEYS, round_to(indicators.sma("close", 20), 6).alias("sma20"), round_to(indicators.sma("fine", 20), 8).alias("sma20_fine"))
 
 
 @query(f"SELECT symbol, open_time, round(tr, 6) AS tr FROM ({_moves(_DAILY)})")
@@ -141,9 +144,9 @@ def regime_profile(spark: SparkSession, sf: str) -> DataFrame:
 SHORT, SHORT_WILDER, SHORT_BARS = {"ema_fast": 3, "ema_slow": 5, "ema_trend": 8}, 4, 12
 
 
-def packets(spark: SparkSession, sf: str, flagged: bool = False) -> DataFrame:
+def packets(spark: SparkSession, sf: str, flagged: bool = False, fine: DataFrame | None = None) -> DataFrame:
     """Packets of the events; with ``flagged`` each role's recent-gap flag goes along."""
-    b = a.bars_of(spark, sf, list(features.ROLES.values()))
+    b = a.bars_of(spark, sf, list(features.ROLES.values()), fine)
     if flagged:
         b = validate.recent_unexpected(b, EVENTS_CALENDAR, dict(EligibilityPolicy().recent_bars))
     return features.feature_packets(features.timeframe_features(b, SHORT_BARS, SHORT, SHORT_WILDER, ("recent_gap",) if flagged else ()))
@@ -202,7 +205,7 @@ def blackout(spark: SparkSession, sf: str) -> DataFrame:
     return asof.blackout(_instants(spark, sf), a.scheduled_events(spark), 60, 30, ("high", "medium"))
 
 
-@query(f"""SELECT * FROM (SELECT as_of, label, impact, scheduled_at, row_number() OVER (PARTITION BY as_of ORDER BY scheduled_at, label) AS nth, round((epoch_us(scheduled_at) - epoch_us(as_of)) / 60000000.0)::BIGINT AS minutes_until
+@query(f"""SELECT * FROM (SELECT as_of, label, impact, scheduled_at, row_number() OVER (PARTITION BY as_of ORDER BY scheduled_at, label) AS nth, round_even((epoch_us(scheduled_at) - epoch_us(as_of)) / 60000000.0, 0)::BIGINT AS minutes_until
   FROM (SELECT DISTINCT as_of FROM ({_INSTANTS})) JOIN ({a.EVENTS_SQL}) ON scheduled_at > as_of AND scheduled_at <= as_of + INTERVAL 7 DAY) WHERE nth <= 3""")
 def upcoming_events(spark: SparkSession, sf: str) -> DataFrame:
     return asof.upcoming(_instants(spark, sf), a.scheduled_events(spark), 7 * 1440)
@@ -219,10 +222,42 @@ def decision_input_hash(spark: SparkSession, sf: str) -> DataFrame:
     return features.canonical_hash(features.decision_input(p, "replay")).select("symbol", "as_of", "input_hash")
 
 
-_FIELDS = "tf || ',' || strftime(open_time, '%Y-%m-%dT%H:%M:%S') || ',' || round(open * 100)::BIGINT || ',' || round(high * 100)::BIGINT || ',' || round(low * 100)::BIGINT || ',' || round(close * 100)::BIGINT || ',' || volume::BIGINT"
+_FIELDS = "strftime(open_time, '%Y-%m-%dT%H:%M:%S.%f') || ',' || concat_ws(',', open + 0.00345::DOUBLE, high + 0.00345::DOUBLE, low + 0.00345::DOUBLE, close + 0.00345::DOUBLE, volume) || ';'"
 
 
-@query(f"""WITH b AS ({a.bars_sql('15min')} UNION ALL {a.bars_sql('1h')}), t AS (SELECT symbol, tf, sha256(string_agg(sha256({_FIELDS}), '' ORDER BY open_time)) AS h FROM b GROUP BY 1, 2)
-SELECT symbol, sha256(string_agg(tf || h, '' ORDER BY tf)) AS dataset_id FROM t GROUP BY 1""")
+@query(f"""WITH b AS ({a.bars_sql('15min')} UNION ALL {a.bars_sql('1h')}),
+m AS (SELECT symbol, tf, strftime(open_time, '%Y-%m') AS month, sha256(string_agg({_FIELDS}, '' ORDER BY open_time)) AS h, count(*) AS n, min(open_time) AS f, max(open_time) AS l FROM b GROUP BY 1, 2, 3),
+t AS (SELECT symbol, tf, sha256(string_agg(h, '' ORDER BY month)) AS h, sum(n)::BIGINT AS n, min(f) AS f, max(l) AS l FROM m GROUP BY 1, 2),
+d AS (SELECT symbol, sha256('events|' || symbol || '|' || symbol || string_agg('|' || tf || '|' || h, '' ORDER BY tf)) AS sha256, string_agg(tf, ',' ORDER BY tf) AS timeframes, string_agg(tf || ':' || n, ',' ORDER BY tf) AS bar_counts, min(f) AS first_bar, max(l) AS last_bar FROM t GROUP BY 1)
+SELECT symbol, left(sha256, 16) AS dataset_id, sha256, timeframes, bar_counts, first_bar, last_bar FROM d""")
 def dataset_id(spark: SparkSession, sf: str) -> DataFrame:
-    return features.dataset_id(a.bars(spark, sf, "15min").unionByName(a.bars(spark, sf, "1h")))
+    """Of bars whose prices have five decimals."""
+    b = a.bars(spark, sf, "15min").unionByName(a.bars(spark, sf, "1h"))
+    fine = b.withColumns({c: F.col(c) + 0.00345 for c in ("open", "high", "low", "close")})
+    d = features.dataset_id(fine, "events")
+    return d.withColumns({c: F.array_join(c, ",") for c in ("timeframes", "bar_counts")})
+
+
+@query(f"SELECT as_of, label AS event, impact, round_even((epoch_us(scheduled_at) - epoch_us(as_of)) / 60000000.0, 0)::BIGINT AS in_minutes FROM (SELECT DISTINCT as_of FROM ({_INSTANTS})) JOIN ({a.EVENTS_SQL}) ON scheduled_at > as_of AND scheduled_at <= as_of + INTERVAL 7 DAY")
+def event_digest(spark: SparkSession, sf: str) -> DataFrame:
+    return asof.event_digest(asof.upcoming(_instants(spark, sf), a.scheduled_events(spark), 7 * 1440, len(a.EVENTS)))
+
+
+_ITEMS = "SELECT source, external_id, revision, publication_time, ingestion_time, 'value ' || round(value)::BIGINT AS headline, CASE WHEN value > 300 THEN 'high' WHEN value > 100 THEN 'medium' ELSE 'low' END AS impact, CASE WHEN value < 0 THEN -0.5::DOUBLE ELSE 0.5::DOUBLE END AS sentiment_for_gold"
+
+
+def _items(news: DataFrame) -> DataFrame:
+    impact = F.when(F.col("value") > 300, "high").when(F.col("value") > 100, "medium").otherwise("low")
+    return news.select("source", "external_id", "revision", "publication_time", "ingestion_time", F.concat(F.lit("value "), F.round("value").cast("long").cast("string")).alias("headline"), impact.alias("impact"), F.when(F.col("value") < 0, -0.5).otherwise(0.5).alias("sentiment_for_gold"))
+
+
+@query(f"""SELECT source || ':' || external_id AS id, revision, strftime(publication_time, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(publication_time) % 1000000 <> 0 THEN '.' || lpad((epoch_us(publication_time) % 1000000)::VARCHAR, 6, '0') ELSE '' END || '+00:00' AS time, headline, impact, sentiment_for_gold FROM ({_ITEMS} FROM (
+  SELECT *, row_number() OVER (PARTITION BY source, external_id ORDER BY revision DESC, ingestion_time DESC, publication_time DESC) AS n FROM ({a.NEWS_SQL}) WHERE publication_time <= TIMESTAMP '{_AS_OF}' AND ingestion_time <= TIMESTAMP '{_AS_OF}') WHERE n = 1)""")
+def news_digest(spark: SparkSession, sf: str) -> DataFrame:
+    return asof.news_digest(_items(asof.latest_revisions(a.news_revisions(spark, sf), _AS_OF)))
+
+
+@query(f"""SELECT source, external_id, revision, publication_time FROM (SELECT *, row_number() OVER (ORDER BY publication_time, source DESC, external_id DESC) AS k FROM (
+  SELECT *, row_number() OVER (PARTITION BY source, external_id ORDER BY revision DESC, ingestion_time DESC, publication_time DESC) AS n FROM ({a.NEWS_SQL}) WHERE publication_time <= TIMESTAMP '{_AS_OF}' AND ingestion_time <= TIMESTAMP '{_AS_OF}') WHERE n = 1) WHERE k <= 20""")
+def static_news(spark: SparkSession, sf: str) -> DataFrame:
+    return asof.static_news(a.news_revisions(spark, sf), 20, ["source", "external_id"], _AS_OF).select("source", "external_id", "revision", "publication_time")

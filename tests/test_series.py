@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barcraft.functions.market_calendar import CALENDARS, any_open, calendar_for
-from barcraft.operators import asof, indicators, validate
+from barcraft.operators import asof, features, indicators, validate
 
 BAR = "symbol string, tf string, open_time timestamp_ntz, close_time timestamp_ntz, open double, high double, low double, close double, volume double"
 
@@ -135,3 +135,83 @@ def test_blackout_is_inclusive_and_takes_the_first(spark):
     e = spark.createDataFrame([("B", "high", datetime(2026, 1, 1, 13)), ("A", "high", datetime(2026, 1, 1, 12, 30)), ("L", "low", datetime(2026, 1, 1, 11))], "label string, impact string, scheduled_at timestamp_ntz")
     i = spark.createDataFrame([(datetime(2026, 1, 1, 11, 30),), (datetime(2026, 1, 1, 13, 30),), (datetime(2026, 1, 1, 13, 31),)], "as_of timestamp_ntz")
     assert [r["event"] for r in asof.blackout(i, e, 60, 30).orderBy("as_of").collect()] == ["A", "B", None]
+
+
+def test_sma_keeps_five_decimals(spark):
+    closes = [1.08345, 1.08346, 1.08347, 1.08349, 1.08350]
+    got = make_bars(spark, closes, wick=0.0).select(indicators.sma("close", 5).alias("s")).where("s is not null").first()["s"]
+    assert got == pytest.approx(sum(closes) / 5, abs=1e-12)
+
+
+def test_dataset_id_follows_every_digit_and_says_what_it_holds(spark):
+    closes = [1.08345, 1.08346, 1.08347]
+    one = make_bars(spark, closes, wick=0.0)
+    row = features.dataset_id(one, "polygon", "C:EURUSD").first()
+    assert len(row["dataset_id"]) == 16 and row["sha256"].startswith(row["dataset_id"])
+    assert (row["timeframes"], row["bar_counts"], row["first_bar"], row["last_bar"]) == (["15min"], ["15min:3"], datetime(2024, 1, 3), datetime(2024, 1, 3, 0, 30))
+    other = lambda *a, **k: features.dataset_id(*a, **k).first()["dataset_id"]
+    assert row["dataset_id"] == other(one.repartition(3), "polygon", "C:EURUSD")
+    assert row["dataset_id"] != other(make_bars(spark, [1.08345, 1.08346, 1.08348], wick=0.0), "polygon", "C:EURUSD")
+    assert row["dataset_id"] != other(one, "csv", "C:EURUSD") != other(one, "polygon", "EURUSD")
+
+
+def test_dataset_id_is_the_hash_of_hashes(spark):
+    from hashlib import sha256
+
+    b = make_bars(spark, [1.5, 2.25, 0.1], tf="1day", start=datetime(2024, 1, 30), wick=0.0)
+    texts = {"2024-01": "2024-01-30T00:00:00.000000,1.5,1.5,1.5,1.5,1.0;2024-01-31T00:00:00.000000,2.25,2.25,2.25,2.25,1.0;", "2024-02": "2024-02-01T00:00:00.000000,0.1,0.1,0.1,0.1,1.0;"}
+    months = "".join(sha256(texts[m].encode()).hexdigest() for m in sorted(texts))
+    want = sha256(f"p|X|X|1day|{sha256(months.encode()).hexdigest()}".encode()).hexdigest()
+    assert features.dataset_id(b, "p").first()["sha256"] == want
+
+
+def test_decision_input_hash_is_that_of_sorted_compact_json(spark):
+    import json
+    from hashlib import sha256
+
+    p = spark.createDataFrame([("X", datetime(2024, 1, 3, 12), 1.25, "range", "up", "bull_trend", "mixed", None, "up", 31.5, "choppy", "down", 12.0, "bull_trend", "up", 27.0, "range")], "symbol string, as_of timestamp_ntz, price double, structure_regime string, macro_align string, trend_regime string, confluence string, spread_pct double, structure_align string, structure_adx double, trigger_regime string, macro_regime_align string, macro_adx double, macro_regime string, trend_align string, trend_adx double, unused string")
+    row = features.canonical_hash(features.decision_input(p, "replay")).first()
+    made = {"symbol": "X", "as_of": "2024-01-03T12:00:00.000", "mode": "replay", "price": 1.25, "regime_h1": "range", "macro_bias": "up", "major_trend": "bull_trend", "confluence": "mixed", "spread_pct": None, "spread_provenance": "unavailable",
+            "timeframes": {"1day": {"regime": "bull_trend", "ema_align": "up", "adx": 12.0}, "4h": {"regime": "bull_trend", "ema_align": "up", "adx": 27.0}, "1h": {"regime": "range", "ema_align": "up", "adx": 31.5}, "15min": {"regime": "choppy"}}}
+    assert row["input_hash"] == sha256(json.dumps(made, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+
+def test_decision_input_hash_query_equals_a_plain_hash_of_its_rows(spark, sf_dir):
+    import json
+    from hashlib import sha256
+
+    from barcraft.plans import series
+
+    given = features.decision_input(series.packets(spark, sf_dir).withColumn("spread_pct", F.lit(0.05)), "replay")
+    names = given.columns
+    texts = {(r["symbol"], r["as_of"]): r["j"] for r in given.select("symbol", "as_of", F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("j")).collect()}
+    got = {(r["symbol"], r["as_of"]): r["input_hash"] for r in series.decision_input_hash(spark, sf_dir).collect()}
+    assert got and got == {k: sha256(json.dumps(json.loads(t), sort_keys=True, separators=(",", ":")).encode()).hexdigest() for k, t in texts.items()}
+
+
+NEWS = "source string, external_id string, revision int, publication_time timestamp_ntz, ingestion_time timestamp_ntz, headline string, impact string, sentiment_for_gold double"
+
+
+def news(spark):
+    at = lambda h, s=0, us=0: datetime(2026, 1, 1, h, 0, s, us)
+    rows = [("s", "1", 0, at(8), at(9), "a", "low", 0.0), ("s", "1", 1, at(10), at(10), "a2", "high", -0.5), ("s", "2", 0, at(9, 5, 250), at(9), "b", "low", 0.0), ("s", "3", 0, at(11), at(11), "c", "low", 0.0), ("s", "4", 0, at(20), at(20), "late", "low", 0.0)]
+    return spark.createDataFrame(rows, NEWS)
+
+
+def test_news_digest(spark):
+    got = {r["id"]: r for r in asof.news_digest(asof.latest_revisions(news(spark), "2026-01-01 12:00:00")).collect()}
+    assert set(got) == {"s:1", "s:2", "s:3"} and (got["s:1"]["revision"], got["s:1"]["time"], got["s:1"]["sentiment_for_gold"]) == (1, "2026-01-01T10:00:00+00:00", -0.5)
+    assert got["s:2"]["time"] == "2026-01-01T09:00:05.000250+00:00"
+
+
+def test_static_news_takes_the_oldest_of_the_view(spark):
+    got = [r["external_id"] for r in asof.static_news(news(spark), 2, ["source", "external_id"], "2026-01-01 12:00:00").orderBy("publication_time").collect()]
+    assert got == ["2", "1"]
+    assert asof.static_news(news(spark), 0, ["source", "external_id"]).count() == 5
+    assert [r["external_id"] for r in asof.static_news(news(spark), 1, ["source", "external_id"]).collect()] == ["4"]
+
+
+def test_minutes_until_round_half_to_even(spark):
+    e = spark.createDataFrame([("A", "high", datetime(2026, 1, 1, 12, 2, 30)), ("B", "high", datetime(2026, 1, 1, 12, 3, 30))], "label string, impact string, scheduled_at timestamp_ntz")
+    i = spark.createDataFrame([(datetime(2026, 1, 1, 12),)], "as_of timestamp_ntz")
+    assert [(r["event"], r["in_minutes"]) for r in asof.event_digest(asof.upcoming(i, e, 60)).orderBy("event").collect()] == [("A", 2), ("B", 4)]
