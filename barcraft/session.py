@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -31,3 +32,21 @@ def share_package(spark: SparkSession) -> None:
     known = environment.get("PYTHONPATH", "")
     if root not in known.split(":"):
         environment["PYTHONPATH"] = f"{root}:{known}" if known else root
+
+
+_own: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that driver and executors share: the session's spark.checkpoint.dir, else the
+    context's checkpoint folder, else, on a local master only, one of our own."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    master, app = spark.sparkContext.master, spark.sparkContext.applicationId
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
+    if app not in _own:
+        _own[app] = "file://" + tempfile.mkdtemp(prefix="barcraft-shared-")
+        spark.conf.set("spark.checkpoint.dir", _own[app])
+    return _own[app]

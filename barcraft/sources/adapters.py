@@ -60,10 +60,11 @@ def rollup(fine: DataFrame, tfs: list[str]) -> DataFrame:
     return made.select("symbol", "tf", "open_time", end.alias("close_time"), "open", "high", "low", "close", "volume")
 
 
-def bars_of(spark: SparkSession, sf_dir: str, tfs: list[str]) -> DataFrame:
-    """Bars of several timeframes in one frame, all from the finest."""
+def bars_of(spark: SparkSession, sf_dir: str, tfs: list[str], fine: DataFrame | None = None) -> DataFrame:
+    """Bars of several timeframes in one frame, all from the finest (``fine``, where it is at
+    hand)."""
     finest = min(tfs, key=minutes)
-    return rollup(bars(spark, sf_dir, finest), tfs)
+    return rollup(bars(spark, sf_dir, finest) if fine is None else fine, tfs)
 
 
 def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:

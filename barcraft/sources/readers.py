@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,13 +19,22 @@ def _csv(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumns({c: F.col(c).cast("timestamp").cast("timestamp_ntz") for c in ("open_time", "close_time")})
 
 
+def _ascending(bars: DataFrame) -> bool:
+    """Whether open_time never falls in line order.  Each split of the file is looked at on its
+    own; between splits their first and last times decide, one row a split."""
+    placed = bars.select(F.input_file_block_start().alias("split"), "__line", "open_time")
+    falls = F.lag("open_time").over(Window.partitionBy("split").orderBy("__line")) > F.col("open_time")
+    ends = placed.withColumn("falls", falls).groupBy("split").agg(F.bool_or("falls").alias("falls"), F.min_by("open_time", "__line").alias("first"), F.max_by("open_time", "__line").alias("last"))
+    between = F.lag("last").over(Window.orderBy("split")) > F.col("first")  # a row per split
+    return ends.withColumn("between", between).where("falls or between").isEmpty()
+
+
 def read_bar_csv(spark: SparkSession, path: str, symbol: str, tf: str, count: int = 0) -> DataFrame:
     """Bars of one ``{symbol}_{tf}.csv`` archive; empty volume is 0; ``count`` newest (0: all).
 
     Raises if the file is not ascending by open_time (equal times are allowed)."""
     bars = _csv(spark, path).withColumn("volume", F.coalesce("volume", F.lit(0.0)))
-    before = F.lag("open_time").over(Window.orderBy("__line"))  # one file is one ordered series
-    if not bars.withColumn("__before", before).where("__before > open_time").isEmpty():
+    if not _ascending(bars):
         raise ValueError(f"{path} is not sorted by open_time")
     bars = bars.drop("__line").select(F.lit(symbol).alias("symbol"), F.lit(tf).alias("tf"), "*")
     return tail(bars, count) if count else bars
@@ -91,14 +102,34 @@ def read_releases(spark: SparkSession, path: str) -> DataFrame:
     return pages.select(F.explode("release_dates").alias("r")).select("r.release_name", F.to_date("r.date").alias("day"))
 
 
-def read_bars(spark: SparkSession, fmt: str, path: str, symbol: str, tf: str, count: int = 0) -> DataFrame:
-    """Bars by format name: ``csv``, ``aggregates`` or ``parquet``; unknown names raise."""
-    if fmt == "csv":
-        return read_bar_csv(spark, path, symbol, tf, count)
-    if fmt == "aggregates":
-        bars = read_aggregates(spark, path, symbol, tf)
-    elif fmt == "parquet":
-        bars = spark.read.parquet(path).where((F.col("symbol") == symbol) & (F.col("tf") == tf))
-    else:
+def _read_parquet(spark: SparkSession, path: str, symbol: str, tf: str) -> DataFrame:
+    return spark.read.parquet(path).where((F.col("symbol") == symbol) & (F.col("tf") == tf))
+
+
+def _read_candles(spark: SparkSession, path: str, symbol: str, tf: str) -> DataFrame:
+    return parse_candles(spark.read.text(path, wholetext=True), "value", symbol, tf)
+
+
+def _read_static(spark: SparkSession, rows: DataFrame, symbol: str, tf: str) -> DataFrame:
+    return rows.where((F.col("symbol") == symbol) & (F.col("tf") == tf))
+
+
+#: Bars by format name; each takes (spark, source, symbol, tf).
+BAR_FORMATS: dict[str, Callable[..., DataFrame]] = {"csv": read_bar_csv, "aggregates": read_aggregates, "candles": _read_candles, "parquet": _read_parquet, "static": _read_static}
+
+
+def register_bar_format(name: str, reader: Callable[..., DataFrame]) -> None:
+    """Adds a format; a name that is taken raises."""
+    if name in BAR_FORMATS:
+        raise ValueError(f"bar format {name!r} is taken")
+    BAR_FORMATS[name] = reader
+
+
+def read_bars(spark: SparkSession, fmt: str, source: str | DataFrame, symbol: str, tf: str, count: int = 0) -> DataFrame:
+    """Bars by format name (``csv``, ``aggregates``, ``candles``: JSON envelopes or arrays,
+    ``parquet``, ``static``: a frame at hand, or a registered one), the ``count`` newest (0:
+    all); unknown names raise."""
+    if fmt not in BAR_FORMATS:
         raise ValueError(f"unknown bar format {fmt!r}")
+    bars = BAR_FORMATS[fmt](spark, source, symbol, tf)
     return tail(bars, count) if count else bars

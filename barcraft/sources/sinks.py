@@ -2,29 +2,72 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+from barcraft.session import shared_folder
+
+
+def _move(store, source, target) -> None:
+    """A rename that is known to have happened: the file system reports failure by its result."""
+    if not store.rename(source, target):
+        raise OSError(f"could not rename {source} to {target}")
 
 
 def replace_table(df: DataFrame, path: str, fmt: str = "parquet", **options: str) -> None:
-    """Writes beside ``path`` and swaps: a reader finds the old data or the new, and a job
-    that reads ``path`` may write it."""
+    """Writes beside ``path`` and swaps, so a job that reads ``path`` may write it.
+
+    The old data is moved aside, the new data takes its name, and only then the old is
+    deleted.  If the second rename fails, the old data gets its name back and the error is
+    raised; if that fails too, the error names the folder that holds it.  Between the two
+    renames, an instant, there is no table: directories can't be exchanged in one step."""
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
     staging = f"{path.rstrip('/')}.{uuid.uuid4().hex[:8]}.staging"
     df.write.format(fmt).options(**options).mode("errorifexists").save(staging)
     make = jvm.org.apache.hadoop.fs.Path
-    store = make(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    old = make(f"{staging}.old")
-    had = store.exists(make(path))
-    if had:
-        store.rename(make(path), old)
-    store.rename(make(staging), make(path))
+    target, fresh, old = make(path), make(staging), make(f"{staging}.old")
+    store = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    had = store.exists(target)
+    try:
+        if had:
+            _move(store, target, old)
+        try:
+            _move(store, fresh, target)
+        except Exception as failed:
+            if had:
+                try:
+                    _move(store, old, target)
+                except Exception:
+                    raise OSError(f"{path} could not be replaced; its data is in {old}") from failed
+            raise
+    except Exception:
+        store.delete(fresh, True)
+        raise
     if had:
         store.delete(old, True)
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # the session may have ended; the folder is disposable
+        pass
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """df as a written table in the shared folder, read back: what several branches of a plan
+    use is made once, and a lost executor costs a re-read.  It goes when the program ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    atexit.register(_remove, spark, path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def write_archive(bars: DataFrame, path: str) -> None:
     """A bar archive as CSV with header, ascending by open_time."""
     replace_table(bars.select("open_time", "close_time", "open", "high", "low", "close", "volume").orderBy("open_time"), path, "csv", header="true")

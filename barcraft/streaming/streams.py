@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from barcraft.session import shared_folder
 from barcraft.sources.schemas import minutes
 
 
@@ -38,7 +39,11 @@ def once_per_key(rows: DataFrame, key: list[str], ts: str, late_minutes: int) ->
 
 def gate_stream(outcomes: DataFrame, bar_seconds: int, cooldown_bars: int) -> DataFrame:
     """The position gate on a stream of outcomes(run_id, symbol, trade_id, as_of, closed_at):
-    busy_until of each (run, symbol) is state, rows of a batch are taken in as_of order."""
+    busy_until of each (run, symbol) is state, rows of a batch are taken in as_of order.
+
+    A row that comes in a later batch than rows after it is judged by the positions taken so
+    far: what was admitted stays.  The state is one number per (run, symbol) and never ends,
+    since a position may stay open for any time."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         busy = state.get[0] if state.exists else None
@@ -72,9 +77,11 @@ def ledger_batch(existing_path: str, key: list[str]):
     return write
 
 
-def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """The rows that a stream gives out over the input there is now."""
-    name = f"out_{uuid.uuid4().hex[:12]}"
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+def run_available(stream: DataFrame) -> DataFrame:
+    """The rows that a stream gives out over the input there is now, from a Parquet sink in
+    the shared folder, with the checkpoint beside it: nothing passes through the driver."""
+    spark = stream.sparkSession
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex[:12]}"
+    q = stream.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")

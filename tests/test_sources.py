@@ -84,6 +84,78 @@ def test_releases(spark, tmp_path):
     assert readers.read_releases(spark, str(path)).select(F.year("day")).first()[0] == 2026
 
 
+def test_a_failing_rename_keeps_the_old_table(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    sinks.replace_table(spark.range(3).toDF("x"), path)
+    real, calls = sinks._move, []
+
+    def second_fails(store, source, target):
+        calls.append(str(target))
+        if len(calls) == 2:
+            raise OSError("refused")
+        real(store, source, target)
+
+    monkeypatch.setattr(sinks, "_move", second_fails)
+    with pytest.raises(OSError, match="refused"):
+        sinks.replace_table(spark.range(9).toDF("x"), path)
+    assert spark.read.parquet(path).count() == 3 and len(calls) == 3
+    assert [p.name for p in tmp_path.iterdir() if "staging" in p.name] == []
+
+    def first_fails(store, source, target):
+        raise OSError("refused")
+
+    monkeypatch.setattr(sinks, "_move", first_fails)
+    with pytest.raises(OSError, match="refused"):
+        sinks.replace_table(spark.range(9).toDF("x"), path)
+    assert spark.read.parquet(path).count() == 3
+    monkeypatch.setattr(sinks, "_move", real)
+    sinks.replace_table(spark.range(9).toDF("x"), path)
+    assert spark.read.parquet(path).count() == 9
+
+
+def test_a_rename_that_says_no_is_an_error():
+    from types import SimpleNamespace
+
+    with pytest.raises(OSError, match="could not rename"):
+        sinks._move(SimpleNamespace(rename=lambda a, b: False), "a", "b")
+
+
+def long_csv(path, n, swap=None):
+    lines = [f"2026-01-{1 + i // 1440:02}T{i // 60 % 24:02}:{i % 60:02}:00+00:00,2026-01-{1 + i // 1440:02}T{i // 60 % 24:02}:{i % 60:02}:59+00:00,1,2,0.5,1.5,1" for i in range(n)]
+    if swap is not None:
+        lines[swap], lines[swap + 1] = lines[swap + 1], lines[swap]
+    path.write_text(HEAD + "\n".join(lines) + "\n")
+
+
+def test_sortedness_is_seen_in_and_between_splits(spark, tmp_path):
+    path = tmp_path / "X_1min.csv"
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        long_csv(path, 200)
+        assert readers.read_bar_csv(spark, str(path), "X", "1min").count() == 200
+        for swap in range(0, 199, 9):
+            long_csv(path, 200, swap)
+            with pytest.raises(ValueError, match="not sorted"):
+                readers.read_bar_csv(spark, str(path), "X", "1min")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_candles_static_and_registered_formats(spark, tmp_path):
+    (tmp_path / "c.json").write_text(json.dumps({"candles": [{"time": 1767225600 + 900 * i, "open": 1, "high": 2, "low": 0.5, "close": 1.5 + i} for i in range(3)]}, indent=1))
+    assert readers.read_bars(spark, "candles", str(tmp_path / "c.json"), "X", "15min", 1).first()["close"] == 3.5
+    held = make_bars(spark, [1.0, 2.0]).unionByName(make_bars(spark, [9.0], symbol="Y"))
+    assert readers.read_bars(spark, "static", held, "X", "15min").count() == 2
+    readers.register_bar_format("test_only", lambda spark, source, symbol, tf: source)
+    try:
+        assert readers.read_bars(spark, "test_only", held, "X", "15min").count() == 3
+        with pytest.raises(ValueError, match="taken"):
+            readers.register_bar_format("test_only", None)
+    finally:
+        del readers.BAR_FORMATS["test_only"]
+
+
 def test_unknown_format_raises(spark):
     with pytest.raises(ValueError, match="unknown bar format"):
         readers.read_bars(spark, "tape", "x", "X", "15min")
