@@ -51,3 +51,53 @@ def state_alerts(now: str, open_trades: DataFrame, reservations: DataFrame, serv
     parts.append(trades.agg(F.count("*").alias("k")).select(F.lit("info").alias("severity"), F.lit("NO_VERIFIED_TRACK_RECORD").alias("code"), F.when(F.col("k") == 0, 1).otherwise(0).cast("long").alias("n")))
     rank = F.create_map(*[F.lit(x) for kv in RANK.items() for x in kv])[F.col("severity")]
     return reduce(DataFrame.unionByName, parts).where("n > 0").orderBy(rank, "code")
+
+
+#: Seconds by which the last snapshot may lag the feed (fixed value).
+BRAIN_LAG = 1800
+
+
+def _raised(rules: dict[str, tuple[str, Column]]) -> Column:
+    """Array of (severity, code) of the rules that hold."""
+    return F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(severity).alias("severity"), F.lit(code).alias("code"))) for code, (severity, c) in rules.items()]))
+
+
+def _listed(states: DataFrame, rules: dict[str, tuple[str, Column]], *keys: str) -> DataFrame:
+    return states.select(*keys, F.explode(_raised(rules)).alias("a")).select(*keys, "a.severity", "a.code")
+
+
+def feed_alerts(now: str, feeds: DataFrame, max_lag: int) -> DataFrame:
+    """(symbol, severity, code) of feeds(symbol, market_open, session_ok, quote_ok, candles_ok,
+    feed_last, snapshot_last, paid_decisions, paid_calls, run_validity): a row per symbol watched.
+
+    A session that is up does not imply a usable data path, so quote and candles are judged on
+    their own; an open market with a session and not a single bar is a stale feed too."""
+    t = F.lit(now).cast("timestamp_ntz")
+    seconds = lambda a, b: F.unix_seconds(a.cast("timestamp")) - F.unix_seconds(b.cast("timestamp"))
+    feed, snapshot, open_, up = F.col("feed_last"), F.col("snapshot_last"), F.col("market_open"), F.col("session_ok")
+    return _listed(feeds, {
+        "BRAIN_BEHIND_FEED": ("warning", seconds(feed, snapshot) > BRAIN_LAG),
+        "NO_MARKET_SNAPSHOT": ("warning", snapshot.isNull()),
+        "FEED_STALE": ("critical", open_ & F.when(feed.isNotNull(), seconds(t, feed) > max_lag).otherwise(up)),
+        "QUOTE_UNAVAILABLE": ("warning", up & open_ & ~F.coalesce("quote_ok", F.lit(False))),
+        "CANDLES_UNAVAILABLE": ("critical", up & open_ & ~F.coalesce("candles_ok", F.lit(False))),
+        "LLM_AUDIT_GAP": ("warning", (F.col("paid_decisions") > 0) & (F.col("paid_calls") == 0)),
+        "UNVERIFIED_RUN_SELECTED": ("warning", F.col("run_validity") == "unverified"),
+    }, "symbol")
+
+
+def system_alerts(states: DataFrame) -> DataFrame:
+    """(host, severity, code) of states(host, repo_dirty, repo_state, db_ok, schema_current,
+    broker_ok, environment, trading_enabled, has_status): code, store and broker of a host."""
+    status = F.col("has_status")
+    dirty, db = F.coalesce("repo_dirty", F.lit(False)), F.coalesce("db_ok", F.lit(False))
+    return _listed(states, {
+        "REPO_DIRTY": ("warning", dirty),
+        "REPO_PROVENANCE_UNKNOWN": ("warning", ~dirty & (F.col("repo_state") == "unknown")),
+        "DATABASE_DOWN": ("critical", ~db),
+        "DB_SCHEMA_MISMATCH": ("critical", db & ~F.coalesce("schema_current", F.lit(False))),
+        "XTB_DISCONNECTED": ("critical", ~F.coalesce("broker_ok", F.lit(False))),
+        "NOT_DEMO": ("critical", status & ~F.col("environment").eqNullSafe(F.lit("demo"))),
+        "REAL_ORDERS_ENABLED": ("critical", F.col("trading_enabled")),
+        "TRADING_FLAG_UNKNOWN": ("warning", status & F.col("trading_enabled").isNull()),
+    }, "host")

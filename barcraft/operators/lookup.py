@@ -31,6 +31,14 @@ def difference(a: DataFrame, b: DataFrame, on: str) -> DataFrame:
     return left.unionByName(b.select(on).join(a.select(on), on, "left_anti").withColumn("side", F.lit("only_right")))
 
 
+def trade_by_input(wanted: DataFrame, decisions: DataFrame, trades: DataFrame) -> DataFrame:
+    """wanted(input_hash, model, run_id) with trade_id: the least trade of a decision on that
+    input by that model within the run, null where there is none."""
+    key = ["input_hash", "model", "run_id"]
+    made = decisions.select("decision_id", "input_hash", "model").join(trades.select("decision_id", "run_id", "trade_id"), "decision_id")
+    return wanted.join(made.groupBy(*key).agg(F.min("trade_id").alias("trade_id")), key, "left")
+
+
 def verified_scope(trades: DataFrame, manifests: DataFrame) -> DataFrame:
     """Trades of runs whose kind counts, whose tree was clean and whose commit is known, and
     whose id does not look like a test's."""

@@ -6,9 +6,10 @@ partitioning gives the same figures; division to doubles comes last.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator, Sequence
 from random import Random
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,12 +60,28 @@ def trade_metrics(trades: DataFrame, by: list[str]) -> DataFrame:
     return g.select(*by, "total", "open", "closed", "quarantined", "wins", "ambiguous", mean_r(F.col("__s"), F.col("__n")).alias("expectancy_r"))
 
 
+def _sliced(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Adds ``__slice``, ascending with the first column of ``order``: its day, or the value
+    itself where it is no time.  A slice's rows are one task, not a group's."""
+    first = F.col(order[0])
+    timed = rows.schema[order[0]].dataType.simpleString().startswith("timestamp")
+    return rows.withColumn("__slice", F.date_trunc("day", first.cast("timestamp")) if timed else first)
+
+
 def max_drawdown(trades: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """Greatest fall of the running sum below its peak so far, the peak starting at 0."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    equity = trades.where("r_milli is not null").withColumn("__eq", F.sum("r_milli").over(w))
-    fall = equity.withColumn("__fall", F.greatest(F.lit(0), F.max("__eq").over(w)) - F.col("__eq"))
-    return fall.groupBy(*by).agg((F.max("__fall") / 1000.0).alias("max_drawdown_r"))
+    """Greatest fall of the running sum below its peak so far, the peak starting at 0.
+
+    Slices of time are summed on their own: each gives its total, its greatest and least
+    running sum and its own greatest fall; the slices, few per group, then combine in order."""
+    w = Window.partitionBy(*by, "__slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = _sliced(trades.where("r_milli is not null"), order).withColumn("__eq", F.sum("r_milli").over(w))
+    inside = inside.withColumn("__fall", F.greatest(F.lit(0), F.max("__eq").over(w)) - F.col("__eq"))
+    parts = inside.groupBy(*by, "__slice").agg(F.sum("r_milli").alias("__sum"), F.max("__eq").alias("__top"), F.min("__eq").alias("__low"), F.max("__fall").alias("__fall"))
+    before = Window.partitionBy(*by).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("__from", F.coalesce(F.sum("__sum").over(before), F.lit(0)))
+    peak = F.greatest(F.lit(0), F.coalesce(F.max(F.greatest("__from", F.col("__from") + F.col("__top"))).over(before), F.lit(0)))
+    across = parts.withColumn("__peak", peak).withColumn("__across", F.greatest("__peak", "__from") - F.col("__from") - F.col("__low"))
+    return across.groupBy(*by).agg((F.greatest(F.max("__fall"), F.max("__across"), F.lit(0)) / 1000.0).alias("max_drawdown_r"))
 
 
 def confidence_buckets(trades: DataFrame, bins: int = 10) -> DataFrame:
@@ -91,11 +108,20 @@ def regime_coverage(trades: DataFrame) -> DataFrame:
 
 def temporal_folds(trades: DataFrame, by: list[str], order: list[str], folds: int) -> DataFrame:
     """trades with ``fold``: equal runs in time order, the last taking the remainder; fewer
-    rows than folds are one fold."""
-    n = F.count("*").over(Window.partitionBy(*by))
-    at = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
-    size = F.floor(n / folds)
-    return trades.withColumn("fold", F.when(n < folds, F.lit(0)).otherwise(F.least(F.lit(folds - 1), F.floor(at / F.greatest(size, F.lit(1))))).cast("int"))
+    rows than folds are one fold.  A row's place is its place in its slice of time and the
+    number of rows in the slices before."""
+    rows = _sliced(trades, order)
+    sizes = rows.groupBy(*by, "__slice").agg(F.count("*").alias("__k"))
+    before = Window.partitionBy(*by).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(*[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)], F.col("__slice").alias("__s"), F.coalesce(F.sum("__k").over(before), F.lit(0)).alias("__before"), F.sum("__k").over(Window.partitionBy(*by)).alias("__n"))
+    same = F.col("__slice").eqNullSafe(F.col("__s"))
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"__by{i}"))
+    at = F.row_number().over(Window.partitionBy(*by, "__slice").orderBy(*order)) - 1
+    placed = rows.withColumn("__at", at).join(sizes, same)
+    size = F.greatest(F.floor(F.col("__n") / folds), F.lit(1))
+    fold = F.when(F.col("__n") < folds, F.lit(0)).otherwise(F.least(F.lit(folds - 1), F.floor((F.col("__before") + F.col("__at")) / size))).cast("int")
+    return placed.select(*trades.columns, fold.alias("fold"))
 
 
 def maker_comparison(trades: DataFrame, folds: int, order: list[str]) -> DataFrame:
@@ -105,21 +131,42 @@ def maker_comparison(trades: DataFrame, folds: int, order: list[str]) -> DataFra
     return g.select("run_id", "fold", "trades", round_to(F.col("wins") / F.col("trades"), 6).alias("win_rate"), mean_r(F.col("__s"), F.col("trades")).alias("expectancy_r"))
 
 
-def bootstrap_means(values: list[float], iters: int = 2000, seed: int = 12345, block: int | None = None) -> list[float]:
-    """Sorted means of moving-block resamples; the block length is about the cube root."""
+def _seeded_below(seed: int, stop: int, count: int) -> Iterator[np.ndarray]:
+    """The first ``count`` results of ``Random(seed).randrange(stop)``, in pieces: the same
+    Mersenne Twister words, shifted to as many bits as ``stop`` has, those below it kept."""
+    words = np.random.MT19937()
+    *key, at = Random(seed).getstate()[1]
+    words.state = {"bit_generator": "MT19937", "state": {"key": np.array(key, np.uint32), "pos": at}}
+    shift = np.uint64(32 - stop.bit_length())
+    while count > 0:
+        raw = words.random_raw(min(1 << 20, 2 * count + 64)) >> shift
+        kept = raw[raw < stop][:count].astype(np.int64)
+        count -= len(kept)
+        yield kept
+
+
+def bootstrap_means(values: Sequence[float], iters: int = 2000, seed: int = 12345, block: int | None = None) -> np.ndarray:
+    """Sorted means of moving-block resamples; the block length is about the cube root.
+
+    A resample is so many blocks from drawn starts, the last one cut to the length; its sum is
+    a sum of differences of prefix sums (exact for integers below 2**53)."""
     n = len(values)
     if not n:
-        return []
+        return np.zeros(0)
     size = block or max(1, min(n, round(n ** (1 / 3))))
-    rng, starts = Random(seed), n - size + 1
-    out = []
-    for _ in range(iters):
-        drawn: list[float] = []
-        while len(drawn) < n:
-            at = rng.randrange(starts)
-            drawn.extend(values[at : at + size])
-        out.append(sum(drawn[:n]) / n)
-    return sorted(out)
+    blocks = -(-n // size)
+    short = n - (blocks - 1) * size
+    total = np.concatenate((np.zeros(1), np.cumsum(np.asarray(values, float))))
+    width = np.full(blocks, size)
+    width[-1] = short
+    out, left = [], np.zeros(0, np.int64)
+    for drawn in _seeded_below(seed, n - size + 1, iters * blocks):
+        left = np.concatenate((left, drawn))
+        whole = len(left) // blocks
+        starts = left[: whole * blocks].reshape(whole, blocks)
+        out.append((total[starts + width] - total[starts]).sum(axis=1) / n)
+        left = left[whole * blocks :]
+    return np.sort(np.concatenate(out))
 
 
 def bootstrap_ci(trades: DataFrame, by: list[str], order: list[str], iters: int = 2000, alpha: float = 0.05, seed: int = 12345) -> DataFrame:
@@ -127,12 +174,11 @@ def bootstrap_ci(trades: DataFrame, by: list[str], order: list[str], iters: int
     together, in order; each group is one task and only its R column travels."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([(c, "ascending") for c in order])
-        values = [v / 1000 for v in table.column("r_milli").to_pylist()]
-        means = bootstrap_means(values, iters, seed)
-        at = lambda q: means[min(len(means) - 1, max(0, int(q * len(means))))]
+        values = table.sort_by([(c, "ascending") for c in order]).column("r_milli").to_numpy()
+        means = bootstrap_means(values, iters, seed) / 1000
+        at = lambda q: float(means[min(len(means) - 1, max(0, int(q * len(means))))])
         keys = {c: pa.array([table.column(c)[0].as_py()], table.schema.field(c).type) for c in by}
-        return pa.table(keys | {"n": [len(values)], "mean_r": [sum(values) / len(values)], "low": [at(alpha / 2)], "high": [at(1 - alpha / 2)]})
+        return pa.table(keys | {"n": [len(values)], "mean_r": [int(values.sum()) / 1000 / len(values)], "low": [at(alpha / 2)], "high": [at(1 - alpha / 2)]})
 
     rows = trades.where("r_milli is not null").select(*by, *[c for c in order if c not in by], "r_milli")
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in by)
@@ -140,12 +186,15 @@ def bootstrap_ci(trades: DataFrame, by: list[str], order: list[str], iters: int
 
 
 def upper_median_seconds(bars: DataFrame, default: int = 900) -> DataFrame:
-    """Per series the element len/2 of the sorted distances between opens."""
+    """Per series the element len/2 of the sorted distances between opens, from the counts of
+    the distinct distances."""
     w = Window.partitionBy("symbol", "tf").orderBy("open_time")
     d = bars.withColumn("__d", F.unix_seconds(F.col("open_time").cast("timestamp")) - F.unix_seconds(F.lag("open_time").over(w).cast("timestamp")))
-    deltas = F.sort_array(F.collect_list("__d"))
-    g = d.groupBy("symbol", "tf").agg(deltas.alias("__a"))
-    return g.select("symbol", "tf", F.when(F.size("__a") > 0, F.element_at("__a", F.floor(F.size("__a") / 2).cast("int") + 1)).otherwise(F.lit(default)).alias("bar_seconds"))
+    counts = d.groupBy("symbol", "tf", "__d").agg(F.count("__d").alias("__k"))  # the first bar has no distance: 0 of null
+    upto = Window.partitionBy("symbol", "tf").orderBy("__d").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumns({"__upto": F.sum("__k").over(upto), "__n": F.sum("__k").over(Window.partitionBy("symbol", "tf"))})
+    middle = F.min(F.when(F.col("__upto") > F.floor(F.col("__n") / 2), F.col("__d")))
+    return ranked.groupBy("symbol", "tf").agg(F.coalesce(middle, F.lit(default)).alias("bar_seconds"))
 
 
 def noisy_releases(releases: DataFrame, start: str, end: str, most: float = 6.0) -> DataFrame:
@@ -168,3 +217,34 @@ def evaluable_bars(bars: DataFrame, trigger_tf: str, min_bars: int) -> DataFrame
 def median_of(values: Iterable[float]) -> float:
     ordered = sorted(values)
     return ordered[len(ordered) // 2]
+
+
+def feedback(trades: DataFrame, instants: DataFrame, k: int = 5, ties: Sequence[str] = ("decision_id",)) -> DataFrame:
+    """Per instants(run_id, as_of) one nested row of what was known strictly before it:
+    regime_performance (regime, trades, win_rate, expectancy_r; most trades first, then by
+    name, null last) and recent_trades (the last ``k`` by observed_at, newest first:
+    direction, regime, r_multiple, exit_reason, closed_at).  Trades that are open, have no R
+    or no observed_at are never known.  Empty arrays where nothing was.
+
+    Trades and instants are stacked in time, so running sums per regime and a running list of
+    k rows carry what is known to every instant in one sort each.  Trades observed at one
+    instant are in the order of ``ties``."""
+    known = trades.where("status <> 'open' and r_milli is not null and observed_at is not null")
+    asked = instants.select("run_id", "as_of").distinct()
+    grid = asked.join(known.select("run_id", "regime").distinct(), "run_id")
+    a = grid.select("run_id", "regime", F.col("as_of").alias("t"), F.lit(0).alias("side"), F.lit(0).cast("long").alias("r"))
+    b = known.select("run_id", "regime", F.col("observed_at").alias("t"), F.lit(1).alias("side"), F.col("r_milli").alias("r"))
+    w = Window.partitionBy("run_id", "regime").orderBy("t", "side").rowsBetween(Window.unboundedPreceding, 0)
+    sums = a.unionByName(b).withColumns({"n": F.sum("side").over(w), "wins": F.sum(F.when((F.col("side") == 1) & (F.col("r") > 0), 1).otherwise(0)).over(w), "s": F.sum(F.when(F.col("side") == 1, F.col("r")).otherwise(0)).over(w)}).where("side = 0 and n > 0")
+    ranked = F.struct((-F.col("n")).alias("o"), F.col("regime").isNull().alias("p"), "regime", F.col("n").alias("trades"), round_to(F.col("wins") / F.col("n"), 3).alias("win_rate"), mean_r(F.col("s"), F.col("n"), 3).alias("expectancy_r"))
+    drop = lambda x: F.struct(x["regime"].alias("regime"), x["trades"].alias("trades"), x["win_rate"].alias("win_rate"), x["expectancy_r"].alias("expectancy_r"))
+    regimes = sums.groupBy("run_id", F.col("t").alias("as_of")).agg(F.transform(F.sort_array(F.collect_list(ranked)), drop).alias("regime_performance"))
+
+    one = F.struct("direction", "regime", (F.col("r_milli") / 1000.0).alias("r_multiple"), "exit_reason", "closed_at")
+    last = Window.partitionBy("run_id").orderBy("observed_at", *ties).rowsBetween(-(k - 1), 0)
+    lists = known.select("run_id", F.col("observed_at").alias("t"), F.lit(1).alias("side"), F.struct(*ties).alias("tie"), F.reverse(F.collect_list(one).over(last)).alias("recent_trades"))
+    points = asked.select("run_id", F.col("as_of").alias("t"), F.lit(0).alias("side"), F.lit(None).cast(lists.schema["tie"].dataType).alias("tie"), F.lit(None).cast(lists.schema["recent_trades"].dataType).alias("recent_trades"))
+    carried = points.unionByName(lists).withColumn("recent_trades", F.last("recent_trades", ignorenulls=True).over(Window.partitionBy("run_id").orderBy("t", "side", "tie").rowsBetween(Window.unboundedPreceding, 0))).where("side = 0")
+    out = carried.select("run_id", F.col("t").alias("as_of"), "recent_trades").join(regimes, ["run_id", "as_of"], "left")
+    none = lambda c, frame: F.coalesce(c, F.array().cast(frame.schema[c].dataType)).alias(c)
+    return out.select("run_id", "as_of", none("regime_performance", regimes), none("recent_trades", lists))

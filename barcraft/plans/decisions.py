@@ -17,9 +17,9 @@ from barcraft.sources import adapters as a
 RECENT = dict(decide.EligibilityPolicy().recent_bars)
 
 
-def _flags(spark: SparkSession, sf: str) -> DataFrame:
+def _flags(spark: SparkSession, sf: str, fine: DataFrame | None = None) -> DataFrame:
     """Packets with gap flags as of each bar, a clock and a quote that sometimes lags."""
-    out = packets(spark, sf, flagged=True).withColumn("feed_close", F.col("as_of"))
+    out = packets(spark, sf, True, fine).withColumn("feed_close", F.col("as_of"))
     out = out.withColumns({f"gap_{tf}": F.coalesce(f"{role}_gap", F.lit(False)) for role, tf in ROLES.items()})
     k = (F.unix_seconds(F.col("as_of").cast("timestamp")) / 900).cast("long")
     sec = lambda n: F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), n)
@@ -58,8 +58,8 @@ def eligibility_online(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("symbol", "as_of", F.array_join("reasons", ";").alias("reasons"), "feed_lag", "quote_lag")
 
 
-def _decidable(spark: SparkSession, sf: str) -> DataFrame:
-    f = decide.eligibility(_flags(spark, sf), "replay")
+def _decidable(spark: SparkSession, sf: str, fine: DataFrame | None = None) -> DataFrame:
+    f = decide.eligibility(_flags(spark, sf, fine), "replay")
     f = f.withColumns({
         "spread_pct": F.when(F.col("k") % 15 != 7, (F.col("k") % 15) / 100), "regime": F.col("structure_regime"), "atr_pct": F.col("atr_pct_trigger") / 50,
         "insufficient": F.when(F.col("k") % 53 == 3, F.array(F.lit("1day"))),

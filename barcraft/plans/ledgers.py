@@ -75,7 +75,7 @@ def manifest_pin(spark: SparkSession, sf: str) -> DataFrame:
 _PROC = "SELECT o_orderstatus AS symbol, o_orderpriority AS provider, o_orderdate AS bar_close, o_orderkey AS seq, o_custkey % 4 <> 0 AS ok FROM orders"
 
 
-def _processed(spark: SparkSession, sf: str) -> DataFrame:
+def processed(spark: SparkSession, sf: str) -> DataFrame:
     o = a.table(spark, sf, "orders")
     x = o.select(F.col("o_orderstatus").alias("symbol"), F.col("o_orderpriority").alias("provider"), F.col("o_orderdate").alias("bar_close"), F.col("o_orderkey").alias("seq"), (F.col("o_custkey") % 4 != 0).alias("ok"))
     return ledger.processed_bars(x, ["symbol", "provider", "bar_close"], "seq", "ok")
@@ -86,21 +86,28 @@ _PROCESSED = f"SELECT * EXCLUDE n FROM (SELECT *, row_number() OVER (PARTITION B
 
 @query(_PROCESSED)
 def processed_bars(spark: SparkSession, sf: str) -> DataFrame:
-    return _processed(spark, sf)
+    return processed(spark, sf)
 
 
 @query(f"SELECT symbol, provider, max(bar_close) AS last_ok FROM ({_PROCESSED}) WHERE ok GROUP BY 1, 2")
 def last_processed_bar(spark: SparkSession, sf: str) -> DataFrame:
-    return ledger.last_processed(_processed(spark, sf))
+    return ledger.last_processed(processed(spark, sf))
 
 
-@query(f"""SELECT * FROM (SELECT symbol, prev_close, bar_close, CASE WHEN prev_close IS NULL THEN 0 ELSE coalesce(len(list_filter(generate_series(prev_close + INTERVAL 60 MINUTE, bar_close - INTERVAL 60 MINUTE, INTERVAL 60 MINUTE), lambda t: {EVENTS_CALENDAR.duckdb('(t - INTERVAL 60 MINUTE)')})), 0) END AS missed
-FROM (SELECT symbol, close_time AS bar_close, lag(close_time) OVER (PARTITION BY symbol ORDER BY close_time) AS prev_close FROM ({a.bars_sql('1h')}))) WHERE missed > 0""")
-def downtime_gaps(spark: SparkSession, sf: str) -> DataFrame:
+DOWNTIME = f"""SELECT * FROM (SELECT symbol, prev_close, bar_close, CASE WHEN prev_close IS NULL THEN 0 ELSE coalesce(len(list_filter(generate_series(prev_close + INTERVAL 60 MINUTE, bar_close - INTERVAL 60 MINUTE, INTERVAL 60 MINUTE), lambda t: {EVENTS_CALENDAR.duckdb('(t - INTERVAL 60 MINUTE)')})), 0) END AS missed
+FROM (SELECT symbol, close_time AS bar_close, lag(close_time) OVER (PARTITION BY symbol ORDER BY close_time) AS prev_close FROM ({a.bars_sql('1h')}))) WHERE missed > 0"""
+
+
+def downtime(spark: SparkSession, sf: str) -> DataFrame:
     b = a.bars(spark, sf, "1h").select("symbol", F.col("close_time").alias("bar_close"))
     return ledger.downtime_gaps(b, simulate.missed_open_bars("prev_close", "bar_close", EVENTS_CALENDAR, 60)).select("symbol", "prev_close", "bar_close", "missed")
 
 
+@query(DOWNTIME)
+def downtime_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    return downtime(spark, sf)
+
+
 _RUN, _DAY, _MONTH = 5_000_000, 2_000_000, 20_000_000
 _BUDGET = f"""WITH RECURSIVE q AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY ts, seq) AS n FROM (SELECT event_type AS run_id, ts, event_id AS seq, user_id * 100 AS micro FROM events)),
 names AS (SELECT list_sort(list(DISTINCT run_id)) AS all_runs FROM q),

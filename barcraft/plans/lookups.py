@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barcraft.operators import ledger, lookup
+from barcraft.plans.ledgers import DOWNTIME, _PROCESSED, downtime, processed
 from barcraft.plans.registry import query
 from barcraft.plans.reports import ATTEMPTS, attempts
 from barcraft.sources import adapters as a
@@ -217,3 +218,29 @@ def backfill_targets(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT 'FOMC' AS label, 'FOMC decision' AS release_name, ((d::TIMESTAMP + INTERVAL 14 HOUR) AT TIME ZONE 'America/New_York') AT TIME ZONE 'UTC' AS scheduled_at, 'high' AS impact FROM (SELECT unnest(['" + "', '".join(lookup.FOMC) + "']) AS d) WHERE d BETWEEN '2026-03-01' AND '2026-12-31'")
 def fomc_events(spark: SparkSession, sf: str) -> DataFrame:
     return lookup.fomc_events(spark, "2026-03-01", "2026-12-31")
+
+
+_BY_INPUT = f"SELECT decision_id, sha256('input ' || (decision_id % 5000)) AS input_hash, CASE WHEN part % 2 = 0 THEN 'small' ELSE 'large' END AS model, run_id, cents AS trade_id FROM ({T})"
+
+
+@query(f"SELECT w.input_hash, w.model, w.run_id, min(x.trade_id) AS trade_id FROM (SELECT sha256('input ' || o_orderkey) AS input_hash, CASE WHEN o_custkey % 2 = 0 THEN 'small' ELSE 'large' END AS model, o_orderstatus AS run_id FROM orders WHERE o_orderkey < 8000) w LEFT JOIN (SELECT * REPLACE (CASE run_id WHEN 'R' THEN 'F' WHEN 'N' THEN 'O' ELSE 'P' END AS run_id) FROM ({_BY_INPUT})) x USING (input_hash, model, run_id) GROUP BY ALL")
+def trade_by_input(spark: SparkSession, sf: str) -> DataFrame:
+    """The trade that an input already led to, by input hash, model and run."""
+    digest = lambda k: F.sha2(F.concat(F.lit("input "), k.cast("string")), 256)
+    model = lambda k: F.when(k % 2 == 0, "small").otherwise("large")
+    o = a.table(spark, sf, "orders").where("o_orderkey < 8000").select(digest(F.col("o_orderkey")).alias("input_hash"), model(F.col("o_custkey")).alias("model"), F.col("o_orderstatus").alias("run_id"))
+    t = a.trade_facts(spark, sf).withColumn("run_id", F.when(F.col("run_id") == "R", "F").when(F.col("run_id") == "N", "O").otherwise("P"))
+    # the key of a fact is decision and part: decisions repeat in the test table
+    key = F.struct("decision_id", "part", "supp", "cents").cast("string")
+    d = t.select(key.alias("decision_id"), digest(F.col("decision_id") % 5000).alias("input_hash"), model(F.col("part")).alias("model")).distinct()
+    return lookup.trade_by_input(o, d, t.select(key.alias("decision_id"), "run_id", F.col("cents").alias("trade_id")))
+
+
+@query(f"SELECT symbol, provider, bar_close, seq, ok FROM (SELECT *, row_number() OVER (ORDER BY bar_close DESC, symbol, provider) AS k FROM ({_PROCESSED})) WHERE k <= 50")
+def processed_bars_section(spark: SparkSession, sf: str) -> DataFrame:
+    return lookup.newest(processed(spark, sf), "bar_close", 50, "symbol", "provider").select("symbol", "provider", "bar_close", "seq", "ok")
+
+
+@query(f"SELECT * EXCLUDE k FROM (SELECT *, row_number() OVER (ORDER BY bar_close DESC, symbol) AS k FROM ({DOWNTIME})) WHERE k <= 50")
+def downtime_section(spark: SparkSession, sf: str) -> DataFrame:
+    return lookup.newest(downtime(spark, sf), "bar_close", 50, "symbol")

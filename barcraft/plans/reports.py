@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barcraft.functions import redaction
 from barcraft.functions.numeric import round_to
-from barcraft.operators import ledger, metrics
+from barcraft.operators import ledger, lookup, metrics
 from barcraft.plans.registry import query
 from barcraft.sources import adapters as a
 
@@ -175,7 +175,11 @@ def constraint_audit(spark: SparkSession, sf: str) -> DataFrame:
 _MESSAGE = "'https://user' || doc_id || ':pw@host/x token=' || doc_id || ' Bearer abc.' || doc_id || ' ' || text || '?q=1'"
 
 
-@query(rf"""SELECT doc_id, left(regexp_replace(regexp_replace(regexp_replace(string_split(m, '?')[1], '(://[^ \t\n\v\f\r:/@]+:)[^ \t\n\v\f\r@]+(@)', '\1<redacted>\2', 'g'), '(?i)\b(api[_-]?key|token|authorization|password|secret)\b([ \t\n\v\f\r]*[:=][ \t\n\v\f\r]*)([^ \t\n\v\f\r,;&]+)', '\1\2<redacted>', 'g'), '(?i)\bBearer[ \t\n\v\f\r]+[A-Za-z0-9._~+/-]+', 'Bearer <redacted>', 'g'), 300) AS message
+#: Unicode white space, which \\s is not in this dialect.
+_WS = r"\s\v\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+
+@query(rf"""SELECT doc_id, left(regexp_replace(regexp_replace(regexp_replace(string_split(m, '?')[1], '(://[^{_WS}:/@]+:)[^{_WS}@]+(@)', '\1<redacted>\2', 'g'), '(?i)\b(api[_-]?key|token|authorization|password|secret)\b([{_WS}]*[:=][{_WS}]*)([^{_WS},;&]+)', '\1\2<redacted>', 'g'), '(?i)\bBearer[{_WS}]+[A-Za-z0-9._~+/-]+', 'Bearer <redacted>', 'g'), 300) AS message
 FROM (SELECT doc_id, {_MESSAGE} AS m FROM documents)""")
 def redaction_messages(spark: SparkSession, sf: str) -> DataFrame:
     d = a.table(spark, sf, "documents")
@@ -183,7 +187,7 @@ def redaction_messages(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", redaction.redact_message(m).alias("message"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '<redacted>' ELSE event_type END AS api_key, '<redacted>' AS password_hint, event_type AS kind FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '[redactat]' ELSE event_type END AS api_key, '[redactat]' AS password_hint, event_type AS kind FROM events")
 def redaction_keys(spark: SparkSession, sf: str) -> DataFrame:
     e = a.table(spark, sf, "events")
     name = F.when(F.col("event_id") % 3 == 0, "api_key").otherwise("api_name")
@@ -205,7 +209,7 @@ def exact_means(spark: SparkSession, sf: str) -> DataFrame:
     return p.groupBy("p_brand").agg(round_to(F.sum(F.col("p_retailprice").cast("decimal(12,2)")).cast("double") / F.count("*"), 4).alias("mean_price"), F.count("*").alias("n"))
 
 
-@query("""SELECT event_id, '{"k":' || CAST(json_extract_string(props, '$.k') AS BIGINT) || ',"auth":"<redacted>","in":[{"name":"' || event_type || '","api_key":"<redacted>","note":null}]}' AS details FROM events""")
+@query("""SELECT event_id, '{"k":' || CAST(json_extract_string(props, '$.k') AS BIGINT) || ',"auth":"[redactat]","in":[{"name":"' || event_type || '","api_key":"[redactat]","note":null}]}' AS details FROM events""")
 def redaction_json(spark: SparkSession, sf: str) -> DataFrame:
     e = a.table(spark, sf, "events")
     k = F.get_json_object("props", "$.k").cast("long").cast("string")
@@ -236,3 +240,64 @@ def state_alerts(spark: SparkSession, sf: str) -> DataFrame:
     runs = o.select(F.when(F.col("o_orderstatus") == "O", "running").otherwise("done").alias("status"), F.col("o_orderdate").alias("started_at"))
     open_trades = t.where("status = 'open'").withColumn("timeout_at", F.col("opened_at") + F.expr("interval 24 hours"))
     return rules.state_alerts("2000-01-01 00:00:00", open_trades, reservations, services, runs, a.snapshots(spark, sf), t, attempts(spark, sf), a.table(spark, sf, "nation"))
+
+
+_FEED_NOW, _FEED_LAG = "2024-01-30 22:00:00", 7200
+_FEEDS = """SELECT 'u' || user_id AS symbol, user_id % 3 <> 0 AS market_open, user_id % 5 <> 0 AS session_ok, CASE WHEN user_id % 7 <> 0 THEN user_id % 2 = 0 END AS quote_ok, user_id % 4 <> 0 AS candles_ok, max(ts) FILTER (WHERE value > 200) AS feed_last, max(ts) FILTER (WHERE event_id % 9 = 0) AS snapshot_last,
+  count(*) FILTER (WHERE event_type = 'click') AS paid_decisions, count(*) FILTER (WHERE event_type = 'error' AND value > 150) AS paid_calls, CASE WHEN user_id % 6 = 1 THEN 'unverified' ELSE 'verified' END AS run_validity FROM events GROUP BY user_id"""
+
+
+@query(f"""SELECT symbol, severity, code FROM (SELECT *, coalesce(epoch(feed_last), 0) AS e FROM ({_FEEDS})) CROSS JOIN (VALUES ('warning', 'BRAIN_BEHIND_FEED'), ('warning', 'NO_MARKET_SNAPSHOT'), ('critical', 'FEED_STALE'), ('warning', 'QUOTE_UNAVAILABLE'), ('critical', 'CANDLES_UNAVAILABLE'), ('warning', 'LLM_AUDIT_GAP'), ('warning', 'UNVERIFIED_RUN_SELECTED')) v(severity, code)
+WHERE CASE code WHEN 'BRAIN_BEHIND_FEED' THEN floor(epoch(feed_last)) - floor(epoch(snapshot_last)) > 1800 WHEN 'NO_MARKET_SNAPSHOT' THEN snapshot_last IS NULL
+  WHEN 'FEED_STALE' THEN market_open AND CASE WHEN feed_last IS NOT NULL THEN epoch(TIMESTAMP '{_FEED_NOW}') - floor(epoch(feed_last)) > {_FEED_LAG} ELSE session_ok END
+  WHEN 'QUOTE_UNAVAILABLE' THEN session_ok AND market_open AND NOT coalesce(quote_ok, false) WHEN 'CANDLES_UNAVAILABLE' THEN session_ok AND market_open AND NOT candles_ok
+  WHEN 'LLM_AUDIT_GAP' THEN paid_decisions > 0 AND paid_calls = 0 ELSE run_validity = 'unverified' END""")
+def feed_alerts(spark: SparkSession, sf: str) -> DataFrame:
+    from barcraft.operators import alerts as rules
+
+    u = F.col("user_id")
+    feeds = a.table(spark, sf, "events").groupBy("user_id").agg(
+        F.max(F.when(F.col("value") > 200, F.col("ts"))).alias("feed_last"), F.max(F.when(F.col("event_id") % 9 == 0, F.col("ts"))).alias("snapshot_last"),
+        F.count_if(F.col("event_type") == "click").alias("paid_decisions"), F.count_if((F.col("event_type") == "error") & (F.col("value") > 150)).alias("paid_calls"),
+    ).withColumns({"symbol": F.concat(F.lit("u"), u), "market_open": u % 3 != 0, "session_ok": u % 5 != 0, "quote_ok": F.when(u % 7 != 0, u % 2 == 0), "candles_ok": u % 4 != 0, "run_validity": F.when(u % 6 == 1, "unverified").otherwise("verified")})
+    return rules.feed_alerts(_FEED_NOW, feeds, _FEED_LAG)
+
+
+@query("""SELECT host, severity, code FROM (SELECT s_suppkey AS host, s_suppkey % 3 = 0 AS dirty, s_suppkey % 5 = 0 AS unknown, s_suppkey % 7 <> 0 AS db, s_suppkey % 4 <> 0 AS sch, s_suppkey % 6 <> 0 AS broker, s_suppkey % 9 <> 0 AS st, CASE WHEN s_suppkey % 2 = 0 THEN 'demo' END AS env, CASE s_suppkey % 8 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN false END AS te FROM supplier)
+CROSS JOIN (VALUES ('warning', 'REPO_DIRTY'), ('warning', 'REPO_PROVENANCE_UNKNOWN'), ('critical', 'DATABASE_DOWN'), ('critical', 'DB_SCHEMA_MISMATCH'), ('critical', 'XTB_DISCONNECTED'), ('critical', 'NOT_DEMO'), ('critical', 'REAL_ORDERS_ENABLED'), ('warning', 'TRADING_FLAG_UNKNOWN')) v(severity, code)
+WHERE CASE code WHEN 'REPO_DIRTY' THEN dirty WHEN 'REPO_PROVENANCE_UNKNOWN' THEN NOT dirty AND unknown WHEN 'DATABASE_DOWN' THEN NOT db WHEN 'DB_SCHEMA_MISMATCH' THEN db AND NOT sch WHEN 'XTB_DISCONNECTED' THEN NOT broker WHEN 'NOT_DEMO' THEN st AND env IS DISTINCT FROM 'demo' WHEN 'REAL_ORDERS_ENABLED' THEN te ELSE st AND te IS NULL END""")
+def system_alerts(spark: SparkSession, sf: str) -> DataFrame:
+    from barcraft.operators import alerts as rules
+
+    k = F.col("s_suppkey")
+    states = a.table(spark, sf, "supplier").select(
+        k.alias("host"), (k % 3 == 0).alias("repo_dirty"), F.when(k % 5 == 0, "unknown").otherwise("known").alias("repo_state"), (k % 7 != 0).alias("db_ok"), (k % 4 != 0).alias("schema_current"), (k % 6 != 0).alias("broker_ok"),
+        F.when(k % 2 == 0, "demo").alias("environment"), F.when(k % 8 == 0, True).when(k % 8 <= 2, False).alias("trading_enabled"), (k % 9 != 0).alias("has_status"),
+    )
+    return rules.system_alerts(states)
+
+
+_FEEDBACK_AT = ("1992-01-15", "1993-06-01", "1995-03-10", "1999-06-01")
+_KNOWN = f"(SELECT * FROM ({T}) WHERE status <> 'open' AND r_milli IS NOT NULL)"
+_ASKED = "(SELECT run_id, as_of FROM (SELECT DISTINCT l_returnflag AS run_id FROM lineitem) CROSS JOIN (SELECT unnest([" + ", ".join(f"TIMESTAMP '{t}'" for t in _FEEDBACK_AT) + "]) AS as_of))"
+_FEEDBACK_ORDER = "observed_at DESC, decision_id DESC, part DESC, supp DESC, cents DESC"
+
+
+@query(f"""WITH g AS (SELECT q.run_id, as_of, regime, count(*) AS n, round(count(*) FILTER (WHERE r_milli > 0) / count(*), 3) AS w, round(sum(r_milli)::BIGINT / 1000.0::DOUBLE / count(*), 3) AS e FROM {_ASKED} q JOIN {_KNOWN} k ON k.run_id = q.run_id AND observed_at < as_of GROUP BY 1, 2, 3),
+l AS (SELECT run_id, as_of, string_agg(coalesce(regime, 'null') || ':' || n || ':' || w || ':' || e, ',' ORDER BY n DESC, regime NULLS LAST) AS regimes FROM g GROUP BY 1, 2),
+r AS (SELECT run_id, as_of, string_agg(direction || ':' || coalesce(regime, 'null') || ':' || r_milli / 1000.0::DOUBLE || ':' || exit_reason || ':' || strftime(closed_at, '%Y-%m-%d'), ',' ORDER BY k) AS recent FROM (SELECT q.run_id, as_of, k.* EXCLUDE run_id, row_number() OVER (PARTITION BY q.run_id, as_of ORDER BY {_FEEDBACK_ORDER}) AS k FROM {_ASKED} q JOIN {_KNOWN} k ON k.run_id = q.run_id AND observed_at < as_of) WHERE k <= 5 GROUP BY 1, 2)
+SELECT q.run_id, q.as_of, coalesce(regimes, '') AS regimes, coalesce(recent, '') AS recent FROM {_ASKED} q LEFT JOIN l USING (run_id, as_of) LEFT JOIN r USING (run_id, as_of)""")
+def feedback(spark: SparkSession, sf: str) -> DataFrame:
+    """What each run knew at some instants; the nested row is printed as two texts."""
+    t = a.trade_facts(spark, sf)
+    at = spark.createDataFrame([(x,) for x in _FEEDBACK_AT], "at string").select(F.col("at").cast("timestamp_ntz").alias("as_of"))
+    f = metrics.feedback(t, t.select("run_id").distinct().join(F.broadcast(at)), 5, a.TRADE_ORDER)
+    text = lambda *parts: F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("null")) for p in parts])
+    regimes = F.transform("regime_performance", lambda x: text(x["regime"], x["trades"], x["win_rate"], x["expectancy_r"]))
+    recent = F.transform("recent_trades", lambda x: text(x["direction"], x["regime"], x["r_multiple"], x["exit_reason"], F.date_format(x["closed_at"], "yyyy-MM-dd")))
+    return f.select("run_id", "as_of", F.array_join(regimes, ",").alias("regimes"), F.array_join(recent, ",").alias("recent"))
+
+
+@query(f"SELECT attempt_id, run_id, ts, status, actual_micro FROM (SELECT *, row_number() OVER (ORDER BY ts DESC, attempt_id) AS k FROM ({ATTEMPTS})) WHERE k <= 50")
+def paid_attempts_section(spark: SparkSession, sf: str) -> DataFrame:
+    return lookup.newest(attempts(spark, sf), "ts", 50, "attempt_id").select("attempt_id", "run_id", "ts", "status", "actual_micro")

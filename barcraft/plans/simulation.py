@@ -10,14 +10,15 @@ from barcraft.operators import decide, simulate
 from barcraft.plans.decisions import _FILTER, DECIDABLE_CTE, _decidable, _risk_sql
 from barcraft.plans.registry import query
 from barcraft.sources import adapters as a
+from barcraft.sources.sinks import settled
 
 COSTS = simulate.Costs()
-TIMEOUT = 8
+#: Bars that a trade is held at most: one trading day.
+TIMEOUT = 96
 
 
-def candidates(spark: SparkSession, sf: str) -> DataFrame:
+def candidates(b: DataFrame) -> DataFrame:
     """Every 15-minute bar opens a trade, some of them inside the following bar."""
-    b = a.bars(spark, sf, "15min")
     k = (F.unix_seconds(F.col("close_time").cast("timestamp")) / 900).cast("long")
     c = b.select("symbol", F.col("close_time").alias("as_of"), F.col("close").alias("price"), k.alias("trade_id"))
     late = F.when(F.col("trade_id") % 6 == 0, 5).otherwise(0)
@@ -66,18 +67,24 @@ outcomes AS MATERIALIZED (SELECT symbol, as_of, run_id, trade_id, opened_at, dir
 OUTCOMES_CTE = outcomes_cte(_CAND)
 
 
-def trades(spark: SparkSession, sf: str) -> DataFrame:
-    return simulate.open_trades(simulate.entry_bars(candidates(spark, sf), a.bars(spark, sf, "15min")), COSTS)
+def fine_bars(spark: SparkSession, sf: str) -> DataFrame:
+    """The 15-minute bars, made once: candidates, entries and exits all look at them."""
+    return settled(a.bars(spark, sf, "15min"), "bars")
+
+
+def trades(b: DataFrame) -> DataFrame:
+    return simulate.open_trades(simulate.entry_bars(candidates(b), b), COSTS)
 
 
 def outcomes(spark: SparkSession, sf: str) -> DataFrame:
-    t = trades(spark, sf).select("symbol", "as_of", "run_id", "trade_id", "opened_at", "direction", "entry_mid", "sl_price", "tp_price")
-    return simulate.reconcile(t, a.bars(spark, sf, "15min"), TIMEOUT, COSTS)
+    b = fine_bars(spark, sf)
+    t = trades(b).select("symbol", "as_of", "run_id", "trade_id", "opened_at", "direction", "entry_mid", "sl_price", "tp_price")
+    return simulate.reconcile(t, b, TIMEOUT, COSTS)
 
 
 @query(f"WITH {_SIM} SELECT symbol, as_of, trade_id, entry_ref, entry_mid, sl_price, tp_price FROM t")
 def entry_next_bar(spark: SparkSession, sf: str) -> DataFrame:
-    return trades(spark, sf).select("symbol", "as_of", "trade_id", "entry_ref", "entry_mid", "sl_price", "tp_price")
+    return trades(fine_bars(spark, sf)).select("symbol", "as_of", "trade_id", "entry_ref", "entry_mid", "sl_price", "tp_price")
 
 
 @query(f"WITH {OUTCOMES_CTE} SELECT * FROM outcomes")
@@ -135,9 +142,9 @@ _APPROVED = f"""SELECT symbol, as_of, price, k AS trade_id, as_of AS opened_at,
 def backtest_end_to_end(spark: SparkSession, sf: str) -> DataFrame:
     """The whole backtest: bars of four timeframes, indicators, packets, eligibility, filter,
     maker, risk, entry, first touch, position gate and report."""
-    d = decide.run_decisions(_decidable(spark, sf), "always_buy", EVENTS_CALENDAR).where("verdict = 'approved'")
+    b = fine_bars(spark, sf)
+    d = decide.run_decisions(_decidable(spark, sf, b), "always_buy", EVENTS_CALENDAR).where("verdict = 'approved'")
     c = d.select("symbol", "as_of", "price", F.col("k").alias("trade_id"), F.col("as_of").alias("opened_at"), "direction", (F.col("sl_pct") * 20).alias("sl_pct"), (F.col("tp_pct") * 20).alias("tp_pct"), F.lit("always_buy").alias("run_id"))
-    b = a.bars(spark, sf, "15min")
     t = simulate.open_trades(simulate.entry_bars(c, b), COSTS).select("symbol", "as_of", "run_id", "trade_id", "opened_at", "direction", "entry_mid", "sl_price", "tp_price")
     return report(simulate.position_gate(simulate.reconcile(t, b, TIMEOUT, COSTS), _BAR, _COOL))
 
@@ -155,7 +162,7 @@ _NOW = "2024-01-20 00:00:00"
 
 
 def _windows(spark: SparkSession, sf: str) -> DataFrame:
-    return candidates(spark, sf).select("symbol", "trade_id", "opened_at")
+    return candidates(a.bars(spark, sf, "15min")).select("symbol", "trade_id", "opened_at")
 
 
 def _coverage_sql(tf: str, m: int) -> str:
@@ -189,9 +196,9 @@ def open_trade_action(spark: SparkSession, sf: str) -> DataFrame:
 m AS (SELECT t.*, CASE WHEN q.bid > 0 AND q.ask >= q.bid THEN (q.bid + q.ask) / 2 END AS mid, CASE WHEN direction = 'BUY' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS sg FROM t JOIN q USING (symbol))
 SELECT symbol, trade_id, mid, round(sg * (mid - entry_mid) / entry_mid * 100, 4) AS unrealized_pct, round(sg * (mid - entry_mid) / abs(entry_mid - sl_price), 4) AS unrealized_r, round(sg * (mid - sl_price), 4) AS to_stop, round(sg * (tp_price - mid), 4) AS to_target, opened_at + INTERVAL 1440 MINUTE AS times_out_at FROM m""")
 def mark_to_market(spark: SparkSession, sf: str) -> DataFrame:
-    b = a.bars(spark, sf, "15min")
+    b = fine_bars(spark, sf)
     q = b.select("symbol", F.col("close_time").alias("time"), (F.col("close") - 0.5).alias("bid"), F.when(F.col("symbol") == "view", F.col("close") - 1.0).otherwise(F.col("close") + 0.5).alias("ask"))
-    m = simulate.mark_to_market(trades(spark, sf), q)
+    m = simulate.mark_to_market(trades(b), q)
     return m.select("symbol", "trade_id", "mid", "unrealized_pct", "unrealized_r", "to_stop", "to_target", "times_out_at")
 
 
@@ -210,7 +217,7 @@ def live_sweep(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {_SIM} SELECT direction, modeled, not_modeled, count(*) AS n FROM (SELECT direction, 'spread,gap_through_stop,latency,slippage,commission' || CASE WHEN direction = 'BUY' THEN ',swap' ELSE '' END AS modeled, CASE WHEN direction = 'BUY' THEN '' ELSE 'swap' END AS not_modeled FROM t) GROUP BY ALL""")
 def cost_manifest(spark: SparkSession, sf: str) -> DataFrame:
-    t = trades(spark, sf).select("direction", *simulate.cost_manifest(simulate.Costs(swap_short_pct=0.0)))
+    t = trades(fine_bars(spark, sf)).select("direction", *simulate.cost_manifest(simulate.Costs(swap_short_pct=0.0)))
     return t.select("direction", F.array_join("modeled", ",").alias("modeled"), F.array_join("not_modeled", ",").alias("not_modeled")).groupBy("direction", "modeled", "not_modeled").agg(F.count("*").alias("n"))
 
 
@@ -224,7 +231,7 @@ def frozen_costs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT symbol, run_id, count(*) FILTER (WHERE run_id = 'main') AS resumed, count(*) FILTER (WHERE run_id <> 'main') AS to_do FROM ({_CAND}) GROUP BY 1, 2")
 def resume_backtest(spark: SparkSession, sf: str) -> DataFrame:
-    c = candidates(spark, sf).select("symbol", "trade_id", "run_id")
+    c = candidates(a.bars(spark, sf, "15min")).select("symbol", "trade_id", "run_id")
     done, left = simulate.resume(c, c.where("run_id = 'main'"), ["symbol", "trade_id"])
     both = done.withColumn("s", F.lit("resumed")).unionByName(left.withColumn("s", F.lit("to_do")))
     return both.groupBy("symbol", "run_id").agg(F.count_if(F.col("s") == "resumed").alias("resumed"), F.count_if(F.col("s") == "to_do").alias("to_do"))
@@ -232,8 +239,8 @@ def resume_backtest(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def seeded_random_maker(spark: SparkSession, sf: str) -> DataFrame:
-    b = a.bars(spark, sf, "15min")
-    c = simulate.entry_bars(candidates(spark, sf), b)
+    b = fine_bars(spark, sf)
+    c = simulate.entry_bars(candidates(b), b)
     ends = {}
     for side in ("BUY", "SELL"):
         t = simulate.open_trades(c.withColumn("direction", F.lit(side)), COSTS).select("symbol", "as_of", "run_id", "trade_id", "opened_at", "direction", "entry_mid", "sl_price", "tp_price")

@@ -125,6 +125,67 @@ def test_drawdown(spark, r, worst):
     assert metrics.max_drawdown(facts(spark, r), ["run_id"], ["i"]).first()["max_drawdown_r"] == worst
 
 
+def dated(spark, n, seed=4, days=9):
+    from random import Random
+
+    rng = Random(seed)
+    rows = [(rng.choice(["a", "b", None]), i, T0 + timedelta(hours=rng.randrange(24 * days)), rng.randrange(-3000, 3001) if rng.random() < 0.9 else None) for i in range(n)]
+    return rows, spark.createDataFrame(rows, "run_id string, i int, closed_at timestamp_ntz, r_milli long").repartition(5)
+
+
+def test_drawdown_over_slices_equals_a_running_fold(spark):
+    rows, df = dated(spark, 400)
+    want = {}
+    for run in ("a", "b", None):
+        total = peak = worst = 0
+        for _, _, _, r in sorted((r for r in rows if r[0] == run and r[3] is not None), key=lambda r: (r[2], r[1])):
+            total += r
+            peak = max(peak, total)
+            worst = max(worst, peak - total)
+        want[run] = worst / 1000
+    got = {r["run_id"]: r["max_drawdown_r"] for r in metrics.max_drawdown(df, ["run_id"], ["closed_at", "i"]).collect()}
+    assert got == want
+
+
+def test_folds_over_slices_equal_places_in_order(spark):
+    rows, df = dated(spark, 301)
+    got = {r["i"]: r["fold"] for r in metrics.temporal_folds(df, ["run_id"], ["closed_at", "i"], 4).collect()}
+    for run in ("a", "b", None):
+        own = sorted((r for r in rows if r[0] == run), key=lambda r: (r[2], r[1]))
+        for at, r in enumerate(own):
+            assert got[r[1]] == min(3, at // (len(own) // 4))
+    assert len(got) == 301
+
+
+def test_median_bar_length_is_the_upper_one(spark):
+    b = make_bars(spark, [1.0] * 7, skip=(1, 3))  # distances 2, 2, 1 and 1 bars
+    assert metrics.upper_median_seconds(b).first()["bar_seconds"] == 1800
+    assert metrics.upper_median_seconds(make_bars(spark, [1.0])).first()["bar_seconds"] == 900
+
+
+def test_feedback_knows_only_what_was_observed_before(spark):
+    from random import Random
+
+    rng = Random(3)
+    at = lambda k: T0 + timedelta(minutes=k)
+    rows = [(rng.choice("xy"), i, rng.choice(["open", "closed", "expired"]), rng.choice([None, *range(-900, 900, 7)]), rng.choice(["range", "bull_trend", None]), "BUY", "tp_hit", at(i), rng.choice([None, at(rng.randrange(60))])) for i in range(150)]
+    t = spark.createDataFrame(rows, "run_id string, decision_id long, status string, r_milli long, regime string, direction string, exit_reason string, closed_at timestamp_ntz, observed_at timestamp_ntz").repartition(4)
+    asked = spark.createDataFrame([(run, at(k)) for run in "xyz" for k in (0, 5, 30, 31, 90)], "run_id string, as_of timestamp_ntz")
+    got = {(r["run_id"], r["as_of"]): r for r in metrics.feedback(t, asked, 3).collect()}
+    assert len(got) == 15
+    for (run, when), r in got.items():
+        known = [x for x in rows if x[0] == run and x[2] != "open" and x[3] is not None and x[8] is not None and x[8] < when]
+        newest = sorted(known, key=lambda x: (x[8], x[1]), reverse=True)[:3]
+        assert [(x["r_multiple"], x["closed_at"]) for x in r["recent_trades"]] == [(x[3] / 1000, x[7]) for x in newest]
+        groups = {}
+        for x in known:
+            groups.setdefault(x[4], []).append(x[3])
+        order = sorted(groups, key=lambda g: (-len(groups[g]), g is None, g or ""))
+        assert [(x["regime"], x["trades"]) for x in r["regime_performance"]] == [(g, len(groups[g])) for g in order]
+        for x in r["regime_performance"]:
+            assert x["win_rate"] == pytest.approx(sum(v > 0 for v in groups[x["regime"]]) / x["trades"], abs=6e-4)
+
+
 def test_discrimination(spark):
     df = spark.createDataFrame([(60, -1000), (60, -1000), (90, 1000), (90, 1000)], "confidence_pct int, r_milli long")
     row = metrics.confidence_discrimination(df).first()
@@ -145,10 +206,20 @@ def test_summary_of_no_trades_has_counts_only(spark):
 
 def test_bootstrap_repeats_and_blocks_widen():
     r = [1.0] * 20 + [-1.0] * 20
-    assert metrics.bootstrap_means(r, 50) == metrics.bootstrap_means(r, 50)
+    assert metrics.bootstrap_means(r, 50).tolist() == metrics.bootstrap_means(r, 50).tolist()
     wide, narrow = metrics.bootstrap_means(r, 400, block=10), metrics.bootstrap_means(r, 400, block=1)
     assert wide[-20] - wide[20] > narrow[-20] - narrow[20]
-    assert metrics.bootstrap_means([]) == []
+    assert metrics.bootstrap_means([]).tolist() == []
+
+
+@pytest.mark.parametrize("stop", [1, 2, 3, 7, 64, 1000, 65_537, 2**31 + 5])
+def test_vectorised_draws_are_those_of_the_generator(stop):
+    from random import Random
+
+    import numpy as np
+
+    rng = Random(77)
+    assert np.concatenate(list(metrics._seeded_below(77, stop, 3000))).tolist() == [rng.randrange(stop) for _ in range(3000)]
 
 
 def test_bootstrap_query_gives_the_reference_interval(spark, sf_dir):
@@ -258,3 +329,49 @@ def test_random_maker_draws_only_for_free_bars(spark):
         want.append("BUY" if buy else "SELL")
         busy = 15 * i + (40 if buy else 5)
     assert got == want
+
+
+def test_random_maker_query_replays_its_generator(spark, sf_dir):
+    """The registered query against one fold in plain Python over the same outcomes."""
+    from itertools import groupby
+    from random import Random
+
+    from barcraft.plans import simulation
+
+    rows = simulation.seeded_random_maker(spark, sf_dir).orderBy("run_id", "symbol", "as_of", "trade_id").collect()
+    drawn = 0
+    for _, own in groupby(rows, lambda r: (r["run_id"], r["symbol"])):
+        rng, busy = Random(7), None
+        for r in own:
+            if busy is not None and r["as_of"] < busy:
+                assert r["direction"] is None
+                continue
+            side = "BUY" if rng.random() < 0.5 else "SELL"
+            assert r["direction"] == side
+            end = r[f"closed_{side.lower()}"]
+            busy = datetime.max if end is None else end + timedelta(seconds=900 * 2)
+            drawn += 1
+    assert drawn > 20
+
+
+def test_feed_alerts_name_each_fault(spark):
+    from barcraft.operators import alerts
+
+    h = lambda k: T0 + timedelta(minutes=k)
+    rows = [("ok", True, True, True, True, h(-10), h(-20), 5, 5, "verified"), ("behind", True, True, True, True, h(-10), h(-50), 0, 0, "verified"), ("stale", True, True, True, True, h(-40), h(-45), 0, 0, "verified"), ("none", True, True, None, False, None, None, 0, 0, "unverified"), ("shut", False, True, False, False, None, h(-5), 3, 0, None), ("down", True, False, None, None, None, h(-5), 0, 0, None)]
+    feeds = spark.createDataFrame(rows, "symbol string, market_open boolean, session_ok boolean, quote_ok boolean, candles_ok boolean, feed_last timestamp_ntz, snapshot_last timestamp_ntz, paid_decisions long, paid_calls long, run_validity string")
+    got = {}
+    for r in alerts.feed_alerts(str(T0), feeds, 1800).collect():
+        got.setdefault(r["symbol"], set()).add(r["code"])
+    assert got == {"behind": {"BRAIN_BEHIND_FEED"}, "stale": {"FEED_STALE"}, "none": {"NO_MARKET_SNAPSHOT", "FEED_STALE", "QUOTE_UNAVAILABLE", "CANDLES_UNAVAILABLE", "UNVERIFIED_RUN_SELECTED"}, "shut": {"LLM_AUDIT_GAP"}}
+
+
+def test_redaction_of_messages_and_documents(spark):
+    from barcraft.functions import redaction
+
+    texts = ["postgres://u:pa ss@h", "https://u:pw@h/x", "Token:\u00a0abc,x", "API-KEY = k1;rest", "bearer\u2003abc.def", "x?token=1", "tokens=5", "a" * 400, None]
+    got = [r["m"] for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", redaction.redact_message(F.col("t")).alias("m")).orderBy("i").collect()]
+    assert got == ["postgres://u:pa ss@h", "https://u:<redacted>@h/x", "Token:\u00a0<redacted>,x", "API-KEY = <redacted>;rest", "Bearer <redacted>", "x", "tokens=5", "a" * 300, None]
+    made = redaction.hide_sensitive({"Auth": None, "my_Token": [1], "list": [{"account_id": 1, "n": [[{"cookie": {}}]]}, "auth"], "ok": {"deep": {"DSN": "x", "y": 1}}})
+    assert made == {"Auth": None, "my_Token": "[redactat]", "list": [{"account_id": "[redactat]", "n": [[{"cookie": "[redactat]"}]]}, "auth"], "ok": {"deep": {"DSN": "[redactat]", "y": 1}}}
+    assert redaction.hide_sensitive("token") == "token" and redaction.hide_sensitive([]) == []
