@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -151,18 +152,6 @@ def test_empty_token_files(nothing, tokenizer):
     assert token_output.token_files(nothing, tokenizer).count() == 0
 
 
-def test_the_scratch_folder_must_be_shared_on_a_cluster():
-    from types import SimpleNamespace
-
-    from barcraft.llm import scratch
-
-    session = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: d, set=lambda k, v: None), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master=master, applicationId=f"app-{master}"))
-    for master in ("spark://h:7077", "yarn", "local-cluster[2,1,1024]", "k8s://x"):
-        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-            scratch.shared_folder(session(master))
-    assert scratch.shared_folder(session("local[2]")).startswith("file:///")
-
-
 def brute_targets(sizes, weights, most=3):
     out, total = {}, Fraction(sum(sizes.values()))
     while True:
@@ -224,6 +213,107 @@ def test_flow_prefers_first_passes():
     assert short == {("a",): {"a": 30}}
 
 
+def best_flow(patterns, quotas, most):
+    """(greatest flow, least cost of it) by trying every allotment."""
+    choices = []
+    for p, n in patterns.items():
+        split = [()]
+        for _ in p:
+            split = [(*x, k) for x in split for k in range(most * n - sum(x) + 1)]
+        choices.append([(dict(zip(p, x, strict=True)), sum(x), n) for x in split])
+    best = (-1, 0)
+    for pick in itertools.product(*choices):
+        got = Counter()
+        for given, _, _ in pick:
+            got.update(given)
+        if all(got[s] <= quotas.get(s, 0) for s in got):
+            # words w of a pattern of n: pass e costs e * e a word
+            cost = sum(sum((k // n + 1) ** 2 for k in range(w)) for _, w, n in pick)
+            total = sum(w for _, w, _ in pick)
+            if total > best[0] or total == best[0] and cost < best[1]:
+                best = (total, cost)
+    return best
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_flow_equals_exhaustive_search(seed):
+    import random
+
+    rng = random.Random(seed)
+    kinds = [("a",), ("b",), ("a", "b"), ("b", "c"), ("a", "c"), ("c",)]
+    patterns = {p: rng.randrange(1, 4 if len(p) == 1 else 3) for p in rng.sample(kinds, 3)}
+    quotas = {s: rng.randrange(0, 7) for s in "abc"}
+    flow = mixing.route(patterns, quotas, 2)
+    for p, given in flow.items():
+        assert set(given) == set(p) and all(v >= 0 for v in given.values()) and sum(given.values()) <= 2 * patterns[p]
+    taken = Counter()
+    for given in flow.values():
+        taken.update(given)
+    assert all(taken[s] <= quotas[s] for s in quotas)
+    cost = sum((k // patterns[p] + 1) ** 2 for p, given in flow.items() for k in range(sum(given.values())))
+    assert (sum(taken.values()), cost) == best_flow(patterns, quotas, 2)
+
+
+def test_overlap_lets_a_small_source_be_filled_without_repeats(spark):
+    """Source b alone has few words; documents of both sources go to b, so nothing repeats."""
+    rows = [(i, " ".join(["w"] * 10)) for i in range(60)]
+    tags = F.when(F.col("doc_id") < 30, F.array(F.lit("a"))).when(F.col("doc_id") < 50, F.array(F.lit("b"), F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("b")))
+    out = {r["doc_id"]: r["taken"] for r in mixing.mix(make_docs(spark, rows).withColumn("tags", tags), F.col("tags"), {"a": 1, "b": 1}).collect()}
+    assert sum(out.values()) == 600 and set(out.values()) == {10}
+    # a weighs nothing beside b: b takes all it has, thrice where the target asks for it
+    heavy = {r["doc_id"]: r["taken"] for r in mixing.mix(make_docs(spark, rows).withColumn("tags", tags), F.col("tags"), {"a": 1, "b": 59}).collect()}
+    b = sum(v for i, v in heavy.items() if i >= 30)
+    assert sum(heavy.values()) == 600 and b >= 590 and max(heavy.values()) <= 30
+    patterns = {("a",): 300, ("a", "b"): 200, ("b",): 100}
+    flow = mixing.route(patterns, {"a": 10, "b": 590})
+    assert sum(heavy[i] for i in range(30, 50)) == sum(flow["a", "b"].values()) and sum(heavy[i] for i in range(30)) == sum(flow["a",].values())
+
+
+def brute_mix(rows, order, most=3):
+    """{row: (taken, copies)} of rows(source, size) by exact shares, ``order`` the places of
+    each source's rows; equal places are equal rows."""
+    sizes = Counter()
+    for s, n in rows:
+        sizes[s] += n
+    named = mixing.source_weights(list(sizes))
+    quota = mixing.integral(brute_targets(dict(sizes), named, most))
+    out = {}
+    for s in sizes:
+        own = sorted((i for i, r in enumerate(rows) if r[0] == s), key=lambda i: order[i])
+        passes, rest = divmod(quota[s], sizes[s]) if sizes[s] else (0, 0)
+        upto, ended = 0, False
+        for _, same in itertools.groupby(own, key=lambda i: order[i]):
+            same = list(same)
+            n = sum(rows[i][1] for i in same)
+            whole = not ended and upto + n <= rest and sizes[s] > 0
+            short = 0 if ended or whole else rest - upto
+            for i in same:
+                part = rows[i][1] if whole else min(rows[i][1], short // len(same))
+                out[i] = (passes * rows[i][1] + part, passes + (whole or (not ended and n > 0 and 2 * short >= n)))
+            upto += n
+            ended = ended or not whole
+    return out
+
+
+def places(docs):
+    """Rows of a table with the place that their hash gives them."""
+    h = F.xxhash64(F.lit(mixing.SEED), "doc_id", F.col("text").cast("string"))
+    return [(r["doc_id"], r["text"], r["source"], (r["b"], r["h"])) for r in docs.select("doc_id", "text", "source", F.pmod(h, F.lit(mixing.BUCKETS)).alias("b"), h.alias("h")).collect()]
+
+
+def test_mix_equals_brute_force(spark):
+    docs = make_docs(spark, [*MIXED, (7, MIXED[7][1], "en", MIXED[7][3])])
+    rows = places(docs)
+    want = brute_mix([(s, len((t or "").encode().split())) for _, t, s, _ in rows], [p for *_, p in rows])
+    got = Counter((r["doc_id"], r["taken"]) for r in mixing.mix(docs).collect())
+    assert got == Counter((rows[i][0], v[0]) for i, v in want.items())
+    copies = Counter(r["doc_id"] for r in mixing.mixed_copies(docs).collect())
+    expected = Counter()
+    for i, v in want.items():
+        expected[rows[i][0]] += v[1]
+    assert copies == +expected
+
+
 def test_awkward_mix(awkward, nothing):
     assert mixing.mix(awkward).count() == len(AWKWARD) and mixing.mix(nothing).count() == 0
     assert mixing.mixed_copies(nothing).count() == 0

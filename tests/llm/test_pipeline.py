@@ -8,6 +8,7 @@ import corpus_pipeline
 from barcraft.llm.sharding import SHARD_BYTES
 from tests.llm.conftest import make_docs, text_of
 from tests.llm.test_near_dedup import brute
+from tests.llm.test_outputs import brute_mix, brute_shards, places
 from tests.llm.test_texts import brute_hits, brute_quality
 
 
@@ -19,26 +20,42 @@ def good(text):
     return not base and 100 * m["dup_line_chars"] <= LINE_PERCENT * m["word_chars"] and all(100 * m[f"dup{n}_chars"] <= p * m["word_chars"] for n, p in GRAM_PERCENT.items())
 
 
-def test_pipeline_against_brute_force(spark, sf_dir):
-    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
-    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
-    kept = {i: t for i, t in docs.items() if good(t)}
-    groups = brute(list(kept.items()), 80)
-    kept = {i: t for i, t in kept.items() if groups[i][1] == i}
-    kept = {i: t for i, t in kept.items() if not brute_hits(t, items)[1]}
-    out = corpus_pipeline.run(spark, sf_dir)
-    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "shard"]
-    rows = out.collect()
-    copies = Counter(r["doc_id"] for r in rows)
-    assert set(copies) <= set(kept) and max(copies.values()) <= 3
-    words = sum(len(t.encode().split()) for t in kept.values())
-    mixed = sum(len(r["text"].encode().split()) for r in rows)
-    assert abs(mixed - words) < 0.15 * words
-    sizes = Counter()
-    for r in rows:
-        assert r["text"] == docs[r["doc_id"]]
-        sizes[r["shard"]] += len(r["text"].encode())
-    assert max(sizes.values()) <= SHARD_BYTES
+def test_every_stage_equals_brute_force_on_its_own_input(spark, sf_dir):
+    """Rows are compared as multisets, so a stage that loses, adds or changes one fails."""
+    current = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    columns, items = current.columns, [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    stages = dict(corpus_pipeline.STAGES)
+    rows_of = lambda df: Counter(tuple(r) for r in df.collect())
+    at = {c: i for i, c in enumerate(columns)}
+
+    def step(name, want):
+        nonlocal current
+        out = stages[name](spark, current, sf_dir).cache()
+        assert out.columns == columns and rows_of(out) == want, name
+        current = out
+
+    given = rows_of(current)
+    good_rows = Counter({r: n for r, n in given.items() if good(r[at["text"]])})
+    assert good_rows != given
+    step("quality_rules", good_rows)
+    groups = brute([(r[at["doc_id"]], r[at["text"]]) for r in good_rows], 80)
+    alone = Counter({r: 1 for r in good_rows if groups[r[at["doc_id"]]][1] == r[at["doc_id"]]})
+    assert len(alone) < len(good_rows)
+    step("near_dedup", alone)
+    clean = Counter({r: n for r, n in alone.items() if not brute_hits(r[at["text"]], items)[1]})
+    assert len(clean) < len(alone)
+    step("decontamination", clean)
+    listed = places(current)
+    want = brute_mix([(s, len((t or "").encode().split())) for _, t, s, _ in listed], [p for *_, p in listed])
+    times = {listed[i][0]: v[1] for i, v in want.items()}
+    mixed = Counter({r: n * times[r[at["doc_id"]]] for r, n in clean.items() if times[r[at["doc_id"]]]})
+    assert max(mixed.values()) > 1
+    step("source_mixing", mixed)
+    shards = brute_shards([(r[at["doc_id"]], r[at["text"]]) for r in mixed.elements()], SHARD_BYTES)
+    last = Counter((*r, f"b{name}") for r, (name, _) in zip(mixed.elements(), shards, strict=True))
+    out = stages["sharding"](spark, current, sf_dir)
+    assert out.columns == [*columns, "shard"] and rows_of(out) == last
+    assert rows_of(corpus_pipeline.run(spark, sf_dir)) == last
 
 
 def test_stages_take_empty_and_awkward_tables(spark, awkward, nothing, sf_dir):
