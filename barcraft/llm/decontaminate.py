@@ -1,12 +1,13 @@
 """Operator 7: benchmark decontamination on a distributed positional inverted index.
 
 DataFrame operations only.  Over all documents the occurrences of the benchmark's terms are
-counted; each benchmark window is represented by its two rarest positions; the postings
-(document, position) of those terms are stored; each list is shifted by the term's offset in
-the window, so that equal shifted places are places where both terms stand right, and places
-at most ``slop`` apart are candidates of a proximity match; what the intersection leaves is
-confirmed word by word on the document.  Only documents with candidates are read as words
-again; of the others the number of words is all that is asked.
+counted; each benchmark window is anchored at its two rarest positions; the postings
+(document, position) of those terms are stored.  Neighbouring windows of an item mostly share
+their anchor (the two terms and their distance), so postings are intersected per anchor, not
+per window: the second term's list is shifted by the distance, and places at most ``slop``
+apart meet in a bucket, where one bit stands for a place.  What the intersection leaves gives
+the windows' places, which are confirmed word by word on the document.  Only documents with
+candidates are read as words again; of the others the number of words is all that is asked.
 
 Documents are keyed by a hash of id and text, so null and repeated ids are no special case:
 a collision could only add a candidate, which the confirmation refuses.
@@ -54,7 +55,9 @@ def _windows(items: DataFrame, window: int) -> DataFrame:
 
 def _candidates(docs: DataFrame, items: DataFrame, window: int, slop: int, scratch: Scratch) -> DataFrame:
     """(key, hits): per document the windows whose two rarest terms stand in place (within
-    ``slop``), as structs (item_id, at, len, phrase, start)."""
+    ``slop``), as structs (item_id, len, phrase, start)."""
+    if slop > 15:
+        raise ValueError("a slop of 15 words at most")  # a bucket's places are bits of a long
     windows = scratch.write("windows", _windows(items, window).distinct().withColumn("phrase", F.array_join("words", " ")))
     terms = scratch.write("terms", windows.select(F.explode("words").alias("term")).distinct())
     tokens = docs.select("key", "ws")
@@ -64,23 +67,29 @@ def _candidates(docs: DataFrame, items: DataFrame, window: int, slop: int, scrat
     counts = every.groupBy("term").agg(F.count("*").alias("n"))
     counts = scratch.write("counts", terms.join(counts, "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n")))
     # phrases repeat between items: rank the positions of each distinct phrase once
-    phrases = windows.select("phrase", "len", "words").distinct()
-    placed = phrases.select("phrase", "len", F.posexplode("words").alias("pos", "term")).join(counts, "term")
-    ranked = placed.groupBy("phrase", "len").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "term", "pos"))), 1, 2).alias("rare"))
-    rare = ranked.select("phrase", "len", F.col("rare")[0].alias("first"), F.element_at("rare", -1).alias("second")).where("first.n > 0")
-    rare = scratch.write("rare", rare)
-    wanted = rare.select("first.term").union(rare.select("second.term")).distinct()
-    wanted = scratch.write("wanted", wanted)
+    phrases = windows.select("phrase", "words").distinct()
+    placed = phrases.select("phrase", F.posexplode("words").alias("pos", "term")).join(counts, "term")
+    ranked = placed.groupBy("phrase").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "term", "pos"))), 1, 2).alias("rare"))
+    first, second = F.col("rare")[0], F.element_at("rare", -1)
+    rare = ranked.where(first["n"] > 0).select("phrase", first["term"].alias("t1"), first["pos"].alias("offset"), second["term"].alias("t2"), (second["pos"] - first["pos"]).alias("distance"))
+    rare = scratch.write("rare", rare.withColumn("anchor", F.xxhash64("t1", "t2", "distance")))
+    anchors = scratch.write("anchors", rare.select("anchor", "t1", "t2", "distance").distinct())
+    wanted = scratch.write("wanted", anchors.select(F.col("t1").alias("term")).union(anchors.select("t2")).distinct())
     postings = scratch.write("postings", tokens.select("key", F.posexplode("ws").alias("pos", "term")).join(_shared(wanted), "term"))
-    # places are compared in buckets of 2 * slop + 1, of which a place and its slop meet two at most
+    # a bucket is 2 * slop + 1 places, bit i of ``a`` says that the first term stands at its place i,
+    # bit i of ``b`` that the shifted second one stands at place i - slop
     width = 2 * slop + 1
-    bucket = lambda start: F.floor(start / width).cast("int")
-    first = postings.join(rare.select("phrase", "len", F.col("first.term").alias("term"), F.col("first.pos").alias("offset")), "term").select("key", "phrase", "len", (F.col("pos") - F.col("offset")).alias("start"))
-    second = postings.join(rare.select("phrase", F.col("second.term").alias("term"), F.col("second.pos").alias("offset")), "term").select("key", "phrase", (F.col("pos") - F.col("offset")).alias("other"))
-    second = second.distinct().withColumn("bucket", F.explode(F.array_distinct(F.array(bucket(F.col("other") - slop), bucket(F.col("other") + slop)))) if slop else F.col("other"))
-    both = first.where(F.col("start") >= -slop).distinct().withColumn("bucket", bucket(F.col("start")) if slop else F.col("start")).join(second, ["key", "phrase", "bucket"]).where(F.abs(F.col("start") - F.col("other")) <= slop).select("key", "phrase", "len", "start").distinct()
-    named = both.join(windows.select("phrase", "item_id", "at").distinct(), "phrase")
-    grouped = named.groupBy("key").agg(F.collect_set(F.struct("item_id", "len", "phrase", "start")).alias("hits"))
+    bit = lambda place: F.expr(f"shiftleft(1L, cast({place} as int))")
+    none = F.lit(0).cast("long")
+    ones = postings.join(anchors.select("anchor", F.col("t1").alias("term")), "term").withColumn("bucket", F.floor(F.col("pos") / width).cast("int")).select("key", "anchor", "bucket", bit(f"pos - bucket * {width}").alias("a"), none.alias("b"))
+    twos = postings.join(anchors.select("anchor", F.col("t2").alias("term"), "distance"), "term").withColumn("at", F.col("pos") - F.col("distance"))
+    near = F.array_distinct(F.array(*[F.floor((F.col("at") + d) / width).cast("int") for d in (-slop, slop)]))
+    twos = twos.withColumn("bucket", F.explode(near) if slop else F.col("at")).select("key", "anchor", "bucket", none.alias("a"), bit(f"at - bucket * {width} + {slop}").alias("b"))
+    met = ones.unionByName(twos).groupBy("key", "anchor", "bucket").agg(F.bit_or("a").alias("a"), F.bit_or("b").alias("b")).where("a <> 0 and b <> 0")
+    met = met.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(width - 1)))).where(f"(shiftright(a, i) & 1) = 1 and (shiftright(b, i) & {(1 << width) - 1}) <> 0")
+    named = windows.select("item_id", "len", "phrase").distinct().join(rare.select("phrase", "anchor", "offset"), "phrase")
+    hits = met.select("key", "anchor", (F.col("bucket") * width + F.col("i")).alias("place")).join(named, "anchor").withColumn("start", F.col("place") - F.col("offset")).where(F.col("start") >= -slop)
+    grouped = hits.groupBy("key").agg(F.collect_set(F.struct("item_id", "len", "phrase", "start")).alias("hits"))
     return scratch.write("candidates", grouped)
 
 
