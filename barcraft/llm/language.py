@@ -20,6 +20,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -157,7 +158,7 @@ class Scorer:
         counts = np.fromiter(map(len, split), np.int64, len(split))
         if not k or not counts.sum():
             return [UNDETERMINED] * len(texts), np.zeros(len(texts))
-        number = np.fromiter((n for words in split for n in map(self.memory.__getitem__, words)), np.int64, int(counts.sum()))
+        number = np.fromiter(map(self.memory.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
         if self.new:
             self.table = np.concatenate((self.table, self.model.word_scores(self.new)))
             self.new = []

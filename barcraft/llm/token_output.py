@@ -25,6 +25,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -116,7 +117,7 @@ class WordEncoder:
             self._reset()
         split = [_loosened(t).split() for t in texts]
         counts = np.fromiter(map(len, split), np.int64, len(split))
-        number = np.fromiter((n for words in split for n in map(self.memory.__getitem__, words)), np.int64, int(counts.sum()))
+        number = np.fromiter(map(self.memory.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
         if self.memory.new:
             self._learn()
         size = self.offset[number + 1] - self.offset[number]
