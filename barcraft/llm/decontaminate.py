@@ -140,7 +140,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop:
     keyed = _keyed(docs)
     found = _candidates(keyed.select("key", words_of(F.col("text")).alias("ws")), items, window, slop, scratch)
     scratch.keep_only("candidates")
-    read = keyed.join(found, "key").select("key", words_of(F.col("text")).alias("ws"), "hits")
+    # a sort-merge join at every size; on large tables Spark filters the texts by the few keys first
+    read = keyed.join(found.hint("merge"), "key").select("key", words_of(F.col("text")).alias("ws"), "hits")
     bare = lambda hits: F.transform(hits, lambda h: F.struct(h["item_id"].alias("item_id"), h["start"].alias("start"), h["len"].alias("len")))
     ws = F.col("ws")
     judged = read.select("key", bare(F.filter("hits", lambda h: _exact(ws, h))).alias("matches"), bare(F.filter("hits", lambda h: ~_exact(ws, h) & _near(ws, h, slop))).alias("near_matches"))
