@@ -43,8 +43,12 @@ class EligibilityPolicy:
 
     def version(self) -> str:
         """First ten hex digits of the SHA-1 of the policy as sorted compact JSON."""
-        policy = asdict(self) | {"recent_bars": dict(self.recent_bars)}
-        return hashlib.sha1(json.dumps(policy, sort_keys=True, separators=(",", ":")).encode()).hexdigest()[:10]
+        return hashlib.sha1(policy_text(self).encode()).hexdigest()[:10]
+
+
+def policy_text(policy: EligibilityPolicy) -> str:
+    """The policy as sorted compact JSON."""
+    return json.dumps(asdict(policy) | {"recent_bars": dict(policy.recent_bars)}, sort_keys=True, separators=(",", ":"))
 
 
 def eligibility(frame: DataFrame, mode: str, policy: EligibilityPolicy | None = None) -> DataFrame:

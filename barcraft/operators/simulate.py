@@ -251,12 +251,18 @@ def execution_manifest(costs: Costs, **rules) -> dict:
     return {"costs": asdict(costs), **rules}
 
 
+def execution_text(manifest: dict) -> str:
+    """The manifest as sorted compact JSON."""
+    import json
+
+    return json.dumps(manifest, sort_keys=True, separators=(",", ":"), default=str)
+
+
 def execution_hash(manifest: dict) -> str:
-    """First sixteen hex digits of the SHA-256 of the manifest as sorted compact JSON."""
+    """First sixteen hex digits of the SHA-256 of the manifest's text."""
     import hashlib
-    import json
 
-    return hashlib.sha256(json.dumps(manifest, sort_keys=True, separators=(",", ":"), default=str).encode()).hexdigest()[:16]
+    return hashlib.sha256(execution_text(manifest).encode()).hexdigest()[:16]
 
 
 def with_frozen_costs(trades: DataFrame, stored: dict[str, str], fallback: Costs) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("bars", "series", "decisions", "simulation", "reports", "ledgers", "lookups", "streams")
+MODULES = ("bars", "series", "decisions", "simulation", "reports", "ledgers", "lookups", "streams", "scans")
 _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}
 

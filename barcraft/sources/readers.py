@@ -20,9 +20,9 @@ def _csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _ascending(bars: DataFrame) -> bool:
-    """Whether open_time never falls in line order.  Each split of the file is looked at on its
-    own; between splits their first and last times decide, one row a split."""
-    placed = bars.select(F.input_file_block_start().alias("split"), "__line", "open_time")
+    """Whether open_time never falls in line order.  Each split of a file is looked at on its
+    own; between splits, and files by name, their first and last times decide, one row a split."""
+    placed = bars.select(F.struct(F.input_file_name().alias("file"), F.input_file_block_start().alias("at")).alias("split"), "__line", "open_time")
     falls = F.lag("open_time").over(Window.partitionBy("split").orderBy("__line")) > F.col("open_time")
     ends = placed.withColumn("falls", falls).groupBy("split").agg(F.bool_or("falls").alias("falls"), F.min_by("open_time", "__line").alias("first"), F.max_by("open_time", "__line").alias("last"))
     between = F.lag("last").over(Window.orderBy("split")) > F.col("first")  # a row per split
