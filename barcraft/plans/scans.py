@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barcraft.operators import decide, simulate
 from barcraft.plans.registry import query
-from barcraft.session import shared_folder
+from barcraft.session import passing_folder
 from barcraft.sources import adapters as a
 from barcraft.sources import readers, sinks
 from barcraft.streaming import streams
@@ -18,12 +15,6 @@ from barcraft.streaming import streams
 _BAR = "symbol, tf, open_time, close_time, open, high, low, close, volume"
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    atexit.register(sinks._remove, spark, path)
-    return path
-
-
 def _of(spark: SparkSession, sf: str, tf: str, symbol: str) -> DataFrame:
     return a.bars(spark, sf, tf).where(F.col("symbol") == symbol)
 
@@ -38,7 +29,7 @@ def _document(rows: DataFrame, path: str, name: str | None = None) -> str:
 @query(f"SELECT {_BAR} FROM (SELECT *, row_number() OVER (ORDER BY open_time DESC) AS n FROM ({a.bars_sql('15min')}) WHERE symbol = 'click') WHERE n <= 300")
 def csv_scan(spark: SparkSession, sf: str) -> DataFrame:
     """The newest bars of a CSV archive, its order checked."""
-    path = _folder(spark, "csv")
+    path = passing_folder(spark, "csv")
     sinks.write_archive(_of(spark, sf, "15min", "click"), path)
     return readers.read_bars(spark, "csv", path, "click", "15min", 300)
 
@@ -51,19 +42,19 @@ def aggregate_scan(spark: SparkSession, sf: str) -> DataFrame:
     pages = b.groupBy(F.to_date("open_time").alias("day")).agg(F.collect_list(one).alias("results"))
     last = pages.agg(F.max("day").alias("last"))
     named = pages.join(F.broadcast(last)).select(F.lit("view").alias("ticker"), F.when(F.dayofmonth("day") % 2 == 0, "OK").otherwise("DELAYED").alias("status"), F.when(F.col("day") < F.col("last"), "next").alias("next_url"), "results")
-    return readers.read_bars(spark, "aggregates", _document(named, _folder(spark, "pages")), "view", "15min")
+    return readers.read_bars(spark, "aggregates", _document(named, passing_folder(spark, "pages")), "view", "15min")
 
 
 @query(f"SELECT {_BAR} FROM ({a.bars_sql('1h')}) WHERE symbol = 'error'")
 def candle_scan(spark: SparkSession, sf: str) -> DataFrame:
     c = _of(spark, sf, "1h", "error").select(F.unix_seconds(F.col("open_time").cast("timestamp")).alias("time"), "open", "high", "low", "close", "volume")
-    return readers.read_bars(spark, "candles", _document(c, _folder(spark, "candles"), "candles"), "error", "1h")
+    return readers.read_bars(spark, "candles", _document(c, passing_folder(spark, "candles"), "candles"), "error", "1h")
 
 
 @query(f"SELECT open_time, close_time, open, high, low, close, volume FROM ({a.bars_sql('1h')}) WHERE symbol = 'click' AND open_time >= TIMESTAMP '2024-01-05'")
 def archive_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """An archive that is read and replaced by a part of itself."""
-    path = _folder(spark, "archive")
+    path = passing_folder(spark, "archive")
     sinks.write_archive(_of(spark, sf, "1h", "click"), path)
     sinks.write_archive(readers.read_archive(spark, path).where("open_time >= timestamp_ntz'2024-01-05'"), path)
     return readers.read_archive(spark, path)
@@ -73,7 +64,7 @@ def archive_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 def news_scan(spark: SparkSession, sf: str) -> DataFrame:
     second = lambda c: F.date_trunc("second", F.col(c)).cast("timestamp_ntz")
     n = a.news_revisions(spark, sf).select("source", F.col("external_id").cast("string").alias("external_id"), F.col("revision").cast("int").alias("revision"), second("publication_time").alias("publication_time"), second("ingestion_time").alias("first_seen_at"), F.concat(F.lit("item "), F.col("external_id")).alias("headline"), F.lit("low").alias("impact"))
-    path = _folder(spark, "news")
+    path = passing_folder(spark, "news")
     n.write.json(path)
     return readers.read_news(spark, path)
 
@@ -84,14 +75,14 @@ def release_scan(spark: SparkSession, sf: str) -> DataFrame:
     o = a.table(spark, sf, "orders").where("o_orderdate < timestamp_ntz'1993-01-01'")
     dates = o.select(F.concat(F.lit("release "), (F.col("o_custkey") % 40).cast("string")).alias("release_name"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date")).distinct()
     pages = dates.groupBy(F.substring("date", 1, 7).alias("month")).agg(F.collect_list(F.struct(F.lit(1).cast("long").alias("release_id"), "release_name", "date")).alias("release_dates"))
-    return readers.read_releases(spark, _document(pages.select("release_dates"), _folder(spark, "releases")))
+    return readers.read_releases(spark, _document(pages.select("release_dates"), passing_folder(spark, "releases")))
 
 
 @query("SELECT DISTINCT user_id AS k, event_type AS v FROM events")
 def ledger_sink(spark: SparkSession, sf: str) -> DataFrame:
     """Two batches that overlap, the second run twice: each key is in the table once."""
     e = a.table(spark, sf, "events").select(F.col("user_id").alias("k"), F.col("event_type").alias("v"), "event_id")
-    path = _folder(spark, "ledger")
+    path = passing_folder(spark, "ledger")
     write = streams.ledger_batch(path, ["k", "v"])
     for epoch, part in enumerate(("event_id % 3 <> 0", "event_id % 2 = 0 or event_id % 3 = 0", "event_id % 2 = 0 or event_id % 3 = 0")):
         write(e.where(part).drop("event_id"), epoch)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -50,3 +52,19 @@ def shared_folder(spark: SparkSession) -> str:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="barcraft-shared-")
         spark.conf.set("spark.checkpoint.dir", _own[app])
     return _own[app]
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Removes a folder of disposable tables, if it can."""
+    try:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # the session may have ended; the folder is disposable
+        pass
+
+
+def passing_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the shared one that goes when the program ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    atexit.register(remove_path, spark, path)
+    return path

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-from barcraft.session import shared_folder
+from barcraft.session import passing_folder
 
 
 def _move(store, source, target) -> None:
@@ -50,22 +49,12 @@ def replace_table(df: DataFrame, path: str, fmt: str = "parquet", **options: str
         store.delete(old, True)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session may have ended; the folder is disposable
-        pass
-
-
 def settled(df: DataFrame, name: str) -> DataFrame:
     """df as a written table in the shared folder, read back: what several branches of a plan
     use is made once, and a lost executor costs a re-read.  It goes when the program ends."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    atexit.register(_remove, spark, path)
+    path = passing_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def write_archive(bars: DataFrame, path: str) -> None:

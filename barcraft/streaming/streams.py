@@ -6,7 +6,6 @@ completion over the files there are now, for replays and tests.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from barcraft.session import shared_folder
+from barcraft.session import passing_folder
 from barcraft.sources.schemas import minutes
 
 
@@ -81,7 +80,7 @@ def run_available(stream: DataFrame) -> DataFrame:
     """The rows that a stream gives out over the input there is now, from a Parquet sink in
     the shared folder, with the checkpoint beside it: nothing passes through the driver."""
     spark = stream.sparkSession
-    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex[:12]}"
+    folder = passing_folder(spark, "stream")
     q = stream.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
