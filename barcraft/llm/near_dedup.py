@@ -14,8 +14,9 @@ distinct word shingles.  The plan:
 4. narrow groups (at most ``block`` members of BLOCK_BYTES) are linked in one task each, on
    full sets, skipping pairs that union-find already has together;
 5. wide groups first link every member with the hubs of its buckets, some rounds with other
-   hubs: a cluster of near copies of any size falls together with work in proportion to
-   its members;
+   hubs, and more where a bucket larger than a cell stays open and the last round joined
+   something: a cluster of near copies of any size falls together with work in proportion
+   to its members;
 6. buckets that still hold several components compare the members outside the bucket's main
    component with all its members, in cells of bounded rows and bytes, so no link is lost.
    A pair is compared only in the first bucket that it shares, so a chain of many buckets
@@ -51,8 +52,8 @@ SHINGLE_WORDS, THRESHOLD = 5, 85
 BANDS, ROWS = 25, 5
 #: Members, and bytes of their sets, that one linking task holds; one set may be larger.
 BLOCK, BLOCK_BYTES = 128, 16 << 20
-#: Rounds of hubs in wide groups.
-HUB_ROUNDS = 2
+#: Rounds of hubs in wide groups, and further ones for buckets larger than a cell.
+HUB_ROUNDS, MORE_ROUNDS = 2, 6
 
 
 def shingle_sets(texts: list[bytes], width: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -176,13 +177,14 @@ def _wide_links(sets: DataFrame, threshold: int, block: int, scratch: Scratch) -
     link = _link(threshold)
     size = F.octet_length("set")
     bare = scratch.write("wide_keys", sets.select("node", size.alias("size"), F.explode("bands").alias("key")))
-    links = None
+    links, open_keys = None, None
     where = bare.withColumn("comp", F.col("node"))
-    for k in range(HUB_ROUNDS):
+    for k in range(HUB_ROUNDS + MORE_ROUNDS):
+        asked = where if k < HUB_ROUNDS else where.join(open_keys.where("blocks > 1").select("key").hint("merge"), "key", "left_semi")
         # the hub of a bucket: its member first in a hash order that differs between rounds
-        hubs = where.groupBy("key").agg(F.min_by(F.struct("node", "comp"), F.xxhash64("node", F.lit(k))).alias("hub"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+        hubs = asked.groupBy("key").agg(F.min_by(F.struct("node", "comp"), F.xxhash64("node", F.lit(k))).alias("hub"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
         hubs = hubs.select("key", F.col("hub.node").alias("hub"), F.col("hub.comp").alias("hub_comp"))
-        stars = scratch.write(f"stars{k}", where.join(hubs.hint("merge"), "key").where("comp <> hub_comp").select("hub", "node", "size").distinct())
+        stars = scratch.write(f"stars{k}", asked.join(hubs.hint("merge"), "key").where("comp <> hub_comp").select("hub", "node", "size").distinct())
         cuts = scratch.write(f"cuts{k}", stars.groupBy("hub").agg(_cells(F.count("*"), F.sum("size"), block).alias("cells")))
         spokes = stars.join(cuts.hint("merge"), "hub").select("hub", "node", _cell("node", k, F.col("cells")).alias("cell"), F.lit(False).alias("probe"))
         centres = cuts.select("hub", F.col("hub").alias("node"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.lit(True).alias("probe"))
@@ -192,11 +194,14 @@ def _wide_links(sets: DataFrame, threshold: int, block: int, scratch: Scratch) -
         links = more if links is None else links.unionByName(more)
         comps = connected_components(links, scratch, f"round{k}")
         where = scratch.write(f"where{k}", bare.join(comps.withColumnRenamed("label", "comp").hint("merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+        if k + 1 >= HUB_ROUNDS:
+            held = where.groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+            top = held.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.count("*").alias("comps")).where("comps > 1")
+            open_keys = scratch.write(f"open{k}", top.select("key", F.col("top.comp").alias("main"), _cells(F.col("n"), F.col("size"), block).alias("blocks"), (F.col("n") - F.col("top.n")).alias("outside")))
+            if open_keys.where("blocks > 1").isEmpty() or more.isEmpty():
+                break
 
     # what is left: in buckets of several components, those outside the main one against all
-    held = where.groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
-    top = held.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.count("*").alias("comps")).where("comps > 1")
-    open_keys = scratch.write("open_keys", top.select("key", F.col("top.comp").alias("main"), _cells(F.col("n"), F.col("size"), block).alias("blocks"), (F.col("n") - F.col("top.n")).alias("outside")))
     if open_keys.isEmpty():
         return links
     open_keys = open_keys.withColumn("cuts", F.least(F.col("blocks"), F.greatest(F.ceil(F.col("outside") / block).cast("int"), F.lit(1))))

@@ -129,7 +129,7 @@ def repetition_quality(docs: DataFrame) -> DataFrame:
     A null, empty or blank text has no words: every measure is 0, base_failed is true and
     kept false.  Repeated rows and null doc_ids are judged each on their own; an empty
     table gives no rows; other columns, whatever their names, are not read.  One pass, no
-    shuffle.  A text is measured whole, about 1 MB of texts at a time; a longer one takes
+    shuffle.  A text is measured whole, about half a MB of texts at a time; a longer one takes
     some 20 bytes of memory for each of its own.  A measure that equals its limit passes.
     """
     small_batches(docs.sparkSession)

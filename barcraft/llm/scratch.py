@@ -8,12 +8,11 @@ run leaves nothing that a later run would read: every scratch has a fresh name.
 
 from __future__ import annotations
 
-import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barcraft.session import shared_folder
+from barcraft.session import passing_folder, remove_path, shared_folder
 
 #: Rows of an Arrow batch where the session names no number: documents may be long, and a
 #: batch is held by the JVM and by the worker.
@@ -32,25 +31,15 @@ def lasting_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session may have ended; the folder is disposable
-        pass
-
-
 class Scratch:
     """Written tables of one operator run.  A result may read from them lazily, so what it
     reads stays until the program ends; ``keep_only`` removes the rest at once."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.path = lasting_folder(spark, name)
+        self.path = passing_folder(spark, name)
         small_batches(spark)
         self.names: list[str] = []
-        atexit.register(_remove, spark, self.path)
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
         """Writes df and returns it as read back: no lineage beyond the files."""
@@ -62,7 +51,7 @@ class Scratch:
     def keep_only(self, *names: str) -> None:
         """Removes the tables that nothing will read again."""
         for name in set(self.names) - set(names):
-            _remove(self.spark, f"{self.path}/{name}")
+            remove_path(self.spark, f"{self.path}/{name}")
         self.names = [n for n in self.names if n in names]
 
 

@@ -14,7 +14,9 @@ import numpy as np
 import pyarrow as pa
 
 #: Text bytes that are hashed at once; bounds a worker's memory whatever the batch size.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
+#: Powers that are kept; more are made for one very long text and dropped.
+_KEPT = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -37,10 +39,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _power(base: int, n: int) -> np.ndarray:
     have = _powers.get(base)
     if have is None or len(have) < n:
-        steps = np.full(max(n, CHUNK_BYTES + 1), base, np.uint64)
+        steps = np.full(max(n, _KEPT), base, np.uint64)
         steps[0] = 1
         have = np.multiply.accumulate(steps)
-        if len(have) == CHUNK_BYTES + 1:  # powers for one very long text are not kept
+        if len(have) == _KEPT:
             _powers[base] = have
     return have[:n]
 

@@ -242,7 +242,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0)
     text without words.  Labels that are null, repeat or have no document teach nothing more
     or nothing; without both labels every score is near the one label's side (near 0 with
     no labels at all).  A document with several labels counts as toxic if one says so.  Texts
-    of any length are scored whole, about 1 MB at a time.  Repeated rows are scored each; an
+    of any length are scored whole, about half a MB at a time.  Repeated rows are scored each; an
     empty table gives no rows; other columns of both tables, whatever their names, are not
     read.  A language has a threshold of its own if CALIBRATE rows of either label calibrate
     it; the others share one, and ``own_threshold`` says which a row's score is shifted by.
