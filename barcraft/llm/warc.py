@@ -8,7 +8,8 @@ others are revisits (identical-payload-digest profile), which store headers only
 The dictionary is trained on whole records as they are written: a bounded sample of about
 SAMPLE_RECORDS records and SAMPLE_BYTES bytes by a hash of their ids, of pages up to
 SAMPLE_LONGEST bytes.  It decides sizes, never contents.  A task that has more than FILE_BYTES
-to write goes on in a further file.
+to write goes on in a further file; the number of tasks is that of the join by digest
+(spark.sql.shuffle.partitions, skewed digests being split by adaptive execution).
 """
 
 from __future__ import annotations
