@@ -76,10 +76,15 @@ def trades(b: DataFrame) -> DataFrame:
     return simulate.open_trades(simulate.entry_bars(candidates(b), b), COSTS)
 
 
+def entries(t: DataFrame) -> DataFrame:
+    """What reconciling needs of trades, made once: they are looked at to find their bars and to
+    take their exits."""
+    return settled(t.select("symbol", "as_of", "run_id", "trade_id", "opened_at", "direction", "entry_mid", "sl_price", "tp_price"), "entries")
+
+
 def outcomes(spark: SparkSession, sf: str) -> DataFrame:
     b = fine_bars(spark, sf)
-    t = trades(b).select("symbol", "as_of", "run_id", "trade_id", "opened_at", "direction", "entry_mid", "sl_price", "tp_price")
-    return simulate.reconcile(t, b, TIMEOUT, COSTS)
+    return simulate.reconcile(entries(trades(b)), b, TIMEOUT, COSTS)
 
 
 @query(f"WITH {_SIM} SELECT symbol, as_of, trade_id, entry_ref, entry_mid, sl_price, tp_price FROM t")
@@ -145,7 +150,7 @@ def backtest_end_to_end(spark: SparkSession, sf: str) -> DataFrame:
     b = fine_bars(spark, sf)
     d = decide.run_decisions(_decidable(spark, sf, b), "always_buy", EVENTS_CALENDAR).where("verdict = 'approved'")
     c = d.select("symbol", "as_of", "price", F.col("k").alias("trade_id"), F.col("as_of").alias("opened_at"), "direction", (F.col("sl_pct") * 20).alias("sl_pct"), (F.col("tp_pct") * 20).alias("tp_pct"), F.lit("always_buy").alias("run_id"))
-    t = simulate.open_trades(simulate.entry_bars(c, b), COSTS).select("symbol", "as_of", "run_id", "trade_id", "opened_at", "direction", "entry_mid", "sl_price", "tp_price")
+    t = entries(simulate.open_trades(simulate.entry_bars(c, b), COSTS))
     return report(simulate.position_gate(simulate.reconcile(t, b, TIMEOUT, COSTS), _BAR, _COOL))
 
 
@@ -243,7 +248,7 @@ def seeded_random_maker(spark: SparkSession, sf: str) -> DataFrame:
     c = simulate.entry_bars(candidates(b), b)
     ends = {}
     for side in ("BUY", "SELL"):
-        t = simulate.open_trades(c.withColumn("direction", F.lit(side)), COSTS).select("symbol", "as_of", "run_id", "trade_id", "opened_at", "direction", "entry_mid", "sl_price", "tp_price")
+        t = entries(simulate.open_trades(c.withColumn("direction", F.lit(side)), COSTS))
         ends[side] = simulate.reconcile(t, b, TIMEOUT, COSTS).select("symbol", "as_of", "run_id", "trade_id", F.col("closed_at").alias(f"closed_{side.lower()}"))
     sides = ends["BUY"].join(ends["SELL"], ["symbol", "as_of", "run_id", "trade_id"])
     return simulate.seeded_maker(sides, 7, _BAR, _COOL)
