@@ -118,8 +118,10 @@ class _Network:
 def route(patterns: dict[tuple, int], quotas: dict, most: int = MAX_PASSES) -> dict[tuple, dict]:
     """Words that each pattern gives to each of its sources: a min-cost flow in which pass e
     over a pattern's words costs e * e per word.  Quotas that the patterns can't fill get
-    what they can."""
-    names, keys = list(quotas), list(patterns)
+    what they can.  Of flows of equal cost the same is found for any order of the arguments."""
+    # in one order, whatever the arguments': flows of equal cost must not depend on it
+    by_name = lambda s: (s is None, s or "")
+    names, keys = sorted(quotas, key=by_name), sorted(patterns, key=lambda p: [by_name(s) for s in p])
     place = {s: 1 + i for i, s in enumerate(names)}
     net = _Network(2 + len(names) + len(keys))
     source, sink = 0, 1 + len(names) + len(keys)
@@ -128,7 +130,7 @@ def route(patterns: dict[tuple, int], quotas: dict, most: int = MAX_PASSES) -> d
         node = 1 + len(names) + i
         for e in range(1, most + 1):
             net.arc(source, node, patterns[p], e * e)
-        for s in sorted(set(p), key=lambda s: (s is None, s or "")):
+        for s in sorted(set(p), key=by_name):
             arcs[p, s] = net.arc(node, place[s], most * patterns[p], 0)
     for s in names:
         net.arc(place[s], sink, quotas[s], 0)

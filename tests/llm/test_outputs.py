@@ -254,6 +254,14 @@ def test_flow_equals_exhaustive_search(seed):
     assert (sum(taken.values()), cost) == best_flow(patterns, quotas, 2)
 
 
+def test_flows_of_equal_cost_do_not_depend_on_the_order():
+    patterns, quotas = {("a",): 300, ("a", "b"): 200, ("b",): 100, (None, "b"): 40}, {"a": 10, "b": 590, None: 5}
+    want = mixing.route(patterns, quotas)
+    for order in itertools.permutations(patterns):
+        turned = mixing.route({p: patterns[p] for p in order}, dict(reversed(quotas.items())))
+        assert turned == want
+
+
 def test_overlap_lets_a_small_source_be_filled_without_repeats(spark):
     """Source b alone has few words; documents of both sources go to b, so nothing repeats."""
     rows = [(i, " ".join(["w"] * 10)) for i in range(60)]
