@@ -17,6 +17,7 @@ from barcraft.llm.sharding import SHARD_BYTES, shards
 from barcraft.llm.substring_dedup import WINDOW, substring_dedup
 from barcraft.llm.token_output import token_files
 from barcraft.llm.toxicity import toxicity
+from barcraft.llm.vector_codes import ENTRIES, PARTS, ROUNDS, SCALE, vector_codes
 from barcraft.llm.warc import warc_round_trip
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,6 +70,10 @@ def op10_warc_dictionary_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op13_elkan_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_extendible_hash_shards": op2_extendible_hash_shards,
@@ -80,6 +85,7 @@ QUERIES: dict[str, Query] = {
     "op8_min_cost_flow_mixing": op8_min_cost_flow_mixing,
     "op9_cnn_toxicity": op9_cnn_toxicity,
     "op10_warc_dictionary_archive": op10_warc_dictionary_archive,
+    "op13_elkan_vector_codes": op13_elkan_vector_codes,
 }
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -109,7 +115,32 @@ _BASE32 = " || ".join(
     f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, {5 * i + 1}, 5))::INTEGER >> {shift}) & 31) + 1, 1)" for i in range(8) for shift in (15, 10, 5, 0)
 )
 
+
+def _lloyd_round(r: int) -> str:
+    """Assignment to the codebook b{r} and, but for the last, the codebook after it."""
+    assigned = f"""a{r} AS MATERIALIZED (SELECT id, p, (m % {ENTRIES})::INT AS e, (m // {ENTRIES})::BIGINT AS d FROM (
+  SELECT x.id, p, min({ENTRIES} * list_sum(list_transform(list_zip(x.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) + b.e) AS m FROM x JOIN b{r} b USING (p) GROUP BY x.id, p))"""
+    if r == ROUNDS:
+        return assigned
+    return assigned + f""",
+s{r} AS (SELECT p, e, i, sum(v[i]) AS s, count(*) AS n FROM (SELECT p, e, v, unnest(range(1, len(v) + 1)) AS i FROM a{r} JOIN x USING (id, p)) GROUP BY ALL),
+b{r + 1} AS MATERIALIZED (SELECT p, e, coalesce(n.v, b.v) AS v FROM b{r} b LEFT JOIN (
+  SELECT p, e, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS v FROM s{r} GROUP BY p, e) n USING (p, e))"""
+
+
 ORACLES: dict[str, str] = {
+    "op13_elkan_vector_codes": f"""
+WITH k AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda c: floor(c::DOUBLE * {SCALE})::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY vec_id NULLS LAST, v) - 1 AS id FROM k),
+x AS MATERIALIZED (SELECT id, p, v[p * (len(v) // {PARTS}) + 1:(p + 1) * (len(v) // {PARTS})] AS v FROM o, (SELECT unnest(range({PARTS})) AS p)),
+b0 AS MATERIALIZED (SELECT p, id AS e, v FROM x WHERE id < {ENTRIES}),
+{(chr(44) + chr(10)).join(_lloyd_round(r) for r in range(ROUNDS + 1))},
+h AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{ROUNDS}),
+c AS (SELECT id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{ROUNDS} GROUP BY id)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM o JOIN c USING (id), h
+""",
     "op2_extendible_hash_shards": f"""
 WITH d AS MATERIALIZED (
   SELECT doc_id, coalesce(strlen(text), 0) AS n_bytes, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),

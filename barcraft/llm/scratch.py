@@ -41,10 +41,10 @@ class Scratch:
         small_batches(spark)
         self.names: list[str] = []
 
-    def write(self, name: str, df: DataFrame) -> DataFrame:
+    def write(self, name: str, df: DataFrame, **options: str) -> DataFrame:
         """Writes df and returns it as read back: no lineage beyond the files."""
         path = f"{self.path}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").options(**options).parquet(path)
         self.names.append(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
