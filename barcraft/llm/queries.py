@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barcraft.llm.collocations import LEAST, LONGEST, PERCENT, TOP, collocations
 from barcraft.llm.decontaminate import SLOP, contamination, listed
 from barcraft.llm.decontaminate import WINDOW as ITEM_WINDOW
 from barcraft.llm.language import identify
@@ -70,6 +71,10 @@ def op10_warc_dictionary_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op11_suffix_array_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 def op13_elkan_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes(_table(spark, sf_dir, "embeddings"))
 
@@ -85,6 +90,7 @@ QUERIES: dict[str, Query] = {
     "op8_min_cost_flow_mixing": op8_min_cost_flow_mixing,
     "op9_cnn_toxicity": op9_cnn_toxicity,
     "op10_warc_dictionary_archive": op10_warc_dictionary_archive,
+    "op11_suffix_array_collocations": op11_suffix_array_collocations,
     "op13_elkan_vector_codes": op13_elkan_vector_codes,
 }
 
@@ -129,6 +135,23 @@ b{r + 1} AS MATERIALIZED (SELECT p, e, coalesce(n.v, b.v) AS v FROM b{r} b LEFT
 
 
 ORACLES: dict[str, str] = {
+    "op11_suffix_array_collocations": rf"""
+WITH t AS MATERIALIZED (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws
+  FROM (SELECT lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+g AS MATERIALIZED (SELECT lang, k, array_to_string(ws[p:p + k - 1], ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS p FROM t, (SELECT unnest(range(1, {LONGEST + 1})) AS k) WHERE len(ws) >= k) GROUP BY ALL HAVING count(*) >= {LEAST}),
+n AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM t GROUP BY lang),
+c AS (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS ws FROM g WHERE k > 1),
+cut AS (SELECT *, array_to_string(ws[:i], ' ') AS x, array_to_string(ws[i + 1:], ' ') AS y FROM (SELECT *, unnest(range(1, k)) AS i FROM c)),
+s AS (SELECT cut.*, x.f AS l, y.f AS r, n.n, ((1000::HUGEINT * a * n.n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cut JOIN g x ON x.lang = cut.lang AND x.phrase = cut.x JOIN g y ON y.lang = cut.lang AND y.phrase = cut.y JOIN n ON n.lang = cut.lang),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) AS nth FROM s),
+inside AS (SELECT lang, phrase, max(a) AS longer FROM (
+    SELECT lang, a, array_to_string(ws[p:p + m - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, k - m + 2)) AS p FROM (SELECT *, unnest(range(2, k)) AS m FROM c)))
+  GROUP BY ALL),
+kept AS (SELECT b.* FROM b LEFT JOIN inside i ON i.lang = b.lang AND i.phrase = b.phrase WHERE nth = 1 AND (longer IS NULL OR 100 * longer < {PERCENT} * a))
+SELECT * FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept) WHERE rank <= {TOP}
+""",
     "op13_elkan_vector_codes": f"""
 WITH k AS MATERIALIZED (
   SELECT vec_id, label, list_transform(embedding, lambda c: floor(c::DOUBLE * {SCALE})::BIGINT) AS v FROM embeddings
