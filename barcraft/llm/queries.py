@@ -11,6 +11,7 @@ from barcraft.llm.collocations import LEAST, LONGEST, PERCENT, TOP, collocations
 from barcraft.llm.decontaminate import SLOP, contamination, listed
 from barcraft.llm.decontaminate import WINDOW as ITEM_WINDOW
 from barcraft.llm.language import identify
+from barcraft.llm.main_text import main_text
 from barcraft.llm.mixing import mix
 from barcraft.llm.near_dedup import near_duplicates
 from barcraft.llm.quality import BASE_PERCENT, BASE_WINDOW, GRAM_PERCENT, LINE_PERCENT, MIN_WORDS, repetition_quality
@@ -75,6 +76,10 @@ def op11_suffix_array_collocations(spark: SparkSession, sf_dir: str) -> DataFram
     return collocations(_table(spark, sf_dir, "documents"))
 
 
+def op12_template_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
 def op13_elkan_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes(_table(spark, sf_dir, "embeddings"))
 
@@ -91,6 +96,7 @@ QUERIES: dict[str, Query] = {
     "op9_cnn_toxicity": op9_cnn_toxicity,
     "op10_warc_dictionary_archive": op10_warc_dictionary_archive,
     "op11_suffix_array_collocations": op11_suffix_array_collocations,
+    "op12_template_main_text": op12_template_main_text,
     "op13_elkan_vector_codes": op13_elkan_vector_codes,
 }
 
@@ -121,6 +127,11 @@ _BASE32 = " || ".join(
     f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, {5 * i + 1}, 5))::INTEGER >> {shift}) & 31) + 1, 1)" for i in range(8) for shift in (15, 10, 5, 0)
 )
 
+#: Pages of the table name their article, and their text has these character references only.
+_ARTICLE = "regexp_replace(regexp_extract(coalesce(html, ''), '(?is)<article[^>]*>(.*)</article>', 1), '(\\s|<br>)+', ' ', 'g')"
+_LINES = f"string_split(regexp_replace(regexp_replace({_ARTICLE}, '</?(p|h1)>', chr(10), 'g'), '<[^>]*>', '', 'g'), chr(10))"
+_DECODED = "replace(replace(replace(x, '&quot;', '\"'), '&lt;', '<'), '&gt;', '>')"
+
 
 def _lloyd_round(r: int) -> str:
     """Assignment to the codebook b{r} and, but for the last, the codebook after it."""
@@ -135,6 +146,11 @@ b{r + 1} AS MATERIALIZED (SELECT p, e, coalesce(n.v, b.v) AS v FROM b{r} b LEFT
 
 
 ORACLES: dict[str, str] = {
+    "op12_template_main_text": f"""
+WITH t AS (SELECT page_id, url, array_to_string(list_filter(list_transform({_LINES}, lambda x:
+  trim(regexp_replace(regexp_replace({_DECODED}, '&amp;?', '&', 'g'), '\\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text FROM pages)
+SELECT page_id, url, text, length(text) AS n_chars FROM t
+""",
     "op11_suffix_array_collocations": rf"""
 WITH t AS MATERIALIZED (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws
   FROM (SELECT lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
