@@ -5,10 +5,11 @@ by numpy prefix doubling.  Runs of neighbours that share n words (LCP intervals)
 n-grams, their sizes its counts; counts are added up by phrase over all shards.  Sentinels end
 pieces and documents, so no phrase crosses one.
 
-A phrase can only be as frequent as its parts.  So words are counted first, then pairs of words
-that are frequent, then longer phrases of frequent pairs; what is frequent goes to the tasks as
-a bitmap of fixed size, whose false hits cost rows and never a count.  Counts of pairs and longer
-phrases are then exact for all that reach ``least``, which are all that can be candidates or parts.
+A phrase can only be as frequent as its parts.  So words are counted first, then pairs of frequent
+words by a 64-bit hash, then phrases of frequent pairs; what is frequent goes to the tasks as a
+bitmap of fixed size.  Hashes and bitmaps only choose what is counted: what they let pass in error
+costs rows, never a count.  Counts by phrase are exact for all that reach ``least``, which are all
+that can be candidates or their parts.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ _OUT_ROWS = 1 << 16
 
 _ENDS = bytes.maketrans(b".;:!?\n\x0b\x0c\r", b"," * 9)
 _SPACE_OR_END = re.compile(rb"[ \t.,;:!?\x0a-\x0d]")
-_COUNTS = "lang string, phrase string, n int, c long"
+_COUNTS = "lang string, phrase string, c long"
 
 
 def words_of(data: bytes) -> list[bytes]:
@@ -129,42 +130,58 @@ class Shard:
         self.parts.append(np.fromiter(map(ids.__getitem__, words), np.int64, len(words)))
         self.size += len(words)
 
-    def counted(self, shortest: int, longest: int, sign: int, frequent: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-        """Counts of n-grams; ``frequent`` is the map of frequent words (pairs where shortest
-        is 3), without which all words are counted, and all words of a language under no phrase."""
-        if not self.size:
-            return
-        ids, langs = np.concatenate(self.parts), list(self.ids)
-        self.parts = []
-        words: list[bytes] = [b""] * next(self.fresh)
+    def numbered(self) -> tuple[np.ndarray, list[bytes], np.ndarray, list[str]]:
+        """(ids, words by id, each id's language, languages)."""
+        langs, words = list(self.ids), [b""] * (1 + sum(len(v) - 1 for v in self.ids.values()))
         lang_of = np.zeros(len(words), np.int32)
         for i, lang in enumerate(langs):
             for word, k in self.ids[lang].items():
-                words[k] = word if k else b""
+                if k:
+                    words[k] = word
             lang_of[np.fromiter(self.ids[lang].values(), np.int64)] = i
-        if frequent is None:
+        return np.concatenate(self.parts), words, lang_of, langs
+
+    def word_counts(self, sign: int) -> Iterator[pa.RecordBatch]:
+        """Counts of words, and of all words of a language under no phrase."""
+        if self.size:
+            ids, words, lang_of, langs = self.numbered()
             totals = np.bincount(lang_of[ids[ids != 0]], minlength=len(langs))
-            yield _rows(pa.array(langs), pa.nulls(len(langs), pa.string()), 0, sign * totals)
-        else:
+            yield _rows(pa.array(langs), pa.nulls(len(langs), pa.string()), sign * totals)
+            yield from self._spelled(ids, words, lang_of, langs, 1, 1, sign)
+
+    def pair_counts(self, sign: int, frequent_words: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Counts of pairs of frequent words by the pairs' hashes."""
+        if self.size:
+            ids, words, lang_of, langs = self.numbered()
+            hashes = word_hashes(words, lang_of, langs)
+            known = is_set(frequent_words, hashes)
+            known[0] = False
+            ids = linked_runs(np.where(known[ids], ids, 0), None, 2)
+            for _, start, counts in phrases(ids, 2, 2):
+                found = pair_hashes(hashes[ids[start]], hashes[ids[start + 1]]).view(np.int64)
+                for lo in range(0, len(start), _OUT_ROWS):
+                    yield pa.RecordBatch.from_pydict({"h": found[lo : lo + _OUT_ROWS], "c": (sign * counts[lo : lo + _OUT_ROWS]).astype(np.int64)})
+
+    def phrase_counts(self, sign: int, longest: int, frequent_pairs: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Counts of phrases of 2 to ``longest`` words whose pairs are all frequent."""
+        if self.size:
+            ids, words, lang_of, langs = self.numbered()
             hashes = word_hashes(words, lang_of, langs)
-            if shortest == 2:
-                known = is_set(frequent, hashes)
-                known[0] = False
-                ids = linked_runs(np.where(known[ids], ids, 0), None, 2)
-            else:
-                ids = linked_runs(ids, is_set(frequent, pair_hashes(hashes[ids[:-1]], hashes[ids[1:]])), 3)
+            ids = linked_runs(ids, is_set(frequent_pairs, pair_hashes(hashes[ids[:-1]], hashes[ids[1:]])), 2)
+            yield from self._spelled(ids, words, lang_of, langs, 2, longest, sign)
+
+    def _spelled(self, ids: np.ndarray, words: list[bytes], lang_of: np.ndarray, langs: list[str], shortest: int, longest: int, sign: int) -> Iterator[pa.RecordBatch]:
         names, spelled = pa.array(langs), pa.array(words, pa.binary()).cast(pa.string())
-        padded = np.concatenate((ids, np.zeros(longest, np.int64)))
         for n, start, counts in phrases(ids, shortest, longest):
             for lo in range(0, len(start), _OUT_ROWS):
                 at = start[lo : lo + _OUT_ROWS]
-                parts = [spelled.take(pa.array(padded[at + k])) for k in range(n)]
+                parts = [spelled.take(pa.array(ids[at + k])) for k in range(n)]
                 phrase = parts[0] if n == 1 else pc.binary_join_element_wise(*parts, " ")
-                yield _rows(names.take(pa.array(lang_of[padded[at]])), phrase, n, sign * counts[lo : lo + _OUT_ROWS])
+                yield _rows(names.take(pa.array(lang_of[ids[at]])), phrase, sign * counts[lo : lo + _OUT_ROWS])
 
 
-def _rows(lang: pa.Array, phrase: pa.Array, n: int, counts: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([lang, phrase, pa.array(np.full(len(lang), n, np.int32)), pa.array(counts.astype(np.int64))], names=["lang", "phrase", "n", "c"])
+def _rows(lang: pa.Array, phrase: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([lang, phrase, pa.array(counts.astype(np.int64))], names=["lang", "phrase", "c"])
 
 
 def shards(batches: Iterator[pa.RecordBatch], size: int, slice_bytes: int = SLICE_BYTES) -> Iterator[tuple[int, Shard]]:
@@ -206,55 +223,49 @@ def is_set(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
-def _places(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """(slot, its bit) of each frequent word or pair."""
+def _word_hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         langs = pc.dictionary_encode(batch.column("lang"))
-        names, of = langs.dictionary.to_pylist(), langs.indices.to_numpy()
-        split = [p.split(b" ") for p in batch.column("phrase").cast(pa.binary()).to_pylist()]
-        hashes = word_hashes([p[0] for p in split], of, names)
-        if split and len(split[0]) == 2:
-            hashes = pair_hashes(hashes, word_hashes([p[1] for p in split], of, names))
-        at = hashes & np.uint64((1 << bits) - 1)
-        one = np.uint64(1) << (at & np.uint64(63))
-        yield pa.RecordBatch.from_pydict({"slot": (at >> np.uint64(6)).astype(np.int64), "bit": one.view(np.int64)})
-
-
-def bitmap(frequent: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """A bit for each phrase of ``frequent`` (all of one length): 2**bits of them, however many."""
-    slots = frequent.select("lang", "phrase").mapInArrow(lambda b: _places(b, bits), "slot long, bit long").groupBy("slot").agg(F.bit_or("bit").alias("bit"))
-    found = slots.toArrow()
+        hashes = word_hashes(batch.column("phrase").cast(pa.binary()).to_pylist(), langs.indices.to_numpy(), langs.dictionary.to_pylist())
+        yield pa.RecordBatch.from_pydict({"h": hashes.view(np.int64)})
+
+
+def bitmap(hashes: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """A bit for each hash (column h): 2**bits of them, however many rows there are."""
+    slot, bit = F.shiftrightunsigned("h", 6).bitwiseAND((1 << (bits - 6)) - 1), F.expr("shiftleft(1L, cast(h & 63 as int))")
+    found = hashes.groupBy(slot.alias("slot")).agg(F.bit_or(bit).alias("bit")).toArrow()
     out = np.zeros(1 << (bits - 6), np.uint64)
     out[found.column("slot").to_numpy()] = found.column("bit").to_numpy().view(np.uint64)
     return out
 
 
-def counts(docs: DataFrame, shortest: int, longest: int, frequent: np.ndarray | None = None, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """(lang, phrase, n, c) over all documents; docs has (lang, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+def _counted(docs: DataFrame, schema: str, count, shard_words: int) -> DataFrame:
+    """The sums over all shards of what ``count(sign, shard)`` gives for one."""
 
     def count_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for sign, shard in shards(batches, shard_words):
-            yield from shard.counted(shortest, longest, sign, shared.value)
+            yield from count(sign, shard)
 
-    return docs.mapInArrow(count_shards, _COUNTS).groupBy("lang", "phrase", "n").agg(F.sum("c").alias("c"))
+    rows = docs.mapInArrow(count_shards, schema)
+    return rows.groupBy(*[c for c in rows.columns if c != "c"]).agg(F.sum("c").alias("c"))
 
 
 def phrase_counts(scratch: Scratch, docs: DataFrame, least: int = LEAST, longest: int = LONGEST, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame]:
     """All phrases of 1 to ``longest`` words with at least ``least`` occurrences (lang, phrase, n, a),
     and the words of each language (lang, words)."""
+    context = scratch.spark.sparkContext
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    frequent = (F.col("c") >= least) | F.col("phrase").isNull()
-    tables = [scratch.write("words", counts(texts, 1, 1, None, shard_words).where(frequent))]
-    words = tables[0].where(F.col("phrase").isNull()).select("lang", F.col("c").alias("words"))
+    frequent = F.col("c") >= least
+    single = scratch.write("words", _counted(texts, _COUNTS, lambda sign, shard: shard.word_counts(sign), shard_words).where(frequent | F.col("phrase").isNull()))
+    words, single = single.where("phrase is null").select("lang", F.col("c").alias("words")), single.where("phrase is not null")
+    found = single.select("lang", "phrase", F.lit(1).alias("n"), F.col("c").alias("a"))
     if longest > 1:
-        tables.append(scratch.write("pairs", counts(texts, 2, 2, bitmap(tables[0].where(F.col("phrase").isNotNull())), shard_words).where(frequent)))
-    if longest > 2:
-        tables.append(scratch.write("longer", counts(texts, 3, longest, bitmap(tables[1]), shard_words).where(frequent)))
-    found = tables[0].where(F.col("phrase").isNotNull())
-    for table in tables[1:]:
-        found = found.unionByName(table)
-    return found.withColumnRenamed("c", "a"), words
+        known = context.broadcast(bitmap(single.mapInArrow(_word_hash_rows, "h long")))
+        pairs = _counted(texts, "h long, c long", lambda sign, shard: shard.pair_counts(sign, known.value), shard_words).where(frequent)
+        linked = context.broadcast(bitmap(pairs))
+        more = scratch.write("phrases", _counted(texts, _COUNTS, lambda sign, shard: shard.phrase_counts(sign, longest, linked.value), shard_words).where(frequent))
+        found = found.unionByName(more.select("lang", "phrase", F.size(F.split("phrase", " ")).alias("n"), F.col("c").alias("a")))
+    return found, words
 
 
 def _joined(words: Column, begin: Column | int, size: Column | int) -> Column:
