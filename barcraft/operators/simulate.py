@@ -113,22 +113,32 @@ def reconcile(trades: DataFrame, bars: DataFrame, timeout_bars: int, costs: Cost
     event = F.when(partial, F.when(stop, "sl_partial").when(last, "timeout")).when(stop & target, "ambiguous").when(target, "tp_hit").when(stop, "sl_hit").when(last, "timeout")
     hits = spread.join(reach, ["symbol", "__bucket"]).where((F.col("bar_no") >= F.col("first_no")) & (F.col("bar_no") < F.col("first_no") + horizon)).withColumn("event", event).where("event is not null")
     exits = hits.groupBy("symbol", "trade_id").agg(F.min_by(F.struct("event", "open", "close", "close_time"), "bar_no").alias("x"))
-    out = trades.join(exits, ["symbol", "trade_id"], "left")
+    return settle(trades.join(exits, ["symbol", "trade_id"], "left"), costs)
+
+
+def settle(exits: DataFrame, costs: Costs) -> DataFrame:
+    """Trades with the bar that ended each, ``x`` (event, open, close, close_time; null: still
+    open), as outcomes: fills, financing and R multiples in place of ``x``."""
+    buy = F.col("direction") == "BUY"
     s = costs.slippage_pct / 100
     slip = lambda ref: F.when(buy, ref * (1 - s)).otherwise(ref * (1 + s))
     gap = F.when(buy, F.least("sl_price", "x.open")).otherwise(F.greatest("sl_price", "x.open"))
     kind = F.col("x.event")
     ref = F.when(kind == "sl_partial", F.col("sl_price")).when(kind.isin("sl_hit", "ambiguous"), gap).when(kind == "tp_hit", F.col("tp_price")).when(kind == "timeout", F.col("x.close"))
-    out = out.withColumns({"closed_at": F.col("x.close_time"), "__fill": slip(ref), "__best": F.when(kind == "ambiguous", slip(F.col("tp_price")))})
+    out = exits.withColumns({"closed_at": F.col("x.close_time"), "__fill": slip(ref), "__best": F.when(kind == "ambiguous", slip(F.col("tp_price")))})
     nights = rollover_nights("opened_at", "closed_at", costs)
     extra = F.col("entry_mid") * costs.commission_pct / 100 + nights * F.col("entry_mid") * swap_rate(costs) / 100
     sign, risk = F.when(buy, 1.0).otherwise(-1.0), F.abs(F.col("entry_mid") - F.col("sl_price"))
-    net = lambda fill: F.when(risk <= 0, F.when(fill.isNotNull(), 0.0)).otherwise(round_to((sign * (fill - F.col("entry_mid")) - F.col("entry_mid") * costs.spread_pct / 100 - F.col("__extra")) / risk, 3))
+    gain = lambda fill: sign * (fill - F.col("entry_mid")) - F.col("entry_mid") * costs.spread_pct / 100 - F.col("__extra")
+    net = lambda fill: F.when(risk <= 0, F.when(fill.isNotNull(), 0.0)).otherwise(round_to(gain(fill) / risk, 3))
     out = out.withColumn("__extra", F.when(F.col("closed_at").isNotNull(), extra))
     return out.select(
-        *trades.columns, F.when(kind.isNull(), "open").when(kind == "timeout", "expired").otherwise("closed").alias("status"), F.when(kind == "sl_partial", "sl_hit").otherwise(kind).alias("exit_reason"),
+        *[c for c in exits.columns if c != "x"],
+        F.when(kind.isNull(), "open").when(kind == "timeout", "expired").otherwise("closed").alias("status"),
+        F.when(kind == "sl_partial", "sl_hit").otherwise(kind).alias("exit_reason"),
         round_to("__fill", 4).alias("exit_price"), "closed_at", net(F.col("__fill")).alias("r_multiple"), net(F.col("__fill")).alias("r_pessimistic"),
-        F.when(kind == "ambiguous", net(F.col("__best"))).otherwise(net(F.col("__fill"))).alias("r_optimistic"), F.coalesce(kind == "ambiguous", F.lit(False)).alias("ambiguous"),
+        F.when(kind == "ambiguous", net(F.col("__best"))).otherwise(net(F.col("__fill"))).alias("r_optimistic"),
+        F.coalesce(kind == "ambiguous", F.lit(False)).alias("ambiguous"),
     )
 
 

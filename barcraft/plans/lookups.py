@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barcraft.operators import ledger, lookup
+from barcraft.operators import asof, ledger, lookup
 from barcraft.plans.ledgers import DOWNTIME, _PROCESSED, downtime, processed
 from barcraft.plans.registry import query
 from barcraft.plans.reports import ATTEMPTS, attempts
@@ -163,11 +163,32 @@ def reservations_without_decision(spark: SparkSession, sf: str) -> DataFrame:
     return a.table(spark, sf, "orders").select("o_orderkey").join(line, "o_orderkey", "left_anti")
 
 
-@query(f"SELECT e.event_id, e.value - q.close AS distance FROM events e CROSS JOIN (SELECT arg_max(close, open_time) AS close FROM ({a.bars_sql('1h')}) WHERE symbol = 'click') q WHERE event_type = 'click'")
+@query(f"SELECT e.event_id, e.value - q.close AS distance FROM events e JOIN (SELECT symbol, arg_max(close, open_time) AS close FROM ({a.bars_sql('1h')}) GROUP BY 1) q ON q.symbol = e.event_type")
 def stream_with_quote(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows beside the one newest quote (a one-row side, broadcast by its size)."""
-    q = a.bars(spark, sf, "1h").where("symbol = 'click'").agg(F.max_by("close", "open_time").alias("close"))
-    return a.table(spark, sf, "events").where("event_type = 'click'").crossJoin(q).select("event_id", (F.col("value") - F.col("close")).alias("distance"))
+    """Events beside the newest quote of their symbol (one row a symbol, joined by it)."""
+    q = a.bars(spark, sf, "1h").groupBy("symbol").agg(F.max_by("close", "open_time").alias("close"))
+    e = a.table(spark, sf, "events").withColumnRenamed("event_type", "symbol")
+    return e.join(q, "symbol").select("event_id", (F.col("value") - F.col("close")).alias("distance"))
+
+
+def priced_events(spark: SparkSession, sf: str) -> DataFrame:
+    return a.table(spark, sf, "events").select(F.col("event_type").alias("symbol"), "event_id", "ts", "value")
+
+
+def hourly_quotes(spark: SparkSession, sf: str) -> DataFrame:
+    """The close of each hour, known from its end on."""
+    return a.bars(spark, sf, "1h").select("symbol", F.col("close_time").alias("time"), F.col("close").alias("price"))
+
+
+QUOTE_SQL = f"""SELECT e.event_type AS symbol, event_id, value, q.close_time AS quote_time, q.close AS quote
+FROM events e ASOF LEFT JOIN ({a.bars_sql('1h')}) q ON q.symbol = e.event_type AND q.close_time <= e.ts"""
+
+
+@query(QUOTE_SQL)
+def quote_at_event(spark: SparkSession, sf: str) -> DataFrame:
+    """Every event with the latest quote that its symbol had by then."""
+    e, q = priced_events(spark, sf), hourly_quotes(spark, sf).withColumn("quote_time", F.col("time")).withColumnRenamed("price", "quote")
+    return asof.asof_join(e, q, "ts", "time", ["symbol"]).select("symbol", "event_id", "value", "quote_time", "quote")
 
 
 _NAMES = list(lookup.RELEASES)

@@ -199,8 +199,11 @@ def _instants(spark: SparkSession, sf: str) -> DataFrame:
 _INSTANTS = f"SELECT symbol, close_time AS as_of FROM ({a.bars_sql('15min')})"
 
 
-@query(f"""SELECT symbol, as_of, arg_min(label, scheduled_at) AS event, min(scheduled_at) AS event_at FROM ({_INSTANTS}) i
-LEFT JOIN (SELECT * FROM ({a.EVENTS_SQL}) WHERE impact IN ('high', 'medium')) e ON as_of BETWEEN scheduled_at - INTERVAL 60 MINUTE AND scheduled_at + INTERVAL 30 MINUTE GROUP BY 1, 2""")
+BLACKOUT_SQL = f"""SELECT symbol, as_of, arg_min(label, scheduled_at) AS event, min(scheduled_at) AS event_at FROM ({_INSTANTS}) i
+LEFT JOIN (SELECT * FROM ({a.EVENTS_SQL}) WHERE impact IN ('high', 'medium')) e ON as_of BETWEEN scheduled_at - INTERVAL 60 MINUTE AND scheduled_at + INTERVAL 30 MINUTE GROUP BY 1, 2"""
+
+
+@query(BLACKOUT_SQL)
 def blackout(spark: SparkSession, sf: str) -> DataFrame:
     return asof.blackout(_instants(spark, sf), a.scheduled_events(spark), 60, 30, ("high", "medium"))
 

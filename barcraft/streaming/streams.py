@@ -7,6 +7,9 @@ completion over the files there are now, for replays and tests.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -62,7 +65,8 @@ def gate_stream(outcomes: DataFrame, bar_seconds: int, cooldown_bars: int) -> Da
 
 def ledger_batch(existing_path: str, key: list[str]):
     """A foreachBatch sink that appends only rows whose key the table does not have: a batch
-    that is run again adds nothing."""
+    that is run again adds nothing.  Keys are compared null-safe, so rows whose key holds nulls
+    are one row per combination, too."""
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
@@ -70,17 +74,37 @@ def ledger_batch(existing_path: str, key: list[str]):
         target = jvm.org.apache.hadoop.fs.Path(existing_path)
         fresh = batch.dropDuplicates(key)
         if target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
-            fresh = fresh.join(spark.read.schema(batch.schema).parquet(existing_path).select(*key), key, "left_anti")
+            had = spark.read.schema(batch.schema).parquet(existing_path).select(*[F.col(k).alias(f"__{k}") for k in key])
+            same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in key])
+            fresh = fresh.join(had, same, "left_anti")
         fresh.write.mode("append").parquet(existing_path)
 
     return write
 
 
-def run_available(stream: DataFrame) -> DataFrame:
+#: State with timers and several variables needs this store.
+STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings for a while; the former ones come back."""
+    former = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in former.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def run_available(stream: DataFrame, folder: str | None = None, **conf: str) -> DataFrame:
     """The rows that a stream gives out over the input there is now, from a Parquet sink in
     the shared folder, with the checkpoint beside it: nothing passes through the driver."""
     spark = stream.sparkSession
-    folder = passing_folder(spark, "stream")
-    q = stream.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-    q.awaitTermination()
+    folder = folder or passing_folder(spark, "stream")
+    with settings(spark, **conf):
+        q = stream.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+        q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
