@@ -11,8 +11,8 @@ Only cells that are still too large are split further, in a next round over thei
 Rows of one key can't be told apart by bits: a bucket of one key that is still too large
 becomes a chain of overflow pages, filled in the order of a hash of the text by a running
 size in levels (hash ranges, texts, equal rows by the partition that holds them), so a key of
-any size is nobody's single task and the pages don't depend on the layout.  A row that is
-larger than the limit has a page of its own.
+any size is nobody's single task and the pages don't depend on the layout.  Rows above half
+the limit have a page each.
 """
 
 from __future__ import annotations
@@ -104,30 +104,36 @@ def _name(depth: Column, prefix: Column, page: Column) -> Column:
 
 
 def _paged(long: DataFrame, limit: int, scratch: Scratch) -> DataFrame:
-    """Rows of chained keys with page and shard_bytes: long(h, bytes, tie, largest, ...), where
-    ``tie`` is a hash of the text.  Rows are in the order of tie; equal ones are alike."""
-    long = scratch.write("long", long.withColumn("__part", F.spark_partition_id()).withColumn("__range", F.pmod("tie", F.lit(RANGES))))
-    text = ["h", "__range", "tie", "bytes"]
+    """Rows of chained keys with page and shard_bytes: long(h, bytes, tie, ...), where ``tie`` is a
+    hash of the text.  Rows are in the order of tie; equal ones are alike.
+
+    A row above half the limit has a page of its own, after those of the others.  These others are
+    laid end to end, and a page takes the rows that begin in its stretch of the limit less their
+    largest: it ends at most one row further, and each stretch has a beginning."""
+    long = long.withColumns({"__part": F.spark_partition_id(), "__range": F.pmod("tie", F.lit(RANGES)), "__big": 2 * F.col("bytes") > limit})
+    long = scratch.write("long", long)
+    key, text = ["h", "__big"], ["h", "__big", "__range", "tie", "bytes"]
     texts = scratch.write("texts", long.groupBy(*text, "__part").agg(F.count("*").alias("__n")))
 
     def running(frame: DataFrame, by: list[str], order: list[str], value: Column, name: str) -> DataFrame:
         before = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
         return frame.withColumn(name, F.coalesce(F.sum(value).over(before), F.lit(0)))
 
-    size = F.col("__n") * F.col("bytes")
-    ranges = running(texts.groupBy("h", "__range").agg(F.sum(size).alias("b")), ["h"], ["__range"], F.col("b"), "__a").drop("b")
-    inside = running(texts.groupBy(*text).agg(F.sum("__n").alias("__n")), ["h", "__range"], ["tie", "bytes"], size, "__b").drop("__n")
+    each = F.when(F.col("__big"), F.lit(1)).otherwise(F.col("bytes"))
+    ranges = running(texts.groupBy(*key, "__range").agg(F.sum(F.col("__n") * each).alias("b")), key, ["__range"], F.col("b"), "__a").drop("b")
+    inside = running(texts.groupBy(*text).agg(F.sum("__n").alias("__n")), [*key, "__range"], ["tie", "bytes"], F.col("__n") * each, "__b").drop("__n")
     parts = running(texts, text, ["__part"], F.col("__n"), "__c").drop("__n")
-    # bytes of the rows before, from the three levels and the place among equal rows of a partition
+    steps = texts.groupBy(*key).agg(F.when(F.col("__big"), F.lit(1)).otherwise(F.lit(limit) - F.max("bytes")).alias("__step"))
+    # units of the rows before, from the three levels and the place among equal rows of a partition
     place = F.row_number().over(Window.partitionBy(*text, "__part").orderBy("h")) - 1
-    starts = reduce(lambda x, y: x.join(*y), [(inside, text), (ranges, ["h", "__range"])], parts)
-    at = F.col("__a") + F.col("__b") + (F.col("__c") + place) * F.col("bytes")
-    # a page takes the rows that start in it, so it ends at most one row further
-    step = F.greatest(F.lit(limit) - F.col("largest"), F.lit(1))
-    numbered = long.join(starts, [*text, "__part"]).withColumn("page", F.floor(at / step).cast("long"))
-    paged = scratch.write("paged", numbered.drop("__part", "__range", "__a", "__b", "__c"))
-    sizes = paged.groupBy("h", "page").agg(F.sum("bytes").alias("__bytes"))
-    return paged.join(sizes, ["h", "page"]).withColumn("shard_bytes", F.col("__bytes")).drop("__bytes")
+    starts = reduce(lambda x, y: x.join(*y), [(inside, text), (ranges, [*key, "__range"]), (steps, key)], parts)
+    at = F.col("__a") + F.col("__b") + (F.col("__c") + place) * each
+    numbered = long.join(starts, [*text, "__part"]).withColumn("page", F.floor(at / F.col("__step")).cast("long"))
+    paged = scratch.write("paged", numbered.drop("__part", "__range", "__a", "__b", "__c", "__step"))
+    sizes = scratch.write("sizes", paged.groupBy(*key, "page").agg(F.sum("bytes").alias("__bytes")))
+    after = sizes.where(~F.col("__big")).groupBy("h").agg((F.max("page") + 1).alias("__after")).withColumn("__big", F.lit(True))
+    out = paged.join(sizes, [*key, "page"]).join(after, key, "left")
+    return out.withColumns({"shard_bytes": F.col("__bytes"), "page": F.col("page") + F.coalesce("__after", F.lit(0))}).drop("__bytes", "__after", "__big")
 
 
 def _placed(rows: DataFrame, limit: int, scratch: Scratch) -> DataFrame:

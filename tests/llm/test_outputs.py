@@ -49,6 +49,27 @@ def test_one_key_larger_than_a_shard_becomes_pages(spark):
     assert {r["shard"]: r["shard_bytes"] for r in got} == dict(sizes)
 
 
+@pytest.mark.parametrize("large", [[], [4950], [10_000], [2600, 4950, 5000, 5001, 30_000, 2500, 0]])
+def test_pages_stay_full_beside_large_rows(spark, large):
+    """Rows of mixed sizes under one key: pages are numbered without gaps, none exceeds the limit
+    but a row that does alone, and there are no more than their bytes need."""
+    rows = [(5, "x" * (90 + i % 25) + str(i)) for i in range(300)] + [(5, "y" * n) for n in large] + [(None, "")] * 3 + [(None, "z" * 800)] * 40
+    got = sharding.shards(make_docs(spark, rows), 5000).collect()
+    assert Counter((r["doc_id"], r["n_bytes"]) for r in got) == Counter((i, len(t)) for i, t in rows)
+    for key in (5, None):
+        sizes, names = Counter(), Counter()
+        for r in got:
+            if r["doc_id"] == key:
+                sizes[r["shard"]] += r["n_bytes"]
+                names[r["shard"]] += 1
+        assert all(v <= 5000 or names[k] == 1 for k, v in sizes.items())
+        assert {r["shard"]: r["shard_bytes"] for r in got if r["doc_id"] == key} == dict(sizes)
+        own = [len(t) for i, t in rows if i == key]
+        assert len(sizes) <= 2 * sum(n for n in own if n <= 2500) / 5000 + 1 + sum(n > 2500 for n in own)
+        pages = sorted(int(k.split("-")[1]) if "-" in k else 0 for k in sizes)
+        assert pages == list(range(len(sizes)))
+
+
 def test_many_levels_are_summed_in_spans(spark, monkeypatch):
     monkeypatch.setattr(sharding, "SPAN", 3)
     rows = [(i, text_of(i, 3 + i % 20)) for i in range(400)]
