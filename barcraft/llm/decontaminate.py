@@ -55,7 +55,8 @@ def _windows(items: DataFrame, window: int) -> DataFrame:
 
 def _candidates(docs: DataFrame, items: DataFrame, window: int, slop: int, scratch: Scratch) -> DataFrame:
     """(key, hits): per document the windows whose two rarest terms stand in place (within
-    ``slop``), as structs (item_id, len, phrase, start)."""
+    ``slop``), as structs (item_id, len, phrase, start, t1, offset, t2, distance).  Documents
+    whose keys collide share their hits: ``_exact`` and ``_near`` look at a document's own words."""
     if slop > 15:
         raise ValueError("a slop of 15 words at most")  # a bucket's places are bits of a long
     windows = scratch.write("windows", _windows(items, window).distinct().withColumn("phrase", F.array_join("words", " ")))
@@ -87,15 +88,15 @@ def _candidates(docs: DataFrame, items: DataFrame, window: int, slop: int, scrat
     twos = twos.withColumn("bucket", F.explode(near) if slop else F.col("at")).select("key", "anchor", "bucket", none.alias("a"), bit(f"at - bucket * {width} + {slop}").alias("b"))
     met = ones.unionByName(twos).groupBy("key", "anchor", "bucket").agg(F.bit_or("a").alias("a"), F.bit_or("b").alias("b")).where("a <> 0 and b <> 0")
     met = met.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(width - 1)))).where(f"(shiftright(a, i) & 1) = 1 and (shiftright(b, i) & {(1 << width) - 1}) <> 0")
-    named = windows.select("item_id", "len", "phrase").distinct().join(rare.select("phrase", "anchor", "offset"), "phrase")
+    named = windows.select("item_id", "len", "phrase").distinct().join(rare.select("phrase", "anchor", "t1", "offset", "t2", "distance"), "phrase")
     hits = met.select("key", "anchor", (F.col("bucket") * width + F.col("i")).alias("place")).join(named, "anchor").withColumn("start", F.col("place") - F.col("offset")).where(F.col("start") >= -slop)
-    grouped = hits.groupBy("key").agg(F.collect_set(F.struct("item_id", "len", "phrase", "start")).alias("hits"))
+    grouped = hits.groupBy("key").agg(F.collect_set(F.struct("item_id", "len", "phrase", "start", "t1", "offset", "t2", "distance")).alias("hits"))
     return scratch.write("candidates", grouped)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id"), text.alias("text"), F.xxhash64("doc_id", text).alias("key"))
+    return docs.select(F.col("doc_id"), text.alias("text"), F.xxhash64("doc_id", text).alias("key"), F.xxhash64(text, "doc_id", F.lit(1)).alias("key2"))
 
 
 def _covered(hits: Column) -> Column:
@@ -115,10 +116,15 @@ def _exact(ws: Column, h: Column) -> Column:
 
 
 def _near(ws: Column, h: Column, slop: int) -> Column:
-    """Whether all words of the window stand, in any order, within ``slop`` of its place."""
+    """Whether the window's rarest word stands at its place, the second rarest within ``slop`` of
+    its own, and all of its words, in any order, within ``slop`` of the window's place."""
     lo = F.greatest(h["start"] - slop, F.lit(0))
     around = F.slice(ws, lo + 1, h["start"] + h["len"] + slop - lo)
-    return F.size(F.array_except(F.split(h["phrase"], " "), around)) == 0
+    place = h["start"] + h["offset"]
+    from_ = F.greatest(place + h["distance"] - slop, F.lit(0))
+    second = F.slice(ws, from_ + 1, F.greatest(place + h["distance"] + slop + 1 - from_, F.lit(0)))
+    anchored = F.coalesce(F.get(ws, place) == h["t1"], F.lit(False)) & F.array_contains(second, h["t2"])
+    return anchored & (F.size(F.array_except(F.split(h["phrase"], " "), around)) == 0)
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = SLOP) -> DataFrame:
@@ -141,15 +147,15 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop:
     found = _candidates(keyed.select("key", words_of(F.col("text")).alias("ws")), items, window, slop, scratch)
     scratch.keep_only("candidates")
     # a sort-merge join at every size; on large tables Spark filters the texts by the few keys first
-    read = keyed.join(found.hint("merge"), "key").select("key", words_of(F.col("text")).alias("ws"), "hits")
+    read = keyed.join(found.hint("merge"), "key").select("key", "key2", words_of(F.col("text")).alias("ws"), "hits")
     bare = lambda hits: F.transform(hits, lambda h: F.struct(h["item_id"].alias("item_id"), h["start"].alias("start"), h["len"].alias("len")))
     ws = F.col("ws")
-    judged = read.select("key", bare(F.filter("hits", lambda h: _exact(ws, h))).alias("matches"), bare(F.filter("hits", lambda h: ~_exact(ws, h) & _near(ws, h, slop))).alias("near_matches"))
+    judged = read.select("key", "key2", bare(F.filter("hits", lambda h: _exact(ws, h))).alias("matches"), bare(F.filter("hits", lambda h: ~_exact(ws, h) & _near(ws, h, slop))).alias("near_matches"))
     # equal rows have equal hits: one of them is enough
-    hits = scratch.write("hits", judged.groupBy("key").agg(F.first("matches").alias("matches"), F.first("near_matches").alias("near_matches")))
+    hits = scratch.write("hits", judged.groupBy("key", "key2").agg(F.first("matches").alias("matches"), F.first("near_matches").alias("near_matches")))
     scratch.keep_only("hits")
     none = F.expr("array()").cast(hits.schema["matches"].dataType)
-    rows = keyed.select("doc_id", "key", word_number(F.col("text")).alias("n_words")).join(hits.hint("merge"), "key", "left").withColumn("matches", F.coalesce("matches", none)).withColumn("near_matches", F.coalesce("near_matches", none))
+    rows = keyed.select("doc_id", "key", "key2", word_number(F.col("text")).alias("n_words")).join(hits.hint("merge"), ["key", "key2"], "left").withColumn("matches", F.coalesce("matches", none)).withColumn("near_matches", F.coalesce("near_matches", none))
     names = F.sort_array(F.array_distinct(F.transform("matches", lambda m: m["item_id"].cast("string"))))
     out = rows.select("doc_id", "n_words", _covered(F.col("matches")).alias("n_hit"), names.alias("names"), "matches", "near_matches")
     return out.select("doc_id", "n_words", "n_hit", F.size("names").cast("long").alias("n_items"), F.sha2(F.array_join("names", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "matches", "near_matches")

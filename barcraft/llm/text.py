@@ -2,7 +2,9 @@
 
 A word is a run of bytes outside 0x09-0x0D and 0x20, which on UTF-8 is the pattern
 ``[^\\x20\\x09-\\x0D]+``.  All hashes are fixed functions of the bytes: they agree
-between workers, retries and runs.
+between workers, retries and runs.  Words are hashed by a polynomial modulo 2**64 at once; sums
+of that kind collide by construction on certain strings of 1,024 bytes and more, whatever the
+base, so words over LONG_WORD bytes are hashed each by a hash of another kind.
 """
 
 from __future__ import annotations
@@ -12,7 +14,10 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
+#: Bytes from which a word is hashed on its own.
+LONG_WORD = 256
 #: Text bytes that are hashed at once; bounds a worker's memory whatever the batch size.
 CHUNK_BYTES = 1 << 19
 #: Powers that are kept; more are made for one very long text and dropped.
@@ -101,6 +106,7 @@ class Words:
         self.doc = np.repeat(np.arange(len(texts)), np.diff(self.first))
         self.hash = np.empty(len(self.start), np.uint64)
         self.affix = [np.empty(len(self.start), np.uint64) for _ in affixes]
+        long = np.flatnonzero(self.end - self.start > LONG_WORD)
         # prefix sums over a stretch of bytes at a time, so that they stay small
         cuts = np.unique(np.concatenate((np.searchsorted(self.start, np.arange(0, len(raw), CHUNK_BYTES)), [len(self.start)])))
         for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
@@ -113,6 +119,8 @@ class Words:
             for k, out in zip(affixes, self.affix, strict=True):
                 a, b = (begin, np.minimum(begin + k, end)) if k > 0 else (np.maximum(end + k, begin), end)
                 out[lo:hi] = mix((prefix[b] - prefix[a]) * inverse[a] + (b - a + 1000 * (k + 64)).astype(np.uint64))
+        for i in long.tolist():
+            self.hash[i] = xxhash.xxh3_64_intdigest(self.data[self.start[i] : self.end[i]])
 
     @property
     def counts(self) -> np.ndarray:

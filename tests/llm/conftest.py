@@ -29,6 +29,13 @@ def text_of(seed: int, n: int) -> str:
     return " ".join(rng.choice(WORDS) + str(rng.randrange(40)) for _ in range(n))
 
 
+def thue_morse(n: int) -> tuple[str, str]:
+    """A Thue-Morse word over a and b and its complement: polynomial hashes modulo a power of two
+    are equal on them from some length on, whatever their base."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+
+
 AWKWARD = [
     (1, None), (2, ""), (3, " \n\t "), (4, "one"), (5, "two words"), (6, "two words"), (7, text_of(1, 60)), (7, text_of(1, 60)), (8, text_of(1, 60)), (None, text_of(1, 60)), (None, None),
     (9, text_of(2, 20_000)), (10, text_of(3, 40) + " naïve Éa ß 漢字 🙂"), (11, "x" * 70_000), (12, text_of(4, 50) + "\n" + text_of(5, 30)), (13, "   odd space"), (-3, text_of(6, 25)),

@@ -14,7 +14,7 @@ from barcraft.llm.near_dedup import keep_one_of_each, near_duplicates, shingle_s
 from barcraft.llm.scratch import Scratch
 from barcraft.llm.superminhash import signatures
 from barcraft.llm.text import mix
-from tests.llm.conftest import AWKWARD, make_docs, text_of
+from tests.llm.conftest import AWKWARD, make_docs, text_of, thue_morse
 
 
 def shingles(text, width=5):
@@ -199,3 +199,12 @@ def test_ids_used_for_several_texts_cost_each_other_nothing(spark):
     rows = [(1, text_of(1, 60)), (1, text_of(2, 60)), (1, text_of(2, 60)), (2, text_of(2, 60) + " end"), (3, None), (3, None), (4, "  ")]
     kept = sorted((r["doc_id"], r["text"] or "") for r in keep_one_of_each(make_docs(spark, rows)).collect())
     assert kept == sorted([(1, text_of(1, 60)), (1, text_of(2, 60)), (3, ""), (3, ""), (4, "  ")])
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_long_words_that_polynomials_confuse(spark, n):
+    """Words that differ everywhere are not linked, alone or among equal words."""
+    one, other = thue_morse(n)
+    rows = [(1, one), (2, other), (3, f"{one} x"), (4, f"{other} x"), (5, f"a b c d {one} e f"), (6, f"a b c d {other} e f"), (7, one.upper())]
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(make_docs(spark, rows)).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 6, 7: 1}

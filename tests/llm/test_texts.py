@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from barcraft.llm import decontaminate, quality, substring_dedup
 from barcraft.llm.text import Words
-from tests.llm.conftest import AWKWARD, CLASHES, WORDS, make_docs, text_of
+from tests.llm.conftest import AWKWARD, CLASHES, WORDS, make_docs, text_of, thue_morse
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 TOKEN = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -97,6 +97,15 @@ def test_lines_reject_what_no_length_does():
     assert not [n for n, p in quality.GRAM_PERCENT.items() if 100 * m[f"dup{n}_chars"] > p * m["word_chars"]]
 
 
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_windows_that_polynomials_confuse(n):
+    one, other = thue_morse(n)
+    text = f"{one} b c d e f g h. {other} b c d e f g h."
+    assert quality.measure([text.encode()])["n_repeat_words"].tolist() == [0]
+    assert quality.measure([f"{text} {one} b c d e f g h.".encode()])["n_repeat_words"].tolist() == [16]
+    assert len(set(Words([f"{one} {other}".encode()]).hash.tolist())) == 2
+
+
 def test_quality_of_nothing_and_kept_rows(spark, awkward, nothing):
     assert quality.repetition_quality(nothing).count() == 0
     kept = quality.keep_good(awkward)
@@ -280,6 +289,17 @@ def test_phrase_and_proximity_matches(spark):
     assert len(exact) > 50 and len(near) > 20 and any(s < 0 for _, _, s, _ in near)
 
 
+def test_keys_that_collide_share_no_matches(spark, monkeypatch):
+    """Documents of one key keep their own matches: rows are grouped by a second hash, too."""
+    base = text_of(500, 30).split()
+    docs = make_docs(spark, TAINTED + [(100 + i, " ".join([*base[3:6], *shuffled(i, base[: 12 + i % 9]), "tail"])) for i in range(12)])
+    columns = ["doc_id", "n_hit", "items_sha256", *(decontaminate.listed(F.col(c)).alias(c) for c in ("matches", "near_matches"))]
+    found = lambda: sorted(map(str, decontaminate.contamination(docs, items_table(spark)).select(*columns).collect()))
+    want = found()
+    monkeypatch.setattr(decontaminate, "_keyed", lambda d, real=decontaminate._keyed: real(d).withColumn("key", F.lit(7).cast("long")))
+    assert found() == want and any("6:" in x for x in want)
+
+
 def test_a_vocabulary_beyond_the_broadcast(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BROADCAST_TERMS", 3)
     rows = TAINTED + [(50, text_of(9, 40))]
