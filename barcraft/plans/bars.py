@@ -121,17 +121,18 @@ def tf_quality(spark: SparkSession, sf: str) -> DataFrame:
     return validate.quality(a.bars_of(spark, sf, ["15min", "1h", "4h", "1day"]), EVENTS_CALENDAR, 200)
 
 
-_PROFILE = " UNION ALL ".join(f"SELECT '{p}' AS provider, t AS ts, {CALENDARS[p].duckdb('t')} AS is_open FROM hours" for p in ("polygon", "xtb"))
+#: Times of the year that the provider calendars know: those of orders, 28 years on (the same weekdays).
+_ORDER_TIMES = "SELECT o_orderkey AS id, o_orderdate + INTERVAL 28 YEAR + to_minutes(((o_orderkey % 96) * 15)::INT) AS ts FROM orders UNION ALL SELECT event_id, ts FROM events"
+_PROFILE = " UNION ALL ".join(f"SELECT '{p}' AS provider, id, ts, {CALENDARS[p].duckdb('ts')} AS is_open FROM times" for p in ("polygon", "xtb"))
 
 
-@query(f"WITH hours AS (SELECT unnest(generate_series(TIMESTAMP '2026-01-01', TIMESTAMP '2026-12-31 23:30:00', INTERVAL 30 MINUTE)) AS t) {_PROFILE}")
+@query(f"WITH times AS ({_ORDER_TIMES}) {_PROFILE}")
 def session_open_profile(spark: SparkSession, sf: str) -> DataFrame:
-    hours = spark.sql("SELECT explode(sequence(timestamp_ntz'2026-01-01', timestamp_ntz'2026-12-31 23:30:00', interval 30 minutes)) AS ts")
-    out = None
-    for p in ("polygon", "xtb"):
-        one = hours.select(F.lit(p).alias("provider"), "ts", CALENDARS[p].is_open("ts").alias("is_open"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Whether each provider's market was open at the times of all orders and events."""
+    o = a.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.expr("o_orderdate + interval 28 years + make_dt_interval(0, 0, cast(o_orderkey % 96 as int) * 15)").alias("ts"))
+    times = o.unionByName(a.table(spark, sf, "events").select(F.col("event_id").alias("id"), "ts"))
+    each = [times.select(F.lit(p).alias("provider"), "id", "ts", CALENDARS[p].is_open("ts").alias("is_open")) for p in ("polygon", "xtb")]
+    return each[0].unionByName(each[1])
 
 
 @query(f"SELECT symbol, dayofweek(ts) AS dow, count(*) AS ticks, count(*) FILTER (WHERE {EVENTS_CALENDAR.duckdb('ts')}) AS in_session FROM ({a.TICKS_SQL}) GROUP BY 1, 2")

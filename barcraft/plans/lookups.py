@@ -236,9 +236,13 @@ def backfill_targets(spark: SparkSession, sf: str) -> DataFrame:
     return lookup.backfill_targets(o.select("symbol", "bar_close").distinct(), done)
 
 
-@query("SELECT 'FOMC' AS label, 'FOMC decision' AS release_name, ((d::TIMESTAMP + INTERVAL 14 HOUR) AT TIME ZONE 'America/New_York') AT TIME ZONE 'UTC' AS scheduled_at, 'high' AS impact FROM (SELECT unnest(['" + "', '".join(lookup.FOMC) + "']) AS d) WHERE d BETWEEN '2026-03-01' AND '2026-12-31'")
+@query("SELECT 'FOMC' AS label, 'FOMC decision' AS release_name, ((d::TIMESTAMP + INTERVAL 14 HOUR) AT TIME ZONE 'America/New_York') AT TIME ZONE 'UTC' AS scheduled_at, 'high' AS impact, count(*) AS orders FROM (SELECT unnest(['" + "', '".join(lookup.FOMC) + "']) AS d) JOIN orders ON (o_orderdate + INTERVAL 28 YEAR)::DATE = d::DATE GROUP BY ALL")
 def fomc_events(spark: SparkSession, sf: str) -> DataFrame:
-    return lookup.fomc_events(spark, "2026-03-01", "2026-12-31")
+    """Rate decisions with the orders of their days (28 years on: the same weekdays)."""
+    days = a.table(spark, sf, "orders").groupBy(F.to_date(F.expr("o_orderdate + interval 28 years")).alias("day")).agg(F.count("*").alias("orders"))
+    decided = lookup.fomc_events(spark, "2020-01-01", "2030-12-31")
+    local = F.to_date(F.convert_timezone(F.lit("UTC"), F.lit("America/New_York"), F.col("scheduled_at")))
+    return decided.withColumn("day", local).join(days, "day").drop("day")
 
 
 _BY_INPUT = f"SELECT decision_id, sha256('input ' || (decision_id % 5000)) AS input_hash, CASE WHEN part % 2 = 0 THEN 'small' ELSE 'large' END AS model, run_id, cents AS trade_id FROM ({T})"

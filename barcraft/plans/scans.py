@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barcraft.operators import decide, simulate
 from barcraft.plans.registry import query
 from barcraft.session import passing_folder
 from barcraft.sources import adapters as a
-from barcraft.sources import readers, sinks
+from barcraft.sources import pages, readers, sinks
 from barcraft.streaming import streams
 
 _BAR = "symbol, tf, open_time, close_time, open, high, low, close, volume"
@@ -19,13 +18,6 @@ def _of(spark: SparkSession, sf: str, tf: str, symbol: str) -> DataFrame:
     return a.bars(spark, sf, tf).where(F.col("symbol") == symbol)
 
 
-def _document(rows: DataFrame, path: str, name: str | None = None) -> str:
-    """Writes rows as one JSON document: an array, or an object with the array under ``name``."""
-    listed = F.collect_list(F.struct(*rows.columns))
-    rows.agg(F.to_json(listed if name is None else F.struct(listed.alias(name))).alias("value")).coalesce(1).write.text(path)
-    return path
-
-
 @query(f"SELECT {_BAR} FROM (SELECT *, row_number() OVER (ORDER BY open_time DESC) AS n FROM ({a.bars_sql('15min')}) WHERE symbol = 'click') WHERE n <= 300")
 def csv_scan(spark: SparkSession, sf: str) -> DataFrame:
     """The newest bars of a CSV archive, its order checked."""
@@ -34,21 +26,43 @@ def csv_scan(spark: SparkSession, sf: str) -> DataFrame:
     return readers.read_bars(spark, "csv", path, "click", "15min", 300)
 
 
-@query(f"SELECT {_BAR} FROM ({a.bars_sql('15min')}) WHERE symbol = 'view'")
-def aggregate_scan(spark: SparkSession, sf: str) -> DataFrame:
-    """A day of bars a page; all but the last name the next one."""
-    b = _of(spark, sf, "15min", "view")
+def _aggregate_pages(spark: SparkSession, sf: str) -> str:
+    """A page per symbol and day; all but a symbol's last name the next."""
     one = F.struct(F.unix_millis(F.col("open_time").cast("timestamp")).alias("t"), F.col("open").alias("o"), F.col("high").alias("h"), F.col("low").alias("l"), F.col("close").alias("c"), F.col("volume").alias("v"))
-    pages = b.groupBy(F.to_date("open_time").alias("day")).agg(F.collect_list(one).alias("results"))
-    last = pages.agg(F.max("day").alias("last"))
-    named = pages.join(F.broadcast(last)).select(F.lit("view").alias("ticker"), F.when(F.dayofmonth("day") % 2 == 0, "OK").otherwise("DELAYED").alias("status"), F.when(F.col("day") < F.col("last"), "next").alias("next_url"), "results")
-    return readers.read_bars(spark, "aggregates", _document(named, passing_folder(spark, "pages")), "view", "15min")
+    p = a.bars(spark, sf, "15min").groupBy("symbol", F.to_date("open_time").alias("day")).agg(F.sort_array(F.collect_list(one)).alias("results"))
+    following = F.lead("day").over(Window.partitionBy("symbol").orderBy("day"))
+    url = F.concat(F.lit("https://host/v2/symbol="), "symbol", F.lit("/day="), following.cast("string"), F.lit("?cursor=1"))
+    fields = F.struct(F.col("symbol").alias("ticker"), F.when(F.dayofmonth("day") % 2 == 0, "OK").otherwise("DELAYED").alias("status"), F.col("url").alias("next_url"), "results")
+    return pages.write_pages(p.withColumn("url", url).withColumn("page", F.to_json(fields)), ["symbol", "day"], "page", passing_folder(spark, "pages"))
+
+
+@query(f"SELECT {_BAR} FROM ({a.bars_sql('15min')})")
+def aggregate_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """All symbols' pages through the data source, their chains checked."""
+    return pages.read_pages(spark, "aggregate_pages", _aggregate_pages(spark, sf), tf="15min")
+
 
+@query(f"SELECT {_BAR} FROM ({a.bars_sql('15min')}) WHERE symbol IN ('view', 'click') AND open_time >= TIMESTAMP '2024-01-10 06:00:00'")
+def aggregate_scan_filtered(spark: SparkSession, sf: str) -> DataFrame:
+    """The same of some symbols from a time on: other pages are not opened."""
+    return pages.read_pages(spark, "aggregate_pages", _aggregate_pages(spark, sf), symbols=["view", "click"], since="2024-01-10 06:00:00", tf="15min")
 
-@query(f"SELECT {_BAR} FROM ({a.bars_sql('1h')}) WHERE symbol = 'error'")
+
+@query(f"SELECT {_BAR} FROM ({a.bars_sql('15min')})")
+def stream_aggregate_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """The same pages as a stream."""
+    return streams.run_available(pages.stream_pages(spark, "aggregate_pages", _aggregate_pages(spark, sf), tf="15min"))
+
+
+@query(f"SELECT {_BAR} FROM ({a.bars_sql('1h')})")
 def candle_scan(spark: SparkSession, sf: str) -> DataFrame:
-    c = _of(spark, sf, "1h", "error").select(F.unix_seconds(F.col("open_time").cast("timestamp")).alias("time"), "open", "high", "low", "close", "volume")
-    return readers.read_bars(spark, "candles", _document(c, passing_folder(spark, "candles"), "candles"), "error", "1h")
+    """Envelopes of candles, a line for each day, in files by symbol."""
+    c = a.bars(spark, sf, "1h").withColumn("day", F.to_date("open_time"))
+    one = F.struct(F.unix_seconds(F.col("open_time").cast("timestamp")).alias("time"), "open", "high", "low", "close", "volume")
+    texts = c.groupBy("symbol", "day").agg(F.to_json(F.struct(F.collect_list(one).alias("candles"))).alias("value"))
+    path = passing_folder(spark, "candles")
+    texts.select("symbol", "value").write.partitionBy("symbol").text(path)
+    return readers.parse_candles(spark.read.text(path), "value", F.col("symbol"), "1h")
 
 
 @query(f"SELECT open_time, close_time, open, high, low, close, volume FROM ({a.bars_sql('1h')}) WHERE symbol = 'click' AND open_time >= TIMESTAMP '2024-01-05'")
@@ -69,13 +83,16 @@ def news_scan(spark: SparkSession, sf: str) -> DataFrame:
     return readers.read_news(spark, path)
 
 
-@query("SELECT DISTINCT 'release ' || (o_custkey % 40)::VARCHAR AS release_name, o_orderdate::DATE AS day FROM orders WHERE o_orderdate < TIMESTAMP '1993-01-01'")
+@query("SELECT DISTINCT 'release ' || (o_custkey % 40)::VARCHAR AS release_name, o_orderdate::DATE AS day FROM orders")
 def release_scan(spark: SparkSession, sf: str) -> DataFrame:
-    """Pages of a release calendar, one per month."""
-    o = a.table(spark, sf, "orders").where("o_orderdate < timestamp_ntz'1993-01-01'")
+    """Pages of a release calendar, a month each, that follow each other by offset."""
+    o = a.table(spark, sf, "orders")
     dates = o.select(F.concat(F.lit("release "), (F.col("o_custkey") % 40).cast("string")).alias("release_name"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date")).distinct()
-    pages = dates.groupBy(F.substring("date", 1, 7).alias("month")).agg(F.collect_list(F.struct(F.lit(1).cast("long").alias("release_id"), "release_name", "date")).alias("release_dates"))
-    return readers.read_releases(spark, _document(pages.select("release_dates"), passing_folder(spark, "releases")))
+    months = dates.groupBy(F.substring("date", 1, 7).alias("month")).agg(F.collect_list(F.struct("release_name", "date")).alias("release_dates"))
+    size, up_to = F.size("release_dates"), Window.orderBy("month")  # a row a month
+    months = months.withColumns({"offset": F.sum(size).over(up_to) - size, "count": F.sum(size).over(Window.partitionBy())})
+    path = pages.write_pages(months.withColumn("page", F.to_json(F.struct("count", "offset", "release_dates"))), ["month"], "page", passing_folder(spark, "releases"))
+    return pages.read_pages(spark, "release_pages", path)
 
 
 @query("SELECT DISTINCT user_id AS k, event_type AS v FROM events")
@@ -87,13 +104,3 @@ def ledger_sink(spark: SparkSession, sf: str) -> DataFrame:
     for epoch, part in enumerate(("event_id % 3 <> 0", "event_id % 2 = 0 or event_id % 3 = 0", "event_id % 2 = 0 or event_id % 3 = 0")):
         write(e.where(part).drop("event_id"), epoch)
     return spark.read.parquet(path)
-
-
-_POLICY, _RULES = decide.EligibilityPolicy(), {"timeout_bars": 96, "cooldown_bars": 2}
-
-
-@query(f"SELECT 'eligibility' AS name, left(sha1('{decide.policy_text(_POLICY)}'), 10) AS version UNION ALL SELECT 'execution', left(sha256('{simulate.execution_text(simulate.execution_manifest(simulate.Costs(), **_RULES))}'), 16)")
-def policy_versions(spark: SparkSession, sf: str) -> DataFrame:
-    """Fingerprints of the eligibility policy and of what a run's outcomes depend on."""
-    rows = [("eligibility", _POLICY.version()), ("execution", simulate.execution_hash(simulate.execution_manifest(simulate.Costs(), **_RULES)))]
-    return spark.createDataFrame(rows, "name string, version string")

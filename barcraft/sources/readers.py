@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barcraft.sources import schemas
@@ -14,15 +14,17 @@ _CSV = schemas.BAR.replace("open_time timestamp_ntz, close_time timestamp_ntz",
 
 
 def _csv(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a bar CSV with their line order; times are ISO texts, UTC unless they say."""
-    raw = spark.read.schema(_CSV).csv(path, header=True).withColumn("__line", F.monotonically_increasing_id())
+    """Rows of a bar CSV with their line order (file by name, split, row, since tasks get splits in
+    the order of their sizes); times are ISO texts, UTC unless they say."""
+    line = F.struct(F.input_file_name().alias("file"), F.input_file_block_start().alias("at"), F.monotonically_increasing_id().alias("row"))
+    raw = spark.read.schema(_CSV).csv(path, header=True).withColumn("__line", line)
     return raw.withColumns({c: F.col(c).cast("timestamp").cast("timestamp_ntz") for c in ("open_time", "close_time")})
 
 
 def _ascending(bars: DataFrame) -> bool:
     """Whether open_time never falls in line order.  Each split of a file is looked at on its
     own; between splits, and files by name, their first and last times decide, one row a split."""
-    placed = bars.select(F.struct(F.input_file_name().alias("file"), F.input_file_block_start().alias("at")).alias("split"), "__line", "open_time")
+    placed = bars.select(F.struct("__line.file", "__line.at").alias("split"), "__line", "open_time")
     falls = F.lag("open_time").over(Window.partitionBy("split").orderBy("__line")) > F.col("open_time")
     ends = placed.withColumn("falls", falls).groupBy("split").agg(F.bool_or("falls").alias("falls"), F.min_by("open_time", "__line").alias("first"), F.max_by("open_time", "__line").alias("last"))
     between = F.lag("last").over(Window.orderBy("split")) > F.col("first")  # a row per split
@@ -76,14 +78,15 @@ def read_aggregates(spark: SparkSession, path: str, symbol: str, tf: str) -> Dat
     )
 
 
-def parse_candles(texts: DataFrame, column: str, symbol: str, tf: str) -> DataFrame:
-    """Bars from JSON texts: an envelope ``{"candles": [...]}`` or a bare array."""
+def parse_candles(texts: DataFrame, column: str, symbol: str | Column, tf: str) -> DataFrame:
+    """Bars from JSON texts, an envelope ``{"candles": [...]}`` or a bare array, of one symbol or
+    of the symbol that each text's row says."""
     array = f"array<{schemas.CANDLE}>"
     both = F.coalesce(F.from_json(column, f"struct<candles: {array}>")["candles"], F.from_json(column, array))
-    rows = texts.select(F.explode(both).alias("c"))
+    rows = texts.select((F.lit(symbol) if isinstance(symbol, str) else symbol).alias("symbol"), F.explode(both).alias("c"))
     step = schemas.minutes(tf) * 60
     to_time = lambda s: F.timestamp_seconds(s).cast("timestamp_ntz")
-    return rows.select(F.lit(symbol).alias("symbol"), F.lit(tf).alias("tf"), to_time(F.col("c.time")).alias("open_time"), to_time(F.col("c.time") + step).alias("close_time"), "c.open", "c.high", "c.low", "c.close", F.coalesce("c.volume", F.lit(0.0)).alias("volume"))
+    return rows.select("symbol", F.lit(tf).alias("tf"), to_time(F.col("c.time")).alias("open_time"), to_time(F.col("c.time") + step).alias("close_time"), "c.open", "c.high", "c.low", "c.close", F.coalesce("c.volume", F.lit(0.0)).alias("volume"))
 
 
 def read_news(spark: SparkSession, path: str, need_first_seen: bool = True) -> DataFrame:

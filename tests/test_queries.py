@@ -8,6 +8,8 @@ from barcraft.plans import registry
 from tests.conftest import rows_of, rows_of_sql
 
 QUERIES, ORACLES = registry.queries(), registry.oracles()
+#: Queries that list faults and find none in the smallest tables; they have rows in larger ones.
+MAY_BE_EMPTY: set[str] = set()
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -18,7 +20,9 @@ def test_matches_duckdb(spark, duck, sf_dir, name):
         return
     found = duck.sql(ORACLES[name])
     assert sorted(df.columns) == sorted(found.columns)
-    assert rows_of(df) == rows_of_sql(duck, ORACLES[name])
+    rows = rows_of(df)
+    assert rows == rows_of_sql(duck, ORACLES[name])
+    assert rows or name in MAY_BE_EMPTY, "an empty result proves nothing"
 
 
 def test_entry_has_rows(spark):
