@@ -74,6 +74,15 @@ def archive_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return readers.read_archive(spark, path)
 
 
+@query(f"SELECT {_BAR} FROM ({a.bars_sql('1h')}) WHERE symbol <> 'error' OR open_time >= TIMESTAMP '2024-01-05'")
+def published_archive(spark: SparkSession, sf: str) -> DataFrame:
+    """All symbols' bars published, then replaced by a part of themselves."""
+    path = passing_folder(spark, "published")
+    sinks.publish(a.bars(spark, sf, "1h"), path)
+    sinks.publish(sinks.read_published(spark, path).where("symbol <> 'error' or open_time >= timestamp_ntz'2024-01-05'"), path)
+    return sinks.read_published(spark, path).select(*_BAR.split(", "))
+
+
 @query(f"SELECT source, external_id::VARCHAR AS external_id, revision::INT AS revision, date_trunc('second', publication_time) AS publication_time, date_trunc('second', ingestion_time) AS ingestion_time, 'item ' || external_id AS headline, 'low' AS impact FROM ({a.NEWS_SQL})")
 def news_scan(spark: SparkSession, sf: str) -> DataFrame:
     second = lambda c: F.date_trunc("second", F.col(c)).cast("timestamp_ntz")

@@ -7,7 +7,6 @@ completion over the files there are now, for replays and tests.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 from functools import reduce
 from operator import and_
 
@@ -16,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from barcraft.session import passing_folder
+from barcraft.session import passing_folder, settings
 from barcraft.sources.schemas import minutes
 
 
@@ -86,19 +85,6 @@ def ledger_batch(existing_path: str, key: list[str]):
 STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
-@contextmanager
-def settings(spark: SparkSession, **values: str) -> Iterator[None]:
-    """Session settings for a while; the former ones come back."""
-    former = {k: spark.conf.get(k, None) for k in values}
-    for k, v in values.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in former.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def run_available(stream: DataFrame, folder: str | None = None, **conf: str) -> DataFrame:
     """The rows that a stream gives out over the input there is now, from a Parquet sink in
     the shared folder, with the checkpoint beside it: nothing passes through the driver."""

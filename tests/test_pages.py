@@ -133,3 +133,18 @@ def test_scans_by_symbol_keep_their_rows(spark, tmp_path):
     texts = spark.createDataFrame([("X", '{"candles": [{"time": 0, "open": 1, "high": 2, "low": 0.5, "close": 1.5}]}'), ("Y", '[{"time": 900, "open": 1, "high": 2, "low": 0.5, "close": 1.5, "volume": 3}]')], "symbol string, x string")
     assert [(r[0], r[-1]) for r in readers.parse_candles(texts, "x", F.col("symbol"), "15min").orderBy("symbol").collect()] == [("X", 0.0), ("Y", 3.0)]
     assert rows_of(readers.parse_candles(texts.where("symbol = 'X'"), "x", "Q", "15min"))
+
+
+def test_counts_come_from_footers(spark, sf_dir, tmp_path):
+    """No column is read, the session's settings come back, and tables of many files add up."""
+    from barcraft.sources import footers
+
+    before = spark.conf.get("spark.sql.sources.useV1SourceList")
+    spark.range(1000).repartition(7).write.parquet(f"{tmp_path}/many")
+    spark.range(0).write.parquet(f"{tmp_path}/none")
+    got = footers.row_counts(spark, {"events": f"{sf_dir}/events.parquet", "many": f"{tmp_path}/many", "none": f"{tmp_path}/none"})
+    assert {r.name: r.n for r in got.collect()} == {"events": spark.read.parquet(f"{sf_dir}/events.parquet").count(), "many": 1000, "none": 0}
+    assert spark.conf.get("spark.sql.sources.useV1SourceList") == before
+    with footers.settings(spark, **footers._FROM_FOOTERS):
+        plan = footers.counted(spark, f"{tmp_path}/many")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<count(*):bigint>" in plan
