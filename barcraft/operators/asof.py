@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barcraft.operators.segments import SLICE_MINUTES, running
 
-def asof_join(left: DataFrame, right: DataFrame, left_time: str, right_time: str, by: list[str]) -> DataFrame:
+
+def asof_join(left: DataFrame, right: DataFrame, left_time: str, right_time: str, by: list[str], slice_minutes: int = SLICE_MINUTES) -> DataFrame:
     """Each left row with the latest right row whose time is not after its own (null columns
-    if none).  One shuffle by ``by`` and one sort: the two sides are stacked and the last
-    right row is carried forward; ties count as known."""
+    if none).  The two sides are stacked and the last right row is carried forward, in slices of
+    time, so no key is one task; ties count as known."""
     payload = [c for c in right.columns if c not in by]
     a = left.select(*by, F.col(left_time).alias("__t"), F.lit(1).alias("__side"), F.struct(*[c for c in left.columns if c not in by]).alias("__left"), F.lit(None).cast(right.select(F.struct(*payload)).schema[0].dataType).alias("__right"))
     b = right.select(*by, F.col(right_time).alias("__t"), F.lit(0).alias("__side"), F.lit(None).cast(a.schema["__left"].dataType).alias("__left"), F.struct(*payload).alias("__right"))
-    w = Window.partitionBy(*by).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    carried = a.unionByName(b).withColumn("__last", F.last("__right", ignorenulls=True).over(w)).where("__side = 1")
-    return carried.select(*by, *[F.col(f"__left.{c}").alias(c) for c in left.columns if c not in by], *[F.col(f"__last.{c}").alias(c) for c in payload])
+    carried = running(a.unionByName(b), by, "__t", ["__side"], last=["__right"], slice_minutes=slice_minutes).where("__side = 1")
+    return carried.select(*by, *[F.col(f"__left.{c}").alias(c) for c in left.columns if c not in by], *[F.col(f"__right.{c}").alias(c) for c in payload])
 
 
 def visible(news: DataFrame, as_of: str) -> DataFrame:

@@ -7,11 +7,12 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barcraft.functions.numeric import round_to
 from barcraft.operators.indicators import indicator_frame, linreg_slope
+from barcraft.operators.segments import SLICE_MINUTES, running
 
 ADX_TREND, ADX_RANGE, MIN_BARS = 25.0, 20.0, 200
 ROLES = {"macro": "1day", "trend": "4h", "structure": "1h", "trigger": "15min"}
@@ -58,17 +59,17 @@ def confluence() -> Column:
     )
 
 
-def feature_packets(features: DataFrame) -> DataFrame:
+def feature_packets(features: DataFrame, slice_minutes: int = SLICE_MINUTES) -> DataFrame:
     """One row per trigger bar: for each role the latest features closed by then, no later
-    one.  ``features`` holds all timeframes; one shuffle by symbol and one sort carry every
-    role forward at once.  Rows that lack a role are left out."""
+    one.  ``features`` holds all timeframes; every role is carried forward at once, in slices of
+    time.  Rows that lack a role are left out."""
     taken = [("close", "close_time"), ("regime", "regime"), ("align", "ema_align"), ("adx", "adx"), *([("gap", "recent_gap")] if "recent_gap" in features.columns else [])]
     trigger = F.col("tf") == ROLES["trigger"]
-    w = Window.partitionBy("symbol").orderBy("close_time", trigger).rowsBetween(Window.unboundedPreceding, 0)
-    out = features.where(F.col("tf").isin(*ROLES.values()))
+    out = features.where(F.col("tf").isin(*ROLES.values())).withColumn("__trigger", trigger)
     held = [r for r in ROLES if r != "trigger"]
-    carried = {f"__{r}": F.last(F.when(F.col("tf") == ROLES[r], F.struct(*[F.col(c).alias(n) for n, c in taken])), ignorenulls=True).over(w) for r in held}
-    out = out.withColumns(carried).where(trigger & F.col("__macro").isNotNull() & F.col("__trend").isNotNull() & F.col("__structure").isNotNull())
+    out = out.withColumns({f"__{r}": F.when(F.col("tf") == ROLES[r], F.struct(*[F.col(c).alias(n) for n, c in taken])) for r in held})
+    out = running(out, ["symbol"], "close_time", ["__trigger"], last=[f"__{r}" for r in held], slice_minutes=slice_minutes)
+    out = out.where(trigger & F.col("__macro").isNotNull() & F.col("__trend").isNotNull() & F.col("__structure").isNotNull())
     own = [F.col("close_time").alias("as_of"), F.col("close").alias("price"), F.col("regime").alias("trigger_regime"), F.col("atr_pct").alias("atr_pct_trigger"), F.col("rsi").alias("rsi_trigger"), *([F.col("recent_gap").alias("trigger_gap")] if len(taken) > 4 else [])]
     packets = out.select("symbol", *own, *[F.col(f"__{r}.{n}").alias(f"{r}_{n}") for r in held for n, _ in taken])
     return packets.withColumn("confluence", confluence())

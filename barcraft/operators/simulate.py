@@ -8,14 +8,18 @@ fold over their small result rows.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barcraft.functions.market_calendar import SessionCalendar
 from barcraft.functions.numeric import round_to
+from barcraft.operators.segments import SLICE_MINUTES, running
 from barcraft.sources.schemas import minutes
+from barcraft.sources.sinks import settled
 
 FOREVER = "9999-12-31 00:00:00"
 
@@ -36,15 +40,14 @@ class Costs:
     terms_version: str = "unset"
 
 
-def entry_bars(candidates: DataFrame, bars: DataFrame) -> DataFrame:
+def entry_bars(candidates: DataFrame, bars: DataFrame, slice_minutes: int = SLICE_MINUTES) -> DataFrame:
     """candidates(symbol, as_of, price, ...) with entry_ref: the open of the first bar that
-    opens at or after as_of, else the packet's price.  Both sides are stacked and sorted from
-    the end, so that one running value says which bar comes next."""
-    w = Window.partitionBy("symbol").orderBy(F.desc("__t"), F.desc("__side")).rowsBetween(Window.unboundedPreceding, 0)
+    opens at or after as_of, else the packet's price.  Both sides are stacked and scanned from
+    the end, in slices of time, so that a running value says which bar comes next."""
     a = candidates.select("symbol", F.col("as_of").alias("__t"), F.lit(0).alias("__side"), F.struct(*candidates.columns).alias("__c"), F.lit(None).cast("double").alias("__open"))
     b = bars.select("symbol", F.col("open_time").alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast(a.schema["__c"].dataType).alias("__c"), F.col("open").alias("__open"))
-    found = a.unionByName(b).withColumn("__next", F.last("__open", ignorenulls=True).over(w)).where("__side = 0")
-    return found.select("__c.*", F.coalesce("__next", F.col("__c.price")).alias("entry_ref"))
+    found = running(a.unionByName(b), ["symbol"], "__t", ["__side"], last=["__open"], backward=True, slice_minutes=slice_minutes).where("__side = 0")
+    return found.select("__c.*", F.coalesce("__open", F.col("__c.price")).alias("entry_ref"))
 
 
 def open_trades(entries: DataFrame, costs: Costs) -> DataFrame:
@@ -78,11 +81,7 @@ def swap_rate(costs: Costs) -> Column:
     return F.when(F.col("direction") == "BUY", F.lit(long)).otherwise(F.lit(short))
 
 
-def numbered(bars: DataFrame) -> DataFrame:
-    return bars.withColumn("bar_no", F.row_number().over(Window.partitionBy("symbol").orderBy("open_time")))
-
-
-def reconcile(trades: DataFrame, bars: DataFrame, timeout_bars: int, costs: Costs, trigger_tf: str = "15min", tf: str = "15min") -> DataFrame:
+def reconcile(trades: DataFrame, bars: DataFrame, timeout_bars: int, costs: Costs, trigger_tf: str = "15min", tf: str = "15min", slice_minutes: int = SLICE_MINUTES) -> DataFrame:
     """trades(symbol, trade_id, opened_at, direction, entry_mid, sl_price, tp_price) with
     status, exit_reason, exit_price, closed_at, r_multiple, r_pessimistic, r_optimistic and
     ambiguous.
@@ -95,11 +94,11 @@ def reconcile(trades: DataFrame, bars: DataFrame, timeout_bars: int, costs: Cost
     horizon = -(-timeout_bars * minutes(trigger_tf) // minutes(tf))
     # Bars by close and trades by entry in one order: a running count numbers the bars and
     # says how many had closed by each entry, so the next one is the first that counts.
-    w = Window.partitionBy("symbol").orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
     columns = ["open_time", "close_time", "open", "high", "low", "close"]
     ends = bars.select("symbol", F.col("close_time").alias("__t"), F.lit(0).alias("__side"), F.lit(1).alias("__bar"), F.struct(*columns).alias("__b"), F.lit(None).cast(trades.select(F.struct(*trades.columns)).schema[0].dataType).alias("__trade"))
     keyed = trades.select("symbol", F.col("opened_at").alias("__t"), F.lit(1).alias("__side"), F.lit(0).alias("__bar"), F.lit(None).cast(ends.schema["__b"].dataType).alias("__b"), F.struct(*trades.columns).alias("__trade"))
-    stacked = ends.unionByName(keyed).withColumn("__n", F.sum("__bar").over(w))
+    both = ends.unionByName(keyed).withColumn("__n", F.col("__bar").cast("long"))
+    stacked = running(both, ["symbol"], "__t", ["__side"], sums=["__n"], slice_minutes=slice_minutes)
     b = stacked.where("__side = 0").select("symbol", F.col("__n").alias("bar_no"), "__b.*")
     t = stacked.where("__side = 1").select("__trade.*", (F.col("__n") + 1).alias("first_no"))
     # two buckets of `horizon` bars hold every bar in reach
@@ -142,12 +141,26 @@ def settle(exits: DataFrame, costs: Costs) -> DataFrame:
     )
 
 
-def position_gate(outcomes: DataFrame, bar_seconds: int, cooldown_bars: int, keys: tuple[str, ...] = ("run_id", "symbol")) -> DataFrame:
+#: Outcomes of a (run, symbol) that are folded in one task, and of a slice beyond that.
+FOLD_ROWS, GATE_SLICE = 200_000, 20_000
+
+
+def position_gate(outcomes: DataFrame, bar_seconds: int, cooldown_bars: int, keys: tuple[str, ...] = ("run_id", "symbol"), fold_rows: int = FOLD_ROWS, slice_rows: int = GATE_SLICE) -> DataFrame:
     """outcomes with ``admitted``: in as_of order one position at a time; the next is admitted
     from closed_at plus the cooldown on, after an open one none is.
 
-    Each (run, symbol) is folded in one pass over its rows, of which only as_of and closed_at
-    matter."""
+    A (run, symbol) of up to ``fold_rows`` outcomes is folded in one pass over its as_of and
+    closed_at; larger ones go in slices (``_sliced_gate``), with the same result."""
+    large = outcomes.groupBy(*keys).count().where(F.col("count") > fold_rows).select(*[F.col(k).alias(f"__{k}") for k in keys])
+    if large.isEmpty():
+        return _folded_gate(outcomes, bar_seconds, cooldown_bars, keys)
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    few = outcomes.join(large, same, "left_anti")
+    many = outcomes.join(large, same, "left_semi")
+    return _folded_gate(few, bar_seconds, cooldown_bars, keys).unionByName(_sliced_gate(many, bar_seconds, cooldown_bars, keys, slice_rows))
+
+
+def _folded_gate(outcomes: DataFrame, bar_seconds: int, cooldown_bars: int, keys: tuple[str, ...]) -> DataFrame:
     names = outcomes.columns
 
     def run(table: pa.Table) -> pa.Table:
@@ -166,6 +179,73 @@ def position_gate(outcomes: DataFrame, bar_seconds: int, cooldown_bars: int, key
     return outcomes.groupBy(*keys).applyInArrow(run, schema)
 
 
+def _exits(table: pa.Table) -> pa.Table:
+    """Per row of a slice the first row beyond the slice that its chain of next rows comes to."""
+    table = table.sort_by("__n")
+    n, following = table.column("__n").to_pylist(), table.column("__next").to_pylist()
+    place, last = {x: i for i, x in enumerate(n)}, n[-1]
+    out: list[int | None] = [None] * len(n)
+    for i in range(len(n) - 1, -1, -1):
+        to = following[i]
+        if to is not None:
+            out[i] = to if to > last else out[place[to]]
+    return table.set_column(table.column_names.index("__next"), "__next", pa.array(out, pa.int64()))
+
+
+def _visited(table: pa.Table) -> pa.Table:
+    """The rows that are reached from the slice's entry, by following next rows."""
+    table = table.sort_by("__n")
+    n, following = table.column("__n").to_pylist(), table.column("__next").to_pylist()
+    place, at, seen = {x: i for i, x in enumerate(n)}, table.column("__entry")[0].as_py(), []
+    while at in place:
+        seen.append(place[at])
+        at = following[place[at]]
+    return table.drop_columns(["__entry"]).take(pa.array(seen, pa.int64()))
+
+
+def _reached(nodes: DataFrame, keys: list[str], slice_rows: int, fold_rows: int) -> DataFrame:
+    """(keys..., __n): rows on the chain that begins at each key's row 1; nodes(keys..., __n,
+    __next) with rows in ascending order and __next later or null.
+
+    Within a slice every chain is followed to where it leaves.  Chains that leave for the same row
+    are one from there on, so what is left to follow are the rows where chains enter slices; that
+    is the same question over fewer rows, until they are few.  Each slice on the way is then
+    followed from the one row where the chain enters it."""
+    schema = ", ".join(f"{k} {dict(nodes.dtypes)[k]}" for k in keys)
+    narrow = f"{schema}, __n long, __next long"
+    if nodes.groupBy(*keys).count().where(F.col("count") > fold_rows).isEmpty():
+        found = nodes.withColumn("__entry", F.lit(1).cast("long")).groupBy(*keys).applyInArrow(_visited, narrow)
+        return found.select(*keys, "__n")
+    nodes = settled(nodes.select(*keys, "__n", "__next", F.floor(F.col("__n") / slice_rows).alias("__slice")), "gate")
+    exits = settled(nodes.groupBy(*keys, "__slice").applyInArrow(_exits, f"{narrow}, __slice long").select(*keys, "__n", "__next"), "exits")
+    entered = exits.select(*keys, F.col("__next").alias("__n")).where("__n is not null").unionByName(exits.select(*keys).distinct().withColumn("__n", F.lit(1).cast("long"))).distinct()
+    entries = _reached(entered.join(exits, [*keys, "__n"]), keys, slice_rows * 64, fold_rows)
+    entries = entries.select(*keys, F.floor(F.col("__n") / slice_rows).alias("__slice"), F.col("__n").alias("__entry"))
+    found = nodes.join(entries, [*keys, "__slice"]).groupBy(*keys, "__slice").applyInArrow(_visited, f"{narrow}, __slice long")
+    return found.select(*keys, "__n")
+
+
+def _sliced_gate(outcomes: DataFrame, bar_seconds: int, cooldown_bars: int, keys: tuple[str, ...], slice_rows: int) -> DataFrame:
+    """The gate without a group in one task: each outcome's next admissible one is an as-of step,
+    and those on the chain from the first are admitted."""
+    name = [f"__key{i}" for i, _ in enumerate(keys)]
+    packed = outcomes.select(*[F.coalesce(F.col(k).cast("string"), F.lit("")).alias(n) for k, n in zip(keys, name, strict=True)], *[F.col(k).isNull().alias(f"{n}_null") for k, n in zip(keys, name, strict=True)], F.struct(*outcomes.columns).alias("__row"), "as_of", "trade_id", "closed_at")
+    by = [*name, *[f"{n}_null" for n in name]]
+    rows = settled(running(packed.withColumn("__n", F.lit(1).cast("long")), by, "as_of", ["trade_id"], sums=["__n"]), "numbered")
+    busy = F.col("closed_at") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(bar_seconds * cooldown_bars))
+    # rows by as_of and ends by the time from which the next is free, ends first: a running count
+    # of rows says how many began before
+    asked = rows.where("closed_at is not null").select(*by, busy.alias("__t"), F.lit(0).alias("__side"), F.lit(0).cast("long").alias("__began"), F.col("__n"))
+    began = rows.select(*by, F.col("as_of").alias("__t"), F.lit(1).alias("__side"), F.lit(1).cast("long").alias("__began"), F.lit(None).cast("long").alias("__n"))
+    free = running(asked.unionByName(began), by, "__t", ["__side"], sums=["__began"]).where("__side = 0")
+    total = rows.groupBy(*by).agg(F.max("__n").alias("__all"))
+    later = free.select(*by, "__n", F.greatest(F.col("__began") + 1, F.col("__n") + 1).alias("__next")).join(total, by)
+    later = later.select(*by, "__n", F.when(F.col("__next") <= F.col("__all"), F.col("__next")).alias("__next"))
+    nodes = rows.select(*by, "__n").join(later, [*by, "__n"], "left")
+    chain = _reached(nodes, by, slice_rows, slice_rows).withColumn("admitted", F.lit(True))
+    return rows.join(chain, [*by, "__n"], "left").select("__row.*", F.coalesce("admitted", F.lit(False)).alias("admitted"))
+
+
 def missed_open_bars(prev_close: str, close: str, calendar: SessionCalendar, step: int = 15) -> Column:
     """Bars strictly between two closes whose open was in session."""
     slots = f"sequence({prev_close} + interval {step} minutes, {close} - interval {step} minutes, interval {step} minutes)"
@@ -173,7 +253,7 @@ def missed_open_bars(prev_close: str, close: str, calendar: SessionCalendar, ste
     return F.expr(f"CASE WHEN {prev_close} IS NULL OR NOT ({inside}) THEN 0L ELSE cast(size(filter({slots}, t -> {calendar.is_open_sql(f'(t - interval {step} minutes)')})) as bigint) END")
 
 
-def coverage(trades: DataFrame, bars: DataFrame, now: str, tf: str, calendar: SessionCalendar) -> DataFrame:
+def coverage(trades: DataFrame, bars: DataFrame, now: str, tf: str, calendar: SessionCalendar, slice_minutes: int = SLICE_MINUTES) -> DataFrame:
     """(symbol, trade_id, expected, missing, covered): whether every slot in session from the
     one that holds opened_at to ``now`` has a bar."""
     from barcraft.operators.validate import floor_to_grid
@@ -187,8 +267,8 @@ def coverage(trades: DataFrame, bars: DataFrame, now: str, tf: str, calendar: Se
     slots = first.select("symbol", F.explode(F.sequence("__first", until, F.expr(f"interval {step} minutes"))).alias("open_time"))
     have = bars.select("symbol", "open_time", F.lit(1).alias("__have"))
     flagged = slots.join(have, ["symbol", "open_time"], "left").withColumn("__open", calendar.is_open("open_time"))
-    w = Window.partitionBy("symbol").orderBy(F.desc("open_time")).rowsBetween(Window.unboundedPreceding, 0)
-    counted = flagged.select("symbol", "open_time", F.sum(F.col("__open").cast("long")).over(w).alias("expected"), F.sum((F.col("__open") & F.col("__have").isNull()).cast("long")).over(w).alias("missing"))
+    flags = flagged.select("symbol", "open_time", F.col("__open").cast("long").alias("expected"), (F.col("__open") & F.col("__have").isNull()).cast("long").alias("missing"))
+    counted = running(flags, ["symbol"], "open_time", [], sums=["expected", "missing"], backward=True, slice_minutes=slice_minutes)
     out = keyed.join(counted, ["symbol", "open_time"], "left").select("symbol", "trade_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("expected", "missing")])
     return out.withColumn("covered", F.col("missing") == 0)
 

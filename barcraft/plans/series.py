@@ -11,6 +11,7 @@ from barcraft.operators import asof, features, indicators, validate
 from barcraft.operators.decide import EligibilityPolicy
 from barcraft.plans.registry import query
 from barcraft.sources import adapters as a
+from barcraft.sources.sinks import settled
 
 # One recursion over the daily series gives every recurrence in the same order of operations.
 _DAILY = f"SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY open_time) AS rn, lag(close) OVER (PARTITION BY symbol ORDER BY open_time) AS pc, lag(high) OVER (PARTITION BY symbol ORDER BY open_time) AS ph, lag(low) OVER (PARTITION BY symbol ORDER BY open_time) AS pl FROM ({a.DAILY_SQL})"
@@ -149,7 +150,8 @@ def packets(spark: SparkSession, sf: str, flagged: bool = False, fine: DataFrame
     b = a.bars_of(spark, sf, list(features.ROLES.values()), fine)
     if flagged:
         b = validate.recent_unexpected(b, EVENTS_CALENDAR, dict(EligibilityPolicy().recent_bars))
-    return features.feature_packets(features.timeframe_features(b, SHORT_BARS, SHORT, SHORT_WILDER, ("recent_gap",) if flagged else ()))
+    found = features.timeframe_features(b, SHORT_BARS, SHORT, SHORT_WILDER, ("recent_gap",) if flagged else ())
+    return features.feature_packets(settled(found, "features"))  # carried in slices: looked at twice
 
 
 def _short(tf: str) -> str:

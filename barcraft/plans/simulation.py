@@ -150,6 +150,7 @@ def backtest_end_to_end(spark: SparkSession, sf: str) -> DataFrame:
     b = fine_bars(spark, sf)
     d = decide.run_decisions(_decidable(spark, sf, b), "always_buy", EVENTS_CALENDAR).where("verdict = 'approved'")
     c = d.select("symbol", "as_of", "price", F.col("k").alias("trade_id"), F.col("as_of").alias("opened_at"), "direction", (F.col("sl_pct") * 20).alias("sl_pct"), (F.col("tp_pct") * 20).alias("tp_pct"), F.lit("always_buy").alias("run_id"))
+    c = settled(c, "approved")  # entries look at them twice
     t = entries(simulate.open_trades(simulate.entry_bars(c, b), COSTS))
     return report(simulate.position_gate(simulate.reconcile(t, b, TIMEOUT, COSTS), _BAR, _COOL))
 
