@@ -8,9 +8,13 @@ ordered folds over one key's small event rows.
 from __future__ import annotations
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barcraft.operators.segments import SLICE_MINUTES, running
+from barcraft.sources.sinks import settled
+
 
 def _latest(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     n = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
@@ -109,27 +113,45 @@ def downtime_gaps(ok_bars: DataFrame, missed: Column) -> DataFrame:
     return ok_bars.withColumn("prev_close", F.lag("bar_close").over(w)).withColumn("missed", missed).where("missed > 0")
 
 
-def budget_grants(requests: DataFrame, run_budget: int, day_budget: int, month_budget: int) -> DataFrame:
+def budget_grants(requests: DataFrame, run_budget: int, day_budget: int, month_budget: int, slice_minutes: int = SLICE_MINUTES) -> DataFrame:
     """requests(month, ts, seq, run_id, micro) with ``granted``: refused if it would pass a
-    run's, a UTC day's or the month's budget; a refused request spends nothing.  One month is
-    one fold (budgets span its runs and days)."""
+    run's, a UTC day's or the month's budget; a refused request spends nothing.
+
+    Running sums of what all requests would spend show how far a month is granted whole: up to the
+    first that passes a budget, sums are what was spent, so all before it are granted.  Only from
+    there on a month is folded (budgets span its runs and days), from what was spent by run and day;
+    a month that never refuses is not."""
+    names = requests.columns
+    rows = requests.withColumns({"__day": F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 86_400_000_000), "__micro": F.col("micro").cast("long")})
+    for by, name in ((["run_id"], "__run"), (["__day"], "__of_day"), ([], "__month")):
+        rows = running(rows.withColumn(name, F.col("__micro")), ["month", *by], "ts", ["seq"], sums=[name], slice_minutes=slice_minutes)
+    rows = settled(rows.withColumn("__over", (F.col("__run") > run_budget) | (F.col("__of_day") > day_budget) | (F.col("__month") > month_budget)), "requests")
+    first = rows.where("__over").groupBy("month").agg(F.min(F.struct("ts", "seq")).alias("__first"))
+    if first.isEmpty():
+        return rows.select(*names, F.lit(True).alias("granted"))
+    marked = rows.join(first.withColumnRenamed("month", "__m"), F.col("month").eqNullSafe(F.col("__m")), "left").drop("__m")
+    early = F.col("__first").isNull() | (F.struct("ts", "seq") < F.col("__first"))
+    whole = marked.where(early).select(*names, F.lit(True).alias("granted"))
+    spent = marked.where(early & F.col("__first").isNotNull()).groupBy("month", "run_id", "__day").agg(F.sum("__micro").alias("__micro"))
+    late = marked.where(~early).select(*names, "__day", "__micro", F.lit(False).alias("__spent"))
+    late = late.unionByName(spent.withColumn("__spent", F.lit(True)), allowMissingColumns=True)
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("ts", "ascending"), ("seq", "ascending")])
-        at = table.column("ts").cast(pa.int64()).to_pylist()
+        table = table.sort_by([("__spent", "descending"), ("ts", "ascending"), ("seq", "ascending")])
         runs: dict = {}
         days: dict = {}
         month, granted = 0, []
-        for t, r, cost in zip(at, table.column("run_id").to_pylist(), table.column("micro").to_pylist(), strict=True):
-            day = t // 86_400_000_000
-            ok = runs.get(r, 0) + cost <= run_budget and days.get(day, 0) + cost <= day_budget and month + cost <= month_budget
+        columns = (table.column(c).to_pylist() for c in ("__spent", "__day", "run_id", "__micro"))
+        for known, day, r, cost in zip(*columns, strict=True):
+            ok = known or (runs.get(r, 0) + cost <= run_budget and days.get(day, 0) + cost <= day_budget and month + cost <= month_budget)
             if ok:
                 runs[r], days[day], month = runs.get(r, 0) + cost, days.get(day, 0) + cost, month + cost
             granted.append(ok)
-        return table.append_column("granted", pa.array(granted, pa.bool_()))
+        own = pc.invert(table.column("__spent"))
+        return table.select(names).append_column("granted", pa.array(granted, pa.bool_())).filter(own)
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in requests.schema) + ", granted boolean"
-    return requests.groupBy("month").applyInArrow(run, schema)
+    return whole.unionByName(late.groupBy("month").applyInArrow(run, schema))
 
 
 def spend(attempts: DataFrame, now: str, run_id: str) -> DataFrame:

@@ -128,3 +128,33 @@ def test_gate_of_one_large_key(spark):
     df = spark.createDataFrame(data, OUTCOME)
     got = simulate.position_gate(df, 900, 2, fold_rows=1000, slice_rows=3000).where("admitted").select("trade_id", "note")
     assert len(data) > 90_000 and {(r.trade_id, r.note) for r in got.collect()} == {(r[2], r[5]) for r in plain_gate(data, timedelta(minutes=30))}
+
+
+def plain_budget(rows, run_budget, day_budget, month_budget):
+    runs, days, months, out = {}, {}, {}, {}
+    for m, ts, seq, run, micro in sorted(rows, key=lambda r: (r[1], r[2])):
+        day = m, ts.date()
+        ok = runs.get((m, run), 0) + micro <= run_budget and days.get(day, 0) + micro <= day_budget and months.get(m, 0) + micro <= month_budget
+        out[seq] = ok
+        if ok:
+            for d, k in ((runs, (m, run)), (days, day), (months, m)):
+                d[k] = d.get(k, 0) + micro
+    return out
+
+
+@pytest.mark.parametrize("budgets", [(400, 10**6, 10**6), (10**6, 300, 10**6), (10**6, 10**6, 1500), (700, 300, 2500), (10**6, 10**6, 10**6), (5, 5, 5)])
+def test_budgets_equal_the_fold(spark, budgets, monkeypatch):
+    from barcraft.operators import ledger
+
+    rng = random.Random(budgets[0])
+    rows = []
+    for i in range(400):
+        at = START + timedelta(minutes=rng.randrange(60 * 24 * 70))
+        rows.append((None if at.month == 3 else f"{at:%Y-%m}", at, i, rng.choice(["a", "b", None]), rng.choice([0, 5, 20, 90])))
+    df = spark.createDataFrame(rows, "month string, ts timestamp_ntz, seq long, run_id string, micro long").repartition(4)
+    want = plain_budget(rows, *budgets)
+    if all(want.values()):  # what is granted whole never enters Python
+        monkeypatch.setattr(ledger.pa, "array", None)
+    for minutes in (600, 10**6):
+        got = ledger.budget_grants(df, *budgets, slice_minutes=minutes)
+        assert got.columns == [*df.columns, "granted"] and {r.seq: r.granted for r in got.collect()} == want
