@@ -11,7 +11,8 @@ ids is cut into sequences of one length.  Each partition writes
 
 and one manifest row, from which a file's place in the whole stream follows.  Partitions are
 ranges of doc_id, as many as FILE_BYTES of text each make necessary, so files have about one
-size whatever the table's; beyond MOST_FILES they grow.
+size whatever the table's; beyond MOST_FILES they grow, and a small table has smaller ones, a
+file for each core.
 
 Words are encoded once and remembered where that gives the ids of the whole text: under a
 normalizer that lower-cases and a pre-tokenizer of WORD_PATTERN, which no blank belongs to.
@@ -37,8 +38,9 @@ from barcraft.llm.scratch import Scratch, lasting_folder, open_folder, put_file
 from barcraft.llm.text import chunks
 
 SEQUENCE, BATCH = 1024, 256
-#: Text bytes of a file, and the number of files from which on they hold more.
-FILE_BYTES, MOST_FILES = 32 << 20, 100_000
+#: Text bytes of a file, the least where cores would be idle, and the number of files from which on
+#: they hold more.
+FILE_BYTES, LEAST_BYTES, MOST_FILES = 32 << 20, 1 << 20, 100_000
 END_ID, PAD_ID = 1, 0
 #: Distinct words whose ids a worker remembers before it starts anew.
 REMEMBERED = 600_000
@@ -224,12 +226,18 @@ def _write(folder: str, tokenizer: str, sequence: int, end_id: int):
     return run
 
 
+def file_number(size: int, cores: int) -> int:
+    """Files for texts of ``size`` bytes: of about FILE_BYTES, or smaller ones, down to LEAST_BYTES,
+    while there are cores without one; what is read back is the same."""
+    return max(1, min(MOST_FILES, max(-(-size // FILE_BYTES), min(cores, -(-size // LEAST_BYTES)))))
+
+
 def write_tokens(docs: DataFrame, tokenizer: str, folder: str, scratch: Scratch, sequence: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
     """Writes the files under ``folder`` and returns the manifest (part, file, n_docs,
     n_tokens, base): base is the number of ids in the files before."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ordered = texts.repartitionByRange(max(1, min(MOST_FILES, -(-size // FILE_BYTES))), "doc_id").sortWithinPartitions("doc_id", F.crc32("text"))
+    ordered = texts.repartitionByRange(file_number(size, docs.sparkSession.sparkContext.defaultParallelism), "doc_id").sortWithinPartitions("doc_id", F.crc32("text"))
     written = scratch.write("manifest", ordered.mapInArrow(_write(folder, tokenizer, sequence, end_id), "part long, file string, n_docs long, n_tokens long"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return written.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))

@@ -8,8 +8,8 @@ others are revisits (identical-payload-digest profile), which store headers only
 The dictionary is trained on whole records as they are written: a bounded sample of about
 SAMPLE_RECORDS records and SAMPLE_BYTES bytes by a hash of their ids, of pages up to
 SAMPLE_LONGEST bytes.  It decides sizes, never contents.  A task that has more than FILE_BYTES
-to write goes on in a further file; the number of tasks is that of the join by digest
-(spark.sql.shuffle.partitions, skewed digests being split by adaptive execution).
+to write goes on in a further file; the number of tasks is that of the join by digest, from the
+bytes of the payloads, skewed digests being split by adaptive execution.
 """
 
 from __future__ import annotations
@@ -29,10 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barcraft.llm.scratch import Scratch, lasting_folder, open_folder, put_file
+from barcraft.session import settings
 
 SKIPPABLE = 0x184D2A5D
 SAMPLE_RECORDS, SAMPLE_BYTES, SAMPLE_LONGEST, DICTIONARY_BYTES = 1000, 16 << 20, 1 << 20, 65536
 FILE_BYTES = 1 << 30
+TASK_BYTES, MOST_TASKS = 256 << 20, 100_000
 LEVEL = 3
 DATE = "1970-01-01T00:00:00Z"  # the tables have no capture time
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -188,6 +190,15 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield out(rows)
 
 
+PARTITIONS = "spark.sql.shuffle.partitions"
+
+
+def task_number(size: int, least: int) -> int:
+    """Tasks of the join by digest, which moves the payloads: about TASK_BYTES each, and no fewer
+    than the session asks for.  Adaptive execution splits skewed digests."""
+    return max(least, min(MOST_TASKS, -(-size // TASK_BYTES)))
+
+
 def write_warc(pages: DataFrame, folder: str, scratch: Scratch, min_bytes: int = 0) -> DataFrame:
     """Writes the archives and returns their manifest (file, n_records)."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
@@ -202,12 +213,15 @@ def write_warc(pages: DataFrame, folder: str, scratch: Scratch, min_bytes: int =
         return joined.select("page_id", "url", "html", F.when(revisit, F.col("winner")).alias("refers_to"), F.when(revisit, F.col("refers_url")).alias("refers_url"))
 
     short = rows.where(F.octet_length("html") <= SAMPLE_LONGEST)
-    found = short.agg(F.count("*").alias("n"), F.sum(F.octet_length("html")).alias("bytes")).first()
+    is_short = F.octet_length("html") <= SAMPLE_LONGEST
+    size = F.octet_length("html")
+    found = rows.agg(F.count_if(is_short).alias("n"), F.sum(F.when(is_short, size)).alias("bytes"), F.sum(size).alias("all")).first()
     share = min(1.0, SAMPLE_RECORDS / max(1, found["n"]), SAMPLE_BYTES / max(1, found["bytes"] or 0))
     chosen = short.where(F.pmod(F.xxhash64("page_id", "url"), F.lit(1_000_003)) < F.lit(math.ceil(share * 1_000_003)))
     sample = as_written(chosen).collect()  # bounded: see SAMPLE_RECORDS, SAMPLE_BYTES
     dictionary = train([_serialised(r["page_id"], r["url"], r["html"].encode(), r["refers_to"], r["refers_url"]) for r in sample])
-    return scratch.write("manifest", as_written(rows).mapInArrow(_write(folder, dictionary), "file string, n_records long"))
+    with settings(scratch.spark, **{PARTITIONS: str(task_number(found["all"] or 0, int(scratch.spark.conf.get(PARTITIONS))))}):
+        return scratch.write("manifest", as_written(rows).mapInArrow(_write(folder, dictionary), "file string, n_records long"))
 
 
 def read_warc(manifest: DataFrame) -> DataFrame:

@@ -420,3 +420,22 @@ def test_damage_is_noticed():
 def test_empty_pages(spark):
     assert warc.warc_round_trip(pages_table(spark).where("page_id < 0")).count() == 0
     assert isinstance(zstandard.__version__, str)
+
+
+def test_tasks_grow_with_the_bytes():
+    """Files and tasks by bytes; small inputs use the cores, and no number passes its bound."""
+    from barcraft.llm import token_output as t
+
+    assert [t.file_number(n, 8) for n in (0, 1, t.LEAST_BYTES * 3, 25 << 20, t.FILE_BYTES * 40, 10**18)] == [1, 1, 3, 8, 40, t.MOST_FILES]
+    assert [warc.task_number(n, 200) for n in (0, warc.TASK_BYTES * 100, warc.TASK_BYTES * 1000, 10**18)] == [200, 200, 1000, warc.MOST_TASKS]
+
+
+def test_files_do_not_change_what_is_read(spark, tokenizer, monkeypatch):
+    from barcraft.llm import token_output as t
+
+    docs = make_docs(spark, AWKWARD + [(100 + i, text_of(i, 40)) for i in range(60)])
+    found = []
+    for least in (1 << 30, 1 << 10):
+        monkeypatch.setattr(t, "LEAST_BYTES", least)
+        found.append(sorted(map(str, t.token_files(docs, tokenizer).collect())))
+    assert found[0] == found[1]
