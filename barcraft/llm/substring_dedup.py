@@ -8,7 +8,8 @@ minimisers, so they meet in one bin, where sorting finds each window's first occ
 * Pre-aggregation: each chunk of texts first drops the windows that already start earlier
   in the chunk; only first occurrences are packed.
 * Transport: a chunk sends one Zstandard block of packed strings per bin, so the shuffle
-  moves few rows; bins grow in number with the text, not in size, and each is a partition.
+  moves few rows; bins grow in number with the text, not in size.  Up to MOST_PARTITIONS bins are
+  partitions; beyond, neighbours share one and are sorted one after another.
 * Skew: minimisers that very many super-k-mers share are found on a sample of the documents
   and rank last, so that the many different windows around a common phrase take rarer grams.
   Equal windows (a passage in a third of all documents) can't be told apart by any gram, so a
@@ -40,6 +41,8 @@ WINDOW, GRAM = 20, 4
 #: Text bytes that a mapper takes at once, packed bytes that a bin should get, the parts in
 #: which a bin is sorted, and the packed bytes that a bin may hold unpacked.
 CHUNK, BIN, PARTS, OPEN = 4 << 20, 24 << 20, 8, 64 << 20
+#: Partitions of a shuffle to bins: what the driver and the mappers must keep track of.
+MOST_PARTITIONS = 4096
 #: A minimiser ranks last if the sample (one document in SAMPLE) has it this often.  Where more than
 #: MOST_HOT would be, the bound rises until they are not: by arithmetic, no more than
 #: (all of them / bound) minimisers can reach it.
@@ -342,7 +345,7 @@ def _hot_minimisers(texts: DataFrame, window: int, gram: int, scratch: Scratch)
     return np.sort(found.column("key").to_numpy().astype(np.int64).view(np.uint64))
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most_partitions: int = MOST_PARTITIONS) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept_text) per row of docs(doc_id, text, ...).
 
     Every word under a window that also starts earlier (smaller doc_id, or same document
@@ -363,8 +366,13 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     hot = spark.sparkContext.broadcast(_hot_minimisers(texts, window, gram, scratch))  # at most MOST_HOT numbers
     packed = texts.mapInArrow(_pack(window, gram, bins, salts, hot), _PIECES_SQL)
 
+    partitions = min(bins, most_partitions)
+
     def sort(pieces: DataFrame) -> DataFrame:
-        return pieces.repartitionById(bins, F.col("bin").cast("int")).sortWithinPartitions("bin", "salted").mapInArrow(_sort(window, gram, bins, hot), _PIECES_SQL)
+        # neighbouring bins share a partition where there are more bins than partitions; Spark's
+        # external sort brings them to the task one after another, so a task still holds one bin
+        place = F.expr(f"cast(bin * {partitions}D / {bins} as int)")
+        return pieces.repartitionById(partitions, place).sortWithinPartitions("bin", "salted").mapInArrow(_sort(window, gram, bins, hot), _PIECES_SQL)
 
     first = scratch.write("first", sort(packed))
     second = sort(first.where("block is not null"))

@@ -153,6 +153,15 @@ def test_substrings_in_small_chunks_and_bins(spark, monkeypatch):
     assert got == {i: v[1] for i, v in brute_substrings(PASSAGES).items()}
 
 
+@pytest.mark.parametrize("partitions", [1, 3, 5000])
+def test_bins_that_share_a_partition(spark, monkeypatch, partitions):
+    """Many bins give the same result in any number of partitions, common windows among them."""
+    for name, value in {"HOT": 3, "SAMPLE": 1, "CHUNK": 1500, "BIN": 700}.items():
+        monkeypatch.setattr(substring_dedup, name, value)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.substring_dedup(make_docs(spark, PASSAGES), most_partitions=partitions).collect()}
+    assert got == brute_substrings(PASSAGES)
+
+
 def test_a_passage_in_every_document(spark, monkeypatch):
     """Frequent windows go through both steps, with several salts, and bins are opened part by part."""
     for name, value in {"HOT": 3, "SAMPLE": 1, "CHUNK": 1500, "BIN": 4000, "FAN": 2, "OPEN": 300}.items():
