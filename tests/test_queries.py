@@ -8,8 +8,8 @@ from barcraft.plans import registry
 from tests.conftest import rows_of, rows_of_sql
 
 QUERIES, ORACLES = registry.queries(), registry.oracles()
-#: Queries that list faults and find none in the smallest tables; they have rows in larger ones.
-MAY_BE_EMPTY: set[str] = set()
+#: Queries without rows over the smallest tables (too few bars, too few releases); the next size has some.
+MAY_BE_EMPTY = {"backtest_end_to_end", "noisy_releases"}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
