@@ -39,6 +39,14 @@ def summarize(trades: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def trade_rows(trades: DataFrame, symbol: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The trades that ``summarize`` counts, one row each, of one symbol or of all, with the columns
+    of ``keep`` before what a report shows."""
+    chosen = trades if symbol is None else trades.where(F.col("symbol") == symbol)
+    named = {"r_milli": "r_multiple", "r_pess_milli": "r_pessimistic", "r_opt_milli": "r_optimistic"}
+    return chosen.select(*keep, "status", "exit_reason", *[(F.col(c) / 1000.0).alias(n) for c, n in named.items()], "ambiguous")
+
+
 def exit_reasons(trades: DataFrame, by: list[str]) -> DataFrame:
     """Closed trades per exit reason; an empty or null reason is unknown."""
     reason = F.when(F.coalesce(F.col("exit_reason"), F.lit("")) == "", "unknown").otherwise(F.col("exit_reason"))

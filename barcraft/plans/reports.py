@@ -29,6 +29,13 @@ def summarize(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.summarize(a.trade_facts(spark, sf), ["run_id", "regime"])
 
 
+@query(f"SELECT decision_id, part, status, exit_reason, r_milli / 1000.0::DOUBLE AS r_multiple, r_pess_milli / 1000.0::DOUBLE AS r_pessimistic, r_opt_milli / 1000.0::DOUBLE AS r_optimistic, ambiguous FROM ({T}) WHERE run_id = 'R'")
+def trade_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The listing behind the report of one symbol (runs stand for symbols in the test tables)."""
+    t = a.trade_facts(spark, sf).withColumn("symbol", F.col("run_id"))
+    return metrics.trade_rows(t, "R", keep=("decision_id", "part"))
+
+
 @query(f"SELECT run_id, CASE WHEN exit_reason = '' THEN 'unknown' ELSE exit_reason END AS exit_reason, count(*) AS n FROM ({T}) WHERE r_milli IS NOT NULL GROUP BY 1, 2")
 def exit_reasons(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.exit_reasons(a.trade_facts(spark, sf), ["run_id"])

@@ -6,12 +6,13 @@ completion over the files there are now, for replays and tests.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import and_
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -81,6 +82,51 @@ def ledger_batch(existing_path: str, key: list[str]):
     return write
 
 
+def retried(step: Callable[[DataFrame, int], None], transient: tuple[type[Exception], ...], attempts: int = 3, base_delay: float = 5.0, sleep: Callable[[float], None] = time.sleep) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch step that is tried again after a transient failure, up to ``attempts`` times in
+    all with a delay that grows by ``base_delay``; other failures and the last one are raised.  The
+    step must add nothing when it is run again, as ``ledger_batch`` does."""
+    if attempts < 1:
+        raise ValueError("at least one attempt")
+
+    def run(batch: DataFrame, epoch: int) -> None:
+        for attempt in range(1, attempts + 1):
+            try:
+                return step(batch, epoch)
+            except transient:
+                if attempt == attempts:
+                    raise
+                sleep(base_delay * attempt)
+
+    return run
+
+
+def catch_up_batch(ledger_path: str, evaluate: Callable[[DataFrame], DataFrame], key: tuple[str, ...] = ("symbol",), max_backfill: int = 8, market_mode: str = "online") -> Callable[[DataFrame, int], None]:
+    """A foreachBatch step that brings a ledger of evaluated bars up to date.
+
+    Of a batch of closed bars (key, as_of, ...) the newest ``max_backfill`` of a key that are later
+    than its last one in the ledger are taken; the newest gets ``mode`` = ``market_mode``, the ones
+    before it are ``replay``.  ``evaluate`` turns them into verdict rows, which keep key, as_of and mode
+    and are appended once each: evaluations are facts, so a bar that comes again as the newest of a
+    later batch can have a row of either mode.  With an empty ledger all bars count as later."""
+    by = [*key]
+
+    def run(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(ledger_path)
+        bars = batch.dropDuplicates([*by, "as_of"])
+        if target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+            done = spark.read.parquet(ledger_path).where(F.col("mode").isin(market_mode, "replay")).groupBy(*[F.col(k).alias(f"__{k}") for k in by]).agg(F.max("as_of").alias("__done"))
+            same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in by])
+            bars = bars.join(done, same, "left").where("__done is null or as_of > __done").select(*batch.columns)
+        newest = Window.partitionBy(*by).orderBy(F.desc("as_of"))
+        targets = bars.withColumn("__n", F.row_number().over(newest)).where(F.col("__n") <= max_backfill)
+        verdicts = evaluate(targets.withColumn("mode", F.when(F.col("__n") == 1, market_mode).otherwise("replay")).drop("__n"))
+        ledger_batch(ledger_path, [*by, "as_of", "mode"])(verdicts, epoch)
+
+    return run
+
+
 #: State with timers and several variables needs this store.
 STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 

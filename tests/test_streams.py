@@ -117,3 +117,41 @@ def test_settings_come_back(spark):
     with streams.settings(spark, **{key: "x", "spark.barcraft.test": "y"}):
         assert spark.conf.get(key) == "x"
     assert spark.conf.get(key, None) == before and spark.conf.get("spark.barcraft.test", None) is None
+
+
+def test_transient_failures_are_tried_again(spark):
+    calls, waits = [], []
+
+    def step(batch, epoch):
+        calls.append(epoch)
+        if len(calls) < 3:
+            raise TimeoutError("later")
+
+    streams.retried(step, (TimeoutError,), 3, 2.0, waits.append)(None, 7)
+    assert calls == [7, 7, 7] and waits == [2.0, 4.0]
+    calls.clear()
+    with pytest.raises(TimeoutError):
+        streams.retried(step, (TimeoutError,), 2, 0.0, waits.append)(None, 8)
+    with pytest.raises(ZeroDivisionError):
+        streams.retried(lambda b, e: 1 / 0, (TimeoutError,), 3, 0.0, waits.append)(None, 9)
+    with pytest.raises(ValueError):
+        streams.retried(step, (), 0)
+
+
+def test_catching_up_by_the_ledger(spark, tmp_path):
+    """The newest bar is judged online, those before it in replay, none twice, only so many back."""
+    bars = spark.createDataFrame([(s, START + timedelta(minutes=15 * i)) for s in ("X", None) for i in range(30)], "symbol string, as_of timestamp_ntz")
+    at = lambda i: START + timedelta(minutes=15 * i)
+    path = f"{tmp_path}/ledger"
+    step = streams.catch_up_batch(path, lambda df: df.withColumn("ok", F.minute("as_of") > 0), max_backfill=4)
+    seen = lambda: {(r.symbol, (r.as_of - START) // timedelta(minutes=15), r.mode, r.ok) for r in spark.read.parquet(path).collect()}
+    first, second = bars.where(F.col("as_of") <= F.lit(at(9))), bars.where(F.col("as_of") <= F.lit(at(12)))
+    rows = lambda lo, hi: {(s, i, "online" if i == hi else "replay", i % 4 > 0) for s in ("X", None) for i in range(lo, hi + 1)}
+    step(first, 0)
+    assert seen() == rows(6, 9)
+    step(first, 0)
+    assert seen() == rows(6, 9)
+    step(second.unionByName(second), 1)
+    assert seen() == rows(6, 9) | rows(10, 12) and spark.read.parquet(path).count() == 14
+    step(bars, 2)
+    assert seen() == rows(6, 9) | rows(10, 12) | rows(26, 29)
