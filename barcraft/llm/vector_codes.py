@@ -29,8 +29,9 @@ from barcraft.llm.scratch import Scratch
 SCALE, PARTS, ENTRIES, ROUNDS = 1024, 4, 256, 4
 #: Steps of lower bounds to a codebook's diameter; 255 steps is the most that is stored.
 STEPS = 32
-#: Components from here on (262,144 before scaling) could overflow the 64-bit distances.
-MOST = 1 << 28
+#: Components from here on (16,384 before scaling) could overflow the 64-bit distances of vectors
+#: of some thousand components.
+MOST = 1 << 24
 #: How far float bounds are moved outwards; their own error is some 1e-15.
 _OUT = 1e-9
 _STATE = "vec_id {id}, label {label}, v array<int>, code binary, upper array<double>, lower binary, compared long"
@@ -175,13 +176,19 @@ def _errors(batch: pa.RecordBatch, parts: list[Part]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), batch.column("code"), pa.array(total)], names=["vec_id", "label", "code", "error"])
 
 
+def of_one_length(kept: DataFrame) -> DataFrame:
+    """The vectors of the most common length (of equally common ones the larger)."""
+    lengths = kept.groupBy(F.size("v").alias("length")).count().orderBy(F.desc("count"), F.desc("length")).limit(2).collect()
+    return kept.where(F.size("v") == lengths[0].length) if len(lengths) > 1 else kept
+
+
 def usable(vectors: DataFrame, parts: int = PARTS) -> DataFrame:
-    """(vec_id, label, v): integer components of the vectors that are kept."""
+    """(vec_id, label, v): integer components of the vectors that can be coded."""
     x = F.col("embedding")
     fine = x.isNotNull() & ~F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     whole = F.when(F.exists(x, lambda c: F.abs(c) >= MOST / SCALE), F.raise_error(F.lit(f"a component is {MOST // SCALE} or more: its distances would not fit 64 bits")).cast("array<int>"))
-    uneven = F.when((F.size(x) % parts != 0) | (F.size(x) == 0), F.raise_error(F.lit(f"a vector cannot be cut into {parts} equal parts")).cast("array<int>"))
-    v = F.coalesce(uneven, whole, F.transform(x, lambda c: F.floor(c.cast("double") * SCALE).cast("int")))
+    fine = fine & (F.size(x) > 0) & (F.size(x) % parts == 0)
+    v = F.coalesce(whole, F.transform(x, lambda c: F.floor(c.cast("double") * SCALE).cast("int")))
     return vectors.where(fine).select("vec_id", "label", v.alias("v"))
 
 
@@ -241,12 +248,13 @@ def vector_codes(vectors: DataFrame, entries: int = ENTRIES, parts: int = PARTS,
     own whatever their vec_id: repeated ids and vectors share a code; null ids come last among the
     smallest, equal ids in the order of their components.  With fewer vectors than entries the
     codebook has as many as there are; without any the result is empty.  Null labels are one label.
-    A vector whose length is not that of the others, is 0 or is no multiple of ``parts``, or whose
-    components reach 262,144, is an error, never a wrong distance.  Other columns are ignored.
+    Vectors that have no equal parts (empty, or of a length that is no multiple of ``parts``) and those
+    of another length than most can't share a codebook and are left out like null ones.  A component
+    of 16,384 or more is an error, never a wrong distance.  Other columns are ignored.
     """
     scratch = Scratch(vectors.sparkSession, "vector-codes")
     kept = scratch.write("kept", usable(vectors.select("vec_id", "embedding", "label"), parts), compression="zstd")
-    state, books = fit_and_assign(scratch, kept, entries, parts, rounds)
+    state, books = fit_and_assign(scratch, of_one_length(kept), entries, parts, rounds)
     if not books:
         return kept.select("vec_id", F.lit("").alias("code"), F.lit(0).cast("long").alias("error"), F.lit(0).cast("long").alias("label_error"), F.lit("").alias("codebooks_sha256"))
     shared = vectors.sparkSession.sparkContext.broadcast(books)

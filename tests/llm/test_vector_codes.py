@@ -78,14 +78,20 @@ def test_no_vectors(spark):
         assert df.columns == ["vec_id", "code", "error", "label_error", "codebooks_sha256"] and df.count() == 0
 
 
-@pytest.mark.parametrize("rows", [[(1, [0.5] * 7, 1)], [(1, [], 1)], [(1, [3e5] * 8, 1)], [(1, [0.5] * 8, 1), (2, [0.5] * 12, 1)]])
-def test_vectors_that_cannot_be_coded_are_errors(spark, rows):
-    with pytest.raises(Exception):  # noqa: B017
-        vector_codes(table(spark, rows)).collect()
+def test_vectors_without_equal_parts_or_of_another_length_are_left_out(spark):
+    rows = cloud(8, 20)
+    odd = [(50, [], 1), (51, [0.5] * 7, 1), (52, [0.5] * 12, 1), (-1, [0.5] * 4, 1)]
+    assert found(vector_codes(table(spark, rows + odd), entries=8)) == plain(rows, 8)
+    assert vector_codes(table(spark, odd[:2])).count() == 0
+
+
+def test_components_that_could_overflow_are_errors(spark):
+    with pytest.raises(Exception, match="would not fit"):
+        vector_codes(table(spark, [(1, [16_384.0] * 8, 1)])).collect()
 
 
 def test_far_components_keep_exact_distances(spark):
-    rows = [(i, [(-1.0) ** i * 262_100.5 + i] * 8, 0) for i in range(12)]
+    rows = [(i, [(-1.0) ** i * 16_300.5 + i] * 8, 0) for i in range(12)]
     assert found(vector_codes(table(spark, rows), entries=4)) == plain(rows, 4)
 
 
