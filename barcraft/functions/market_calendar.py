@@ -55,6 +55,27 @@ class SessionCalendar:
         out = out.when(weekday == 5, F.lit(False)).when(weekday == 6, hour >= self.open_hour)
         return out.when((weekday == 4) & (hour >= self.close_hour), F.lit(False)).when(hour == self.break_hour, F.lit(False)).otherwise(F.lit(True))
 
+    def open_slots_sql(self, after: str, before: str, step: str) -> str:
+        """Spark SQL text of the number of instants after, after + step, ... before ``before`` (UTC
+        timestamp_ntz; step: SQL of microseconds) at which the market is open.
+
+        A local day has at most two open spans, and how many instants fall into a span is a
+        difference of two quotients: a gap costs its days, not its slots."""
+        cap = "".join(f" WHEN date_format(d, 'yyyy-MM-dd') = '{d}' THEN {0 if rule == 'closed' else rule}" for d, rule in sorted(self.exceptions.items()))
+        cap = f"CASE{cap} ELSE 24 END" if cap else "24"
+        first = f"CASE weekday(d) WHEN 5 THEN 0 WHEN 6 THEN 24 WHEN 4 THEN {min(self.break_hour, self.close_hour)} ELSE {self.break_hour} END"
+        second = f"CASE weekday(d) WHEN 5 THEN 0 WHEN 6 THEN 0 WHEN 4 THEN {self.close_hour} ELSE 24 END"
+        us = lambda t: f"unix_micros(cast({t} as timestamp))"
+        number = lambda x: f"greatest(0L, cast(ceil(({x} - {us(after)}) / {step}) as bigint))"
+        at = lambda hour: number(us(f"convert_timezone('{self.tz}', 'UTC', cast(d as timestamp_ntz) + make_dt_interval(0, {hour}))"))
+        until = number(us(before))
+        span = lambda lo, hi: f"greatest(0L, least({at(f'least({hi}, {cap})')}, {until}) - {at(lo)})"
+        local = lambda t: f"cast(convert_timezone('UTC', '{self.tz}', {t}) as date)"
+        opens = f"CASE weekday(d) WHEN 6 THEN {self.open_hour} ELSE 0 END"
+        each = f"{span(opens, first)} + {span(str(self.break_hour + 1), second)}"
+        days = f"sequence({local(after)}, {local(before)}, interval 1 day)"
+        return f"CASE WHEN {after} < {before} THEN aggregate({days}, 0L, (n, d) -> n + {each}) ELSE 0L END"
+
     def duckdb(self, ts: str) -> str:
         """The same rule for DuckDB."""
         local = f"(({ts}) AT TIME ZONE 'UTC') AT TIME ZONE '{self.tz}'"
@@ -78,10 +99,8 @@ def calendar_for(provider: str) -> SessionCalendar:
 
 def any_open(calendar: SessionCalendar, after: str, before: str, step_minutes: int | str) -> Column:
     """Whether a slot that opens in [after, before) is in session; the step is a number of
-    minutes or the SQL of one."""
-    step = f"make_dt_interval(0, 0, {step_minutes})"
-    slots = f"sequence({after}, {before} - {step}, {step})"
-    return F.expr(f"CASE WHEN {after} < {before} THEN exists({slots}, t -> {calendar.is_open_sql('t')}) ELSE false END")
+    minutes or the SQL of one; false for nulls."""
+    return F.expr(f"coalesce({calendar.open_slots_sql(after, before, f'(({step_minutes}) * 60000000L)')} > 0, false)")
 
 
 def with_calendar(df: DataFrame, ts: str, provider: str, name: str = "is_open") -> DataFrame:

@@ -247,10 +247,9 @@ def _sliced_gate(outcomes: DataFrame, bar_seconds: int, cooldown_bars: int, keys
 
 
 def missed_open_bars(prev_close: str, close: str, calendar: SessionCalendar, step: int = 15) -> Column:
-    """Bars strictly between two closes whose open was in session."""
-    slots = f"sequence({prev_close} + interval {step} minutes, {close} - interval {step} minutes, interval {step} minutes)"
-    inside = f"{close} > {prev_close} + interval {step} minutes"
-    return F.expr(f"CASE WHEN {prev_close} IS NULL OR NOT ({inside}) THEN 0L ELSE cast(size(filter({slots}, t -> {calendar.is_open_sql(f'(t - interval {step} minutes)')})) as bigint) END")
+    """Bars strictly between two closes whose open was in session; 0 without a close before."""
+    last = f"({close} - interval {2 * step} minutes + interval 1 microsecond)"  # the last of them opens two steps before
+    return F.expr(f"coalesce({calendar.open_slots_sql(prev_close, last, f'({step} * 60000000L)')}, 0L)")
 
 
 def coverage(trades: DataFrame, bars: DataFrame, now: str, tf: str, calendar: SessionCalendar, slice_minutes: int = SLICE_MINUTES) -> DataFrame:
