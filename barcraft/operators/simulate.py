@@ -151,6 +151,7 @@ def position_gate(outcomes: DataFrame, bar_seconds: int, cooldown_bars: int, key
 
     A (run, symbol) of up to ``fold_rows`` outcomes is folded in one pass over its as_of and
     closed_at; larger ones go in slices (``_sliced_gate``), with the same result."""
+    outcomes = settled(outcomes, "outcomes")  # counted first, then gated
     large = outcomes.groupBy(*keys).count().where(F.col("count") > fold_rows).select(*[F.col(k).alias(f"__{k}") for k in keys])
     if large.isEmpty():
         return _folded_gate(outcomes, bar_seconds, cooldown_bars, keys)
