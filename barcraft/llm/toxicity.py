@@ -7,8 +7,8 @@ Unseen words have zero embeddings.  Thresholds are calibrated per language on ro
 training did not see, the language being predicted from the text; the score is shifted so
 that the threshold lies at 0.5.
 
-Training uses a bounded sample: at most about SAMPLE_DOCS rows of each label, chosen by a hash
-of the id and read in its order until SAMPLE_BYTES of text are had.  One task trains on it, so
+Training uses a bounded sample: at most about ``sample_docs`` rows of each label, chosen by a hash
+of the id and read in its order until ``sample_bytes`` of text are had.  One task trains on it, so
 the driver holds the model but no text.
 """
 
@@ -162,8 +162,8 @@ class _Adagrad:
         net.offset -= RATE * offset / np.sqrt(self.rest["offset"])
 
 
-def _learnable(texts: list[bytes]) -> list[np.ndarray]:
-    """Per table the rows that MIN_TEXTS texts or more have."""
+def _learnable(texts: list[bytes], min_texts: int = MIN_TEXTS) -> list[np.ndarray]:
+    """Per table the rows that ``min_texts`` texts or more have."""
     common = [np.zeros(1 << TABLE_BITS, np.int32) for _ in range(TABLES)]
     for lo in range(0, len(texts), BATCH_DOCS):
         ids, first = word_ids(texts[lo : lo + BATCH_DOCS])
@@ -171,10 +171,10 @@ def _learnable(texts: list[bytes]) -> list[np.ndarray]:
         for i in range(TABLES):
             pairs = np.unique(owner << TABLE_BITS | ids[:, i])
             common[i] += np.bincount(pairs & (1 << TABLE_BITS) - 1, minlength=1 << TABLE_BITS).astype(np.int32)
-    return [c >= MIN_TEXTS for c in common]
+    return [c >= min_texts for c in common]
 
 
-def train(texts: list[bytes], labels: np.ndarray, seed: int = SEED, epochs: int = EPOCHS) -> TextCnn:
+def train(texts: list[bytes], labels: np.ndarray, seed: int = SEED, epochs: int = EPOCHS, min_texts: int = MIN_TEXTS) -> TextCnn:
     """A classifier by Adagrad; both labels weigh the same in all."""
     net, rng = TextCnn(seed), np.random.default_rng(seed)
     n = len(texts)
@@ -184,7 +184,7 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = SEED, epochs: int
         return net
     share = labels.mean()
     weigh = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))
-    learns, walk = _learnable(texts), _Adagrad(net)
+    learns, walk = _learnable(texts, min_texts), _Adagrad(net)
     batches = -(-n // BATCH_DOCS)
     for _ in range(min(MOST_EPOCHS, max(epochs, -(-600 // batches)))):
         order = rng.permutation(n)
@@ -212,7 +212,7 @@ def _best_threshold(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(np.median((ranked[good] + below[good]) / 2))
 
 
-def calibrate(net: TextCnn, texts: list[bytes], labels: np.ndarray, languages: list[str]) -> None:
+def calibrate(net: TextCnn, texts: list[bytes], labels: np.ndarray, languages: list[str], least: int = CALIBRATE) -> None:
     """Sets a threshold for all and one for each language with rows enough."""
     if not len(texts) or labels.min() == labels.max():
         return
@@ -221,19 +221,19 @@ def calibrate(net: TextCnn, texts: list[bytes], labels: np.ndarray, languages: l
     langs = np.array(languages)
     for lang in set(languages):
         own = langs == lang
-        if min(labels[own].sum(), (1 - labels[own]).sum()) >= CALIBRATE:
+        if min(labels[own].sum(), (1 - labels[own]).sum()) >= least:
             net.threshold[lang] = _best_threshold(logits[own], labels[own])
 
 
-def learn(texts: list[bytes], labels: np.ndarray, apart: np.ndarray, scorer: Scorer) -> TextCnn:
+def learn(texts: list[bytes], labels: np.ndarray, apart: np.ndarray, scorer: Scorer, min_texts: int = MIN_TEXTS, least: int = CALIBRATE) -> TextCnn:
     """A classifier trained on the texts that are not ``apart`` and calibrated on those that are."""
-    net = train([t for t, a in zip(texts, apart, strict=True) if not a], labels[~apart])
+    net = train([t for t, a in zip(texts, apart, strict=True) if not a], labels[~apart], min_texts=min_texts)
     seen = [t for t, a in zip(texts, apart, strict=True) if a]
-    calibrate(net, seen, labels[apart], scorer.predict([t.decode("utf-8", "replace") for t in seen])[0])
+    calibrate(net, seen, labels[apart], scorer.predict([t.decode("utf-8", "replace") for t in seen])[0], least)
     return net
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES, min_texts: int = MIN_TEXTS, own_from: int = CALIBRATE) -> DataFrame:
     """(doc_id, held_out, score, predicted, own_threshold) per row of docs(doc_id, text, lang, ...).
 
     Learns from labels(doc_id, toxic, ...) of the documents whose crc32(doc_id as text) mod
@@ -244,8 +244,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0)
     no labels at all).  A document with several labels counts as toxic if one says so.  Texts
     of any length are scored whole, about half a MB at a time.  Repeated rows are scored each; an
     empty table gives no rows; other columns of both tables, whatever their names, are not
-    read.  A language has a threshold of its own if CALIBRATE rows of either label calibrate
-    it; the others share one, and ``own_threshold`` says which a row's score is shifted by.
+    read.  A language has a threshold of its own if ``own_from`` rows of either label calibrate
+    it; the others share one, and ``own_threshold`` says which a row's score is shifted by.  A score
+    of exactly 0.5 is predicted 1.  About ``sample_docs`` rows of each label teach, in the order of a
+    hash of their ids, until ``sample_bytes`` of text are had (256 rows at a time).
     """
     spark = docs.sparkSession
     part = fold(F.col("doc_id"), folds)
@@ -253,10 +255,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     marks = labels.select(F.col("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where("toxic in (0, 1)")
     # choose by id first, so that only the sample's texts move
-    chosen = sampled(marks.where(part != held), "toxic", SAMPLE_DOCS, 2)
+    chosen = sampled(marks.where(part != held), "toxic", sample_docs, 2)
     model = fit(rows.where(learns & F.col("lang").isNotNull()))
     known = spark.sparkContext.broadcast(model)  # bounded by the fit's MOST_ENTRIES
-    # the sample has about 2 * SAMPLE_DOCS ids at most, so their texts are found by broadcast
+    # the sample has about 2 * sample_docs ids at most, so their texts are found by broadcast
     learnt = rows.where(learns).join(F.broadcast(chosen), "doc_id").select("text", "toxic", (part == (held + 1) % folds).alias("apart"), F.xxhash64("doc_id").alias("order"))
 
     def teach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,13 +266,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0)
         size = 0
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
-                if size < SAMPLE_BYTES:
+                if size < sample_bytes:
                     some = batch.slice(lo, 256)
                     texts += some.column("text").cast(pa.binary()).to_pylist()
                     marked += some.column("toxic").to_pylist()
                     apart += some.column("apart").to_pylist()
                     size = sum(map(len, texts))
-        net = learn(texts, np.array(marked, np.int64), np.array(apart, bool), Scorer(known.value))
+        net = learn(texts, np.array(marked, np.int64), np.array(apart, bool), Scorer(known.value), min_texts, own_from)
         yield pa.RecordBatch.from_pydict({"net": [pickle.dumps(net)]})
 
     taught = learnt.repartition(1).sortWithinPartitions("order", "text").mapInArrow(teach, "net binary").collect()
@@ -283,7 +285,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0)
         scorer = scorer_of(name, model)
         for batch in batches:
             for lo, hi, raw in chunks(batch):
-                langs = scorer.predict([t.decode("utf-8", "replace") for t in raw])[0]
+                # a language only matters where one has a threshold of its own
+                langs = scorer.predict([t.decode("utf-8", "replace") for t in raw])[0] if len(net.threshold) > 1 else [""] * len(raw)
                 score = net.scores(raw, langs)
                 some = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("held_out"), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array([x in net.threshold for x in langs])], ["doc_id", "held_out", "score", "predicted", "own_threshold"])

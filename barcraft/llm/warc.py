@@ -6,8 +6,8 @@ offset with the dictionary alone.  Of records with equal payloads one is the res
 others are revisits (identical-payload-digest profile), which store headers only.
 
 The dictionary is trained on whole records as they are written: a bounded sample of about
-SAMPLE_RECORDS records and SAMPLE_BYTES bytes by a hash of their ids, of pages up to
-SAMPLE_LONGEST bytes.  It decides sizes, never contents.  A task that has more than FILE_BYTES
+``sample_records`` records and ``sample_bytes`` bytes by a hash of their ids, of pages up to
+``sample_longest`` bytes.  It decides sizes, never contents.  A task that has more than FILE_BYTES
 to write goes on in a further file; the number of tasks is that of the join by digest, from the
 bytes of the payloads, skewed digests being split by adaptive execution.
 """
@@ -199,7 +199,7 @@ def task_number(size: int, least: int) -> int:
     return max(least, min(MOST_TASKS, -(-size // TASK_BYTES)))
 
 
-def write_warc(pages: DataFrame, folder: str, scratch: Scratch, min_bytes: int = 0) -> DataFrame:
+def write_warc(pages: DataFrame, folder: str, scratch: Scratch, min_bytes: int = 0, sample_records: int = SAMPLE_RECORDS, sample_bytes: int = SAMPLE_BYTES, sample_longest: int = SAMPLE_LONGEST) -> DataFrame:
     """Writes the archives and returns their manifest (file, n_records)."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1("html"))
@@ -212,13 +212,13 @@ def write_warc(pages: DataFrame, folder: str, scratch: Scratch, min_bytes: int =
         revisit = F.col("winner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("winner")) & (F.octet_length("html") >= min_bytes)
         return joined.select("page_id", "url", "html", F.when(revisit, F.col("winner")).alias("refers_to"), F.when(revisit, F.col("refers_url")).alias("refers_url"))
 
-    short = rows.where(F.octet_length("html") <= SAMPLE_LONGEST)
-    is_short = F.octet_length("html") <= SAMPLE_LONGEST
+    short = rows.where(F.octet_length("html") <= sample_longest)
+    is_short = F.octet_length("html") <= sample_longest
     size = F.octet_length("html")
     found = rows.agg(F.count_if(is_short).alias("n"), F.sum(F.when(is_short, size)).alias("bytes"), F.sum(size).alias("all")).first()
-    share = min(1.0, SAMPLE_RECORDS / max(1, found["n"]), SAMPLE_BYTES / max(1, found["bytes"] or 0))
+    share = min(1.0, sample_records / max(1, found["n"]), sample_bytes / max(1, found["bytes"] or 0))
     chosen = short.where(F.pmod(F.xxhash64("page_id", "url"), F.lit(1_000_003)) < F.lit(math.ceil(share * 1_000_003)))
-    sample = as_written(chosen).collect()  # bounded: see SAMPLE_RECORDS, SAMPLE_BYTES
+    sample = as_written(chosen).collect()  # bounded: sample_records, sample_bytes
     dictionary = train([_serialised(r["page_id"], r["url"], r["html"].encode(), r["refers_to"], r["refers_url"]) for r in sample])
     with settings(scratch.spark, **{PARTITIONS: str(task_number(found["all"] or 0, int(scratch.spark.conf.get(PARTITIONS))))}):
         return scratch.write("manifest", as_written(rows).mapInArrow(_write(folder, dictionary), "file string, n_records long"))
@@ -230,7 +230,7 @@ def read_warc(manifest: DataFrame) -> DataFrame:
     return files.repartition(max(1, files.count())).mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
-def warc_round_trip(pages: DataFrame, min_bytes: int = 0, folder: str | None = None) -> DataFrame:
+def warc_round_trip(pages: DataFrame, min_bytes: int = 0, folder: str | None = None, **sample: int) -> DataFrame:
     """Archives pages(page_id, url, html, ...) under ``folder`` (default: a fresh one in the
     shared folder, which stays) and reads them back.
 
@@ -239,7 +239,8 @@ def warc_round_trip(pages: DataFrame, min_bytes: int = 0, folder: str | None = N
     that page_id are all responses; a null page_id never is the one referred to (where all
     are null, all are responses).  A payload of any length is one record, held whole while it
     is written.  An empty table gives no rows; other columns, whatever their names, are not
-    read.
+    read.  ``sample``: sample_records, sample_bytes and sample_longest of ``write_warc`` bound what
+    the dictionary is trained on.
     """
     scratch = Scratch(pages.sparkSession, "warc")
-    return read_warc(write_warc(pages, folder or lasting_folder(pages.sparkSession, "archives"), scratch, min_bytes))
+    return read_warc(write_warc(pages, folder or lasting_folder(pages.sparkSession, "archives"), scratch, min_bytes, **sample))

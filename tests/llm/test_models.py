@@ -268,3 +268,18 @@ def test_awkward_toxicity(spark, awkward, nothing):
     assert toxicity.toxicity(nothing, none).count() == 0
     one = spark.createDataFrame([(7, 1, 1)], "doc_id long, quality int, toxic int")
     assert all(0 <= r["score"] <= 1 for r in toxicity.toxicity(awkward, one).collect())
+
+
+def test_the_toxicity_sample_stops_at_its_bytes(spark):
+    """Rows teach in the order of a hash of their ids, 256 at a time, until the bytes are had."""
+    from pyspark.sql import functions as F
+
+    rows = [(i, ("you awful vile " if i % 3 == 0 else "a calm kind ") + text_of(i, 12), "en") for i in range(700)]
+    docs, labels = make_docs(spark, rows), spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(700)], "doc_id long, toxic int")
+    learns = docs.where((F.crc32(F.col("doc_id").cast("string")) % 5) != 0)
+    first = {r.doc_id for r in learns.orderBy(F.xxhash64("doc_id"), "text").limit(256).collect()}
+    found = lambda marks, **bounds: {r.doc_id: r.score for r in toxicity.toxicity(docs, marks, **bounds).collect()}
+    stopped = found(labels, sample_bytes=1)
+    assert stopped == found(labels.where(F.col("doc_id").isin(*first)))
+    assert stopped != found(labels) and found(labels, sample_docs=40) != stopped
+    assert all(not r.own_threshold for r in toxicity.toxicity(docs, labels, own_from=10**6).collect())

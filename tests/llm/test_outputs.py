@@ -439,3 +439,18 @@ def test_files_do_not_change_what_is_read(spark, tokenizer, monkeypatch):
         monkeypatch.setattr(t, "LEAST_BYTES", least)
         found.append(sorted(map(str, t.token_files(docs, tokenizer).collect())))
     assert found[0] == found[1]
+
+
+def test_bounds_of_the_dictionary_sample(spark):
+    """What the dictionary is trained on changes sizes, never records."""
+    scratch = Scratch(spark, "t")
+    rows = [(i, f"http://h/{i}", f"<html><body>page {i} {text_of(i, 60)}</body></html>") for i in range(60)]
+    want = sorted(map(str, warc.warc_round_trip(pages_table(spark, rows)).collect()))
+    for bounds in ({"sample_records": 0}, {"sample_bytes": 1}, {"sample_longest": 3}, {"sample_records": 20}):
+        assert sorted(map(str, warc.warc_round_trip(pages_table(spark, rows), **bounds).collect())) == want
+    sizes = []
+    for longest in (3, 1 << 20):
+        m = warc.write_warc(pages_table(spark, rows), f"{scratch.path}/longest{longest}", scratch, sample_longest=longest)
+        data = [open(r["file"].removeprefix("file://"), "rb").read() for r in m.where("n_records > 0").collect()]
+        sizes.append(sum(len(warc.split_file(d)[0]) for d in data))
+    assert sizes[0] == 0 < sizes[1]
