@@ -9,6 +9,7 @@ from barcraft.functions.numeric import round_to
 from barcraft.functions.market_calendar import EVENTS_CALENDAR
 from barcraft.operators import asof, features, indicators, validate
 from barcraft.operators.decide import EligibilityPolicy
+from barcraft.operators.recurrences import sliced_indicators
 from barcraft.plans.registry import query
 from barcraft.sources import adapters as a
 from barcraft.sources.sinks import settled
@@ -91,6 +92,16 @@ def adx(spark: SparkSession, sf: str) -> DataFrame:
     return _daily(spark, sf).select(*_KEYS, *[round_to(c, 6).alias(c) for c in ("adx", "plus_di", "minus_di")])
 
 
+_SLICED = ("ema_fast", "ema_slow", "ema_trend", "atr", "rsi", "adx", "plus_di", "minus_di")
+
+
+@query(f"{_REC} SELECT symbol, open_time, " + ", ".join(f"round({c}, 3) AS {c}" for c in _SLICED) + " FROM v")
+def averages_in_slices(spark: SparkSession, sf: str) -> DataFrame:
+    """The same averages with series cut into slices of 400 bars, as long ones would be."""
+    found = sliced_indicators(a.daily_bars(spark, sf), slice_rows=400, levels=False)
+    return found.select(*_KEYS, *[round_to(c, 3).alias(c) for c in _SLICED])
+
+
 _SLOPE = "CASE WHEN count({c}) OVER w20 >= 2 THEN regr_slope({c}, rn) OVER w20 ELSE 0.0 END"
 _W20 = "WINDOW w20 AS (PARTITION BY symbol ORDER BY rn ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"
 
