@@ -70,8 +70,9 @@ def feed_alerts(now: str, feeds: DataFrame, max_lag: int) -> DataFrame:
     """(symbol, severity, code) of feeds(symbol, market_open, session_ok, quote_ok, candles_ok,
     feed_last, snapshot_last, paid_decisions, paid_calls, run_validity): a row per symbol watched.
 
-    A session that is up does not imply a usable data path, so quote and candles are judged on
-    their own; an open market with a session and not a single bar is a stale feed too."""
+    Each alert has a condition of its own; several can be raised at once.  Quotes and candles are
+    only asked for while the market is open and the session up.  Without any bar the feed counts
+    as stale exactly then; with one, by its age."""
     t = F.lit(now).cast("timestamp_ntz")
     seconds = lambda a, b: F.unix_seconds(a.cast("timestamp")) - F.unix_seconds(b.cast("timestamp"))
     feed, snapshot, open_, up = F.col("feed_last"), F.col("snapshot_last"), F.col("market_open"), F.col("session_ok")
