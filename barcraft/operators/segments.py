@@ -16,15 +16,22 @@ from pyspark.sql import functions as F
 
 #: Length of a slice: a week of 15-minute bars is 672 rows.
 SLICE_MINUTES = 7 * 24 * 60
+#: Rows in all up to which a key is no burden for one task: one scan then costs less than slices.
+ONE_SCAN_ROWS = 1_000_000
 
 
-def running(rows: DataFrame, by: list[str], time: str, order: list[str], last: list[str] = (), sums: list[str] = (), backward: bool = False, slice_minutes: int = SLICE_MINUTES) -> DataFrame:
+def running(rows: DataFrame, by: list[str], time: str, order: list[str], last: list[str] = (), sums: list[str] = (), backward: bool = False, slice_minutes: int = SLICE_MINUTES, one_scan_rows: int | None = None) -> DataFrame:
     """rows with each column of ``last`` replaced by the latest value that is not null, and each of
     ``sums`` by its sum, from the key's first row up to and including this one, in the order of
     (time, order...), or from its last row back with ``backward``.  Rows that are equal in that order
-    stand in any order, so it should be total where that matters.  ``rows`` are looked at twice: write
-    them first where they are costly."""
+    stand in any order, so it should be total where that matters.  ``rows`` are looked at more than
+    once: write them first where they are costly.  Up to ``one_scan_rows`` rows in all (ONE_SCAN_ROWS
+    with the default slices, none with others) are scanned in one piece, with the same result."""
     turn = (lambda c: F.desc(c)) if backward else (lambda c: F.asc(c))
+    few = (ONE_SCAN_ROWS if slice_minutes == SLICE_MINUTES else 0) if one_scan_rows is None else one_scan_rows
+    if few and rows.select(time).count() <= few:
+        over = Window.partitionBy(*by).orderBy(turn(time), *[turn(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+        return rows.withColumns({c: F.last(c, ignorenulls=True).over(over) for c in last} | {c: F.sum(c).over(over) for c in sums})
     slot = F.floor(F.unix_micros(F.col(time).cast("timestamp")) / (slice_minutes * 60_000_000))
     cut = rows.withColumn("__slot", slot)
     within = Window.partitionBy(*by, "__slot").orderBy(turn(time), *[turn(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)

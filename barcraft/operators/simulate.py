@@ -145,17 +145,21 @@ def settle(exits: DataFrame, costs: Costs) -> DataFrame:
 FOLD_ROWS, GATE_SLICE = 200_000, 20_000
 
 
-def position_gate(outcomes: DataFrame, bar_seconds: int, cooldown_bars: int, keys: tuple[str, ...] = ("run_id", "symbol"), fold_rows: int = FOLD_ROWS, slice_rows: int = GATE_SLICE) -> DataFrame:
+def position_gate(outcomes: DataFrame, bar_seconds: int, cooldown_bars: int, keys: tuple[str, ...] = ("run_id", "symbol"), fold_rows: int = FOLD_ROWS, slice_rows: int = GATE_SLICE, sized: DataFrame | None = None) -> DataFrame:
     """outcomes with ``admitted``: in as_of order one position at a time; the next is admitted
     from closed_at plus the cooldown on, after an open one none is.
 
     A (run, symbol) of up to ``fold_rows`` outcomes is folded in one pass over its as_of and
-    closed_at; larger ones go in slices (``_sliced_gate``), with the same result."""
-    outcomes = settled(outcomes, "outcomes")  # counted first, then gated
-    large = outcomes.groupBy(*keys).count().where(F.col("count") > fold_rows).select(*[F.col(k).alias(f"__{k}") for k in keys])
+    closed_at; larger ones go in slices (``_sliced_gate``), with the same result.  ``sized`` is a
+    cheaper table with a row of these keys for each outcome, such as the trades; without it
+    the outcomes are written and counted."""
+    if sized is None:
+        outcomes = sized = settled(outcomes, "outcomes")
+    large = sized.groupBy(*keys).count().where(F.col("count") > fold_rows).select(*[F.col(k).alias(f"__{k}") for k in keys])
     if large.isEmpty():
         return _folded_gate(outcomes, bar_seconds, cooldown_bars, keys)
     same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    outcomes = settled(outcomes, "gated")
     few = outcomes.join(large, same, "left_anti")
     many = outcomes.join(large, same, "left_semi")
     return _folded_gate(few, bar_seconds, cooldown_bars, keys).unionByName(_sliced_gate(many, bar_seconds, cooldown_bars, keys, slice_rows))

@@ -114,7 +114,9 @@ _GATE = gate_cte(OUTCOMES_CTE)
 
 
 def gated(spark: SparkSession, sf: str) -> DataFrame:
-    return simulate.position_gate(outcomes(spark, sf), _BAR, _COOL)
+    b = fine_bars(spark, sf)
+    t = entries(trades(b))
+    return simulate.position_gate(simulate.reconcile(t, b, TIMEOUT, COSTS), _BAR, _COOL, sized=t)
 
 
 @query(f"{_GATE} SELECT o.run_id, o.symbol, o.trade_id, o.as_of, g.n IS NOT NULL AS admitted FROM o LEFT JOIN g USING (run_id, symbol, n)")
@@ -152,7 +154,7 @@ def backtest_end_to_end(spark: SparkSession, sf: str) -> DataFrame:
     c = d.select("symbol", "as_of", "price", F.col("k").alias("trade_id"), F.col("as_of").alias("opened_at"), "direction", (F.col("sl_pct") * 20).alias("sl_pct"), (F.col("tp_pct") * 20).alias("tp_pct"), F.lit("always_buy").alias("run_id"))
     c = settled(c, "approved")  # entries look at them twice
     t = entries(simulate.open_trades(simulate.entry_bars(c, b), COSTS))
-    return report(simulate.position_gate(simulate.reconcile(t, b, TIMEOUT, COSTS), _BAR, _COOL))
+    return report(simulate.position_gate(simulate.reconcile(t, b, TIMEOUT, COSTS), _BAR, _COOL, sized=t))
 
 
 @query(f"""SELECT symbol, close_time, CASE WHEN pc IS NULL THEN 0 ELSE coalesce(len(list_filter(generate_series(pc + INTERVAL 15 MINUTE, close_time - INTERVAL 15 MINUTE, INTERVAL 15 MINUTE), lambda t: {EVENTS_CALENDAR.duckdb('(t - INTERVAL 15 MINUTE)')})), 0) END AS missed

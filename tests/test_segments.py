@@ -38,12 +38,14 @@ def test_running_values(spark, minutes, backward):
         state[k] = (last if v is None else v, total if c is None else (total or 0) + c)
         want[n] = state[k]
     assert got == want
+    one = running(df, ["k"], "t", ["n"], last=["v"], sums=["c"], backward=backward, one_scan_rows=10**6)
+    assert {r.n: (r.v, r.c) for r in one.collect()} == want and one.columns == df.columns
 
 
 def test_slices_have_no_window_over_a_bare_key(spark):
     """Rows are sorted by key and slice; only a row a slice is sorted by key."""
     df = spark.createDataFrame(rows(1), "k string, t timestamp_ntz, n long, v long, c long")
-    plan = running(df, ["k"], "t", ["n"], last=["v"])._jdf.queryExecution().optimizedPlan().toString()
+    plan = running(df, ["k"], "t", ["n"], last=["v"], one_scan_rows=299)._jdf.queryExecution().optimizedPlan().toString()
     windows = [line for line in plan.splitlines() if "Window [" in line]
     assert len(windows) == 2 and sum("__slot" in line.split("], [")[1] for line in windows) == 1
 
@@ -120,6 +122,8 @@ def test_gate_in_slices_equals_the_fold(spark, n, slice_rows, fold_rows, ends, n
     df = spark.createDataFrame(data, OUTCOME).repartition(4)
     got = {(r.run_id, r.symbol, r.trade_id, r.as_of, r.closed_at, r.note) for r in simulate.position_gate(df, 900, 2, fold_rows=fold_rows, slice_rows=slice_rows).where("admitted").collect()}
     assert got == plain_gate(data, timedelta(minutes=30))
+    sized = simulate.position_gate(df, 900, 2, fold_rows=fold_rows, slice_rows=slice_rows, sized=df.select("run_id", "symbol"))
+    assert sized.columns == [*df.columns, "admitted"] and sized.where("admitted").count() == len(got)
 
 
 def test_gate_of_one_large_key(spark):
