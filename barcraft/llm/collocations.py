@@ -68,7 +68,7 @@ def suffix_array(ids: np.ndarray, depth: int) -> np.ndarray:
         order = np.argsort(pair)
         pair = pair[order]
         rank = np.empty_like(rank)
-        rank[order] = np.cumsum(np.diff(pair, prepend=pair[:1]) != 0)
+        rank[order] = np.cumsum(np.diff(pair, prepend=-1) != 0)  # from 1: 0 stands for what is beyond the end
         done *= 2
     return order
 

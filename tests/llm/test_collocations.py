@@ -144,6 +144,12 @@ def test_suffix_array_intervals(ids, longest):
     assert got == {k: v for k, v in want.items() if 0 not in k}
 
 
+def test_what_is_beyond_the_end_is_no_word():
+    """Without any sentinel the least rank must not be taken for the end of the shard."""
+    got = {n: sorted(size.tolist()) for n, _, size in c.phrases(np.array([1, 1, 1, 1], np.int64), 1, 3)}
+    assert got == {1: [4], 2: [3], 3: [2]}
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(0, 4), min_size=1, max_size=40), st.integers(1, 3), st.randoms())
 def test_linked_runs(ids, least, rng):
