@@ -182,7 +182,9 @@ def _wide_links(sets: DataFrame, threshold: int, block: int, scratch: Scratch) -
         # the hub of a bucket: its member first in a hash order that differs between rounds
         hubs = where.groupBy("key").agg(F.min_by(F.struct("node", "comp"), F.xxhash64("node", F.lit(k))).alias("hub"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
         hubs = hubs.select("key", F.col("hub.node").alias("hub"), F.col("hub.comp").alias("hub_comp"))
-        stars = scratch.write(f"stars{k}", where.join(hubs.hint("merge"), "key").where("comp <> hub_comp").select("hub", "node", "size").distinct())
+        # components only grow together, so a bucket of one component is done with: only rows of open buckets go on
+        still = scratch.write(f"still{k}", where.join(hubs.hint("merge"), "key").select("key", "node", "size", "hub", (F.col("comp") != F.col("hub_comp")).alias("apart")))
+        stars = scratch.write(f"stars{k}", still.where("apart").select("hub", "node", "size").distinct())
         cuts = scratch.write(f"cuts{k}", stars.groupBy("hub").agg(_cells(F.count("*"), F.sum("size"), block).alias("cells")))
         spokes = stars.join(cuts.hint("merge"), "hub").select("hub", "node", _cell("node", k, F.col("cells")).alias("cell"), F.lit(False).alias("probe"))
         centres = cuts.select("hub", F.col("hub").alias("node"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.lit(True).alias("probe"))
@@ -191,7 +193,7 @@ def _wide_links(sets: DataFrame, threshold: int, block: int, scratch: Scratch) -
         more = scratch.write(f"star_links{k}", more)
         links = more if links is None else links.unionByName(more)
         comps = connected_components(links, scratch, f"round{k}")
-        where = scratch.write(f"where{k}", bare.join(comps.withColumnRenamed("label", "comp").hint("merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+        where = scratch.write(f"where{k}", still.select("key", "node", "size").join(comps.withColumnRenamed("label", "comp").hint("merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node")))
 
     # what is left: in buckets of several components, those outside the main one against all
     held = where.groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum("size").alias("size"))

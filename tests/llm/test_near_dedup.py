@@ -190,6 +190,26 @@ def test_a_large_cluster_falls_together_by_hubs(spark, monkeypatch):
     check(spark, rows, block=32)
 
 
+def test_rows_of_settled_buckets_do_not_go_on(spark, monkeypatch):
+    """Only rows of buckets that hold several components meet the components of a round."""
+    rows = {}
+
+    def write(self, name, df, real=Scratch.write, **options):
+        out = real(self, name, df, **options)
+        if name in ("wide_keys", "where0", "where1"):
+            rows[name] = [(r["key"], r.asDict().get("comp", r["node"])) for r in out.collect()]
+        return out
+
+    monkeypatch.setattr(Scratch, "write", write)
+    check(spark, near_copies(120, 1, 0.05) + near_copies(60, 2, 0.0005, 5), block=16)
+    for before, after in (("wide_keys", "where0"), ("where0", "where1")):
+        comps = {}
+        for key, comp in rows[before]:
+            comps.setdefault(key, set()).add(comp)
+        assert {key for key, _ in rows[after]} == {key for key, c in comps.items() if len(c) > 1}
+    assert len(rows["where0"]) < len(rows["wide_keys"])
+
+
 def test_sets_larger_than_a_cell(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK_BYTES", 2000)
     check(spark, near_copies(40, 1, 0.03, 9) + [(5000, text_of(2, 20_000)), (5001, text_of(2, 20_000) + " end")])
