@@ -7,8 +7,10 @@ ordered folds over one key's small event rows.
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,45 +115,90 @@ def downtime_gaps(ok_bars: DataFrame, missed: Column) -> DataFrame:
     return ok_bars.withColumn("prev_close", F.lag("bar_close").over(w)).withColumn("missed", missed).where("missed > 0")
 
 
+def _possible(budget: int):
+    """Rows(month, run_id, day, cost, refunds, ...) in time order by run and day, less those that are refused for certain.
+
+    Where a request is refused, later ones of its run and day that cost as much or more are refused,
+    too.  So if the earlier ones up to a cost pass the least budget together with it, it is refused,
+    whether they were granted or one of them was not.  Kept are the costs that still fit together,
+    dearest on top: no more of them than the budget holds.  That is true of any part of the rows, but
+    not of a month with refunds, which is passed on whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, dearest, total, most = None, [], 0, None
+        for batch in batches:
+            keep = []
+            for *now, cost, refunds in zip(*(batch.column(c).to_pylist() for c in ("month", "run_id", "day", "cost", "refunds")), strict=True):
+                if now != key:
+                    key, dearest, total, most = now, [], 0, budget + 1
+                if refunds or cost < most:
+                    keep.append(True)
+                    if not refunds:
+                        heapq.heappush(dearest, -cost)
+                        total += cost
+                        while total > budget:
+                            most = -heapq.heappop(dearest)
+                            total -= most
+                        keep[-1] = cost < most
+                else:
+                    keep.append(False)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _grants(run_budget: int, day_budget: int, month_budget: int):
+    """The ids of granted rows; what was spent before (id null) comes first in a month."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, runs, days, spent = (), {}, {}, 0
+        for batch in batches:
+            granted = []
+            for month, r, day, cost, i in zip(*(batch.column(c).to_pylist() for c in ("month", "run_id", "day", "cost", "id")), strict=True):
+                if key != (month,):
+                    key, runs, days, spent = (month,), {}, {}, 0
+                if i is None or (runs.get(r, 0) + cost <= run_budget and days.get(day, 0) + cost <= day_budget and spent + cost <= month_budget):
+                    runs[r], days[day], spent = runs.get(r, 0) + cost, days.get(day, 0) + cost, spent + cost
+                    if i is not None:
+                        granted.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array(granted, pa.int64())], ["__granted"])
+
+    return run
+
+
 def budget_grants(requests: DataFrame, run_budget: int, day_budget: int, month_budget: int, slice_minutes: int = SLICE_MINUTES) -> DataFrame:
     """requests(month, ts, seq, run_id, micro) with ``granted``: refused if it would pass a
     run's, a UTC day's or the month's budget; a refused request spends nothing.
 
     Running sums of what all requests would spend show how far a month is granted whole: up to the
-    first that passes a budget, sums are what was spent, so all before it are granted.  Only from
-    there on a month is folded (budgets span its runs and days), from what was spent by run and day;
-    a month that never refuses is not."""
+    first that passes a budget, sums are what was spent, so all before it are granted.  From there
+    on a month is folded (budgets span its runs and days), from what was spent by run and day, but
+    only over requests that costs of their own run and day leave possible, found in slices of time,
+    then by run and day.  Python sees rows as a stream in order and holds sums by run and day, never a
+    month.  A month that never refuses is not folded; requests of no cost are granted unfolded."""
     names = requests.columns
     rows = requests.withColumns({"__day": F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 86_400_000_000), "__micro": F.col("micro").cast("long")})
     for by, name in ((["run_id"], "__run"), (["__day"], "__of_day"), ([], "__month")):
         rows = running(rows.withColumn(name, F.col("__micro")), ["month", *by], "ts", ["seq"], sums=[name], slice_minutes=slice_minutes)
-    rows = settled(rows.withColumn("__over", (F.col("__run") > run_budget) | (F.col("__of_day") > day_budget) | (F.col("__month") > month_budget)), "requests")
-    first = rows.where("__over").groupBy("month").agg(F.min(F.struct("ts", "seq")).alias("__first"))
+    over = (F.col("__run") > run_budget) | (F.col("__of_day") > day_budget) | (F.col("__month") > month_budget)
+    rows = settled(rows.select(*names, "__day", "__micro", over.alias("__over"), F.monotonically_increasing_id().alias("__id")), "requests")
+    first = rows.groupBy("month").agg(F.min(F.when(F.col("__over"), F.struct("ts", "seq"))).alias("__first"), (F.min("__micro") < 0).alias("__refunds")).where("__first is not null")
+    first = settled(first.withColumnRenamed("month", "__m"), "refusals")
     if first.isEmpty():
         return rows.select(*names, F.lit(True).alias("granted"))
-    marked = rows.join(first.withColumnRenamed("month", "__m"), F.col("month").eqNullSafe(F.col("__m")), "left").drop("__m")
+    marked = rows.join(first, F.col("month").eqNullSafe(F.col("__m")), "left").drop("__m")
     early = F.col("__first").isNull() | (F.struct("ts", "seq") < F.col("__first"))
-    whole = marked.where(early).select(*names, F.lit(True).alias("granted"))
-    spent = marked.where(early & F.col("__first").isNotNull()).groupBy("month", "run_id", "__day").agg(F.sum("__micro").alias("__micro"))
-    late = marked.where(~early).select(*names, "__day", "__micro", F.lit(False).alias("__spent"))
-    late = late.unionByName(spent.withColumn("__spent", F.lit(True)), allowMissingColumns=True)
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("__spent", "descending"), ("ts", "ascending"), ("seq", "ascending")])
-        runs: dict = {}
-        days: dict = {}
-        month, granted = 0, []
-        columns = (table.column(c).to_pylist() for c in ("__spent", "__day", "run_id", "__micro"))
-        for known, day, r, cost in zip(*columns, strict=True):
-            ok = known or (runs.get(r, 0) + cost <= run_budget and days.get(day, 0) + cost <= day_budget and month + cost <= month_budget)
-            if ok:
-                runs[r], days[day], month = runs.get(r, 0) + cost, days.get(day, 0) + cost, month + cost
-            granted.append(ok)
-        own = pc.invert(table.column("__spent"))
-        return table.select(names).append_column("granted", pa.array(granted, pa.bool_())).filter(own)
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in requests.schema) + ", granted boolean"
-    return whole.unionByName(late.groupBy("month").applyInArrow(run, schema))
+    free = (F.col("__micro") == 0) & F.lit(min(run_budget, day_budget, month_budget) >= 0)
+    spent = marked.where(early & F.col("__first").isNotNull()).groupBy("month", "run_id", F.col("__day").alias("day")).agg(F.sum("__micro").alias("cost"))
+    open_ = marked.where(~early & ~free).select("month", "run_id", F.col("__day").alias("day"), "ts", "seq", F.col("__micro").alias("cost"), F.col("__refunds").alias("refunds"), F.col("__id").alias("id"))
+    slot = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (max(1, slice_minutes // 168) * 60_000_000))  # an hour by default
+    sieve, shape = _possible(min(run_budget, day_budget, month_budget)), open_.schema
+    for by in (["month", "run_id", "day", slot], ["month", "run_id", "day"]):
+        open_ = open_.repartition(*by).sortWithinPartitions("month", "run_id", "day", "ts", "seq", "id").mapInArrow(sieve, shape)
+    fold = open_.drop("refunds").unionByName(spent, allowMissingColumns=True).repartition("month").sortWithinPartitions("month", F.col("id").isNotNull(), "ts", "seq", "id")
+    granted = settled(fold.select("month", "run_id", "day", "cost", "id").mapInArrow(_grants(run_budget, day_budget, month_budget), "__granted long"), "grants")
+    out = marked.join(granted, F.col("__id") == F.col("__granted"), "left")
+    return out.select(*names, (early | free | F.col("__granted").isNotNull()).alias("granted"))
 
 
 def spend(attempts: DataFrame, now: str, run_id: str) -> DataFrame:

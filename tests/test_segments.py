@@ -162,3 +162,28 @@ def test_budgets_equal_the_fold(spark, budgets, monkeypatch):
     for minutes in (600, 10**6):
         got = ledger.budget_grants(df, *budgets, slice_minutes=minutes)
         assert got.columns == [*df.columns, "granted"] and {r.seq: r.granted for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("least", [1, -20])
+def test_a_month_of_refusals_is_a_stream(spark, least):
+    """Most of 20,000 requests are refused: no month is one table in Python, and few are folded."""
+    import pyarrow as pa
+
+    from barcraft.operators import ledger
+
+    rng = random.Random(4)
+    rows = []
+    for i in range(20_000):
+        at = START + timedelta(minutes=rng.randrange(60 * 24 * 20))
+        rows.append((f"{at:%Y-%m}", at, i, rng.choice(["a", "b", None]), rng.randrange(least, 900)))
+    budgets = 9000, 3000, 20_000
+    want = plain_budget(rows, *budgets)
+    out = ledger.budget_grants(spark.createDataFrame(rows, "month string, ts timestamp_ntz, seq long, run_id string, micro long").repartition(4), *budgets)
+    assert "FlatMapGroupsInArrow" not in out._jdf.queryExecution().toString()
+    assert {r.seq: r.granted for r in out.collect()} == want
+    # one run and day: what the sieve leaves holds all that is granted
+    day = [r for r in sorted(rows, key=lambda r: (r[1], r[2])) if r[3] == "a" and r[1].date() == rows[0][1].date()]
+    batch = pa.RecordBatch.from_pylist([{"month": m, "run_id": run, "day": 1, "cost": max(micro, 1), "refunds": False, "id": i} for m, _, i, run, micro in day])
+    left = {i for b in ledger._possible(3000)(iter([batch.slice(0, 100), batch.slice(100)])) for i in b.column("id").to_pylist()}
+    if least > 0:
+        assert {r[2] for r in day if want[r[2]]} <= left and len(left) < len(day) / 2
