@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barcraft.functions.numeric import round_to
+from barcraft.operators.segments import running
+from barcraft.sources.sinks import settled
 
 
 def mean_r(total: Column, n: Column, digits: int = 6) -> Column:
@@ -234,21 +236,29 @@ def feedback(trades: DataFrame, instants: DataFrame, k: int = 5, ties: Sequence[
     direction, regime, r_multiple, exit_reason, closed_at).  Trades that are open, have no R
     or no observed_at are never known.  Empty arrays where nothing was.
 
-    Trades and instants are stacked in time, so running sums per regime and a running list of
-    k rows carry what is known to every instant in one sort each.  Trades observed at one
-    instant are in the order of ``ties``."""
+    A trade counts from the first instant after it, found by the distinct times of a run, which are
+    scanned in slices.  Trades are then added up by run, regime and that instant, and of each run
+    and instant the last ``k`` go on: what is sorted along time after that is no larger than k rows an
+    instant.  Trades observed at one instant are in the order of ``ties``."""
     known = trades.where("status <> 'open' and r_milli is not null and observed_at is not null")
     asked = instants.select("run_id", "as_of").distinct()
-    grid = asked.join(known.select("run_id", "regime").distinct(), "run_id")
-    a = grid.select("run_id", "regime", F.col("as_of").alias("t"), F.lit(0).alias("side"), F.lit(0).cast("long").alias("r"))
-    b = known.select("run_id", "regime", F.col("observed_at").alias("t"), F.lit(1).alias("side"), F.col("r_milli").alias("r"))
-    w = Window.partitionBy("run_id", "regime").orderBy("t", "side").rowsBetween(Window.unboundedPreceding, 0)
-    sums = a.unionByName(b).withColumns({"n": F.sum("side").over(w), "wins": F.sum(F.when((F.col("side") == 1) & (F.col("r") > 0), 1).otherwise(0)).over(w), "s": F.sum(F.when(F.col("side") == 1, F.col("r")).otherwise(0)).over(w)}).where("side = 0 and n > 0")
+    times = known.select("run_id", F.col("observed_at").alias("t")).distinct().withColumns({"side": F.lit(1), "as_of": F.lit(None).cast(asked.schema["as_of"].dataType)})
+    stack = times.unionByName(asked.select("run_id", F.col("as_of").alias("t"), F.lit(0).alias("side"), "as_of"))
+    after = running(stack, ["run_id"], "t", ["side"], last=["as_of"], backward=True).where("side = 1 and as_of is not null")
+    after = settled(after.select(F.col("run_id").alias("__run"), F.col("t").alias("__t"), F.col("as_of").alias("t")), "known_from")
+    known = known.join(after, F.col("run_id").eqNullSafe(F.col("__run")) & (F.col("observed_at") == F.col("__t"))).drop("__run", "__t")
+    sums = known.groupBy("run_id", "regime", "t").agg(F.count("*").alias("n"), F.count_if(F.col("r_milli") > 0).alias("wins"), F.sum("r_milli").alias("s"))
+    sums = settled(sums, "known_sums")
+    grid = asked.withColumnRenamed("as_of", "t").join(sums.select("run_id", "regime").distinct(), "run_id").withColumns({c: F.lit(0).cast("long") for c in ("n", "wins", "s")} | {"asked": F.lit(True)})
+    w = Window.partitionBy("run_id", "regime").orderBy("t").rangeBetween(Window.unboundedPreceding, 0)
+    sums = grid.unionByName(sums.withColumn("asked", F.lit(False))).withColumns({c: F.sum(c).over(w) for c in ("n", "wins", "s")}).where("asked and n > 0")
     ranked = F.struct((-F.col("n")).alias("o"), F.col("regime").isNull().alias("p"), "regime", F.col("n").alias("trades"), round_to(F.col("wins") / F.col("n"), 3).alias("win_rate"), mean_r(F.col("s"), F.col("n"), 3).alias("expectancy_r"))
     drop = lambda x: F.struct(x["regime"].alias("regime"), x["trades"].alias("trades"), x["win_rate"].alias("win_rate"), x["expectancy_r"].alias("expectancy_r"))
     regimes = sums.groupBy("run_id", F.col("t").alias("as_of")).agg(F.transform(F.sort_array(F.collect_list(ranked)), drop).alias("regime_performance"))
 
     one = F.struct("direction", "regime", (F.col("r_milli") / 1000.0).alias("r_multiple"), "exit_reason", "closed_at")
+    newest = Window.partitionBy("run_id", "t").orderBy(F.desc("observed_at"), *[F.desc(c) for c in ties])
+    known = known.withColumn("__n", F.row_number().over(newest)).where(F.col("__n") <= k)
     last = Window.partitionBy("run_id").orderBy("observed_at", *ties).rowsBetween(-(k - 1), 0)
     lists = known.select("run_id", F.col("observed_at").alias("t"), F.lit(1).alias("side"), F.struct(*ties).alias("tie"), F.reverse(F.collect_list(one).over(last)).alias("recent_trades"))
     points = asked.select("run_id", F.col("as_of").alias("t"), F.lit(0).alias("side"), F.lit(None).cast(lists.schema["tie"].dataType).alias("tie"), F.lit(None).cast(lists.schema["recent_trades"].dataType).alias("recent_trades"))

@@ -186,6 +186,19 @@ def test_feedback_knows_only_what_was_observed_before(spark):
             assert x["win_rate"] == pytest.approx(sum(v > 0 for v in groups[x["regime"]]) / x["trades"], abs=6e-4)
 
 
+def test_feedback_leaves_only_the_last_trades_to_the_sort_by_run(spark):
+    """Trades are cut to k a run and instant before any of them meet in one task."""
+    at = lambda k: T0 + timedelta(minutes=k)
+    rows = [(None if i % 7 == 0 else "x", i, "closed", 100, "range", "BUY", "tp_hit", at(i), at(i % 40)) for i in range(400)]
+    t = spark.createDataFrame(rows, "run_id string, decision_id long, status string, r_milli long, regime string, direction string, exit_reason string, closed_at timestamp_ntz, observed_at timestamp_ntz")
+    asked = spark.createDataFrame([("x", at(20)), ("x", at(30)), (None, at(30))], "run_id string, as_of timestamp_ntz")
+    out = metrics.feedback(t, asked, 3)
+    assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
+    got = {(r["run_id"], r["as_of"]): [x["closed_at"] for x in r["recent_trades"]] for r in out.collect()}
+    for (run, when), closed in got.items():
+        assert closed == [x[7] for x in sorted((x for x in rows if x[0] == run and x[8] < when), key=lambda x: (x[8], x[1]), reverse=True)[:3]]
+
+
 def test_discrimination(spark):
     df = spark.createDataFrame([(60, -1000), (60, -1000), (90, 1000), (90, 1000)], "confidence_pct int, r_milli long")
     row = metrics.confidence_discrimination(df).first()
